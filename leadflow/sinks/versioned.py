@@ -1,0 +1,63 @@
+"""A parquet table that a job may read and rewrite as a whole.
+
+Overwriting the folder that is being read destroys it, and plain parquet has no
+MERGE. So every write makes a new version folder and, once that is complete, an
+empty marker file with the version's name; the last marker is in force. A job
+that dies half-way leaves no marker and the old version stays. One writer at a time.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from leadflow.schemas import struct_type
+
+MARKER = "_version"
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        # Parquet keeps no "not null", so a frame read back could not be written again.
+        self.schema = T.StructType([
+            T.StructField(f.name, f.dataType) for f in struct_type(schema)
+        ])
+
+    def _hadoop(self):
+        jvm = self.spark.sparkContext._jvm
+        home = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = home.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return jvm.org.apache.hadoop.fs.Path, files
+
+    def current(self) -> str | None:
+        """Folder name of the version in force; None before the first write."""
+        path, files = self._hadoop()
+        markers = files.globStatus(path(f"{self.path}/{MARKER}-*"))
+        names = sorted(m.getPath().getName() for m in markers or [])
+        return names[-1][len(MARKER) + 1:] if names else None
+
+    def read(self) -> DataFrame:
+        version = self.current()
+        if version is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+
+    def write(self, df: DataFrame, keep: int = 2) -> None:
+        """Make the frame the current version and drop versions older than ``keep``."""
+        path, files = self._hadoop()
+        before = self.current()
+        number = int(before.split("-")[0][1:]) + 1 if before else 1
+        version = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
+        df.to(self.schema).write.parquet(f"{self.path}/{version}")
+        # Creating the empty marker is the one step that commits.
+        files.create(path(f"{self.path}/{MARKER}-{version}"), False).close()
+        markers = sorted(
+            m.getPath().getName() for m in files.globStatus(path(f"{self.path}/{MARKER}-*"))
+        )
+        for old in markers[:-keep]:
+            files.delete(path(f"{self.path}/{old}"), False)
+            files.delete(path(f"{self.path}/{old[len(MARKER) + 1:]}"), True)
