@@ -37,7 +37,8 @@ def _gzip_udf():
 def _gunzip_udf():
     """Text of the first candidate that is whole gzip data.
 
-    A wrong key can leave valid padding by chance, so this is the real test.
+    A wrong key can leave valid padding by chance, so this is the real test. Spark
+    is told not to repeat it, else a later filter would decrypt every line twice.
     """
 
     def first_text(candidates) -> str | None:
@@ -53,7 +54,7 @@ def _gunzip_udf():
     def decompress(candidates: pd.Series) -> pd.Series:
         return candidates.map(first_text)
 
-    return F.pandas_udf(decompress, T.StringType())
+    return F.pandas_udf(decompress, T.StringType()).asNondeterministic()
 
 
 def encrypt_lines(

@@ -89,18 +89,17 @@ def _typed(text: Column, kind: T.DataType, layouts) -> Column:
     return ts.parse_date(text, layouts)
 
 
-def _is_time_text(source: T.DataType, target: T.DataType) -> bool:
-    return isinstance(source, T.StringType) and isinstance(target, _TIMES)
-
-
-def _coerce(value: Column, source: T.DataType, target: T.DataType, layouts) -> Column:
-    if _is_time_text(source, target):
-        return _typed(value, target, layouts)
+def _coerce(
+    value: Column, source: T.DataType, target: T.DataType, layouts, path: str, fail: bool
+) -> Column:
     if isinstance(target, T.StructType) and isinstance(source, T.StructType):
         present = set(source.names)
         parts = [
             (
-                _coerce(value.getField(f.name), source[f.name].dataType, f.dataType, layouts)
+                _coerce(
+                    value.getField(f.name), source[f.name].dataType, f.dataType, layouts,
+                    f"{path}.{f.name}", fail,
+                )
                 if f.name in present
                 else F.lit(None).cast(f.dataType)
             ).alias(f.name)
@@ -108,49 +107,52 @@ def _coerce(value: Column, source: T.DataType, target: T.DataType, layouts) -> C
         ]
         return F.when(value.isNotNull(), F.struct(*parts))
     if isinstance(target, T.ArrayType) and isinstance(source, T.ArrayType):
-        return F.transform(
-            value, lambda e: _coerce(e, source.elementType, target.elementType, layouts)
-        )
-    if source == target:
-        return value
-    if isinstance(source, T.StringType):
-        # Same rule as for times: what cannot be read becomes null and is reported.
-        return value.try_cast(target)
-    return value.cast(target)
+        kinds = source.elementType, target.elementType
+        return F.transform(value, lambda e: _coerce(e, *kinds, layouts, path, fail))
+    if source == target or not isinstance(source, T.StringType):
+        return value if source == target else value.cast(target)
+    typed = (
+        _typed(value, target, layouts) if isinstance(target, _TIMES) else value.try_cast(target)
+    )
+    if not fail:
+        return typed
+    # Part of the value itself: a filter on it would make Spark parse twice.
+    error = F.raise_error(F.concat(F.lit(f"unreadable {path}: "), value))
+    unread = value.isNotNull() & ~F.contains(value, F.lit(ts.ZERO_DATE))
+    return F.coalesce(typed, F.when(unread, error))
 
 
-def _bad(value: Column, source: T.DataType, target: T.DataType, path: str, layouts) -> list:
-    """(path, condition) for every text leaf that its target type cannot hold."""
+def _bad(raw: Column, typed: Column, source: T.DataType, target: T.DataType, path: str) -> list:
+    """(path, condition) for every text leaf that its target type could not hold."""
     if isinstance(target, T.StructType) and isinstance(source, T.StructType):
         found = []
         for f in target:
             if f.name in source.names:
                 found += _bad(
-                    value.getField(f.name), source[f.name].dataType, f.dataType,
-                    f"{path}.{f.name}" if path else f.name, layouts,
+                    raw.getField(f.name), typed.getField(f.name), source[f.name].dataType,
+                    f.dataType, f"{path}.{f.name}",
                 )
         return found
     if isinstance(target, T.ArrayType) and isinstance(source, T.ArrayType):
-        inner = _bad(F.lit(None), source.elementType, target.elementType, path, layouts)
+        kinds = source.elementType, target.elementType
+        paths = [p for p, _ in _bad(F.lit(None), F.lit(None), *kinds, path)]
 
         def any_element(i: int) -> Column:
-            return F.exists(
-                value,
-                lambda e: _bad(e, source.elementType, target.elementType, path, layouts)[i][1],
-            )
+            pairs = F.zip_with(raw, typed, lambda r, t: _bad(r, t, *kinds, path)[i][1])
+            return F.coalesce(F.exists(pairs, lambda bad: bad), F.lit(False))
 
-        return [(name, any_element(i)) for i, (name, _) in enumerate(inner)]
+        return [(p, any_element(i)) for i, p in enumerate(paths)]
     if not isinstance(source, T.StringType) or isinstance(target, T.StringType):
         return []
-    lost = value.isNotNull() & _coerce(value, source, target, layouts).isNull()
-    return [(path, F.coalesce(lost & ~F.contains(value, F.lit(ts.ZERO_DATE)), F.lit(False)))]
+    lost = raw.isNotNull() & typed.isNull()
+    return [(path, F.coalesce(lost & ~F.contains(raw, F.lit(ts.ZERO_DATE)), F.lit(False)))]
 
 
 def coerce_record(
     df: DataFrame,
     target: str | T.StructType,
     on_bad: str = "null",
-    layouts=ts.EXTRA_LAYOUTS,
+    layouts=ts.LAYOUTS,
 ) -> DataFrame:
     """Give the target's fields their types, at any depth; other columns stay.
 
@@ -160,19 +162,24 @@ def coerce_record(
     if on_bad not in ("null", "fail"):
         raise ValueError(f"on_bad must be null or fail, not {on_bad}")
     target = struct_type(target)
-    typed, bad = {}, []
+    typed, raw, bad = {}, {}, []
     for field in target:
         if field.name not in df.columns:
             continue
         source, value = df.schema[field.name].dataType, F.col(f"`{field.name}`")
-        typed[field.name] = _coerce(value, source, field.dataType, layouts)
-        bad += _bad(value, source, field.dataType, field.name, layouts)
-    names = F.array(*[F.when(condition, F.lit(path)) for path, condition in bad])
-    bad_fields = F.array_compact(names.cast("array<string>"))
+        if source == field.dataType:
+            continue
+        typed[field.name] = _coerce(
+            value, source, field.dataType, layouts, field.name, on_bad == "fail"
+        )
+        kept = f"_raw_{field.name}"
+        conditions = _bad(F.col(f"`{kept}`"), value, source, field.dataType, field.name)
+        if conditions:
+            raw[kept] = value
+            bad += conditions
     if on_bad == "fail":
-        bad_fields = F.when(
-            F.size(bad_fields) > 0,
-            F.raise_error(F.concat(F.lit("unreadable fields: "), F.array_join(bad_fields, ", "))),
-        ).otherwise(bad_fields)
-    # Both are taken from the untyped columns, hence in one projection.
-    return df.withColumns({**typed, "_bad_fields": bad_fields})
+        return df.withColumns(typed) if typed else df
+    # Two steps, so that every text is parsed once and only compared afterwards.
+    both = df.withColumns({**raw, **typed}) if typed else df
+    names = F.array(*[F.when(condition, F.lit(path)) for path, condition in bad])
+    return both.withColumn("_bad_fields", F.array_compact(names.cast("array<string>"))).drop(*raw)

@@ -12,16 +12,21 @@ ZERO_DATE = "0000-00-00"
 EPOCH = "1970-01-01 00:00:00"
 CDC_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
-# Layouts tried after the ISO forms, month first. Extend by argument.
-EXTRA_LAYOUTS = (
-    "yyyyMMdd",
-    "yyyyMMddHHmmss",
-    "yyyy/M/d",
-    "yyyy/M/d H:m:s",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "d MMM yyyy",
-    "MMM d, yyyy",
+# Texts that Spark's own cast reads: a four-digit year, then nothing or a non-digit.
+# Longer digit runs would be taken for a far-away year.
+ISO = r"^\s*\d{4}(?!\d)(?!/)"
+
+# Other layouts, month first: what the text looks like, and how to read it. At most
+# one is tried per value. Extend by argument.
+LAYOUTS = (
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{4}/\d+/\d+$", "yyyy/M/d"),
+    (r"^\d{4}/\d+/\d+ \d", "yyyy/M/d H:m:s"),
+    (r"^\d{1,2}/\d+/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d+/\d{4} \d", "M/d/yyyy H:m:s"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 )
 
 
@@ -61,29 +66,32 @@ def drop_zero_date(text: Column) -> Column:
     return F.when(~F.contains(text, F.lit(ZERO_DATE)), text)
 
 
-def parse_datetime(text: Column, layouts=EXTRA_LAYOUTS) -> Column:
+def parse_datetime(text: Column, layouts=LAYOUTS) -> Column:
     """Text to TIMESTAMP_NTZ; null when no layout fits. An offset is dropped."""
-    # Longer digit runs would be read as a far-away year.
-    iso = F.when(text.rlike(r"^\s*\d{4}(?!\d)"), text.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in layouts]
-    return F.coalesce(iso, *others)
+    parsed = F.when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
+    for shape, pattern in layouts:
+        value = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+        parsed = parsed.when(text.rlike(shape), value)
+    return parsed
 
 
-def parse_date(text: Column, layouts=EXTRA_LAYOUTS) -> Column:
+def parse_date(text: Column, layouts=LAYOUTS) -> Column:
     return parse_datetime(text, layouts).cast("date")
 
 
-def parse_timestamp(text: Column, layouts=EXTRA_LAYOUTS) -> Column:
+def parse_timestamp(text: Column, layouts=LAYOUTS) -> Column:
     """Text to TIMESTAMP; an offset counts, without one the text is UTC."""
-    iso = F.when(text.rlike(r"^\s*\d{4}(?!\d)"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(p)) for p in layouts])
+    parsed = F.when(text.rlike(ISO), text.try_cast("timestamp"))
+    for shape, pattern in layouts:
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return parsed
 
 
 def epoch_seconds(value: Column) -> Column:
     return F.unix_micros(value.cast("timestamp")) / F.lit(1e6)
 
 
-def is_date(text: Column, layouts=EXTRA_LAYOUTS) -> Column:
+def is_date(text: Column, layouts=LAYOUTS) -> Column:
     return F.coalesce(parse_datetime(text, layouts).isNotNull(), F.lit(False))
 
 

@@ -18,6 +18,7 @@ from leadflow.sinks.versioned import VersionedTable
 TIME = "ingestion_timestamp"
 MAX_ROWS = 1_000_000
 BUCKETS = 4_096
+SORTABLE = 100_000  # rows that are simply sorted
 MICROSECOND = dt.timedelta(microseconds=1)
 
 
@@ -56,19 +57,21 @@ def nth_time(times: DataFrame, n: int) -> dt.datetime | None:
     low, high, rows = times.agg(F.min(TIME), F.max(TIME), F.count(TIME)).first()
     if low is None or rows <= n:
         return high
-    # One aggregate row per bucket, BUCKETS at most, reaches the driver.
     while low < high:
+        inside = times.filter(F.col(TIME).between(ntz(low), ntz(high)))
+        if rows <= SORTABLE:
+            return inside.orderBy(TIME).limit(n).agg(F.max(TIME)).first()[0]
         width = max(1, -(-((high - low) // MICROSECOND + 1) // BUCKETS))
         # A difference of zone-free times, so no clock change can disturb the order.
         seconds = (F.col(TIME) - ntz(low)).cast("interval second").cast("decimal(24,6)")
         offset = (seconds * 1_000_000).cast("bigint")
-        inside = times.filter(F.col(TIME).between(ntz(low), ntz(high)))
         buckets = inside.groupBy(F.floor(offset / width).alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min(TIME).alias("low"), F.max(TIME).alias("high")
         )
+        # One row per bucket, BUCKETS at most, reaches the driver.
         for bucket in sorted(buckets.collect(), key=lambda r: r.b):
             if n <= bucket.n:
-                low, high = bucket.low, bucket.high
+                low, high, rows = bucket.low, bucket.high, bucket.n
                 break
             n -= bucket.n
     return high

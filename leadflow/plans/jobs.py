@@ -68,11 +68,7 @@ def cdc_records(
     decoded = decode_json(decrypt_lines(lines, list(keys)), target)
     if on_error == "fail":
         records = stamp(strict(decoded).select("_record.*"), now=now)
-        typed = coerce_record(records, target, on_bad="fail")
-        # The check rides on a column, so keep it in the plan until here.
-        return drop_zero_dates(
-            typed.filter(F.col("_bad_fields").isNotNull()).select(*target.names)
-        )
+        return drop_zero_dates(coerce_record(records, target, on_bad="fail")).select(*target.names)
     records = stamp(
         decoded.select("_record.*", F.col("value").alias("_line"), "_error"), now=now
     )
@@ -138,9 +134,7 @@ def stage(
 
 def staged(rows: DataFrame, schema: str | T.StructType, now=None) -> DataFrame:
     """Stamp, write times as text and drop zero dates, then take the table's types."""
-    return coerce_record(stringify_times(stamp(rows, now=now)), schema, on_bad="fail").filter(
-        F.col("_bad_fields").isNotNull()
-    ).drop("_bad_fields")
+    return coerce_record(stringify_times(stamp(rows, now=now)), schema, on_bad="fail")
 
 
 # Checkpointed export
@@ -199,7 +193,7 @@ def export_table(
             opened = routed.filter(F.col("route") == "processed").select(
                 "client", F.col("accepted_file").alias("file"), F.lit(table).alias("src_table")
             )
-            status.write(status.read().unionByName(open_rows(opened, now)))
+            status.append(open_rows(opened, now))
         failed = routed.filter(F.col("route") == "failed").count()
         if failed:
             raise RuntimeError(f"{failed} files of {table} failed to upload, see {results}")
@@ -342,23 +336,29 @@ def prioritised_leads(scores: DataFrame, moods: DataFrame) -> DataFrame:
 
 
 def score_leads(
-    leads: VersionedTable, predictor: Predictor, mode: str = "upsert",
+    leads: VersionedTable, predictor: Predictor, mode: str = "update",
     features: Sequence[str] = FEATURES,
 ) -> JobResult:
-    """Write scores back to the lead table, in place of the scored rows or as more rows."""
-    if mode not in ("upsert", "append"):
-        raise ValueError(f"mode must be upsert or append, not {mode}")
+    """Write scores back to the lead table, into the scored rows or as more rows.
+
+    The scores are made from the table's own rows, so an update needs no join.
+    """
+    if mode not in ("update", "append"):
+        raise ValueError(f"mode must be update or append, not {mode}")
     table = leads.read()
     if table.filter(F.col("processed")).isEmpty():
         return JobResult("score_leads", "skipped")
     scored, seen = counted(lead_scores(table, predictor, features).select(*table.columns))
-    merged = merge_scores(table, scored) if mode == "upsert" else table.unionByName(scored)
-    leads.write(merged)
+    if mode == "append":
+        leads.append(scored)
+    else:
+        unscored = table.filter(~F.coalesce(F.col("processed"), F.lit(False)))
+        leads.write(scored.unionByName(unscored))
     return JobResult("score_leads", "done", seen.get["n"])
 
 
 def merge_scores(table: DataFrame, scored: DataFrame, key: str = "lead_id") -> DataFrame:
-    """Scored rows in place of the table's rows with the same lead."""
+    """Predictions made elsewhere in place of the table's rows with the same lead."""
     return upsert(table, scored, [key])
 
 

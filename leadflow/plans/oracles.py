@@ -415,6 +415,9 @@ def oracles() -> dict[str, str]:
         "merge_scores": with_views(["lead_features"], f"""
             select f.lead_id, f.name, f.processed, s.lead_score
             from lead_features f left join ({_LEAD_SCORES}) s on f.lead_id = s.lead_id"""),
+        "merge_predictions": with_views(["lead_features"], f"""
+            select f.lead_id, f.name, f.processed, coalesce(s.lead_score, -1) as lead_score
+            from lead_features f left join ({_LEAD_SCORES}) s on f.lead_id = s.lead_id"""),
         "csv_export_readback": with_views(["staging_contacts"], f"""
             select cast(id as string) as id, {_CONTACT_COLUMNS},
                    case when microsecond(ingestion_timestamp) % 1000000 = 0

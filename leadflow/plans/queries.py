@@ -758,6 +758,17 @@ def merge_scores(spark, sf):
     return table.read().select("lead_id", "name", "processed", "lead_score")
 
 
+@query
+def merge_predictions(spark, sf):
+    """Scores made elsewhere replace the lead rows they belong to."""
+    leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(-1.0))
+    made = lead_scores_columns(spark, sf).join(leads.drop("lead_score"), "lead_id")
+    table = VersionedTable(spark, shared_folder(spark, "leads"), leads.schema)
+    table.write(leads)
+    table.write(jobs.merge_scores(table.read(), made))
+    return table.read().select("lead_id", "name", "processed", "lead_score")
+
+
 # Sinks
 
 

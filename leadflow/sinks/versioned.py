@@ -46,6 +46,14 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
+    def append(self, df: DataFrame) -> None:
+        """Add rows to the current version without rewriting it."""
+        version = self.current()
+        if version is None:
+            self.write(df)
+        else:
+            df.to(self.schema).write.mode("append").parquet(f"{self.path}/{version}")
+
     def write(self, df: DataFrame, keep: int = 2) -> None:
         """Make the frame the current version and drop versions older than ``keep``."""
         path, files = self._hadoop()

@@ -19,8 +19,9 @@ def text_lines(reader, path: str, prefix: str = "", contains: str = "") -> DataF
     file metadata, so other files are listed but never opened.
     """
     lines = reader.option("pathGlobFilter", _glob(prefix)).text(path)
-    lines = lines.select("value", F.col("_metadata.file_name").alias("file_name"))
-    return lines.filter(F.contains("file_name", F.lit(contains))) if contains else lines
+    if contains:
+        lines = lines.filter(F.contains(F.col("_metadata.file_name"), F.lit(contains)))
+    return lines.select("value")
 
 
 def list_files(spark: SparkSession, path: str, prefix: str = "", contains: str = "") -> DataFrame:
