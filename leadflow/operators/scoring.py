@@ -67,7 +67,11 @@ def logistic_score(weights: dict[str, float], intercept: float, digits: int = 6)
 
 
 def predict_with_model(df: DataFrame, model: PipelineModel, out: str = "lead_score") -> DataFrame:
-    """Score with a fitted Spark ML pipeline: the probability of class 1."""
+    """Score with a fitted Spark ML pipeline: the probability of class 1.
+
+    Use a saved and loaded model. A model just fitted keeps its training summary,
+    which Spark cannot send to the executors once the session has observed a query.
+    """
     made = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return made.select(*[c for c in df.columns if c != out], out)
 

@@ -1,0 +1,493 @@
+import datetime as dt
+import json
+import os
+
+import pandas as pd
+import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from leadflow.functions.crypto import encrypt_lines
+from leadflow.operators.scoring import (
+    FEATURES, drift, fetch_insights, lexicon_score, logistic_predictor, logistic_score, predict,
+    predict_with_model, value_bucket,
+)
+from leadflow.plans import jobs
+from leadflow.schemas import EXPORT_COLUMNS, table_schema
+from leadflow.session import shared_folder
+from leadflow.sinks.csv_export import read_export
+from leadflow.sinks.versioned import VersionedTable
+from leadflow.sources.json_records import (
+    check_contacts, contact_rows, entities_from_answers, entity_answer, status_answer,
+)
+from leadflow.streaming.ingest import stream_cdc, stream_scores
+
+KEYS = ["AAECAwQFBgcICQoLDA0ODw==", "EBESExQVFhcYGRobHB0eHw=="]
+SCHEMA = (
+    "id bigint, at timestamp_ntz, day date, parts array<struct<t:timestamp,n:int>>, "
+    "ingestion_timestamp timestamp_ntz"
+)
+NOW = "2024-01-01 00:00:00"
+
+
+def T(text):
+    return dt.datetime.fromisoformat(text)
+
+
+def write_changes(spark, folder, records, name="vibe-1", key=1):
+    texts = [(r if isinstance(r, str) else json.dumps(r),) for r in records]
+    sealed = encrypt_lines(spark.createDataFrame(texts, "text string"), KEYS, "text", use=key)
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w") as f:
+        f.write("".join(r.value + "\n" for r in sealed.collect()))
+
+
+GOOD = [
+    {"id": 1, "at": "2020-01-01T01:02:03Z", "day": "20200105", "parts": [{"t": "2020-01-01", "n": 1}]},
+    {"id": 2, "at": "0000-00-00 00:00:00", "parts": []},
+    {"id": 3, "at": None, "day": "0000-00-00", "parts": None, "ingestion_timestamp": "1999-01-01"},
+]
+
+
+def rows_of(df):
+    return sorted(str(r.asDict(True)) for r in df.collect())
+
+
+# Change files
+
+
+def test_cdc_to_lake(spark, folder):
+    write_changes(spark, f"{folder}/in", GOOD[:2])
+    write_changes(spark, f"{folder}/in", GOOD[2:], "vibe-2", key=0)
+    write_changes(spark, f"{folder}/in", ["not for us"], "other-1")
+    result = jobs.cdc_to_lake(
+        spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA, prefix="vibe", now=NOW
+    )
+    assert (result.state, result.rows) == ("done", 3)
+    found = {r.id: r for r in spark.read.parquet(f"{folder}/lake").collect()}
+    assert found[1].at == T("2020-01-01 01:02:03") and found[1].day == dt.date(2020, 1, 5)
+    assert found[1].parts[0].n == 1 and found[2].at is None and found[2].parts == []
+    assert found[3].parts is None and found[3].day is None
+    assert {r.ingestion_timestamp for r in found.values()} == {T(NOW)}
+
+
+@pytest.mark.parametrize("bad, reason", [
+    ("{oops", "bad json"),
+    ("[1]", "bad json|not an object"),
+    ({"id": "x", "at": None}, "bad json"),
+    ({"id": 1, "extra": 2}, "unknown extra"),
+    ({"id": 1, "at": "nope"}, "unreadable at"),
+    ({"id": 1, "parts": [{"t": "nope", "n": 1}]}, "unreadable parts.t"),
+])
+def test_bad_records_fail_or_go_aside(spark, folder, bad, reason):
+    write_changes(spark, f"{folder}/in", [GOOD[0], bad])
+    with pytest.raises(Exception, match=reason):
+        jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA)
+    result = jobs.cdc_to_lake(
+        spark, f"{folder}/in", f"{folder}/lake2", KEYS, SCHEMA, on_error="quarantine",
+        quarantine=f"{folder}/bad",
+    )
+    assert (result.rows, result.rejected) == (1, 1)
+    aside = spark.read.parquet(f"{folder}/bad").first()
+    assert any(part in aside._error for part in reason.split("|")) and ":" in aside._line
+
+
+@pytest.mark.parametrize("line", ["", "00", "zz:zz", "00" * 16 + ":" + "00" * 16])
+def test_undecryptable_lines(spark, folder, line):
+    write_changes(spark, f"{folder}/in", GOOD[:1])
+    with open(f"{folder}/in/vibe-2", "w") as f:
+        f.write(line + "\n")
+    with pytest.raises(Exception, match="not decrypted"):
+        jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA)
+    result = jobs.cdc_to_lake(
+        spark, f"{folder}/in", f"{folder}/lake2", KEYS, SCHEMA, on_error="quarantine",
+        quarantine=f"{folder}/bad",
+    )
+    assert (result.rows, result.rejected) == (1, 1)
+
+
+def test_ingest_has_no_shuffle_and_decrypts_once(spark, folder):
+    write_changes(spark, f"{folder}/in", GOOD)
+    for on_error in ("fail", "quarantine"):
+        records = jobs.cdc_records(spark.read.text(f"{folder}/in"), KEYS, SCHEMA, on_error)
+        if on_error == "quarantine":
+            records = records.filter(F.col("_error").isNull())
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_stream_equals_batch(spark, folder):
+    write_changes(spark, f"{folder}/in", GOOD[:1])
+    write_changes(spark, f"{folder}/in", GOOD[1:2], "vibe-2")
+    args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
+
+    def run():
+        for running in stream_cdc(spark, *args, files_per_batch=1, now=NOW):
+            running.awaitTermination()
+        return spark.read.parquet(f"{folder}/lake")
+
+    assert run().count() == 2
+    assert run().count() == 2  # nothing new
+    write_changes(spark, f"{folder}/in", GOOD[2:], "vibe-3")
+    jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/batch", KEYS, SCHEMA, now=NOW)
+    assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch"))
+
+
+def test_stream_with_quarantine(spark, folder):
+    write_changes(spark, f"{folder}/in", [GOOD[0], "{oops"])
+    started = stream_cdc(
+        spark, f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA,
+        quarantine=f"{folder}/bad",
+    )
+    for running in started:
+        running.awaitTermination()
+    assert spark.read.parquet(f"{folder}/lake").count() == 1
+    assert spark.read.parquet(f"{folder}/bad").first()._error == "bad json"
+
+
+# Staging
+
+
+def test_stage(spark, rows, folder):
+    lake = rows([(1, "0000-00-00", T("2020-01-01 00:00:00.5"))], "id int, s string, t timestamp_ntz")
+    result = jobs.stage(
+        spark, f"{folder}/s", "id bigint, s string, t timestamp_ntz, ingestion_timestamp timestamp_ntz",
+        "select * from {lake} where id >= :low", {"low": 1}, NOW, lake=lake,
+    )
+    row = spark.read.parquet(f"{folder}/s").first()
+    assert result.rows == 1 and tuple(row) == (1, None, T("2020-01-01 00:00:00.5"), T(NOW))
+
+
+# Export
+
+
+def contacts(rows, values):
+    """Staging contacts from (client, first name, time)."""
+    columns = EXPORT_COLUMNS["staging.contacts"]
+    full = [(c, n, *[None] * (len(columns) - 2), T(t)) for c, n, t in values]
+    ddl = ", ".join(f"{c} string" for c in columns)
+    return rows(full, f"{ddl}, ingestion_timestamp timestamp_ntz")
+
+
+@pytest.fixture
+def state(spark, folder):
+    return (
+        VersionedTable(spark, f"{folder}/checkpoint", table_schema("checkpoint")),
+        VersionedTable(spark, f"{folder}/status", table_schema("data_source_status")),
+    )
+
+
+def test_export_runs_until_there_is_nothing(spark, rows, folder, state):
+    source = contacts(rows, [
+        ("a", "n1", "2020-01-01"), ("b", "n2", "2020-01-02"), ("a", "n3", "2020-01-02"),
+        ("a", "n4", "2020-01-03"),
+    ])
+    run = lambda df: jobs.export_table(df, "staging.contacts", state[0], f"{folder}/out", max_rows=2)
+    assert [(r.state, r.rows) for r in (run(source), run(source), run(source))] == [
+        ("done", 3), ("done", 1), ("skipped", 0),
+    ]
+    # A late row is not exported, but counted; a new one is exported alone.
+    more = source.union(contacts(rows, [("a", "late", "2020-01-02 12:00:00"), ("a", "n5", "2020-01-04")]))
+    assert run(more).rows == 1
+    names = read_export(spark, f"{folder}/out/staging.contacts", ["first_name"]).collect()
+    assert sorted(r.first_name for r in names) == ["n1", "n2", "n3", "n4", "n5"]
+    late = contacts(rows, [("a", "late", "2020-01-02 12:00:00"), ("a", "n6", "2020-01-05")])
+    assert jobs.count_late(late, state[0].read(), "export", "staging.contacts") == 1
+    assert jobs.count_late(late, state[0].read(), "export", "staging.zleads") == 0
+
+
+def test_export_with_upload(spark, rows, folder, state):
+    source = contacts(rows, [("a-b", "n1", "2020-01-01"), ("c d", "n2", "2020-01-01")])
+    out = f"{folder}/out"
+
+    def refuse(client, path):
+        return (500, "no") if client == "c d" else (200, '{"file":"up-1"}')
+
+    def accept(client, path):
+        return 200, '{"file":"' + client + '"}'
+
+    def export(upload):
+        return jobs.export_table(
+            source, "staging.contacts", state[0], out, status=state[1], upload=upload, now=NOW
+        )
+
+    with pytest.raises(RuntimeError, match="1 files of staging.contacts"):
+        export(refuse)
+    assert state[0].read().isEmpty()  # not committed
+    opened = state[1].read().collect()
+    assert [(r.client, r.file, r.status, r.start_date) for r in opened] == [
+        ("a-b", "up-1", "running", T(NOW))
+    ]
+    assert export(accept).rows == 2
+    assert state[0].read().count() == 1
+    assert sorted(r.file for r in state[1].read().collect()) == ["a-b", "c d", "up-1"]
+
+
+# Imports
+
+
+def test_answers(rows):
+    df = rows(
+        [(200, "[]"), (102, None), (204, None), (400, '{"error":"No Data Found"}'), (400, "{}"),
+         (500, "x")],
+        "code int, body string",
+    )
+    found = [r[0] for r in df.select(entity_answer(F.col("code"), F.col("body"))).collect()]
+    assert found == ["ok", "empty", "empty", "empty", "error", "error"]
+    status = rows([(200, '{"status":"RUNNING"}'), (200, "{}"), (500, "")], "code int, body string")
+    assert [r[0] for r in status.select(status_answer(F.col("code"), F.col("body"))).collect()] == [
+        "RUNNING", "UNKNOWN", None,
+    ]
+
+
+def test_import_entities(spark, rows, folder, state):
+    status = state[1]
+    opened = "2023-12-31 23:30:00"
+    status.write(rows(
+        [("c", f, "t", "running", T(opened), None) for f in ("ok", "none", "run", "lost")],
+        table_schema("data_source_status"),
+    ))
+    reported = rows(
+        [("ok", "SUCCEEDED"), ("none", "SUCCEEDED"), ("run", "RUNNING")], "file string, status string"
+    )
+    answers = rows(
+        [("ok", 200, '[{"entity_id":"e1","email":"m"},{"entity_id":"e2"}]'), ("none", 204, None),
+         ("run", 500, "not asked for")],
+        "file string, code int, body string",
+    )
+    run = lambda: jobs.import_entities(status, reported, answers, f"{folder}/entities", NOW)
+    assert (run().rows, run().rows) == (2, 0)
+    entities = spark.read.parquet(f"{folder}/entities").collect()
+    assert sorted((r.entity_id, r.email, r.client, r.file) for r in entities) == [
+        ("e1", "m", "c", "ok"), ("e2", None, "c", "ok"),
+    ]
+    now_open = {r.file: r.status for r in status.read().filter("end_date is null").collect()}
+    assert now_open == {"ok": "succeeded", "none": "succeeded", "run": "running", "lost": "unknown"}
+
+
+def test_a_failed_answer_ends_the_import(rows):
+    files = rows([("c", "f")], "client string, file string")
+    with pytest.raises(Exception, match="entity answer for f: 500"):
+        entities_from_answers(rows([("f", 500, "x")], "file string, code int, body string"), files).collect()
+
+
+def test_fetch_requests(spark, rows):
+    entities = spark.range(50).selectExpr(
+        "if(id % 3 = 0, 'a', 'b') client", "cast(id % 45 as string) entity_id"
+    )
+
+    def fetch(client, insight_id, ids):
+        assert len(ids) <= 4 and len(set(ids)) == len(ids)
+        if client == "a":
+            return 402, []
+        return 200, [{"entity_id": i, "who": client, "size": len(ids)} for i in ids]
+
+    found = fetch_insights(entities, "match-score", fetch, max_ids=4, partitions=3)
+    wanted = entities.filter("client = 'b'").distinct()
+    assert sorted(r.entity_id for r in found.collect()) == sorted(r.entity_id for r in wanted.collect())
+
+    def broken(client, insight_id, ids):
+        return 500, []
+
+    with pytest.raises(Exception, match="code 500"):
+        fetch_insights(entities, "match-score", broken).collect()
+
+
+def test_refresh_insights(spark, rows, folder):
+    entities = rows([("c1", "1"), ("c1", "2"), ("c2", "3")], "client string, entity_id string")
+
+    def fetch(client, insight_id, ids):
+        if insight_id == "match-score":
+            return 200, [{"entity_id": i, "acme": 1.5} for i in ids]
+        return 200, [{"entity_id": i, "preferences": ["SMS"]} for i in ids]
+
+    run = lambda now: jobs.refresh_insights(
+        entities, folder, fetch, ["match-score", "channel"], now=now, hours=24, partitions=2
+    )
+    assert [(r.state, r.rows) for r in run(NOW)] == [("done", 3), ("done", 3)]
+    assert [r.state for r in run("2024-01-01 23:00:00")] == ["skipped", "skipped"]
+    assert [r.rows for r in run("2024-01-02 01:00:00")] == [3, 3]
+    scores = spark.read.parquet(f"{folder}/match_score").filter("entity_id = '3'").collect()
+    assert [[tuple(s) for s in r.scores] for r in scores] == [[("acme", 1)]] * 2
+    assert spark.read.parquet(f"{folder}/channel").count() == 6
+
+
+# Contacts
+
+
+def test_contact_checks(rows):
+    body = json.dumps({"contacts": [
+        {"id": 1, "first_name": "a", "last_name": "b", "email": None},
+        {"id": "a", "first_name": "a", "last_name": "b"},
+        {"id": 2, "first_name": "a"},
+        {"id": 3, "first_name": 5, "last_name": None},
+        {"id": 4, "first_name": "a", "last_name": "b", "age": 1},
+        "text",
+    ]})
+    checked = check_contacts(contact_rows(rows([(1, body), (2, "{}"), (3, "junk")], "b int, body string")))
+    found = [(r.b, r.id, r._errors) for r in checked.collect()]
+    assert found[0] == (1, 1, [])
+    assert [e for _, _, e in found[1:]] == [
+        ["id is not bigint"], ["missing last_name"], ["missing last_name", "first_name is not string"],
+        ["unknown age"], ["not an object"], ["no contact"], ["no contact"],
+    ]
+    assert all(i is None for _, i, _ in found[1:])
+
+
+def test_upload_contacts(spark, rows, folder):
+    good = {"id": 1, "first_name": "a", "last_name": "b"}
+    uploads = rows(
+        [(1, "c", json.dumps({"contacts": [good, good]})),
+         (2, "c", json.dumps({"contacts": [good, {"id": 2}]}))],
+        "batch_id int, client string, body string",
+    )
+    result = jobs.upload_contacts(uploads, f"{folder}/lake", now=NOW)
+    assert (result.rows, result.rejected) == (2, 0)
+    row = spark.read.parquet(f"{folder}/lake").first()
+    assert (row.id, row.client, row.ingestion_timestamp) == (1, "c", T(NOW))
+    result = jobs.upload_contacts(
+        uploads, f"{folder}/lake2", on_error="quarantine", quarantine=f"{folder}/bad"
+    )
+    assert (result.rows, result.rejected) == (3, 1)
+    bad = spark.read.parquet(f"{folder}/bad").first()
+    assert json.loads(bad.contact) == {"id": 2} and len(bad._errors) == 2
+
+
+# Scores
+
+
+LEADS = "lead_id bigint, name string, age int, engagement_score double, page_views int, processed boolean, lead_score double"
+
+
+@pytest.fixture
+def leads(rows):
+    return rows([
+        (i, f"n{i}", 20 + i, i / 2, i, [True, False, None][i % 3], None) for i in range(30)
+    ], LEADS)
+
+
+WEIGHTS = {"age": 0.02, "engagement_score": 0.3, "page_views": 0.1}
+
+
+def test_batch_and_column_models_agree(leads):
+    scored = predict(leads, FEATURES, logistic_predictor(WEIGHTS, -3.0), "lead_score double")
+    both = scored.withColumn("c", logistic_score(WEIGHTS, -3.0))
+    assert scored.columns == leads.columns
+    assert both.filter("abs(lead_score - c) > 1e-6").isEmpty() and both.count() == 30
+
+
+def test_only_features_travel_to_python(leads):
+    scored = predict(leads, FEATURES, logistic_predictor(WEIGHTS, -3.0), "lead_score double")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [run(struct(age, " in plan or "run(struct(age" in plan
+
+
+def test_predictor_with_several_outputs(rows):
+    def predictor(batches):
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["t"].str.upper(), "score": batch["t"].str.len() * 1.0})
+
+    found = predict(rows([("ab",)], "t string"), ["t"], predictor, "label string, score double").first()
+    assert tuple(found) == ("ab", "AB", 2.0)
+
+
+def test_spark_ml_pipeline_as_predictor(leads, folder):
+    data = leads.withColumn("label", (F.col("age") > 35).cast("double"))
+    model = Pipeline(stages=[
+        VectorAssembler(inputCols=FEATURES, outputCol="features"), LogisticRegression(maxIter=5),
+    ]).fit(data)
+    model.save(f"{folder}/model")
+    scored = predict_with_model(leads, PipelineModel.load(f"{folder}/model"))
+    assert scored.columns == leads.columns
+    assert scored.filter("lead_score between 0 and 1").count() == 30
+
+
+def test_score_leads(spark, leads, folder):
+    table = VersionedTable(spark, f"{folder}/leads", leads.schema)
+    table.write(leads)
+    predictor = logistic_predictor(WEIGHTS, -3.0)
+    for _ in range(2):  # a second run changes nothing
+        assert jobs.score_leads(table, predictor).rows == 10
+        found = table.read()
+        assert found.count() == 30 and found.filter("lead_score is not null").count() == 10
+    jobs.score_leads(table, predictor, mode="append")
+    assert table.read().count() == 40
+    table.write(leads.withColumn("processed", F.lit(False)))
+    assert jobs.score_leads(table, predictor).state == "skipped"
+    assert table.read().filter("lead_score is not null").isEmpty()
+
+
+def test_stream_scores(spark, leads, folder):
+    leads.write.parquet(f"{folder}/in")
+    predictor = logistic_predictor(WEIGHTS, -3.0)
+    for _ in range(2):
+        stream_scores(
+            spark, f"{folder}/in", leads.schema, f"{folder}/out", f"{folder}/check", predictor
+        ).awaitTermination()
+    assert rows_of(spark.read.parquet(f"{folder}/out")) == rows_of(jobs.lead_scores(leads, predictor))
+
+
+def test_sentiment(rows):
+    df = rows(
+        [(1, "Good, GREAT thing", False), (2, "bad problem, good", False), (3, "neither", False),
+         (4, None, False), (5, "good", True), (6, "good", None)],
+        "lead_id int, feedback_text string, sentiment_processed boolean",
+    )
+    found = {r.lead_id: r for r in jobs.sentiment(df).collect()}
+    assert sorted(found) == [1, 2, 3, 4]
+    assert (found[1].sentiment_score, found[1].sentiment_label) == (1.0, "Positive")
+    assert found[2].sentiment_score == pytest.approx(-1 / 3) and found[2].sentiment_label == "Negative"
+    assert found[3].sentiment_label == "Neutral" and found[4].sentiment_score is None
+
+
+def test_whole_text_counts(rows):
+    text = "word " * 20_000 + "good"
+    assert rows([(text,)], "t string").select(lexicon_score(F.col("t"))).first()[0] == 1.0
+
+
+def test_prioritised_leads(rows):
+    scores = rows(
+        [(123, "John Doe", 0.83), (456, "Jane Smith", 0.90), (789, "Bob White", 0.35), (1, "x", 0.9)],
+        "lead_id int, name string, lead_score double",
+    )
+    moods = rows([(123, 0.7), (123, 0.8), (456, -0.6), (789, 0.8)], "lead_id int, sentiment_score double")
+    found = {r.lead_id: r for r in jobs.prioritised_leads(scores, moods).collect()}
+    assert (found[123].sentiment_score, found[123].sentiment_label, found[123].final_priority) == (
+        0.75, "Positive", "High Priority Lead",
+    )
+    assert found[456].final_priority == "Review Manually Before Sales"
+    assert found[789].final_priority == "Consider for Nurturing" and found[789].tier == "cold"
+    assert found[1].sentiment_score is None and found[1].final_priority == "High Priority Lead"
+
+
+def test_drift(rows):
+    same = rows([("a", i % 10 / 1.0, p) for i in range(100) for p in (True, False)], "g string, v double, r boolean")
+    moved = rows([("b", 1.0, True)] * 10 + [("b", 99.0, False)] * 10, "g string, v double, r boolean")
+    found = drift(same.union(moved), F.col("r"), value_bucket(F.col("v"), 0.0, 10.0, 10), ["g"])
+    psi = {r.g: r.psi for r in found.collect()}
+    assert psi["a"] == pytest.approx(0) and psi["b"] > 10
+
+
+# Served results and folders
+
+
+def test_publish_site_visitors_and_profiles(spark, folder):
+    from leadflow.plans.inputs import view
+    from leadflow.plans.queries import _insights
+
+    sf = "/root/testdata/sf0.001"
+    names = ["sites", "site_visitors_in", "users", "tracking_codes"]
+    result = jobs.publish_site_visitors(f"{folder}/v", *[view(spark, sf, n) for n in names])
+    assert result.rows == spark.read.parquet(f"{folder}/v").count() > 0
+    frames = view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), _insights(spark, sf)
+    result = jobs.publish_profiles(f"{folder}/p", *frames, check_skew=False)
+    assert result.rows == spark.read.parquet(f"{folder}/p").count() > 0
+
+
+def test_shared_folders_are_new(spark):
+    a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert a != b
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    assert base is None or a.startswith(base)
