@@ -45,17 +45,20 @@ def profile_rows(
     check_skew: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Flat profile rows: entities, their lead or contact ids, all insights.
+    """Flat profile rows: entities, all insights, their lead or contact ids.
 
     An insight table with several rows for an entity multiplies its profiles;
     ``latest_only`` keeps the newest row of tables that have a time instead.
-    Tenant and id filters come first, and every join has the same key.
+    Tenant and id filters come first. All joins have the same key, so each table is
+    shuffled once; the ids, of which one entity may have very many, are joined last.
     """
     id_column = f"{kind}_id"
     if client is not None:
         entities = entities.filter(F.col("client") == client)
     links = select_ids(links.select(id_column, "entity_id"), id_column, ids)
-    base = entities.select("entity_id", "email", "phone", "twitter")
+    rows = entities.select("entity_id", "email", "phone", "twitter")
+    if ids is not None:
+        rows = rows.join(links.select("entity_id").distinct(), "entity_id", "left_semi")
     values = {}
     for name, (value, alias) in INSIGHT_VALUES.items():
         table = insights[name]
@@ -64,23 +67,25 @@ def profile_rows(
         values[name] = table.select("entity_id", F.col(value).alias(alias))
     hot: dict[str, dict] = {}
     if check_skew:
-        # A reduced insight table has one row per entity and needs no look.
-        sides = {"entities": base, "links": links}
-        if not latest_only:
+        sides = {"entities": rows, "links": links}
+        if not latest_only:  # a reduced table has one row per entity
             sides |= values
         hot = hot_keys(sides, "entity_id", hot_rows)
-    rows = split_join(
-        base, links, "entity_id", "inner", hot.get("entities"), hot.get("links"), hot_rows
-    )
-    row_hot = _product(hot.get("entities"), hot.get("links"))
-    for name, value in values.items():
-        # Rows of a hot entity stay many after the first join: cut them each time.
+    row_hot = hot.get("entities", {})
+    # Tables with a hot entity come last, behind those that share one partitioning.
+    for name in sorted(values, key=lambda n: bool(hot.get(n))):
         rows = split_join(
-            rows, value, "entity_id", "left",
-            {k: n for k, n in row_hot.items() if n > hot_rows}, hot.get(name), hot_rows,
+            rows, values[name], "entity_id", "left", _above(row_hot, hot_rows), hot.get(name),
+            hot_rows,
         )
         row_hot = _product(row_hot, hot.get(name))
-    return rows
+    rows = split_join(
+        rows, links, "entity_id", "inner", _above(row_hot, hot_rows), hot.get("links"), hot_rows
+    )
+    return rows.select(
+        id_column, "entity_id", "email", "phone", "twitter",
+        *[alias for _, alias in INSIGHT_VALUES.values()],
+    )
 
 
 def _product(left: Mapping | None, right: Mapping | None) -> dict:
@@ -89,6 +94,10 @@ def _product(left: Mapping | None, right: Mapping | None) -> dict:
     return {k: left.get(k, 1) * right.get(k, 1) for k in set(left) | set(right)}
 
 
+def _above(counts: Mapping, hot_rows: int) -> dict:
+    return {k: n for k, n in counts.items() if n > hot_rows}
+
+
 def nest_profile(rows: DataFrame, kind: str = "lead") -> DataFrame:
     """Flat profile rows in the nested form that is served."""
 
