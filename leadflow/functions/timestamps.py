@@ -101,6 +101,17 @@ def hour_diff(later: Column, earlier: Column) -> Column:
     return days * 24 + F.hour(later) - F.hour(earlier)
 
 
+def hours_before(now: Column, hours: int) -> Column:
+    """The earliest time with ``hour_diff(now, time) <= hours``.
+
+    Comparing a column with this bound gives a filter that reaches the files.
+    """
+    into_hour = F.make_dt_interval(
+        mins=F.minute(now), secs=F.date_part(F.lit("SECOND"), now)
+    )
+    return now - into_hour - F.make_dt_interval(hours=F.lit(hours))
+
+
 def next_checkpoint(last: Column) -> Column:
     return last + F.expr("interval '0.000001' second")
 

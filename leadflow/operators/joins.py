@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.functions.timestamps import hour_diff
+from leadflow.functions.timestamps import hours_before
 from leadflow.operators.latest import latest_per_key
 from leadflow.operators.skew import HOT_ROWS, hot_keys, split_join
 
@@ -155,6 +155,6 @@ def site_visitors(
 
 def pending_entities(entities: DataFrame, insight: DataFrame, now: Column, hours: int) -> DataFrame:
     """Entities without an insight row of the last ``hours``, with their client."""
-    recent = hour_diff(now, F.col("ingestion_timestamp")) <= hours
+    recent = F.col("ingestion_timestamp") >= hours_before(now, hours)
     fresh = insight.filter(recent).select("entity_id").distinct()
     return entities.select("entity_id", "client").join(fresh, "entity_id", "left_anti")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.schemas import struct_type
@@ -156,11 +156,12 @@ def drift(
     counts = df.groupBy(*by, bucket.alias("bucket")).agg(
         F.count_if(is_reference).alias("r"), F.count_if(~is_reference).alias("c")
     )
-    totals = counts.groupBy(*by).agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
-    shares = counts.join(totals, list(by)).select(
+    # The window holds one row per bucket of a group.
+    group = Window.partitionBy(*by)
+    shares = counts.select(
         *by,
-        F.greatest(F.col("r") / F.col("tr"), F.lit(floor)).alias("r"),
-        F.greatest(F.col("c") / F.col("tc"), F.lit(floor)).alias("c"),
+        F.greatest(F.col("r") / F.sum("r").over(group), F.lit(floor)).alias("r"),
+        F.greatest(F.col("c") / F.sum("c").over(group), F.lit(floor)).alias("c"),
     )
     part = (F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))
     return shares.groupBy(*by).agg(F.sum(part).alias("psi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.functions.timestamps import hour_diff, ntz, utc_now
+from leadflow.functions.timestamps import hours_before, ntz, utc_now
 from leadflow.schemas import table_schema
 from leadflow.sinks.tables import fit
 
@@ -14,7 +14,7 @@ RUNNING_HOURS = 24
 
 def running_files(history: DataFrame, now=None, hours: int = RUNNING_HOURS) -> DataFrame:
     """Files whose open row is running and not older than ``hours`` hour marks."""
-    recent = hour_diff(utc_now(now), F.col("start_date")) <= hours
+    recent = F.col("start_date") >= hours_before(utc_now(now), hours)
     is_open = (F.col("status") == "running") & F.col("end_date").isNull()
     return history.filter(is_open & recent).select("client", "file", "src_table", "start_date")
 
@@ -34,7 +34,7 @@ def change_status(history: DataFrame, changes: DataFrame, now=None) -> DataFrame
     new status in lower case, both with the same time.
     """
     time = utc_now(now)
-    changed_files = changes.select("file", F.lit(True).alias("_changed")).distinct()
+    changed_files = changes.select("file").distinct().withColumn("_changed", F.lit(True))
     ends = F.col("_changed") & (F.col("status") == "running") & F.col("end_date").isNull()
     closed = (
         history.join(changed_files, "file", "left")

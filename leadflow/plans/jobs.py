@@ -141,9 +141,12 @@ def staged(rows: DataFrame, schema: str | T.StructType, now=None) -> DataFrame:
 
 
 def upload_files(
-    files: DataFrame, upload: Callable[[str, str], tuple[int, str]], table: str
+    files: DataFrame,
+    upload: Callable[[str, str], tuple[int, str]],
+    table: str,
+    partitions: int = 64,
 ) -> DataFrame:
-    """Hand every exported file to ``upload(client, path)``, on the executors."""
+    """Hand every exported file to ``upload(client, path)``, ``partitions`` at a time."""
 
     def run(batches):
         for batch in batches:
@@ -152,9 +155,11 @@ def upload_files(
             batch["body"] = [a[1] for a in answers]
             yield batch[["client", "path", "code", "body"]]
 
-    client = F.url_decode(F.regexp_extract("path", "/client=([^/]*)/[^/]*$", 1))
+    # The folder name has special characters as %XX, and a plus as it is.
+    folder = F.regexp_extract("path", "/client=([^/]*)/[^/]*$", 1)
+    client = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
     named = files.select(client.alias("client"), "path")
-    sent = named.repartition(F.col("path")).mapInPandas(
+    sent = named.repartition(partitions, "path").mapInPandas(
         run, "client string, path string, code int, body string"
     )
     file = F.element_at(F.split("path", "/"), -1)

@@ -156,7 +156,7 @@ def oracles() -> dict[str, str]:
                 union select 100001 + o_custkey from orders where o_orderpriority = '1-URGENT')"""),
         "flag_filters": """
             select doc_id, quality = 1 as processed, toxic = 1 as sentiment_processed
-            from labels where quality = 1 and doc_id % 7 <> 0 and toxic <> 1""",
+            from documents natural join labels where quality = 1 and toxic <> 1""",
         "running_files": with_views(["data_source_status"], _RUNNING),
         "site_visitors": with_views(
             ["sites", "site_visitors_in", "users", "tracking_codes"], """
@@ -276,8 +276,8 @@ def oracles() -> dict[str, str]:
             select o_orderkey, o_totalprice from orders
             order by o_totalprice desc nulls last, o_orderkey nulls first limit 100""",
         "file_order": """
-            select case when o_orderkey % 3 = 0 then 'vibe-cust-' || o_orderkey
-                        when o_orderkey % 3 = 1 then 'vibe-x' || o_orderkey
+            select case when o_orderkey % 3 = 0 then 'cdc-cust-' || o_orderkey
+                        when o_orderkey % 3 = 1 then 'cdc-x' || o_orderkey
                         else 'plain' || o_orderkey end as file_name,
                    case when o_orderkey % 3 = 0 then o_orderkey end as suffix
             from orders""",

@@ -121,10 +121,11 @@ def tenant_id_filter(spark, sf):
 
 @query
 def flag_filters(spark, sf):
-    flags = base(spark, sf, "labels").select(
+    # Documents without labels have null flags.
+    flags = base(spark, sf, "documents").join(base(spark, sf, "labels"), "doc_id", "left").select(
         "doc_id",
         (F.col("quality") == 1).alias("processed"),
-        F.when(F.col("doc_id") % 7 != 0, F.col("toxic") == 1).alias("sentiment_processed"),
+        (F.col("toxic") == 1).alias("sentiment_processed"),
     )
     return flags.filter(F.col("processed")).filter(~F.col("sentiment_processed"))
 
@@ -469,8 +470,8 @@ def order_limit(spark, sf):
 def file_order(spark, sf):
     order = F.col("o_orderkey")
     name = (
-        F.when(order % 3 == 0, F.concat(F.lit("vibe-cust-"), order))
-        .when(order % 3 == 1, F.concat(F.lit("vibe-x"), order))
+        F.when(order % 3 == 0, F.concat(F.lit("cdc-cust-"), order))
+        .when(order % 3 == 1, F.concat(F.lit("cdc-x"), order))
         .otherwise(F.concat(F.lit("plain"), order))
     )
     files = base(spark, sf, "orders").select(name.alias("file_name"))

@@ -61,10 +61,9 @@ def export_csv(
     that is too big for one task and merges the small ones. A big client so gets
     several files, each with a header.
     """
-    rows, seen = counted(_printable(df))
+    rows, seen = counted(_printable(df).hint("rebalance", key))
     (
-        rows.hint("rebalance", key)
-        .write.partitionBy(key)
+        rows.write.partitionBy(key)
         .options(**FORMAT, maxRecordsPerFile=max_records, compression="gzip")
         .csv(path)
     )

@@ -22,9 +22,9 @@ def test_id_lists(rows):
 
 
 def test_file_order(rows):
-    files = ["vibe-x", "vibe-10", "plain", "vibe-2", "a-b-3"]
+    files = ["cdc-x", "cdc-10", "plain", "cdc-2", "a-b-3"]
     df = rows([(f,) for f in files], "name string").orderBy(*names.file_order(F.col("name")))
-    assert [r.name for r in df.collect()] == ["vibe-2", "a-b-3", "vibe-10", "plain", "vibe-x"]
+    assert [r.name for r in df.collect()] == ["cdc-2", "a-b-3", "cdc-10", "plain", "cdc-x"]
 
 
 def test_name_parts(spark):

@@ -36,7 +36,7 @@ def T(text):
     return dt.datetime.fromisoformat(text)
 
 
-def write_changes(spark, folder, records, name="vibe-1", key=1):
+def write_changes(spark, folder, records, name="cdc-1", key=1):
     texts = [(r if isinstance(r, str) else json.dumps(r),) for r in records]
     sealed = encrypt_lines(spark.createDataFrame(texts, "text string"), KEYS, "text", use=key)
     os.makedirs(folder, exist_ok=True)
@@ -60,10 +60,10 @@ def rows_of(df):
 
 def test_cdc_to_lake(spark, folder):
     write_changes(spark, f"{folder}/in", GOOD[:2])
-    write_changes(spark, f"{folder}/in", GOOD[2:], "vibe-2", key=0)
+    write_changes(spark, f"{folder}/in", GOOD[2:], "cdc-2", key=0)
     write_changes(spark, f"{folder}/in", ["not for us"], "other-1")
     result = jobs.cdc_to_lake(
-        spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA, prefix="vibe", now=NOW
+        spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA, prefix="cdc", now=NOW
     )
     assert (result.state, result.rows) == ("done", 3)
     found = {r.id: r for r in spark.read.parquet(f"{folder}/lake").collect()}
@@ -97,7 +97,7 @@ def test_bad_records_fail_or_go_aside(spark, folder, bad, reason):
 @pytest.mark.parametrize("line", ["", "00", "zz:zz", "00" * 16 + ":" + "00" * 16])
 def test_undecryptable_lines(spark, folder, line):
     write_changes(spark, f"{folder}/in", GOOD[:1])
-    with open(f"{folder}/in/vibe-2", "w") as f:
+    with open(f"{folder}/in/cdc-2", "w") as f:
         f.write(line + "\n")
     with pytest.raises(Exception, match="not decrypted"):
         jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA)
@@ -120,7 +120,7 @@ def test_ingest_has_no_shuffle_and_decrypts_once(spark, folder):
 
 def test_stream_equals_batch(spark, folder):
     write_changes(spark, f"{folder}/in", GOOD[:1])
-    write_changes(spark, f"{folder}/in", GOOD[1:2], "vibe-2")
+    write_changes(spark, f"{folder}/in", GOOD[1:2], "cdc-2")
     args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
 
     def run():
@@ -130,7 +130,7 @@ def test_stream_equals_batch(spark, folder):
 
     assert run().count() == 2
     assert run().count() == 2  # nothing new
-    write_changes(spark, f"{folder}/in", GOOD[2:], "vibe-3")
+    write_changes(spark, f"{folder}/in", GOOD[2:], "cdc-3")
     jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/batch", KEYS, SCHEMA, now=NOW)
     assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch"))
 

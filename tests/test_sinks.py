@@ -147,15 +147,15 @@ def test_read_source_checks(spark, rows, folder):
 
 
 def test_text_files_by_name(spark, folder):
-    for name, text in {"vibe-1": "a\nb\n", "vibe-x[1]": "c\n", "other-1": "d\n"}.items():
+    for name, text in {"cdc-1": "a\nb\n", "cdc-x[1]": "c\n", "other-1": "d\n"}.items():
         with open(f"{folder}/{name}", "w") as f:
             f.write(text)
-    with gzip.open(f"{folder}/vibe-2.gz", "wt") as f:
+    with gzip.open(f"{folder}/cdc-2.gz", "wt") as f:
         f.write("z\n")
     lines = lambda **k: sorted(r.value for r in text_lines(spark.read, folder, **k).collect())
     assert lines() == ["a", "b", "c", "d", "z"]
-    assert lines(prefix="vibe-") == ["a", "b", "c", "z"]
-    assert lines(prefix="vibe-x[") == ["c"]
-    assert lines(prefix="vibe", contains="-1") == ["a", "b"]
-    listed = list_files(spark, folder, prefix="vibe", contains="2")
-    assert [(r.file_name, r.length > 0) for r in listed.collect()] == [("vibe-2.gz", True)]
+    assert lines(prefix="cdc-") == ["a", "b", "c", "z"]
+    assert lines(prefix="cdc-x[") == ["c"]
+    assert lines(prefix="cdc", contains="-1") == ["a", "b"]
+    listed = list_files(spark, folder, prefix="cdc", contains="2")
+    assert [(r.file_name, r.length > 0) for r in listed.collect()] == [("cdc-2.gz", True)]

@@ -101,6 +101,20 @@ def test_hour_marks(spark, start, end, marks):
     assert one(spark.range(1).select(ts.hour_diff(ts.ntz(end), ts.ntz(start)))) == marks
 
 
+@settings(max_examples=15, deadline=None)
+@given(
+    st.datetimes(dt.datetime(1960, 1, 1), dt.datetime(2040, 1, 1)),
+    st.lists(st.integers(-10**11, 10**12), min_size=1, max_size=20),
+    st.integers(0, 50),
+)
+def test_the_bound_keeps_the_same_rows_as_the_difference(spark, now, back, hours):
+    times = [(now - dt.timedelta(microseconds=m),) for m in back]
+    df = spark.createDataFrame(times, "t timestamp_ntz")
+    by_bound = F.col("t") >= ts.hours_before(ts.ntz(now), hours)
+    by_marks = ts.hour_diff(ts.ntz(now), F.col("t")) <= hours
+    assert df.filter(by_bound != by_marks).isEmpty()
+
+
 def test_hour_marks_ignore_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
