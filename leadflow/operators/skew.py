@@ -3,8 +3,9 @@
 Adaptive execution can split a hot key only on the preserved side of an outer
 join, and only directly above two shuffles. A chain of left joins has neither.
 So hot keys are looked up first, with one small aggregate, and a join that has any
-splits just these keys: one side's rows of the key are dealt into parts, the
-other side's are copied once per part. Without hot keys it is a plain join.
+splits just these keys: equal rows of the hot side are counted into one, its rows of
+the key are dealt into parts, and the other side's are copied once per part.
+Without hot keys it is a plain join.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1_000  # per side; bounds what is collected and broadcast
 HOT_ROWS = 1_000_000  # rows of one key that a single task should take at most
 MAX_PARTS = 4_096
+CHUNK = 1_000  # copies of a row that travel as one
+MAX_CHUNKS = 100_000
 
 Hot = dict  # key value -> number of rows
 
@@ -51,6 +54,32 @@ def _parts(counts: Hot, hot_rows: int) -> Hot:
     return {k: min(MAX_PARTS, -(-n // hot_rows)) for k, n in counts.items()}
 
 
+def _columns(df: DataFrame) -> list[str]:
+    """Columns to group and hash by; a map allows neither."""
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+
+
+def _chunks(df: DataFrame) -> DataFrame:
+    """Distinct rows with ``_n`` copies each, very many copies as several rows.
+
+    Equal rows would all be dealt into one part. Counting them first, before any
+    shuffle, leaves rows that differ, and most hot keys are no longer hot then.
+    """
+    if len(_columns(df)) < len(df.columns):
+        return _single(df)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_all"))
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.col("_all") / MAX_CHUNKS))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_all") / size) - 1)
+    rows = rows.withColumn("_size", size).withColumn("_c", F.explode(numbers))
+    left_over = F.col("_all") - F.col("_c") * F.col("_size")
+    return rows.withColumn("_n", F.least("_size", left_over)).drop("_all", "_size")
+
+
+def _single(df: DataFrame) -> DataFrame:
+    one = F.lit(1).cast("bigint")
+    return df.withColumns({"_c": F.lit(0).cast("bigint"), "_n": one})
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
@@ -70,33 +99,27 @@ def split_join(
     keys = sorted(set(cut_left) | set(cut_right))
     # At most two times MAX_HOT_KEYS rows.
     plan = left.sparkSession.createDataFrame(
-        [(k, cut_left.get(k, 1), cut_right.get(k, 1)) for k in keys], "_hk string, _lp int, _rp int"
+        [(k, cut_left.get(k, 1), cut_right.get(k, 1)) for k in keys],
+        "_hk string, _lp int, _rp int",
     )
 
-    def with_plan(df: DataFrame) -> DataFrame:
-        joined = df.join(F.broadcast(plan), F.col(key).cast("string") == F.col("_hk"), "left")
-        return joined.withColumns({
-            "_lp": F.coalesce("_lp", F.lit(1)), "_rp": F.coalesce("_rp", F.lit(1))
-        }).drop("_hk")
-
-    def dealt(df: DataFrame, parts: str) -> Column:
+    def side(df: DataFrame, cut: Hot, own: str, other: str, own_part: str, other_part: str):
+        rows = (_chunks(df) if cut else _single(df)).join(
+            F.broadcast(plan), F.col(key).cast("string") == F.col("_hk"), "left"
+        ).withColumns({"_lp": F.coalesce("_lp", F.lit(1)), "_rp": F.coalesce("_rp", F.lit(1))})
         # A fixed function of the row, so a retried task deals the same way.
-        row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)])
-        return F.pmod(row_hash, F.col(parts)).cast("int")
-
-    def copied(parts: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    a = with_plan(left)
-    a = a.withColumn("_ls", dealt(left, "_lp")).withColumn("_rs", copied("_rp")).drop("_lp")
-    b = with_plan(right).withColumn("_rs", dealt(right, "_rp"))
-    b = b.withColumn("_ls", copied("_lp")).drop("_lp", "_rp").withColumn("_hit", F.lit(True))
-    joined = a.join(b, [key, "_ls", "_rs"], how)
+        row_hash = F.xxhash64("_c", *[F.col(f"`{c}`") for c in _columns(df)])
+        dealt = F.pmod(row_hash, F.col(own)).cast("int")
+        copied = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.withColumn(own_part, dealt).withColumn(other_part, copied).drop("_hk", "_c")
+
+    a = side(left, cut_left, "_lp", "_rp", "_l", "_r").drop("_lp")
+    b = side(right, cut_right, "_rp", "_lp", "_r", "_l").drop("_lp", "_rp")
+    joined = a.join(b.withColumnRenamed("_n", "_m"), [key, "_l", "_r"], how)
     if how == "left":
         # A key cut on the right has rows there, so a copy that met none is void.
-        joined = joined.filter(F.col("_hit").isNotNull() | (F.col("_rp") == 1))
-    return joined.select(*left.columns, *[c for c in right.columns if c != key])
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        joined = joined.filter(F.col("_m").isNotNull() | (F.col("_rp") == 1))
+    repeats = F.col("_n") * F.coalesce("_m", F.lit(1))
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), repeats))).select(
+        *left.columns, *[c for c in right.columns if c != key]
+    )

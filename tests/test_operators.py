@@ -59,6 +59,31 @@ def test_split_join_equals_plain_join(skewed, how, left_hot, right_hot):
     assert content(split) == content(left.join(right, "k", how))
 
 
+@pytest.mark.parametrize("chunk, most", [(1_000, 100_000), (3, 100_000), (1, 4)])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_copies_are_counted_and_come_back(spark, monkeypatch, how, chunk, most):
+    from leadflow.operators import skew
+
+    monkeypatch.setattr(skew, "CHUNK", chunk)
+    monkeypatch.setattr(skew, "MAX_CHUNKS", most)
+    left = spark.createDataFrame(
+        [("hot", "same")] * 40 + [("hot", "other"), ("k", "x"), ("k", "x"), ("z", None), (None, "n")],
+        "k string, a string",
+    )
+    right = spark.createDataFrame(
+        [("hot", ["v"])] * 25 + [("hot", ["w"]), ("k", None), ("k", None)], "k string, b array<string>"
+    )
+    wanted = content(left.join(right, "k", how))
+    for hots in [({"hot": 41}, {}), ({}, {"hot": 26}), ({"hot": 41}, {"hot": 26})]:
+        assert content(split_join(left, right, "k", how, *hots, hot_rows=4)) == wanted
+
+
+def test_maps_are_dealt_without_counting(spark):
+    left = spark.sql("select 'a' k, map('x', id) m from range(20)")
+    right = spark.sql("select 'a' k, 1 v")
+    assert split_join(left, right, "k", "inner", {"a": 20}, {}, hot_rows=2).count() == 20
+
+
 def test_split_join_spreads_the_hot_key(skewed):
     left, right = skewed
     split = split_join(left, right, "k", "inner", {"hot": 196}, {}, hot_rows=20)
