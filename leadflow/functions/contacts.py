@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from leadflow.schemas import CONTACT_FIELDS, CONTACT_REQUIRED
 
 
-def contact_errors(body: Column) -> Column:
-    """Array of what is wrong with one contact; empty when it is valid."""
-    data = F.try_parse_json(body)
-    found = F.json_object_keys(body)
-    known = F.array(*[F.lit(f) for f in CONTACT_FIELDS])
+def contact_values(body: Column) -> Column:
+    """Field name to value, untyped; null when the text is no JSON object.
+
+    Put it in a column of its own, so that each text is parsed once.
+    """
+    return F.try_variant_get(F.try_parse_json(body), "$", "map<string,variant>")
+
+
+def contact_errors(values: Column) -> Column:
+    """Array of what is wrong with one contact's values; empty when it is valid."""
 
     def kind(field: str) -> Column:
-        return F.schema_of_variant(F.variant_get(data, f"$.{field}", "variant"))
+        return F.schema_of_variant(F.try_element_at(values, F.lit(field)))
 
     missing = [
         F.when(F.coalesce(kind(f), F.lit("VOID")) == "VOID", F.lit(f"missing {f}"))
@@ -25,12 +30,12 @@ def contact_errors(body: Column) -> Column:
         F.when(~kind(f).isin(wanted, "VOID"), F.lit(f"{f} is not {wanted.lower()}"))
         for f, wanted in CONTACT_FIELDS.items()
     ]
+    known = F.array(*[F.lit(f) for f in CONTACT_FIELDS])
     unknown = F.transform(
-        F.array_except(found, known), lambda k: F.concat(F.lit("unknown "), k)
+        F.array_except(F.map_keys(values), known), lambda k: F.concat(F.lit("unknown "), k)
     )
     errors = F.concat(F.array_compact(F.array(*missing, *mistyped)), unknown)
-    # A body that is no JSON object has no keys at all.
-    return F.when(found.isNull(), F.array(F.lit("not an object"))).otherwise(errors)
+    return F.when(values.isNull(), F.array(F.lit("not an object"))).otherwise(errors)
 
 
 def contact_fields(body: Column) -> Column:

@@ -30,7 +30,7 @@ from leadflow.session import shared_folder
 from leadflow.sinks.csv_export import export_csv, read_export, route_uploads
 from leadflow.sinks.tables import append, rows_frame, upsert
 from leadflow.sinks.versioned import VersionedTable
-from leadflow.sources.json_records import check_contacts
+from leadflow.sources.json_records import check_contacts, reported_status
 from leadflow.sources.tables import read_source
 from leadflow.streaming.ingest import stream_cdc, stream_scores
 
@@ -427,8 +427,11 @@ def import_gate_(spark, sf):
         F.when(order % 5 == 0, 204).when(order % 5 == 1, 400).otherwise(200).alias("code"),
         F.when(order % 5 == 1, '{"error":"No Data Found"}').when(order % 5 > 1, body).alias("body"),
     )
+    reported = view(spark, sf, "reported_status").select(
+        "file", F.lit(200).alias("code"), F.to_json(F.struct("status")).alias("body")
+    )
     jobs.import_entities(
-        status, view(spark, sf, "reported_status"), answers, f"{folder}/entities", now, 8760
+        status, reported_status(reported), answers, f"{folder}/entities", now, 8760
     )
     left = running_files(status.read(), now, 8760).select(F.col("file").alias("open_file"))
     entities = spark.read.parquet(f"{folder}/entities")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.functions.contacts import contact_errors, contact_fields
+from leadflow.functions.contacts import contact_errors, contact_fields, contact_values
 from leadflow.functions.records import text_schema
 from leadflow.functions.timestamps import utc_now
 from leadflow.schemas import struct_type
@@ -53,10 +53,18 @@ def entity_answer(code: Column, body: Column) -> Column:
     )
 
 
-def status_answer(code: Column, body: Column) -> Column:
-    """Reported job status of an answer; ``UNKNOWN`` without one, null on error."""
-    status = F.coalesce(F.get_json_object(body, "$.status"), F.lit("UNKNOWN"))
-    return F.when(code == 200, status)
+def reported_status(answers: DataFrame) -> DataFrame:
+    """Status per file of job answers (``file, code, body``), ``UNKNOWN`` without one.
+
+    Any code but 200 ends the job; such a file must not be closed as unknown.
+    """
+    failure = F.raise_error(F.concat(
+        F.lit("status answer for "), F.col("file"), F.lit(": "), F.col("code").cast("string")
+    ))
+    status = F.coalesce(F.get_json_object("body", "$.status"), F.lit("UNKNOWN"))
+    return answers.select(
+        "file", F.when(F.col("code") == 200, status).otherwise(failure).alias("status")
+    )
 
 
 _ENTITY_BODY = "array<struct<entity_id:string,email:string,phone:string,twitter:string>>"
@@ -97,10 +105,11 @@ def contact_rows(uploads: DataFrame, body: str = "body") -> DataFrame:
 def check_contacts(contacts: DataFrame, contact: str = "contact") -> DataFrame:
     """Replace contact texts by their fields plus ``_errors``."""
     errors = F.when(F.col(contact).isNull(), F.array(F.lit("no contact"))).otherwise(
-        contact_errors(F.col(contact))
+        contact_errors(F.col("_values"))
     )
     # Mistyped values of a rejected contact are not read at all.
-    checked = contacts.withColumn("_errors", errors)
+    values = contacts.withColumn("_values", contact_values(F.col(contact)))
+    checked = values.withColumn("_errors", errors)
     fields = F.when(F.size("_errors") == 0, contact_fields(F.col(contact)))
     return checked.withColumn("_c", fields).select(
         *[c for c in contacts.columns if c != contact], "_c.*", "_errors"

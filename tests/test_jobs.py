@@ -20,7 +20,7 @@ from leadflow.session import shared_folder
 from leadflow.sinks.csv_export import read_export
 from leadflow.sinks.versioned import VersionedTable
 from leadflow.sources.json_records import (
-    check_contacts, contact_rows, entities_from_answers, entity_answer, status_answer,
+    check_contacts, contact_rows, entities_from_answers, entity_answer, reported_status,
 )
 from leadflow.streaming.ingest import stream_cdc, stream_scores
 
@@ -135,6 +135,17 @@ def test_stream_equals_batch(spark, folder):
     assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch"))
 
 
+def test_stream_may_move_consumed_files(spark, folder):
+    args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
+    for i, record in enumerate(GOOD):
+        write_changes(spark, f"{folder}/in", [record], f"cdc-{i}")
+        for running in stream_cdc(spark, *args, archive=f"{folder}/processed"):
+            running.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/lake").collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        stream_cdc(spark, *args, archive=f"{folder}/processed", quarantine=f"{folder}/bad")
+
+
 def test_stream_with_quarantine(spark, folder):
     write_changes(spark, f"{folder}/in", [GOOD[0], "{oops"])
     started = stream_cdc(
@@ -236,10 +247,12 @@ def test_answers(rows):
     )
     found = [r[0] for r in df.select(entity_answer(F.col("code"), F.col("body"))).collect()]
     assert found == ["ok", "empty", "empty", "empty", "error", "error"]
-    status = rows([(200, '{"status":"RUNNING"}'), (200, "{}"), (500, "")], "code int, body string")
-    assert [r[0] for r in status.select(status_answer(F.col("code"), F.col("body"))).collect()] == [
-        "RUNNING", "UNKNOWN", None,
-    ]
+    status = rows(
+        [("a", 200, '{"status":"RUNNING"}'), ("b", 200, "{}")], "file string, code int, body string"
+    )
+    assert list(map(tuple, reported_status(status).collect())) == [("a", "RUNNING"), ("b", "UNKNOWN")]
+    with pytest.raises(Exception, match="status answer for c: 500"):
+        reported_status(rows([("c", 500, "")], "file string, code int, body string")).collect()
 
 
 def test_import_entities(spark, rows, folder, state):
