@@ -56,6 +56,12 @@ def replace(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None
     _save(df, table, "overwrite", partition_by)
 
 
+def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Replace a catalog table, laid out by key. Joins of tables with the same key
+    and number of buckets then need no shuffle."""
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def rows_frame(
     spark: SparkSession, rows: Sequence[dict], schema: str | T.StructType
 ) -> DataFrame:

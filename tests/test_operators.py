@@ -10,7 +10,7 @@ from leadflow.operators.skew import hot_keys, split_join
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.schemas import table_schema
-from leadflow.sinks.tables import rows_frame
+from leadflow.sinks.tables import replace_bucketed, rows_frame
 from leadflow.sinks.versioned import VersionedTable
 
 
@@ -160,6 +160,25 @@ def test_profiles_share_one_partitioning(profile_tables, spark):
     assert plan.count("Exchange hashpartitioning(entity_id") == 10
 
 
+def test_bucketed_tables_join_without_a_shuffle(profile_tables, spark):
+    entities, links, insights = profile_tables
+    frames = {"b_entities": entities, "b_links": links, **{f"b_{n}": t for n, t in insights.items()}}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, frame in frames.items():
+            replace_bucketed(frame, name, "entity_id", 4)
+        stored = {n: spark.table(f"b_{n}") for n in insights}
+        rows = joins.profile_rows(spark.table("b_entities"), spark.table("b_links"), stored, check_skew=False)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert content(rows) == content(joins.profile_rows(*profile_tables, check_skew=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in frames:
+            spark.sql(f"drop table if exists {name}")
+
+
 # Site visitors, pending entities, latest rows
 
 
