@@ -70,6 +70,16 @@ def _profiles(kind: str, channel: str, persuasion: str) -> str:
 _CHANNEL = "select entity_id, array_to_string(preferences, '|') as preferences from channel"
 _PERSUASION = "select entity_id, array_to_string(persuasion, '|') as persuasion from persuasion"
 
+_FANOUT = with_views(["entities", "lead_entities_lk"], f"""
+    select l.lead_id, e.entity_id, c.preferences, p.persuasion
+    from entities e join lead_entities_lk l on e.entity_id = l.entity_id
+    left join ({_CHANNEL_HISTORY}) c on e.entity_id = c.entity_id
+    left join ({_PERSUASION_HISTORY}) p on e.entity_id = p.entity_id""")
+
+_ASKED = """
+    select 100000 + o_custkey from orders where o_orderpriority = '1-URGENT'
+    union select 100001 + o_custkey from orders where o_orderpriority = '1-URGENT'"""
+
 _NOW = "timestamp '1998-08-02 00:30:00'"
 _RUNNING = f"""
     select client, file, src_table, start_date from data_source_status
@@ -151,9 +161,7 @@ def oracles() -> dict[str, str]:
         "tenant_id_filter": with_views(["entities", "lead_entities_lk"], """
             select l.lead_id, e.entity_id, e.client, e.email
             from entities e join lead_entities_lk l on e.entity_id = l.entity_id
-            where e.client = 'BUILDING' and l.lead_id in (
-                select 100000 + o_custkey from orders where o_orderpriority = '1-URGENT'
-                union select 100001 + o_custkey from orders where o_orderpriority = '1-URGENT')"""),
+            where e.client = 'BUILDING' and l.lead_id in (""" + _ASKED + ")"),
         "flag_filters": """
             select doc_id, quality = 1 as processed, toxic = 1 as sentiment_processed
             from documents natural join labels where quality = 1 and toxic <> 1""",
@@ -169,14 +177,13 @@ def oracles() -> dict[str, str]:
             join users u on s.user_id = u.id
             left join tracking_codes t on u.id = t.user_id"""),
         "lead_profiles": _profiles("lead", _CHANNEL, _PERSUASION),
+        "requested_profiles": _profiles("lead", _CHANNEL, _PERSUASION) + f"""
+            where e.client = 'BUILDING' and l.lead_id in ({_ASKED})""",
         "lead_profiles_latest": _profiles(
             "lead", _newest(_CHANNEL_HISTORY), _newest(_PERSUASION_HISTORY)
         ),
-        "profile_fanout": with_views(["entities", "lead_entities_lk"], f"""
-            select l.lead_id, e.entity_id, c.preferences, p.persuasion
-            from entities e join lead_entities_lk l on e.entity_id = l.entity_id
-            left join ({_CHANNEL_HISTORY}) c on e.entity_id = c.entity_id
-            left join ({_PERSUASION_HISTORY}) p on e.entity_id = p.entity_id"""),
+        "profile_fanout": _FANOUT,
+        "profile_fanout_split": _FANOUT,
         "contact_profiles": _profiles("contact", _CHANNEL, _PERSUASION),
         "upsert_checkpoint": """
             with target as (
@@ -377,6 +384,14 @@ def oracles() -> dict[str, str]:
             union all
             select entity_id, 'acme', cast(entity_id as integer) * 7 % 50
             from entities where client <> 'MACHINERY'"""),
+        "insight_refresh": with_views(["entities"], """
+            select entity_id, timestamp '2024-02-01 00:00:00' as ingestion_timestamp, corpus, score
+            from (select entity_id, 'bluesun' as corpus,
+                         cast(entity_id as integer) % 100 + 0.9e0 as score
+                  from entities where client <> 'MACHINERY'
+                  union all
+                  select entity_id, 'acme', cast(entity_id as integer) * 7 % 50
+                  from entities where client <> 'MACHINERY')"""),
         "lead_scores": with_views(["lead_features"], _LEAD_SCORES),
         "lead_scores_columns": with_views(
             ["lead_features"], f"select lead_id, lead_score from ({_LEAD_SCORES})"
@@ -431,6 +446,11 @@ def oracles() -> dict[str, str]:
             union all select c_custkey, null, null, lower(c_mktsegment) from customer
             union all select -1, null, null, 'it''s'""",
         "cdc_to_lake": _CHANGES,
+        "cdc_quarantine": """
+            select c_custkey,
+                   case c_nationkey when 3 then 'unreadable opened' when 4 then 'unknown extra'
+                                    when 5 then 'bad json' else '' end as error
+            from customer""",
         "stream_cdc": _CHANGES,
         "stream_scoring": with_views(["lead_features"], _LEAD_SCORES),
     }

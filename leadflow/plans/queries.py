@@ -107,14 +107,17 @@ def export_projection(spark, sf):
     return export_columns(view(spark, sf, "staging_contacts"), "staging.contacts")
 
 
-@query
-def tenant_id_filter(spark, sf):
+def _asked(spark, sf) -> DataFrame:
+    """Ids of the id lists that come with urgent orders."""
     urgent = base(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
     lead = 100000 + F.col("o_custkey")
-    asked = urgent.select(
-        F.explode(names.id_list(F.concat_ws(",", lead, F.lit(""), lead + 1, lead))).alias("lead_id")
-    )
-    links = joins.select_ids(view(spark, sf, "lead_entities_lk"), "lead_id", asked)
+    text = F.concat_ws(",", lead, F.lit(""), lead + 1, lead)
+    return urgent.select(F.explode(names.id_list(text)).alias("lead_id"))
+
+
+@query
+def tenant_id_filter(spark, sf):
+    links = joins.select_ids(view(spark, sf, "lead_entities_lk"), "lead_id", _asked(spark, sf))
     entities = view(spark, sf, "entities").filter(F.col("client") == "BUILDING")
     return entities.join(links, "entity_id").select("lead_id", "entity_id", "client", "email")
 
@@ -185,6 +188,14 @@ def lead_profiles(spark, sf):
     return _flat(nested_lead_profiles(spark, sf), "lead")
 
 
+@query
+def requested_profiles(spark, sf):
+    """Profiles of one tenant for lists of ids."""
+    return _flat(
+        nested_lead_profiles(spark, sf, client="BUILDING", ids=_asked(spark, sf)), "lead"
+    )
+
+
 @query
 def lead_profiles_latest(spark, sf):
     insights = _insights(spark, sf)
@@ -221,11 +232,21 @@ def _persuasion_history(spark, sf) -> DataFrame:
 
 @query
 def profile_fanout(spark, sf):
+    return _fanout(spark, sf)
+
+
+@query
+def profile_fanout_split(spark, sf):
+    """The same with the way of hot keys taken for every key with over two rows."""
+    return _fanout(spark, sf, hot_rows=2)
+
+
+def _fanout(spark, sf, **options) -> DataFrame:
     insights = _insights(spark, sf)
     insights["channel"] = _channel_history(spark, sf)
     insights["persuasion"] = _persuasion_history(spark, sf)
     rows = joins.profile_rows(
-        view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), insights
+        view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), insights, **options
     )
     return rows.select(
         "lead_id", "entity_id", F.array_join("preferences", "|").alias("preferences"),
@@ -694,8 +715,9 @@ def ns_timestamps(spark, sf):
 # Scores
 
 
-@query
-def insight_fetch(spark, sf):
+def _service():
+    """Stands for the remote service: arithmetic on the id, nothing for one client."""
+
     def fetch(client, insight_id, ids):  # a nested function travels whole to the workers
         if client == "MACHINERY":
             return 204, []
@@ -703,8 +725,27 @@ def insight_fetch(spark, sf):
             {"entity_id": i, "bluesun": int(i) % 100 + 0.9, "acme": int(i) * 7 % 50} for i in ids
         ]
 
+    return fetch
+
+
+@query
+def insight_refresh(spark, sf):
+    """The refresh as a job, twice on one day: the second finds nothing to add."""
+    folder = shared_folder(spark, "insights")
+    for now in ("2024-02-01 00:00:00", "2024-02-01 09:30:00"):
+        jobs.refresh_insight(
+            view(spark, sf, "entities"), "adopt-curve", folder, _service(), now=now, partitions=8
+        )
+    scores = spark.read.parquet(f"{folder}/adopt_curve")
+    return scores.select("entity_id", "ingestion_timestamp", F.explode("scores").alias("s")).select(
+        "entity_id", "ingestion_timestamp", "s.*"
+    )
+
+
+@query
+def insight_fetch(spark, sf):
     bodies = fetch_insights(
-        view(spark, sf, "entities"), "match-score", fetch, max_ids=500, partitions=8
+        view(spark, sf, "entities"), "match-score", _service(), max_ids=500, partitions=8
     )
     scores = reshape_insight(bodies, "match-score")
     return scores.select("entity_id", F.explode("scores").alias("s")).select("entity_id", "s.*")
@@ -836,6 +877,31 @@ def cdc_to_lake(spark, sf):
     return _changes(spark.read.parquet(lake))
 
 
+@query
+def cdc_quarantine(spark, sf):
+    """Bad records of a load, found again in the quarantine table."""
+    nation = F.col("c_nationkey")
+    text = (
+        F.when(nation == 3, F.to_json(F.struct("c_custkey", F.lit("soon").alias("opened"))))
+        .when(nation == 4, F.to_json(F.struct("c_custkey", F.lit(1).alias("extra"))))
+        .when(nation == 5, F.concat(F.lit('{"c_custkey":'), F.col("c_custkey"), F.lit(',"c_name"')))
+        .otherwise(F.to_json(F.struct("c_custkey", "c_name")))
+    )
+    folder = shared_folder(spark, "quarantine")
+    lines = base(spark, sf, "customer").select(text.alias("text"))
+    encrypt_lines(lines, KEYS, "text").write.text(f"{folder}/in")
+    jobs.cdc_to_lake(
+        spark, f"{folder}/in", f"{folder}/lake", KEYS, CHANGE_SCHEMA, on_error="quarantine",
+        quarantine=f"{folder}/bad",
+    )
+    loaded = spark.read.parquet(f"{folder}/lake").select("c_custkey", F.lit("").alias("error"))
+    bad = decrypt_lines(spark.read.parquet(f"{folder}/bad"), KEYS, "_line").select(
+        F.regexp_extract("text", '"c_custkey":([0-9]+)', 1).cast("bigint").alias("c_custkey"),
+        F.col("_error").alias("error"),
+    )
+    return loaded.unionByName(bad)
+
+
 @query
 def stream_cdc_(spark, sf):
     source, folder = _change_files(spark, sf), shared_folder(spark, "stream")
