@@ -74,6 +74,8 @@ def nth_time(times: DataFrame, n: int) -> dt.datetime | None:
                 low, high, rows = bucket.low, bucket.high, bucket.n
                 break
             n -= bucket.n
+        else:
+            return high  # the source has lost rows meanwhile
     return high
 
 

@@ -3,13 +3,15 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leadflow.functions import names
 from leadflow.functions.crypto import decrypt_lines, encrypt_lines
 from leadflow.functions.insights import reshape_insight
 from leadflow.functions.rules import polarity, priority, strength, tier
-from leadflow.schemas import INSIGHT_IDS
+from leadflow.schemas import INSIGHT_IDS, insight_table, table_schema
 
 KEYS = ["AAECAwQFBgcICQoLDA0ODw==", "EBESExQVFhcYGRobHB0eHw=="]
 
@@ -24,7 +26,7 @@ def test_id_lists(rows):
 def test_file_order(rows):
     files = ["cdc-x", "cdc-10", "plain", "cdc-2", "a-b-3"]
     df = rows([(f,) for f in files], "name string").orderBy(*names.file_order(F.col("name")))
-    assert [r.name for r in df.collect()] == ["cdc-2", "a-b-3", "cdc-10", "plain", "cdc-x"]
+    assert [r.name for r in df.collect()] == ["cdc-2", "a-b-3", "cdc-10", "cdc-x", "plain"]
 
 
 def test_name_parts(spark):
@@ -57,10 +59,27 @@ def test_adopt_curve_keeps_fractions(rows):
     assert [tuple(s) for s in scores] == [("news", 0.25)]
 
 
-def test_other_insights_pass_through(rows):
-    df = rows([("e1", '{"entity_id":"e1","preferences":["Email"]}')], "entity_id string, body string")
-    assert reshape_insight(df, "channel").first().preferences == ["Email"]
-    assert len(INSIGHT_IDS) == 6
+@pytest.mark.parametrize("insight_id", INSIGHT_IDS)
+def test_every_insight_fits_its_table(rows, insight_id):
+    body = '{"entity_id":"e1","preferences":["Email"],"persuasion":["Praise"],"prediction":"good","archetype":"x"}'
+    if insight_id in ("match-score", "adopt-curve"):
+        body = '{"entity_id":"e1","acme":1.5}'
+    made = reshape_insight(rows([("e1", body)], "entity_id string, body string"), insight_id)
+    schema = table_schema(insight_table(insight_id))
+    assert made.to(schema).first()[1] is not None
+    assert [f.dataType for f in made.schema] == [f.dataType for f in schema][: len(made.columns)]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(st.sampled_from("0123,x"), max_size=12), min_size=1, max_size=20))
+def test_any_id_list(spark, texts):
+    def wanted(text):
+        if set(text) - set("0123456789,"):
+            return None
+        return [int(p) for p in dict.fromkeys(text.split(",")) if p]
+
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r[0] for r in df.select(names.id_list(F.col("s"))).collect()] == list(map(wanted, texts))
 
 
 def test_crypto_roundtrip_with_a_wrong_key_first(rows):

@@ -1,9 +1,12 @@
 import datetime as dt
+from decimal import Decimal
 import glob
 import gzip
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leadflow.sinks.csv_export import export_csv, float_text, read_export, route_uploads
@@ -36,6 +39,22 @@ def test_csv_bytes(rows, folder):
     assert seen.get["n"] == 2
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(st.sampled_from('ab"\\,\n\r \t\'é\u2028#'), max_size=8), min_size=1, max_size=30))
+def test_csv_bytes_of_any_text(spark, tmp_path_factory, texts):
+    """Each line is what joining the quoted, quote-escaped texts gives."""
+    folder = str(tmp_path_factory.mktemp("csv"))
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "client string, i int, t string")
+    export_csv(df.coalesce(1), f"{folder}/out")
+    found = "".join(files_of(f"{folder}/out", "a"))
+    for i, t in enumerate(texts):
+        escaped = t.replace('"', '\\"')
+        assert f'"{i}","{escaped}"\n' in found
+    assert len(found) == len('"i","t"\n') + sum(
+        len(f'"{i}","') + len(t.replace('"', '\\"')) + 2 for i, t in enumerate(texts)
+    )
+
+
 def test_csv_readback(spark, rows, folder):
     values = [("a-b", None, ""), ("a-b", 'x"y', "None of it"), ("c", "\n", " ")]
     export_csv(rows(values, "client string, x string, y string"), f"{folder}/out")
@@ -140,6 +159,12 @@ def test_read_source_checks(spark, rows, folder):
     frame = rows([(1, "a"), (2, "b")], "n int, s string")
     found = read_source(spark, query="select s from {t} where n > :low", args={"low": 1}, t=frame)
     assert found.first().s == "b"
+    typed = read_source(
+        spark, query="select :d as d, :t as t, :f as f, :l as l, :b as b, :s.x as x",
+        args={"d": Decimal("1.50"), "t": dt.datetime(2020, 1, 1), "f": 0.5, "b": True,
+              "l": F.array(F.lit(1), F.lit(2)), "s": F.struct(F.lit("v").alias("x"))},
+    ).first()
+    assert (typed.d, typed.f, typed.l, typed.b, typed.x) == (Decimal("1.50"), 0.5, [1, 2], True, "v")
     path = f"{folder}/q.sql"
     with open(path, "w") as f:
         f.write("select s\nfrom {t}\nwhere n = :n")
