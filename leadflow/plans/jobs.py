@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,13 +249,9 @@ def refresh_insight(
     spark = entities.sparkSession
     name = insight_table(insight_id)
     table, schema = f"{folder.rstrip('/')}/{name}", table_schema(name)
-    try:
-        existing = spark.read.schema(schema).parquet(table)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        # The first refresh finds no table yet.
-        existing = spark.createDataFrame([], schema)
+    # Makes an empty table before the first refresh, else does nothing.
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(table)
+    existing = spark.read.schema(schema).parquet(table)
     # Kept apart from the table it is appended to, and asked for only once.
     waiting = shared_folder(spark, f"pending-{name}")
     pending_entities(entities, existing, utc_now(now), hours).write.parquet(waiting)
