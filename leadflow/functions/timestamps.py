@@ -44,6 +44,11 @@ def utc_now(now: str | dt.datetime | Column | None = None) -> Column:
     return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
 
 
+def pinned(now: str | dt.datetime | None) -> str | dt.datetime:
+    """A given time, or this moment: one time for all queries of a job."""
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None) if now is None else now
+
+
 def stamp(df: DataFrame, field: str = "ingestion_timestamp", now=None) -> DataFrame:
     return df.withColumn(field, utc_now(now))
 

@@ -15,7 +15,7 @@ from leadflow.functions.insights import reshape_insight
 from leadflow.functions.names import export_name
 from leadflow.functions.records import coerce_record, drop_zero_dates, stringify_times
 from leadflow.functions.rules import polarity, priority, strength, tier
-from leadflow.functions.timestamps import stamp, utc_now
+from leadflow.functions.timestamps import pinned, stamp, utc_now
 from leadflow.operators.joins import pending_entities, profiles, site_visitors
 from leadflow.operators.scoring import FEATURES, Predictor, fetch_insights, lexicon_score, predict
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
@@ -225,6 +225,7 @@ def import_entities(
     hours: int = 24,
 ) -> JobResult:
     """Import entities of finished files, then write every file's new status."""
+    now = pinned(now)
     history = status.read()
     gate = import_gate(running_files(history, now, hours), reported)
     if gate.isEmpty():
@@ -246,6 +247,7 @@ def refresh_insight(
     **options,
 ) -> JobResult:
     """Fetch one insight for the entities that lack a recent one, and append it."""
+    now = pinned(now)
     spark = entities.sparkSession
     name = insight_table(insight_id)
     table, schema = f"{folder.rstrip('/')}/{name}", table_schema(name)

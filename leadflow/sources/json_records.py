@@ -20,7 +20,7 @@ def decode_json(df: DataFrame, schema: str | T.StructType, text: str = "text") -
     """Add the record of each JSON line, dates still as text, and ``_error``.
 
     ``_error`` names a line without text, that is no JSON object, whose values do not
-    fit, or with fields that the schema does not have; it is null for a good line.
+    fit, or with top-level fields that the schema does not have; null for a good line.
     """
     target = text_schema(struct_type(schema))
     wire = T.StructType([*target.fields, T.StructField("_corrupt", T.StringType())])

@@ -10,7 +10,7 @@ from leadflow.operators.skew import hot_keys, split_join
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.schemas import table_schema
-from leadflow.sinks.tables import replace_bucketed, rows_frame
+from leadflow.sinks.tables import replace_bucketed
 from leadflow.sinks.versioned import VersionedTable
 
 
