@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import os
 import zlib
 
 import pandas as pd
@@ -26,12 +27,20 @@ def key_column(spark: SparkSession, keys: list[str]) -> Column:
 
 
 def _gzip_udf():
-    """Built in a function, so that it travels whole and workers need no package."""
+    """A new IV followed by the gzipped text.
+
+    Built in a function, so that it travels whole and workers need no package. The IV
+    is drawn here, not by ``aes_encrypt``: Spark may compute that once per use of the
+    line, each time with another IV, but runs a nondeterministic function only once.
+    """
+    iv_bytes = IV_BYTES
 
     def compress(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
+        return text.map(
+            lambda t: None if t is None else os.urandom(iv_bytes) + gzip.compress(t.encode(), mtime=0)
+        )
 
-    return F.pandas_udf(compress, T.BinaryType())
+    return F.pandas_udf(compress, T.BinaryType()).asNondeterministic()
 
 
 def _gunzip_udf():
@@ -62,10 +71,11 @@ def encrypt_lines(
 ) -> DataFrame:
     """Replace a text column by its encrypted line, under key number ``use``."""
     key = F.get(key_column(df.sparkSession, keys), F.lit(use))
-    data = F.aes_encrypt(_gzip_udf()(F.col(text)), key, F.lit("CBC"), F.lit("PKCS"))
-    # One reference to the result only: a second one could draw another IV.
-    line = F.regexp_replace(F.lower(F.hex(data)), f"^(.{{{2 * IV_BYTES}}})", "$1:")
-    return df.withColumn(out, line).drop(*([text] if text != out else []))
+    packed = df.withColumn("_packed", _gzip_udf()(F.col(text)))
+    iv, data = F.substring("_packed", 1, IV_BYTES), F.expr(f"substring(_packed, {IV_BYTES + 1})")
+    sealed = F.aes_encrypt(data, key, F.lit("CBC"), F.lit("PKCS"), iv)
+    line = F.regexp_replace(F.lower(F.hex(sealed)), f"^(.{{{2 * IV_BYTES}}})", "$1:")
+    return packed.withColumn(out, line).drop("_packed", *([text] if text != out else []))
 
 
 def decrypt_lines(
@@ -73,10 +83,13 @@ def decrypt_lines(
 ) -> DataFrame:
     """Add the plain text of each line; null when no key fits it."""
     all_keys = key_column(df.sparkSession, keys)
-    well_formed = F.col(line).rlike("^[0-9A-Fa-f]{32}:([0-9A-Fa-f]{2})+$")
-    data = F.when(well_formed, F.unhex(F.replace(F.col(line), F.lit(":"), F.lit(""))))
+    digits = 2 * IV_BYTES
+    # One colon behind the IV, whole bytes; any other character makes unhex give null.
+    well_formed = (F.instr(line, ":") == digits + 1) & (F.length(line) % 2 == 1)
+    joined = F.concat(F.substring(line, 1, digits), F.substr(F.col(line), F.lit(digits + 2)))
+    sealed = F.when(well_formed, F.unhex(joined))
     candidates = F.array(*[
-        F.try_aes_decrypt(data, F.get(all_keys, F.lit(i)), F.lit("CBC"), F.lit("PKCS"))
+        F.try_aes_decrypt(sealed, F.get(all_keys, F.lit(i)), F.lit("CBC"), F.lit("PKCS"))
         for i in range(len(keys))
     ])
     return df.withColumn(out, _gunzip_udf()(candidates))

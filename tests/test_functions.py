@@ -93,6 +93,14 @@ def test_crypto_roundtrip_with_a_wrong_key_first(rows):
     assert sorted(map(tuple, plain.collect())) == sorted(texts)
 
 
+def test_a_line_stays_the_same_in_all_its_uses(rows):
+    sealed = encrypt_lines(rows([("x",)] * 20, "text string"), KEYS, "text")
+    used = sealed.select("value", F.concat("value", F.lit("")).alias("again"), F.col("value").alias("v"))
+    assert used.filter("value = again and value = v and length(again) = length(v)").count() == 20
+    both = decrypt_lines(decrypt_lines(sealed, KEYS), KEYS, "value", "t2")
+    assert all(r.text == r.t2 == "x" for r in both.collect())
+
+
 def test_unreadable_lines_give_null(rows):
     good = encrypt_lines(rows([("x",)], "text string"), KEYS, "text").first().value
     damaged = good[:-2] + ("00" if good[-2:] != "00" else "11")
