@@ -32,19 +32,22 @@ NEGATIVE_WORDS = ["bad", "poor", "terrible", "unhappy", "useless", "hate", "hard
 
 
 def predict(
-    df: DataFrame, features: Sequence[str], predictor: Predictor, outputs: str
+    df: DataFrame, features: Sequence[str], predictor: Predictor, outputs: str, once: bool = False
 ) -> DataFrame:
     """Add the predictor's output columns (DDL) to every row.
 
-    Only the features travel to Python; all other columns stay in the JVM.
+    Only the features travel to Python; all other columns stay in the JVM. A later
+    filter on an output makes Spark predict again to apply it early. Say ``once`` for a
+    costly predictor; then no later filter at all moves in front of it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from predictor(batches)
 
     kind = struct_type(outputs)
-    predicted = F.pandas_udf(run, kind)(F.struct(*features))
-    scored = df.withColumn("_prediction", predicted)
+    udf = F.pandas_udf(run, kind)
+    udf = udf.asNondeterministic() if once else udf
+    scored = df.withColumn("_prediction", udf(F.struct(*features)))
     return scored.select(*[c for c in df.columns if c not in kind.names], "_prediction.*")
 
 

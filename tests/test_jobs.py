@@ -124,14 +124,16 @@ def test_stream_equals_batch(spark, folder):
     args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
 
     def run():
-        for running in stream_cdc(spark, *args, files_per_batch=1, now=NOW):
+        named = {"prefix": "cdc", "contains": "c-"}
+        for running in stream_cdc(spark, *args, files_per_batch=1, now=NOW, **named):
             running.awaitTermination()
         return spark.read.parquet(f"{folder}/lake")
 
+    write_changes(spark, f"{folder}/in", ["not for us"], "cdcx")
     assert run().count() == 2
     assert run().count() == 2  # nothing new
     write_changes(spark, f"{folder}/in", GOOD[2:], "cdc-3")
-    jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/batch", KEYS, SCHEMA, now=NOW)
+    jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/batch", KEYS, SCHEMA, "cdc-", now=NOW)
     assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch"))
 
 
@@ -397,6 +399,14 @@ def test_only_features_travel_to_python(leads):
     assert "ArrowEvalPython [run(struct(age, " in plan or "run(struct(age" in plan
 
 
+def test_a_costly_predictor_runs_once(leads):
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    predictor = logistic_predictor(WEIGHTS, -3.0)
+    scored = predict(leads, FEATURES, predictor, "lead_score double", once=True)
+    assert count(scored.filter("lead_score > 0.5")) == 1
+    assert scored.columns == leads.columns and scored.filter("lead_score > 0.5").count() > 0
+
+
 def test_predictor_with_several_outputs(rows):
     def predictor(batches):
         for batch in batches:
