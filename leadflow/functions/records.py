@@ -52,7 +52,7 @@ def stringify_times(df: DataFrame, pattern: str | None = None) -> DataFrame:
 
     def leaf(value: Column, kind: T.DataType) -> Column | None:
         if isinstance(kind, _TIMES):
-            return ts.pattern_text(value, pattern) if pattern else ts.plain_text(value, kind)
+            return ts.pattern_text(value, kind, pattern) if pattern else ts.plain_text(value, kind)
         return ts.drop_zero_date(value) if isinstance(kind, T.StringType) else None
 
     return map_record(df, leaf)

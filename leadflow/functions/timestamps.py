@@ -53,18 +53,24 @@ def stamp(df: DataFrame, field: str = "ingestion_timestamp", now=None) -> DataFr
     return df.withColumn(field, utc_now(now))
 
 
+def utc_clock(value: Column) -> Column:
+    """A TIMESTAMP as zone-free UTC wall clock, whatever the session's zone."""
+    return F.convert_timezone(None, F.lit("UTC"), value.cast("timestamp_ntz"))
+
+
 def plain_text(value: Column, kind: T.DataType) -> Column:
     """Default text of a date or time: no fraction, or one of six digits."""
-    text = value.cast("string")
     if isinstance(kind, T.DateType):
-        return text
+        return value.cast("string")
+    zoned = isinstance(kind, T.TimestampType)
+    text = (utc_clock(value) if zoned else value).cast("string")
     text = F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
-    # A zoned value carries its offset; sessions run in UTC.
-    return F.concat(text, F.lit("+00:00")) if isinstance(kind, T.TimestampType) else text
+    return F.concat(text, F.lit("+00:00")) if zoned else text
 
 
-def pattern_text(value: Column, pattern: str) -> Column:
-    return F.date_format(value, pattern)
+def pattern_text(value: Column, kind: T.DataType, pattern: str) -> Column:
+    zoned = isinstance(kind, T.TimestampType)
+    return F.date_format(utc_clock(value) if zoned else value, pattern)
 
 
 def drop_zero_date(text: Column) -> Column:
@@ -86,10 +92,9 @@ def parse_date(text: Column, layouts=LAYOUTS) -> Column:
 
 def parse_timestamp(text: Column, layouts=LAYOUTS) -> Column:
     """Text to TIMESTAMP; an offset counts, without one the text is UTC."""
-    parsed = F.when(text.rlike(ISO), text.try_cast("timestamp"))
-    for shape, pattern in layouts:
-        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    return parsed
+    has_offset = text.rlike(ISO) & text.rlike(r":\d.*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$")
+    plain = F.concat(parse_datetime(text, layouts).cast("string"), F.lit("+00:00"))
+    return F.when(has_offset, text.try_cast("timestamp")).otherwise(plain.cast("timestamp"))
 
 
 def epoch_seconds(value: Column) -> Column:

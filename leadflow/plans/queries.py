@@ -705,9 +705,9 @@ def ns_timestamps(spark, sf):
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("789 +0000 UTC")),
     ).when(F.col("event_id") % 4 == 2, "x")
     rows = base(spark, sf, "events").select("event_id", text.alias("expiry"))
-    now = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    now = F.lit("2024-01-16 00:00:00+00:00").cast("timestamp")
     return rows.select(
-        "event_id", ts.parse_nanoseconds(F.col("expiry")).cast("timestamp_ntz").alias("expires"),
+        "event_id", ts.utc_clock(ts.parse_nanoseconds(F.col("expiry"))).alias("expires"),
         ts.is_expired(F.col("expiry"), now).alias("expired"),
     )
 

@@ -115,6 +115,23 @@ def test_the_bound_keeps_the_same_rows_as_the_difference(spark, now, back, hours
     assert df.filter(by_bound != by_marks).isEmpty()
 
 
+def test_zoned_times_ignore_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp'2020-01-01 00:00:00.5 UTC' as t")
+        assert stringify_times(df).first().t == "2020-01-01 00:00:00.500000+00:00"
+        assert stringify_times(df, ts.CDC_PATTERN).first().t == "2020-01-01 00:00:00.500000"
+        texts = spark.createDataFrame(
+            [("2020-01-01",), ("20200101",), ("2020-01-01T01:00:00+01:00",), ("2020-01-01 00:00:00Z",)],
+            "s string",
+        )
+        found = texts.select(ts.epoch_seconds(ts.parse_timestamp(F.col("s"))).alias("e")).collect()
+        assert [r.e for r in found] == [1577836800.0] * 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_hour_marks_ignore_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
