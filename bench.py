@@ -17,7 +17,7 @@ from leadflow.plans import jobs, queries
 from leadflow.plans.inputs import base, view
 from leadflow.schemas import table_schema
 from leadflow.session import local_session, shared_folder
-from leadflow.sinks.versioned import VersionedTable
+from leadflow.sinks.state import StateTable
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -57,12 +57,15 @@ def main() -> None:
 
     def incremental_export():
         out = shared_folder(spark, "bench-export")
-        checkpoints = VersionedTable(spark, f"{out}/state", table_schema("checkpoint"))
+        checkpoints = StateTable(
+            spark, f"{out}/state", table_schema("checkpoint"), ["dag_id", "src_table"], 2
+        )
         jobs.export_table(t["staging_contacts"], "staging.contacts", checkpoints, f"{out}/files")
 
     def cdc_to_lake():
+        folder = shared_folder(spark, "bench-lake")
         jobs.cdc_to_lake(
-            spark, changes, shared_folder(spark, "bench-lake"), queries.KEYS, queries.CHANGE_SCHEMA
+            spark, changes, f"{folder}/lake", f"{folder}/checkpoint", queries.KEYS, queries.CHANGE_SCHEMA
         )
 
     def match_scores_():

@@ -109,6 +109,10 @@ def _coerce(
     if isinstance(target, T.ArrayType) and isinstance(source, T.ArrayType):
         kinds = source.elementType, target.elementType
         return F.transform(value, lambda e: _coerce(e, *kinds, layouts, path, fail))
+    if isinstance(target, T.MapType) and isinstance(source, T.MapType):
+        kinds = source.valueType, target.valueType
+        typed = F.transform_values(value, lambda _, v: _coerce(v, *kinds, layouts, path, fail))
+        return typed if source.keyType == target.keyType else typed.cast(target)
     if source == target or not isinstance(source, T.StringType):
         return value if source == target else value.cast(target)
     typed = (
@@ -142,6 +146,18 @@ def _bad(raw: Column, typed: Column, source: T.DataType, target: T.DataType, pat
             return F.coalesce(F.exists(pairs, lambda bad: bad), F.lit(False))
 
         return [(p, any_element(i)) for i, p in enumerate(paths)]
+    if isinstance(target, T.MapType) and isinstance(source, T.MapType):
+        kinds = source.valueType, target.valueType
+        paths = [p for p, _ in _bad(F.lit(None), F.lit(None), *kinds, path)]
+
+        def any_value(i: int) -> Column:
+            # A map's values keep their order when they are changed.
+            pairs = F.zip_with(
+                F.map_values(raw), F.map_values(typed), lambda r, t: _bad(r, t, *kinds, path)[i][1]
+            )
+            return F.coalesce(F.exists(pairs, lambda bad: bad), F.lit(False))
+
+        return [(p, any_value(i)) for i, p in enumerate(paths)]
     if not isinstance(source, T.StringType) or isinstance(target, T.StringType):
         return []
     lost = raw.isNotNull() & typed.isNull()

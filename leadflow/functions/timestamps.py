@@ -13,20 +13,31 @@ EPOCH = "1970-01-01 00:00:00"
 CDC_PATTERN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Texts that Spark's own cast reads: a four-digit year, then nothing or a non-digit.
-# Longer digit runs would be taken for a far-away year.
-ISO = r"^\s*\d{4}(?!\d)(?!/)"
+# Longer digit runs would be taken for a far-away year; the cast knows no halves of the day.
+ISO = r"(?i)^\s*\d{4}(?!\d)(?!/)(?!.*[AP]M$)"
+
+# A day's name in front, which Spark's patterns cannot read, is dropped.
+DAY_NAME = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+"
 
 # Other layouts, month first: what the text looks like, and how to read it. At most
 # one is tried per value. Extend by argument.
+_DATES = (
+    (r"\d{8}", "yyyyMMdd"),
+    (r"\d{4}/\d+/\d+", "yyyy/M/d"),
+    (r"\d{1,2}/\d+/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}-\d+-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2} [a-z]{3} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2} [a-z]{4,} \d{4}", "d MMMM yyyy"),
+    (r"[a-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"[a-z]{4,} \d{1,2}, \d{4}", "MMMM d, yyyy"),
+)
+_CLOCK = r"\d{1,2}:\d{1,2}(?::\d{1,2})?"
 LAYOUTS = (
-    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{14}$", "yyyyMMddHHmmss"),
-    (r"^\d{4}/\d+/\d+$", "yyyy/M/d"),
-    (r"^\d{4}/\d+/\d+ \d", "yyyy/M/d H:m:s"),
-    (r"^\d{1,2}/\d+/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d+/\d{4} \d", "M/d/yyyy H:m:s"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
+    (rf"(?i)^\d{{4}}-\d+-\d+ {_CLOCK} [ap]m$", "yyyy-M-d h:m[:s] a"),
+    *[(f"(?i)^{day}(?: {_CLOCK})?$", f"{pattern}[ H:m[:s]]") for day, pattern in _DATES],
+    *[(f"(?i)^{day} {_CLOCK} [ap]m$", f"{pattern} h:m[:s] a") for day, pattern in _DATES],
 )
 
 
@@ -79,11 +90,13 @@ def drop_zero_date(text: Column) -> Column:
 
 def parse_datetime(text: Column, layouts=LAYOUTS) -> Column:
     """Text to TIMESTAMP_NTZ; null when no layout fits. An offset is dropped."""
-    parsed = F.when(text.rlike(ISO), text.try_cast("timestamp_ntz"))
-    for shape, pattern in layouts:
-        value = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-        parsed = parsed.when(text.rlike(shape), value)
-    return parsed
+    plain = F.regexp_replace(text, DAY_NAME, "")
+    # One condition finds the layout's pattern, so that a text is parsed once.
+    pattern = F.when(F.lit(False), F.lit(""))
+    for shape, known in layouts:
+        pattern = pattern.when(plain.rlike(shape), F.lit(known))
+    value = F.try_to_timestamp(plain, pattern).cast("timestamp_ntz")
+    return F.when(text.rlike(ISO), text.try_cast("timestamp_ntz")).otherwise(value)
 
 
 def parse_date(text: Column, layouts=LAYOUTS) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.timestamps import hours_before
 from leadflow.operators.latest import latest_per_key
-from leadflow.operators.skew import HOT_ROWS, hot_keys, split_join
+from leadflow.operators.skew import HOT_ROWS, hot_keys, product, split_join
 
-# Insight table -> its value column and the name it has in the joined row.
+# Insight table -> its value column and the name it has in the joined row.
 INSIGHT_VALUES = {
     "channel": ("preferences", "preferences"),
     "match_score": ("scores", "match_scores"),
@@ -34,6 +34,18 @@ def select_ids(df: DataFrame, column: str, ids: Sequence[int] | DataFrame | None
     return df.filter(F.col(column).isin(*ids)) if ids else df.filter(F.lit(False))
 
 
+def profile_hot_keys(
+    entities: DataFrame, links: DataFrame, insights: Mapping[str, DataFrame], hot_rows: int = HOT_ROWS
+) -> dict[str, DataFrame]:
+    """Entities with very many rows, for each table that has any.
+
+    Look them up once, and hand them to the lead and the contact profiles alike.
+    """
+    tables = {"entities": entities, "links": links, **{n: insights[n] for n in INSIGHT_VALUES}}
+    found = {name: hot_keys(table, "entity_id", hot_rows) for name, table in tables.items()}
+    return {name: hot for name, hot in found.items() if hot is not None}
+
+
 def profile_rows(
     entities: DataFrame,
     links: DataFrame,
@@ -42,15 +54,17 @@ def profile_rows(
     client: str | None = None,
     ids: Sequence[int] | DataFrame | None = None,
     latest_only: bool = False,
-    check_skew: bool = True,
+    hot: Mapping[str, DataFrame] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Flat profile rows: entities, all insights, their lead or contact ids.
 
     An insight table with several rows for an entity multiplies its profiles;
-    ``latest_only`` keeps the newest row of tables that have a time instead.
-    Tenant and id filters come first. All joins have the same key, so each table is
-    shuffled once; the ids, of which one entity may have very many, are joined last.
+    ``latest_only`` keeps the newest row of tables that have a time instead, and of
+    equal times the one with the greater value. Tenant and id filters come first. All joins
+    have the same key, so each table is shuffled once; the ids, of which one entity may have very
+    many, are joined last. ``hot`` is what ``profile_hot_keys`` found; without it, and for
+    asked ids, every join is plain.
     """
     id_column = f"{kind}_id"
     if client is not None:
@@ -66,44 +80,26 @@ def profile_rows(
 
     rows = cut(rows)
     values = {}
+    reduced = set()  # one row per entity
     for name, (value, alias) in INSIGHT_VALUES.items():
         table = cut(insights[name])
         if latest_only and "ingestion_timestamp" in table.columns:
-            table = latest_per_key(table, ["entity_id"], "ingestion_timestamp")
+            table = latest_per_key(table, ["entity_id"], "ingestion_timestamp", [value])
+            reduced.add(name)
         values[name] = table.select("entity_id", F.col(value).alias(alias))
-    hot: dict[str, dict] = {}
-    if check_skew:
-        sides = {"entities": rows, "links": links}
-        if not latest_only:  # a reduced table has one row per entity
-            sides |= values
-        hot = hot_keys(sides, "entity_id", hot_rows)
-    row_hot = hot.get("entities", {})
+    hot = {n: h for n, h in (hot or {}).items() if ids is None and n not in reduced}
+    row_hot = hot.get("entities")
     # Tables with a hot entity come last, behind those that share one partitioning.
-    for name in sorted(values, key=lambda n: bool(hot.get(n))):
-        rows = split_join(
-            rows, values[name], "entity_id", "left", _above(row_hot, hot_rows), hot.get(name),
-            hot_rows,
-        )
-        row_hot = _product(row_hot, hot.get(name))
-    rows = split_join(
-        rows, links, "entity_id", "inner", _above(row_hot, hot_rows), hot.get("links"), hot_rows
-    )
+    for name in sorted(values, key=lambda n: n in hot):
+        rows = split_join(rows, values[name], "entity_id", "left", row_hot, hot.get(name), hot_rows)
+        row_hot = product(row_hot, hot.get(name), "entity_id")
+    rows = split_join(rows, links, "entity_id", "inner", row_hot, hot.get("links"), hot_rows)
     return rows.select(
         id_column, "entity_id", "email", "phone", "twitter",
         *[alias for _, alias in INSIGHT_VALUES.values()],
     )
 
 
-def _product(left: Mapping | None, right: Mapping | None) -> dict:
-    """Row counts of hot keys after a join; a key that is not hot counts once."""
-    left, right = left or {}, right or {}
-    return {k: left.get(k, 1) * right.get(k, 1) for k in set(left) | set(right)}
-
-
-def _above(counts: Mapping, hot_rows: int) -> dict:
-    return {k: n for k, n in counts.items() if n > hot_rows}
-
-
 def nest_profile(rows: DataFrame, kind: str = "lead") -> DataFrame:
     """Flat profile rows in the nested form that is served."""
 

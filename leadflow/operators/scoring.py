@@ -95,30 +95,33 @@ def lexicon_score(
     return F.when(text.isNotNull(), balance)
 
 
-def fetch_insights(
-    pending: DataFrame,
+def lead_scores(
+    leads: DataFrame, predictor: Predictor, features: Sequence[str] = FEATURES
+) -> DataFrame:
+    """Scores of processed leads."""
+    return predict(leads.filter(F.col("processed")), features, predictor, "lead_score double")
+
+
+def ask_service(
     insight_id: str,
     fetch: Callable[[str, str, list[str]], tuple[int, list[dict]]],
+    partitions: int,
     max_ids: int = 1_000,
-    partitions: int = 64,
-) -> DataFrame:
-    """Ask a service for an insight of all entities: ``entity_id, body``.
+) -> Callable[[DataFrame], DataFrame]:
+    """A function from entities to a service's answers: ``entity_id, code, body``.
 
     ``fetch(client, insight_id, entity_ids)`` returns a code and rows. Entities are
     spread by id, whatever their client, and each request holds ids of one client,
-    ``max_ids`` at most. ``partitions`` is the number of requests at a time.
+    ``max_ids`` at most. ``partitions`` is the number of requests at a time, which the service sets.
     """
-    no_rows = NO_INSIGHT_CODES
 
     def ask(client: str, ids: list[str]) -> pd.DataFrame:
         code, rows = fetch(client, insight_id, ids)
-        if code in no_rows:
-            rows = []
-        elif code != 200:
-            raise RuntimeError(f"{insight_id} request of {len(ids)} entities: code {code}")
+        # A request that gave no rows is answered for its first entity alone.
+        entities = [r["entity_id"] for r in rows] if code == 200 else ids[:1]
+        bodies = [json.dumps(r) for r in rows] if code == 200 else [None]
         return pd.DataFrame(
-            {"entity_id": [r["entity_id"] for r in rows], "body": [json.dumps(r) for r in rows]},
-            dtype=object,
+            {"entity_id": entities, "code": [code] * len(entities), "body": bodies}, dtype=object
         )
 
     def run(batches):
@@ -133,13 +136,29 @@ def fetch_insights(
         if ids:
             yield ask(client, ids)
 
-    return (
-        pending.select("client", "entity_id")
-        .distinct()
-        .repartition(partitions, "client", "entity_id")
-        .sortWithinPartitions("client")
-        .mapInPandas(run, "entity_id string, body string")
-    )
+    def answers(pending: DataFrame) -> DataFrame:
+        # Spread first: the distinct then needs no shuffle of its own.
+        return (
+            pending.select("client", "entity_id")
+            .repartition(partitions, "client", "entity_id")
+            .distinct()
+            .sortWithinPartitions("client")
+            .mapInPandas(run, "entity_id string, code int, body string")
+        )
+
+    return answers
+
+
+def insight_bodies(answers: DataFrame, insight_id: str) -> DataFrame:
+    """``entity_id, body`` of the answers that have rows; an answer that is neither rows
+    nor "no rows" ends the job."""
+    failure = F.raise_error(F.concat(
+        F.lit(f"{insight_id} answer for "), F.col("entity_id"), F.lit(": code "),
+        F.col("code").cast("string"),
+    ))
+    empty = F.col("code").isin(*NO_INSIGHT_CODES)
+    body = F.when(F.col("code") == 200, F.col("body")).when(~F.coalesce(empty, F.lit(False)), failure)
+    return answers.select("entity_id", body.alias("body")).filter(F.col("body").isNotNull())
 
 
 def value_bucket(value: Column, low: float, high: float, buckets: int) -> Column:

@@ -2,56 +2,43 @@
 
 Adaptive execution can split a hot key only on the preserved side of an outer
 join, and only directly above two shuffles. A chain of left joins has neither.
-So hot keys are looked up first, with one small aggregate, and a join that has any
-splits just these keys: equal rows of the hot side are counted into one, its rows of
-the key are dealt into parts, and the other side's are copied once per part.
-Without hot keys it is a plain join.
+So a caller may look up the hot keys once (``hot_keys``) and hand them to each join.
+Rows of all other keys are joined plainly. Rows of a hot key are dealt into parts on
+its hot side and copied once per part on the other one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1_000  # per side; bounds what is collected and broadcast
-HOT_ROWS = 1_000_000  # rows of one key that a single task should take at most
-MAX_PARTS = 4_096
-CHUNK = 1_000  # copies of a row that travel as one
-MAX_CHUNKS = 100_000
+from leadflow.session import shared_folder
+from leadflow.sinks.tables import counted
 
-Hot = dict  # key value -> number of rows
+HOT_ROWS = 1_000_000  # rows of one key that a single task should take at most
+CHUNK = 1_000  # copies of a row that travel as one, at least
 
 
-def hot_keys(
-    sides: Mapping[str, DataFrame], key: str, hot_rows: int = HOT_ROWS
-) -> dict[str, Hot]:
-    """Per side, the keys with more than ``hot_rows`` rows and their row counts.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, with their numbers ``n``; None without any.
 
-    Candidates come from a heavy-hitter sketch, so nothing is shuffled by key. The
-    sketch (20,000 counters) may miss a key below some 0.02% of a side; that costs
-    balance in a very large table, never a row.
+    Counted exactly, each task first on its own, and written, so that several joins can use
+    it. It has at most one row for every ``hot_rows`` rows of the frame and stays on the executors.
     """
-    tagged = [
-        df.select(F.lit(name).alias("side"), F.col(key).cast("string").alias("k"))
-        for name, df in sides.items()
-    ]
-    tops = (
-        reduce(DataFrame.unionByName, tagged)
-        .filter(F.col("k").isNotNull())
-        .groupBy("side")
-        .agg(F.expr(f"approx_top_k(k, {MAX_HOT_KEYS}, {20 * MAX_HOT_KEYS})").alias("top"))
-        .select("side", F.filter("top", lambda t: t["count"] > hot_rows).alias("top"))
-        .collect()  # one row per side, MAX_HOT_KEYS entries at most
-    )
-    found = {row.side: {t["item"]: t["count"] for t in row.top} for row in tops}
-    return {name: found.get(name, {}) for name in sides}
+    many = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found, seen = counted(many.filter(F.col("n") > hot_rows))
+    path = shared_folder(df.sparkSession, "hot-keys")
+    found.write.parquet(path)
+    return df.sparkSession.read.schema(many.schema).parquet(path) if seen.get["n"] else None
 
 
-def _parts(counts: Hot, hot_rows: int) -> Hot:
-    return {k: min(MAX_PARTS, -(-n // hot_rows)) for k, n in counts.items()}
+def product(left: DataFrame | None, right: DataFrame | None, key: str) -> DataFrame | None:
+    """Hot keys of a join's result; a key that is not hot on a side counts once there."""
+    if left is None or right is None:
+        return left if right is None else right
+    both = left.withColumnRenamed("n", "_ln").join(right.withColumnRenamed("n", "_rn"), key, "full")
+    one = F.lit(1)
+    return both.select(key, (F.coalesce("_ln", one) * F.coalesce("_rn", one)).alias("n"))
 
 
 def _columns(df: DataFrame) -> list[str]:
@@ -62,64 +49,63 @@ def _columns(df: DataFrame) -> list[str]:
 def _chunks(df: DataFrame) -> DataFrame:
     """Distinct rows with ``_n`` copies each, very many copies as several rows.
 
-    Equal rows would all be dealt into one part. Counting them first, before any
-    shuffle, leaves rows that differ, and most hot keys are no longer hot then.
+    Equal rows would all be dealt into one part. Counting them first leaves rows that differ.
     """
+    one = F.lit(1).cast("bigint")
     if len(_columns(df)) < len(df.columns):
-        return _single(df)
+        return df.withColumns({"_c": F.lit(0).cast("bigint"), "_n": one})
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_all"))
-    size = F.greatest(F.lit(CHUNK), F.ceil(F.col("_all") / MAX_CHUNKS))
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt("_all")).cast("bigint"))
     numbers = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_all") / size) - 1)
     rows = rows.withColumn("_size", size).withColumn("_c", F.explode(numbers))
     left_over = F.col("_all") - F.col("_c") * F.col("_size")
     return rows.withColumn("_n", F.least("_size", left_over)).drop("_all", "_size")
 
 
-def _single(df: DataFrame) -> DataFrame:
-    one = F.lit(1).cast("bigint")
-    return df.withColumns({"_c": F.lit(0).cast("bigint"), "_n": one})
-
-
 def split_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str = "inner",
-    left_hot: Hot | None = None,
-    right_hot: Hot | None = None,
+    left_hot: DataFrame | None = None,
+    right_hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Inner or left join on one key, with the given hot keys split."""
+    """Inner or left join on one key, with the given hot keys (``key, n``) split."""
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how}")
-    cut_left = _parts(left_hot or {}, hot_rows)
-    cut_right = _parts(right_hot or {}, hot_rows)
-    if not cut_left and not cut_right:
+    if left_hot is None and right_hot is None:
         return left.join(right, key, how)
-    keys = sorted(set(cut_left) | set(cut_right))
-    # At most two times MAX_HOT_KEYS rows.
-    plan = left.sparkSession.createDataFrame(
-        [(k, cut_left.get(k, 1), cut_right.get(k, 1)) for k in keys],
-        "_hk string, _lp int, _rp int",
+    spark = left.sparkSession
+    none = spark.createDataFrame([], (left_hot if left_hot is not None else right_hot).schema)
+
+    def parts(n: str) -> Column:
+        return F.coalesce(F.ceil(F.col(n) / hot_rows), F.lit(1)).cast("int")
+
+    plan = (
+        (none if left_hot is None else left_hot).withColumnRenamed("n", "_ln")
+        .join((none if right_hot is None else right_hot).withColumnRenamed("n", "_rn"), key, "full")
+        .select(key, parts("_ln").alias("_lp"), parts("_rn").alias("_rp"))
+        .filter("_lp > 1 or _rp > 1")
     )
+    out = [*left.columns, *[c for c in right.columns if c != key]]
+    rest = plan.select(key)
+    cold = left.join(rest, key, "left_anti").join(right.join(rest, key, "left_anti"), key, how)
 
-    def side(df: DataFrame, cut: Hot, own: str, other: str, own_part: str, other_part: str):
-        rows = (_chunks(df) if cut else _single(df)).join(
-            F.broadcast(plan), F.col(key).cast("string") == F.col("_hk"), "left"
-        ).withColumns({"_lp": F.coalesce("_lp", F.lit(1)), "_rp": F.coalesce("_rp", F.lit(1))})
+    def side(df: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
+        rows = _chunks(df.join(rest, key, "left_semi")).join(plan, key)
         # A fixed function of the row, so a retried task deals the same way.
         row_hash = F.xxhash64("_c", *[F.col(f"`{c}`") for c in _columns(df)])
         dealt = F.pmod(row_hash, F.col(own)).cast("int")
         copied = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return rows.withColumn(own_part, dealt).withColumn(other_part, copied).drop("_hk", "_c")
+        return rows.withColumn(own_part, dealt).withColumn(other_part, copied).drop("_c")
 
-    a = side(left, cut_left, "_lp", "_rp", "_l", "_r").drop("_lp")
-    b = side(right, cut_right, "_rp", "_lp", "_r", "_l").drop("_lp", "_rp")
+    a = side(left, "_lp", "_rp", "_l", "_r").drop("_lp")
+    b = side(right, "_rp", "_lp", "_r", "_l").drop("_lp", "_rp")
     joined = a.join(b.withColumnRenamed("_n", "_m"), [key, "_l", "_r"], how)
     if how == "left":
         # A key cut on the right has rows there, so a copy that met none is void.
         joined = joined.filter(F.col("_m").isNotNull() | (F.col("_rp") == 1))
     repeats = F.col("_n") * F.coalesce("_m", F.lit(1))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), repeats))).select(
-        *left.columns, *[c for c in right.columns if c != key]
-    )
+    hot = joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), repeats)))
+    return cold.select(*out).unionByName(hot.select(*out))

@@ -24,7 +24,8 @@ def run_spec(spark: SparkSession, spec: Mapping[str, Any]) -> DataFrame:
     - ``with``: names for specs or frames that other parts may use as sources
     - ``from``: a source or a list of them, each plain or ``(source, alias)``; a
       source is a frame, a nested spec, a name from ``with`` or a table. A list is
-      joined by what ``where`` says, so it needs a ``where``
+      joined by what ``where`` says: its ANDed ``alias.column = alias.column`` texts must
+      tie all sources together, so that no two of them are joined row by row
     - ``join``: list of ``(source, alias, condition, how)``
     - ``unnest``: ``(array expression, alias)``, one row per element
     - ``where``: texts or ``(text, "AND" | "OR")`` in SQL precedence
@@ -76,10 +77,28 @@ def _bind(df: DataFrame, condition: str, args: Mapping[str, Any]) -> DataFrame:
         return df.filter(F.expr(condition))
     # Values become columns, which Catalyst folds back into the pushed-down filter.
     bound = df.withColumns({f"_arg_{k}": F.lit(v) for k, v in args.items()})
-    named = re.sub(r"(?<![\w:]):([A-Za-z_]\w*)", r"`_arg_\1`", condition)
+    # A text in quotes stays as it is.
+    named = re.sub(
+        r"('(?:[^'\\]|\\.)*')|(?<![\w:]):([A-Za-z_]\w*)",
+        lambda m: m[1] or f"`_arg_{m[2]}`", condition,
+    )
     return bound.filter(F.expr(named)).drop(*[f"_arg_{k}" for k in args])
 
 
+_EQUAL = re.compile(r"^\s*`?(\w+)`?\.`?\w+`?\s*=\s*`?(\w+)`?\.`?\w+`?\s*$")
+
+
+def _check_joined(sources: list, where) -> None:
+    items = [w if isinstance(w, tuple) else (w, "AND") for w in where]
+    aliases = [s[1] if isinstance(s, tuple) else None for s in sources]
+    met = [m.groups() for text, _ in items if (m := _EQUAL.match(text))]
+    reached = set(aliases[:1])
+    for _ in aliases:
+        reached |= {x for pair in met if reached & set(pair) for x in pair}
+    if None in aliases or any(word.upper() == "OR" for _, word in items) or not set(aliases) <= reached:
+        raise ValueError("a list of sources needs aliases and a where that joins each by an equal column")
+
+
 def _build(spark: SparkSession, spec: Mapping[str, Any], names: Mapping[str, Any]) -> DataFrame:
     names = {**names, **spec.get("with", {})}
     if "union" in spec:
@@ -89,8 +108,8 @@ def _build(spark: SparkSession, spec: Mapping[str, Any], names: Mapping[str, Any
         df = df.distinct() if kind.lower() == "distinct" and len(frames) > 1 else df
     else:
         sources = spec["from"] if isinstance(spec["from"], list) else [spec["from"]]
-        if len(sources) > 1 and not spec.get("where"):
-            raise ValueError("a list of sources needs a where to join them")
+        if len(sources) > 1:
+            _check_joined(sources, spec.get("where", []))
         df = reduce(DataFrame.join, [_aliased(spark, s, names) for s in sources])
     for source, alias, condition, how in spec.get("join", []):
         df = df.join(_aliased(spark, (source, alias), names), F.expr(condition), how)

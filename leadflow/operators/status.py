@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.timestamps import hours_before, ntz, utc_now
+from leadflow.operators.latest import latest_per_key
 from leadflow.schemas import table_schema
 from leadflow.sinks.tables import fit
 
@@ -50,10 +51,30 @@ def change_status(history: DataFrame, changes: DataFrame, now=None) -> DataFrame
     return closed.unionByName(added.select(*history.columns))
 
 
+def one_answer(answers: DataFrame, file: str = "file", time: str = "answered_at") -> DataFrame:
+    """One answer per file: the latest where answers have a time.
+
+    Without times, equal answers count once, and different ones for a file end the job.
+    """
+    rest = [c for c in answers.columns if c not in (file, time)]
+    if time in answers.columns:
+        return latest_per_key(answers, [file], time, rest).drop(time)
+    whole = F.struct(*rest)
+    both = answers.groupBy(file).agg(F.min(whole).alias("_a"), F.max(whole).alias("_b"))
+    differ = F.raise_error(F.concat(F.lit("different answers for "), F.col(file)))
+    same = F.col("_a").eqNullSafe(F.col("_b"))
+    answer = F.when(same, F.col("_a")).otherwise(differ.cast(both.schema["_a"].dataType))
+    return both.withColumn("_a", answer).select(file, "_a.*")
+
+
 def import_gate(running: DataFrame, reported: DataFrame) -> DataFrame:
     """Running files with the reported status, ``UNKNOWN`` where none is, and what
-    follows from it: import the file's entities, change its status."""
-    latest = reported.select("file", F.col("status").alias("new_status"))
+    follows from it: import the file's entities, change its status.
+
+    Each file has one row, however often its status was reported (``one_answer``).
+    """
+    known = [c for c in ("file", "status", "answered_at") if c in reported.columns]
+    latest = one_answer(reported.select(*known)).withColumnRenamed("status", "new_status")
     status = F.coalesce("new_status", F.lit("UNKNOWN"))
     return running.join(latest, "file", "left").withColumns({
         "new_status": status,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.timestamps import EPOCH, next_checkpoint, ntz
 from leadflow.schemas import EXPORT_COLUMNS
-from leadflow.sinks.tables import rows_frame, upsert
-from leadflow.sinks.versioned import VersionedTable
+from leadflow.sinks.state import StateTable, scratch
+from leadflow.sinks.tables import rows_frame
 
 TIME = "ingestion_timestamp"
-MAX_ROWS = 1_000_000
 BUCKETS = 4_096
-SORTABLE = 100_000  # rows that are simply sorted
 MICROSECOND = dt.timedelta(microseconds=1)
 
 
@@ -47,50 +45,87 @@ def source_times(sources: Mapping[str, DataFrame], first: dt.datetime | str) ->
     return times.distinct() if len(parts) > 1 else times
 
 
-def nth_time(times: DataFrame, n: int) -> dt.datetime | None:
-    """Greatest of the first ``n`` times, or of all when there are fewer.
+def time_counts(sources: Mapping[str, DataFrame], first: dt.datetime | str) -> DataFrame:
+    """How many rows each time from ``first`` on has: all that cutting windows needs."""
+    return source_times(sources, first).groupBy(TIME).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nth_time(counts: DataFrame, n: int | None = None) -> dt.datetime | None:
+    """Greatest time of the first ``n`` rows, or of all when there are fewer or no bound.
 
     Found by counting, not by sorting: each pass splits the range into buckets,
-    counts them on the executors and keeps the bucket in which the n-th row lies.
+    adds them up on the executors and keeps the bucket in which the n-th row lies.
     No task ever holds the n rows, and a later pass reads only its own range.
     """
-    low, high, rows = times.agg(F.min(TIME), F.max(TIME), F.count(TIME)).first()
-    if low is None or rows <= n:
+    low, high, rows = counts.agg(F.min(TIME), F.max(TIME), F.sum("n")).first()
+    if low is None or n is None or rows <= n:
         return high
     while low < high:
-        inside = times.filter(F.col(TIME).between(ntz(low), ntz(high)))
-        if rows <= SORTABLE:
-            return inside.orderBy(TIME).limit(n).agg(F.max(TIME)).first()[0]
+        inside = counts.filter(F.col(TIME).between(ntz(low), ntz(high)))
         width = max(1, -(-((high - low) // MICROSECOND + 1) // BUCKETS))
         # A difference of zone-free times, so no clock change can disturb the order.
         seconds = (F.col(TIME) - ntz(low)).cast("interval second").cast("decimal(24,6)")
         offset = (seconds * 1_000_000).cast("bigint")
         buckets = inside.groupBy(F.floor(offset / width).alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(TIME).alias("low"), F.max(TIME).alias("high")
+            F.sum("n").alias("n"), F.min(TIME).alias("low"), F.max(TIME).alias("high")
         )
         # One row per bucket, BUCKETS at most, reaches the driver.
         for bucket in sorted(buckets.collect(), key=lambda r: r.b):
             if n <= bucket.n:
-                low, high, rows = bucket.low, bucket.high, bucket.n
+                low, high = bucket.low, bucket.high
                 break
             n -= bucket.n
-        else:
-            return high  # the source has lost rows meanwhile
     return high
 
 
+def saved_checkpoint(checkpoints: DataFrame, job: str, target: str) -> dt.datetime:
+    """Where a job stands: its greatest checkpoint. Checkpoints only ever move on, so
+    they are added to their table and never changed."""
+    saved = checkpoints.filter((F.col("dag_id") == job) & (F.col("src_table") == target))
+    return saved.agg(F.max("checkpoint")).first()[0] or dt.datetime.fromisoformat(EPOCH)
+
+
+def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.groupBy("dag_id", "src_table").agg(F.max("checkpoint").alias("checkpoint"))
+
+
+def cut_windows(
+    checkpoints: DataFrame,
+    job: str,
+    target: str,
+    sources: Mapping[str, DataFrame],
+    max_rows: int | None = None,
+    work: str | None = None,
+) -> Iterator[ExportWindow]:
+    """All windows behind a job's checkpoint, each over at most ``max_rows`` rows and ties.
+
+    The sources are read once, to count the rows of each time. All windows are cut from
+    those counts, however many there are. The last one has no data.
+    """
+    first = saved_checkpoint(checkpoints, job, target)
+    with scratch(time_counts(sources, first), "window-counts", work) as counts:
+        while True:
+            left = counts.filter(F.col(TIME) >= ntz(first))
+            window = ExportWindow(job, target, first, nth_time(left, max_rows))
+            yield window
+            if not window.has_data:
+                return
+            first = window.last + MICROSECOND
+
+
 def get_window(
     checkpoints: DataFrame,
     job: str,
     target: str,
     sources: Mapping[str, DataFrame],
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> ExportWindow:
-    """The next window of a job: from its checkpoint over at most ``max_rows`` rows."""
-    saved = checkpoints.filter((F.col("dag_id") == job) & (F.col("src_table") == target))
-    row = saved.select("checkpoint").first()
-    first = row.checkpoint if row else dt.datetime.fromisoformat(EPOCH)
-    return ExportWindow(job, target, first, nth_time(source_times(sources, first), max_rows))
+    """The next window of a job."""
+    windows = cut_windows(checkpoints, job, target, sources, max_rows)
+    try:
+        return next(windows)
+    finally:
+        windows.close()
 
 
 def in_window(df: DataFrame, window: ExportWindow) -> DataFrame:
@@ -104,17 +139,19 @@ def export_columns(df: DataFrame, table: str) -> DataFrame:
     return df.select(*EXPORT_COLUMNS[table])
 
 
-def commit_window(checkpoints: VersionedTable, window: ExportWindow) -> bool:
-    """Move the job's checkpoint just behind the window. Call it after the sink."""
+def commit_window(checkpoints: StateTable, window: ExportWindow) -> bool:
+    """Move the job's checkpoint just behind the window. Call it after the sink.
+
+    One row in one file, so it is there or not.
+    """
     if not window.has_data:
         return False
-    spark = checkpoints.spark
     rows = rows_frame(
-        spark,
+        checkpoints.spark,
         [{"dag_id": window.job, "src_table": window.target, "checkpoint": window.last}],
         checkpoints.schema,
     ).withColumn("checkpoint", next_checkpoint(F.col("checkpoint")))
-    checkpoints.write(upsert(checkpoints.read(), rows, ["dag_id", "src_table"]))
+    checkpoints.append(rows.coalesce(1))
     return True
 
 

@@ -34,10 +34,10 @@ VIEWS = {
         select cast(user_id as string) as entity_id,
                array_sort(array_agg(distinct event_type)) as preferences,
                max(ts) as ingestion_timestamp
-        from {events} where user_id % 4 <> 0 group by user_id""",
+        from {events} group by user_id""",
     "match_score_raw": """
         select cast(user_id as string) as entity_id,
-               concat('{{"entity_id":"', cast(user_id as string), '","bluesun":',
+               concat('{{"entity_id":"', cast(user_id as string), '","corex":',
                       cast(coalesce(max(case when event_type = 'click' then value end), 0)
                            as string),
                       ',"acme":',
@@ -55,6 +55,17 @@ VIEWS = {
                            as string), '}}') as body,
                max(ts) as ingestion_timestamp
         from {events} group by user_id""",
+    "insight_answers": """
+        select entity_id, case when c_acctbal < 0 then 204 when c_acctbal < 100 then 402 else 200 end as code,
+               concat('{{"entity_id":"', entity_id, '","corex":', cast(c_acctbal as string),
+                      ',"acme":', cast(c_nationkey as string), '}}') as scores,
+               concat('{{"entity_id":"', entity_id, '","persuasion":["', c_mktsegment, '"]}}') as persuasion,
+               concat('{{"entity_id":"', entity_id, '","preferences":["', c_mktsegment, '","',
+                      cast(c_nationkey as string), '"]}}') as channel,
+               concat('{{"entity_id":"', entity_id, '","prediction":"', c_mktsegment, '"}}') as relationship_fit,
+               concat('{{"entity_id":"', entity_id, '","archetype":"', lower(c_mktsegment), '"}}') as archetypes
+        from (select cast(c_custkey as string) as entity_id, c_acctbal, c_nationkey, c_mktsegment
+              from {customer}) c""",
     "persuasion": """
         select cast(o_custkey as string) as entity_id,
                array_sort(array_agg(distinct o_orderpriority)) as persuasion,
@@ -64,7 +75,7 @@ VIEWS = {
         select cast(c_custkey as string) as entity_id,
                case when c_acctbal < 0 then 'poor' when c_acctbal < 5000 then 'fair'
                     else 'good' end as prediction
-        from {customer} where c_custkey % 5 <> 0""",
+        from {customer} where c_custkey in (select o_custkey from {orders})""",
     "archetypes": """
         select cast(c_custkey as string) as entity_id, n_name as archetype
         from {customer} join {nation} on c_nationkey = n_nationkey""",
@@ -90,7 +101,7 @@ VIEWS = {
         select concat('f-', cast(o_orderkey as string)) as file,
                case when o_orderkey % 3 = 0 then 'SUCCEEDED'
                     when o_orderkey % 3 = 1 then 'RUNNING' end as status
-        from {orders} where o_orderkey % 7 <> 0""",
+        from {orders}""",
     "staging_contacts": """
         select event_id as id, c_mktsegment as client, event_type as first_name,
                c_name as last_name,
@@ -111,14 +122,15 @@ VIEWS = {
                concat('10.0.', cast(l_linenumber as string), '.', cast(l_orderkey % 256 as string))
                    as ipaddress,
                l_returnflag as browser_agent, l_shipdate - interval '1' day as created_at
-        from {lineitem} where l_linenumber = 1 and l_suppkey % 5 <> 0""",
+        from {lineitem}""",
     "users": """
         select n_nationkey as id, n_regionkey as tree_user_id
-        from {nation} where n_nationkey % 6 <> 5""",
+        from {nation} where n_nationkey in (select s_nationkey from {supplier})""",
     "tracking_codes": """
         select n_nationkey as user_id, 'ga' as third_party_tracking_company,
                concat('trk-', n_name) as tracking_code
-        from {nation} where n_nationkey % 2 = 0""",
+        from {nation} where n_nationkey in
+            (select c_nationkey from {customer} group by c_nationkey having min(c_acctbal) < -900)""",
     "lead_features": """
         select c_custkey as lead_id, c_name as name, 18 + c_custkey % 60 as age,
                coalesce(n_orders, 0) / 10.0E0 as engagement_score,
@@ -130,7 +142,8 @@ VIEWS = {
                    where event_type = 'view' group by user_id) e on c_custkey = user_id""",
     "feedback": """
         select conv_id as lead_id, turn, text as feedback_text,
-               turn % 4 = 0 as sentiment_processed
+               turn % 4 = 0 as sentiment_processed, cast(null as string) as sentiment_label,
+               cast(null as double) as sentiment_score
         from {conversations} where role = 'user'""",
 }
 

@@ -6,32 +6,37 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadflow.functions.crypto import decrypt_lines
-from leadflow.functions.insights import reshape_insight
+from leadflow.functions.insights import is_readable, reshape_insight
 from leadflow.functions.names import export_name
-from leadflow.functions.records import coerce_record, drop_zero_dates, stringify_times
+from leadflow.functions.records import coerce_record, stringify_times
 from leadflow.functions.rules import polarity, priority, strength, tier
 from leadflow.functions.timestamps import pinned, stamp, utc_now
 from leadflow.operators.joins import pending_entities, profiles, site_visitors
-from leadflow.operators.scoring import FEATURES, Predictor, fetch_insights, lexicon_score, predict
+from leadflow.operators.scoring import (
+    FEATURES, Predictor, insight_bodies, lead_scores, lexicon_score,
+)
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.operators.window import (
-    MAX_ROWS, commit_window, export_columns, get_window, in_window, late_rows,
+    commit_window, cut_windows, export_columns, in_window, late_rows, saved_checkpoint,
 )
 from leadflow.schemas import INSIGHT_IDS, insight_table, struct_type, table_schema
-from leadflow.session import shared_folder
-from leadflow.sinks.csv_export import export_csv, route_uploads
+from leadflow.sinks.csv_export import export_csv, move_files, route_uploads
+from leadflow.sinks.state import StateTable, scratch
 from leadflow.sinks.tables import append, counted, replace, upsert
-from leadflow.sinks.versioned import VersionedTable
-from leadflow.sources.files import list_files, text_lines
+from leadflow.sources.changes import cdc_records, check_on_error
+from leadflow.sources.files import list_files
 from leadflow.sources.json_records import (
-    accept_batches, check_contacts, contact_rows, decode_json, entities_from_answers, strict,
+    accept_batches, check_contacts, contact_rows, entities_from_answers,
 )
-from leadflow.sources.tables import read_source
+from leadflow.sources.tables import destination_schema, read_source
+from leadflow.streaming.ingest import stream_cdc
+
+__all__ = ["cdc_records", "lead_scores"]  # also used from here
 
 
 @dataclass(frozen=True)
@@ -43,73 +48,52 @@ class JobResult:
     detail: object = None
 
 
-def _check_on_error(on_error: str) -> None:
-    if on_error not in ("fail", "quarantine"):
-        raise ValueError(f"on_error must be fail or quarantine, not {on_error}")
+def _schema(spark: SparkSession, table: str, schema: str | T.StructType | None) -> T.StructType:
+    """The given schema, or that of the table to load into."""
+    return destination_schema(spark, table) if schema is None else struct_type(schema)
 
 
 # Change files to the lake
 
 
-def cdc_records(
-    lines: DataFrame,
-    keys: Sequence[str],
-    schema: str | T.StructType,
-    on_error: str = "fail",
-    now=None,
-) -> DataFrame:
-    """Encrypted lines as typed, stamped records; the same for batch and stream.
-
-    With ``on_error="quarantine"`` bad lines stay, with ``_line`` and ``_error`` set.
-    """
-    _check_on_error(on_error)
-    target = struct_type(schema)
-    decoded = decode_json(decrypt_lines(lines, list(keys)), target)
-    if on_error == "fail":
-        records = stamp(strict(decoded).select("_record.*"), now=now)
-        return drop_zero_dates(coerce_record(records, target, on_bad="fail")).select(*target.names)
-    records = stamp(
-        decoded.select("_record.*", F.col("value").alias("_line"), "_error"), now=now
-    )
-    typed = drop_zero_dates(coerce_record(records, target))
-    unread = F.when(
-        F.size("_bad_fields") > 0,
-        F.concat(F.lit("unreadable "), F.array_join("_bad_fields", ", ")),
-    )
-    return typed.withColumn("_error", F.coalesce("_error", unread)).select(
-        *target.names, "_line", "_error"
-    )
-
-
 def cdc_to_lake(
     spark: SparkSession,
     source: str,
     lake: str,
+    checkpoint: str,
     keys: Sequence[str],
-    schema: str | T.StructType,
+    schema: str | T.StructType | None = None,
     prefix: str = "",
     contains: str = "",
     on_error: str = "fail",
     quarantine: str | None = None,
     now=None,
+    name: str = "batch",
 ) -> JobResult:
-    """Load change files. No shuffle: decode, type and write each file split alone."""
-    lines = text_lines(spark.read, source, prefix, contains)
-    records = cdc_records(lines, keys, schema, on_error, now)
-    if on_error == "fail":
-        return JobResult("cdc_to_lake", "done", append(records, lake, schema))
-    if not quarantine:
-        raise ValueError("name the quarantine table")
-    seen, watch = counted(records, "all_lines")
-    good = seen.filter(F.col("_error").isNull()).drop("_line", "_error")
-    rows = append(good, lake, schema)
-    bad = watch.get["n"] - rows
-    if bad:
-        # The second decoding is only paid for when there is something to keep.
-        records.filter(F.col("_error").isNotNull()).select("_line", "_error").write.mode(
-            "append"
-        ).parquet(quarantine)
-    return JobResult("cdc_to_lake", "done", rows, bad)
+    """Load the change files that no run with this checkpoint has loaded; skipped without any.
+
+    No shuffle: decode, type and write each file split alone. Without ``schema`` the lake's
+    own is taken. See ``stream_cdc`` for how batches and several ingests share the lake.
+    """
+    check_on_error(on_error, quarantine)
+    target = _schema(spark, lake, schema)
+    if "load" in target.names:
+        target = T.StructType([f for f in target if f.name != "load"])
+    try:
+        if list_files(spark, source, prefix, contains).isEmpty():
+            return JobResult("cdc_to_lake", "skipped")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return JobResult("cdc_to_lake", "skipped")
+    loaded: list[tuple[int, int]] = []
+    stream_cdc(
+        spark, source, lake, checkpoint, keys, target, prefix, contains, on_error=on_error,
+        quarantine=quarantine, now=now, name=name, loaded=loaded,
+    ).awaitTermination()
+    if not loaded:
+        return JobResult("cdc_to_lake", "skipped")
+    return JobResult("cdc_to_lake", "done", sum(r for r, _ in loaded), sum(b for _, b in loaded))
 
 
 # Lake to staging
@@ -118,17 +102,19 @@ def cdc_to_lake(
 def stage(
     spark: SparkSession,
     destination: str,
-    schema: str | T.StructType,
+    schema: str | T.StructType | None,
     query: str,
     args: Mapping | None = None,
     now=None,
     **frames: DataFrame,
 ) -> JobResult:
-    """Copy a query's rows to a staging table, stamped, times as plain text first."""
-    return JobResult(
-        "stage", "done", append(staged(read_source(spark, query=query, args=args, **frames),
-                                       schema, now), destination, schema)
-    )
+    """Copy a query's rows to a staging table, stamped, times as plain text first.
+
+    Without a schema, that of the destination is read while planning.
+    """
+    target = _schema(spark, destination, schema)
+    rows = staged(read_source(spark, query=query, args=args, **frames), target, now)
+    return JobResult("stage", "done", append(rows, destination, target))
 
 
 def staged(rows: DataFrame, schema: str | T.StructType, now=None) -> DataFrame:
@@ -143,7 +129,7 @@ def upload_files(
     files: DataFrame,
     upload: Callable[[str, str], tuple[int, str]],
     table: str,
-    partitions: int = 64,
+    partitions: int,
 ) -> DataFrame:
     """Hand every exported file to ``upload(client, path)``, ``partitions`` at a time."""
 
@@ -165,75 +151,106 @@ def upload_files(
     return sent.withColumn("name", export_name(F.lit(table), F.col("client"), file))
 
 
+def route_files(
+    spark: SparkSession, folder: str, out: str, table: str,
+    upload: Callable[[str, str], tuple[int, str]], uploads_at_once: int,
+) -> DataFrame:
+    """Upload the files of an export and move each below ``out/processed`` or ``out/failed``.
+
+    Returns the routed files. The answers are written before any file moves, so a repeated
+    task moves files but sends none again.
+    """
+    files = list_files(spark, f"{folder}/*", contains=".csv")
+    results = f"{out.rstrip('/')}/{table}-uploads/{uuid.uuid4().hex}"
+    sent = upload_files(files, upload, table, uploads_at_once)
+    route_uploads(sent).write.partitionBy("route").parquet(results)
+    routed = spark.read.parquet(results)
+    place = F.concat(
+        F.lit(f"{out.rstrip('/')}/"), "route", F.lit(f"/{table}"), F.regexp_extract("path", "(/run=.*)$", 1)
+    )
+    move_files(routed.select("path", place.alias("target")), uploads_at_once)
+    return routed
+
+
 def export_table(
     source: DataFrame,
     table: str,
-    checkpoints: VersionedTable,
+    checkpoints: StateTable,
     out: str,
     job: str = "export",
-    status: VersionedTable | None = None,
+    status: StateTable | None = None,
     upload: Callable[[str, str], tuple[int, str]] | None = None,
-    max_rows: int = MAX_ROWS,
+    uploads_at_once: int | None = None,
+    max_rows: int | None = None,
+    max_windows: int | None = None,
     now=None,
+    work: str | None = None,
 ) -> JobResult:
-    """Export one window as CSV per client; the checkpoint moves last.
+    """Export everything behind the checkpoint as CSV per client; the checkpoint moves last.
 
-    With ``upload``, each file goes to ``processed`` or ``failed`` by its answer, the
-    processed ones open a status row, and any failure ends the job uncommitted.
+    All rows are one window, or with ``max_rows`` several, each exported and committed on its
+    own; ``max_windows`` ends the job earlier. The detail holds the windows. With ``upload``,
+    each file is moved to ``processed`` or ``failed`` by its answer, the processed ones open a
+    status row, and any failure ends the job with its window uncommitted.
     """
-    window = get_window(checkpoints.read(), job, table, {table: source}, max_rows)
-    if not window.has_data:
-        return JobResult("export", "skipped", detail=window)
-    folder = f"{out.rstrip('/')}/{table}/run={uuid.uuid4().hex}"
-    seen = export_csv(export_columns(in_window(source, window), table), folder)
-    if upload is not None:
-        spark = source.sparkSession
-        files = list_files(spark, f"{folder}/*", contains=".csv")
-        results = f"{out.rstrip('/')}/{table}-uploads/{uuid.uuid4().hex}"
-        # Written once: uploads must not run again when the results are read.
-        route_uploads(upload_files(files, upload, table)).write.partitionBy("route").parquet(results)
-        routed = spark.read.parquet(results)
-        if status is not None:
-            opened = routed.filter(F.col("route") == "processed").select(
-                "client", F.col("accepted_file").alias("file"), F.lit(table).alias("src_table")
-            )
-            status.append(open_rows(opened, now))
-        failed = routed.filter(F.col("route") == "failed").count()
-        if failed:
-            raise RuntimeError(f"{failed} files of {table} failed to upload, see {results}")
-    commit_window(checkpoints, window)
-    return JobResult("export", "done", seen.get["n"], detail=window)
+    if upload is not None and not uploads_at_once:
+        raise ValueError("say how many uploads the service takes at once")
+    spark, done, rows = source.sparkSession, [], 0
+    windows = cut_windows(checkpoints.read(), job, table, {table: source}, max_rows, work)
+    try:
+        for window in windows:
+            if not window.has_data or len(done) == max_windows:
+                break
+            folder = f"{out.rstrip('/')}/{table}/run={uuid.uuid4().hex}"
+            seen = export_csv(export_columns(in_window(source, window), table), folder)
+            if upload is not None:
+                routed = route_files(spark, folder, out, table, upload, uploads_at_once)
+                if status is not None:
+                    opened = routed.filter(F.col("route") == "processed").select(
+                        "client", F.col("accepted_file").alias("file"),
+                        F.lit(table).alias("src_table"),
+                    )
+                    status.append(open_rows(opened, now))
+                failed = routed.filter(F.col("route") == "failed").count()
+                if failed:
+                    raise RuntimeError(f"{failed} files of {table} failed to upload, see {out}/failed")
+            commit_window(checkpoints, window)
+            done.append(window)
+            rows += seen.get["n"]
+    finally:
+        windows.close()
+    return JobResult("export", "done" if done else "skipped", rows, detail=done)
 
 
 def count_late(source: DataFrame, checkpoints: DataFrame, job: str, table: str) -> int:
     """Rows of an arrived batch that the committed checkpoint has already passed."""
-    row = checkpoints.filter(
-        (F.col("dag_id") == job) & (F.col("src_table") == table)
-    ).select("checkpoint").first()
-    return late_rows(source, row.checkpoint).count() if row else 0
+    return late_rows(source, saved_checkpoint(checkpoints, job, table)).count()
 
 
 # Imports
 
 
 def import_entities(
-    status: VersionedTable,
+    status: StateTable,
     reported: DataFrame,
     answers: DataFrame,
     entities: str,
     now=None,
     hours: int = 24,
+    work: str | None = None,
 ) -> JobResult:
-    """Import entities of finished files, then write every file's new status."""
+    """Import entities of finished files, then write every file's new status.
+
+    What was reported is read once: a file that finishes meanwhile waits for the next run.
+    """
     now = pinned(now)
-    history = status.read()
-    gate = import_gate(running_files(history, now, hours), reported)
-    if gate.isEmpty():
-        return JobResult("import_entities", "skipped")
-    rows = entities_from_answers(answers, gate.filter("imports"), now)
-    written = append(rows, entities, table_schema("entities"))
-    changes = gate.filter("changes").select("client", "file", "src_table", "new_status")
-    status.write(change_status(history, changes, now))
+    with scratch(import_gate(running_files(status.read(), now, hours), reported), "gate", work) as gate:
+        if gate.isEmpty():
+            return JobResult("import_entities", "skipped")
+        rows = entities_from_answers(answers, gate.filter("imports"), now)
+        written = append(rows, entities, table_schema("entities"))
+        changes = gate.filter("changes").select("client", "file", "src_table", "new_status")
+        status.update(changes, lambda history: change_status(history, changes, now))
     return JobResult("import_entities", "done", written)
 
 
@@ -241,12 +258,19 @@ def refresh_insight(
     entities: DataFrame,
     insight_id: str,
     folder: str,
-    fetch: Callable[[str, str, list[str]], tuple[int, list[dict]]],
+    answers: Callable[[DataFrame], DataFrame],
     now=None,
     hours: int = 24,
-    **options,
+    on_error: str = "fail",
+    quarantine: str | None = None,
+    work: str | None = None,
 ) -> JobResult:
-    """Fetch one insight for the entities that lack a recent one, and append it."""
+    """Fetch one insight for the entities that lack a recent one, and append it.
+
+    ``answers`` makes ``entity_id, code, body`` of the waiting entities: ``ask_service`` for a
+    service, or a join with bodies at hand. An unreadable body ends the job or goes aside.
+    """
+    check_on_error(on_error, quarantine)
     now = pinned(now)
     spark = entities.sparkSession
     name = insight_table(insight_id)
@@ -255,20 +279,29 @@ def refresh_insight(
     spark.createDataFrame([], schema).write.mode("ignore").parquet(table)
     existing = spark.read.schema(schema).parquet(table)
     # Kept apart from the table it is appended to, and asked for only once.
-    waiting = shared_folder(spark, f"pending-{name}")
-    pending_entities(entities, existing, utc_now(now), hours).write.parquet(waiting)
-    pending = spark.read.parquet(waiting)
-    if pending.isEmpty():
-        return JobResult(f"refresh {insight_id}", "skipped")
-    bodies = fetch_insights(pending, insight_id, fetch, **options)
-    rows = stamp(reshape_insight(bodies, insight_id), now=now)
-    return JobResult(f"refresh {insight_id}", "done", append(rows, table, schema))
+    waiting = pending_entities(entities, existing, utc_now(now), hours)
+    with scratch(waiting, f"pending-{name}", work) as pending:
+        if pending.isEmpty():
+            return JobResult(f"refresh {insight_id}", "skipped")
+        with scratch(insight_bodies(answers(pending), insight_id), f"bodies-{name}", work) as bodies:
+            bad = 0
+            if on_error == "quarantine":
+                aside, seen = counted(bodies.filter(~is_readable(F.col("body"), insight_id)))
+                aside.write.mode("append").parquet(quarantine)
+                bad, bodies = seen.get["n"], bodies.filter(is_readable(F.col("body"), insight_id))
+            rows = append(stamp(reshape_insight(bodies, insight_id), now=now), table, schema)
+    return JobResult(f"refresh {insight_id}", "done", rows, bad)
 
 
 def refresh_insights(
-    entities: DataFrame, folder: str, fetch, insight_ids: Sequence[str] = INSIGHT_IDS, **options
+    entities: DataFrame,
+    folder: str,
+    answers: Callable[[str], Callable[[DataFrame], DataFrame]],
+    insight_ids: Sequence[str] = INSIGHT_IDS,
+    **options,
 ) -> list[JobResult]:
-    return [refresh_insight(entities, i, folder, fetch, **options) for i in insight_ids]
+    """Refresh each insight; ``answers(insight_id)`` says where its answers come from."""
+    return [refresh_insight(entities, i, folder, answers(i), **options) for i in insight_ids]
 
 
 def upload_contacts(
@@ -278,42 +311,37 @@ def upload_contacts(
     on_error: str = "reject_batch",
     quarantine: str | None = None,
     now=None,
+    work: str | None = None,
 ) -> JobResult:
     """Append contacts of uploaded bodies (``batch_id, client, body``).
 
     One faulty contact rejects its whole body, or goes alone to the quarantine table.
+    The bodies are parsed once.
     """
     if on_error not in ("reject_batch", "quarantine"):
         raise ValueError(f"on_error must be reject_batch or quarantine, not {on_error}")
-    checked = check_contacts(contact_rows(uploads))
+    if on_error == "quarantine" and not quarantine:
+        raise ValueError("name the quarantine table")
     schema = table_schema("lake.contacts")
-    if on_error == "reject_batch":
-        good, watch = accept_batches(checked, batch), None
-    else:
-        if not quarantine:
-            raise ValueError("name the quarantine table")
-        seen, watch = counted(checked, "contacts")
-        good = seen.filter(F.size("_errors") == 0).drop("_errors")
-    rows = append(stamp(good.drop(batch), now=now), lake, schema)
-    bad = watch.get["n"] - rows if watch else 0
-    if bad:
-        rejected = check_contacts(contact_rows(uploads).withColumn("_text", F.col("contact")))
-        rejected.filter(F.size("_errors") > 0).select(
-            batch, "client", F.col("_text").alias("contact"), "_errors"
-        ).write.mode("append").parquet(quarantine)
-    return JobResult("upload_contacts", "done", rows, bad)
+    texts = contact_rows(uploads).withColumn("_text", F.col("contact"))
+    with scratch(check_contacts(texts), "contacts", work) as checked:
+        if on_error == "reject_batch":
+            good = accept_batches(checked.drop("_text"), batch)
+            return JobResult(
+                "upload_contacts", "done", append(stamp(good.drop(batch), now=now), lake, schema)
+            )
+        good = checked.filter(F.size("_errors") == 0).drop("_errors", "_text", batch)
+        rows = append(stamp(good, now=now), lake, schema)
+        aside, seen = counted(checked.filter(F.size("_errors") > 0))
+        aside.select(batch, "client", F.col("_text").alias("contact"), "_errors").write.mode(
+            "append"
+        ).parquet(quarantine)
+    return JobResult("upload_contacts", "done", rows, seen.get["n"])
 
 
 # Scores
 
 
-def lead_scores(
-    leads: DataFrame, predictor: Predictor, features: Sequence[str] = FEATURES
-) -> DataFrame:
-    """Scores of processed leads."""
-    return predict(leads.filter(F.col("processed")), features, predictor, "lead_score double")
-
-
 def sentiment(feedback: DataFrame, score: Callable = lexicon_score) -> DataFrame:
     """Score, label and strength of feedback texts that have none yet."""
     new = feedback.filter(~F.col("sentiment_processed"))
@@ -338,7 +366,7 @@ def prioritised_leads(scores: DataFrame, moods: DataFrame) -> DataFrame:
 
 
 def score_leads(
-    leads: VersionedTable, predictor: Predictor, mode: str = "update",
+    leads: StateTable, predictor: Predictor, mode: str = "update",
     features: Sequence[str] = FEATURES,
 ) -> JobResult:
     """Write scores back to the lead table, into the scored rows or as more rows.
@@ -348,15 +376,45 @@ def score_leads(
     if mode not in ("update", "append"):
         raise ValueError(f"mode must be update or append, not {mode}")
     table = leads.read()
-    if table.filter(F.col("processed")).isEmpty():
+    processed = table.filter(F.col("processed"))
+    if processed.isEmpty():
         return JobResult("score_leads", "skipped")
-    scored, seen = counted(lead_scores(table, predictor, features).select(*table.columns))
+    rows = []
+
+    def scored(df: DataFrame) -> DataFrame:
+        made, seen = counted(lead_scores(df, predictor, features).select(*table.columns))
+        rows.append(seen)
+        return made
+
     if mode == "append":
-        leads.append(scored)
+        leads.append(scored(table))
     else:
-        unscored = table.filter(~F.coalesce(F.col("processed"), F.lit(False)))
-        leads.write(scored.unionByName(unscored))
-    return JobResult("score_leads", "done", seen.get["n"])
+        leads.update(processed, lambda old: scored(old).unionByName(
+            old.filter(~F.coalesce(F.col("processed"), F.lit(False)))
+        ))
+    return JobResult("score_leads", "done", rows[0].get["n"])
+
+
+def score_sentiment(feedback: StateTable, score: Callable = lexicon_score) -> JobResult:
+    """Write score and label of feedback texts that have none yet into their rows.
+
+    ``sentiment_processed`` is set, so the next run takes new texts only. Texts
+    whose flag is null wait, as in ``sentiment``.
+    """
+    table = feedback.read()
+    new = table.filter(~F.col("sentiment_processed"))
+    if new.isEmpty():
+        return JobResult("score_sentiment", "skipped")
+    rows = []
+
+    def change(old: DataFrame) -> DataFrame:
+        made, seen = counted(sentiment(old, score))
+        rows.append(seen)
+        done = made.withColumn("sentiment_processed", F.lit(True)).select(*table.columns)
+        return done.unionByName(old.filter(F.coalesce(F.col("sentiment_processed"), F.lit(True))))
+
+    feedback.update(new, change)
+    return JobResult("score_sentiment", "done", rows[0].get["n"])
 
 
 def merge_scores(table: DataFrame, scored: DataFrame, key: str = "lead_id") -> DataFrame:
@@ -368,7 +426,10 @@ def merge_scores(table: DataFrame, scored: DataFrame, key: str = "lead_id") -> D
 
 
 def publish_profiles(out: str, *frames, kind: str = "lead", **options) -> JobResult:
-    """All profiles as a table; readers filter it by id."""
+    """All profiles as a table; readers filter it by id.
+
+    Give ``hot=profile_hot_keys(..)`` where entities may have very many rows.
+    """
     rows, seen = counted(profiles(*frames, kind=kind, **options))
     replace(rows, out)
     return JobResult(f"{kind} profiles", "done", seen.get["n"])

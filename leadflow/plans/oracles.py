@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leadflow.operators.scoring import NEGATIVE_WORDS, POSITIVE_WORDS
 from leadflow.plans.inputs import with_views
 
 _SCORE_VIEWS = ["match_score_raw", "adopt_curve_raw"]
@@ -111,8 +112,8 @@ def _words(words: list[str]) -> str:
 _MOODS = f"""
     select lead_id, turn,
            (good - bad) / greatest(good + bad, 1) as sentiment_score
-    from (select lead_id, turn, {_words(["the", "and", "for", "with"])} as good,
-                 {_words(["of", "in", "was", "de"])} as bad
+    from (select lead_id, turn, {_words(POSITIVE_WORDS)} as good,
+                 {_words(NEGATIVE_WORDS)} as bad
           from feedback where not sentiment_processed)"""
 
 
@@ -133,6 +134,13 @@ _CHANGES = """
                          case when p.pos = 0 then timestamp '2020-01-01 00:00:00' end as "at",
                          case when p.pos = 0 then 1 else c_custkey % 5 end as n) v"""
 
+_QUARANTINE = """
+    select c_custkey,
+           case c_nationkey when 3 then 'unreadable opened' when 4 then 'unknown extra'
+                            when 5 then 'bad json' when 7 then 'unreadable marks' else '' end
+               as error
+    from customer"""
+
 # The contact of a customer: which of its fields are at fault.
 _CONTACT_ERRORS = """
     select c_custkey, c_name, lower(c_mktsegment) as segment, c_custkey % 13 = 4 as text_id,
@@ -200,6 +208,13 @@ def oracles() -> dict[str, str]:
                    coalesce(f.checkpoint, t.checkpoint) as checkpoint
             from target t full join fresh f
                 on t.dag_id = f.dag_id and t.src_table = f.src_table""",
+        "latest_checkpoint": """
+            select 'export' as dag_id, event_type as src_table, max(ts) as checkpoint
+            from events group by event_type""",
+        "upsert_duplicates": """
+            select o_custkey, count(*) as n_orders,
+                   case when count(*) = 1 then min(o_orderkey) end as only_order
+            from orders group by o_custkey""",
         "pending_entities": with_views(["entities", "channel"], """
             select entity_id, client from entities e
             where not exists (
@@ -241,6 +256,19 @@ def oracles() -> dict[str, str]:
         "export_job": with_views(["staging_contacts"], """
             select client, first_name, count(*) as n
             from staging_contacts group by client, first_name"""),
+        "export_drain": with_views(["staging_contacts"], """
+            select client, first_name, count(*) as n,
+                   (select max(ingestion_timestamp) + interval '1' microsecond from staging_contacts)
+                       as checkpoint,
+                   (select count(*) > 2000 from staging_contacts) as several_windows
+            from staging_contacts group by client, first_name"""),
+        "export_leads": with_views(["staging_contacts"], f"""
+            select {_CONTACT_COLUMNS}, cast(null as string) as gender, zip as age
+            from staging_contacts"""),
+        "export_moves": with_views(["staging_contacts"], """
+            select client, case when client = 'MACHINERY' then 'failed' else 'processed' end as route,
+                   count(*) as n
+            from staging_contacts group by client"""),
         "export_routing": with_views(["data_source_status"], """
             select file as name,
                    case when status = 'running' then 'processed' else 'failed' end as route,
@@ -265,6 +293,18 @@ def oracles() -> dict[str, str]:
             union all
             select 'new', 'g-' || o_orderkey, 'staging.zleads', 'running', {_NOW}, null
             from orders where o_orderstatus = 'P'"""),
+        "import_repeated_answers": with_views(["data_source_status"], f"""
+            , last as (
+                select 'f-' || l_orderkey as file, l_returnflag as flag from lineitem
+                qualify row_number() over (partition by l_orderkey
+                    order by l_shipdate + to_seconds(l_linenumber) desc,
+                             case l_returnflag when 'A' then 2 when 'N' then 1 else 0 end desc) = 1),
+            gate as (
+                select r.file, case flag when 'N' then 'RUNNING' when 'A' then 'SUCCEEDED'
+                                    when 'R' then 'FAILED' else 'UNKNOWN' end as new_status
+                from ({_RUNNING}) r left join last s on r.file = s.file)
+            select file, new_status, new_status = 'SUCCEEDED' as imports, new_status <> 'RUNNING' as changes
+            from gate"""),
         "import_gate": with_views(["data_source_status", "reported_status"], f"""
             , done as (
                 select client, file, cast(substr(file, 3) as bigint) as k from ({_GATE})
@@ -288,6 +328,11 @@ def oracles() -> dict[str, str]:
                         else 'plain' || o_orderkey end as file_name,
                    case when o_orderkey % 3 = 0 then o_orderkey end as suffix
             from orders""",
+        "stored_query": """
+            select o_orderpriority, count(*) as n from orders where o_totalprice > 100000 group by 1""",
+        "load_counts": """
+            select 'all' as load, count(*) as n from part union all select 'keys', count(*) from part
+            union all select 'table', 3 * count(*) from part""",
         "run_spec": """
             select o_custkey, word, count(*) as n
             from (select o_custkey, unnest(string_split(o_orderpriority, '-')) as word
@@ -311,17 +356,16 @@ def oracles() -> dict[str, str]:
             from events""",
         "coerce_strings": """
             select event_id, t as as_datetime, cast(t as date) as as_date,
-                   epoch(case when event_id % 6 = 5 then t - interval '2' hour else t end) as epoch,
+                   epoch(case when event_id % 16 in (5, 14, 15) then t - interval '2' hour else t end)
+                       as epoch,
                    t is not null as is_date,
-                   case when event_id % 6 = 3 then 'as_datetime,as_date,as_timestamp' else '' end
+                   case when event_id % 16 = 3 then 'as_datetime,as_date,as_timestamp' else '' end
                        as bad
             from (select event_id, case
-                      when event_id % 6 = 0 then ts
-                      when event_id % 6 = 1
-                          then try_strptime(strftime(ts, '%Y%m%d'), '%Y%m%d')
-                      when event_id % 6 = 2
-                          then try_strptime(strftime(ts, '%m/%d/%Y'), '%m/%d/%Y')
-                      when event_id % 6 = 5 then date_trunc('second', ts) end as t
+                      when event_id % 16 = 0 then ts
+                      when event_id % 16 in (1, 2, 8, 11) then date_trunc('day', ts)
+                      when event_id % 16 in (6, 9) then date_trunc('minute', ts)
+                      when event_id % 16 not in (3, 4) then date_trunc('second', ts) end as t
                   from events)""",
         "nested_coerce": """
             select event_id, 'items.d' as bad, 0 as pos,
@@ -378,20 +422,33 @@ def oracles() -> dict[str, str]:
             select event_id, case when event_id % 4 < 2 then ts end as expires,
                    event_id % 4 >= 2 or ts < timestamp '2024-01-16 00:00:00' as expired
             from events""",
-        "insight_fetch": with_views(["entities"], """
-            select entity_id, 'bluesun' as client, cast(entity_id as integer) % 100 as score
-            from entities where client <> 'MACHINERY'
+        "insight_fetch": with_views(["entities", "insight_answers"], """
+            select entity_id, 'corex' as client,
+                   cast(trunc(cast(json_extract_string(scores, '$.corex') as double)) as integer) as score
+            from entities natural join insight_answers where code = 200
+            union all
+            select entity_id, 'acme', cast(json_extract_string(scores, '$.acme') as integer)
+            from entities natural join insight_answers where code = 200"""),
+        "insight_refresh": with_views(["insight_answers"], """
+            , answers as (
+                select entity_id, timestamp '2024-02-01 00:00:00' as ingestion_timestamp, c.*
+                from insight_answers join customer c on entity_id = cast(c_custkey as string)
+                where code = 200)
+            select 'match_score' as insight, entity_id, ingestion_timestamp,
+                   'acme:' || c_nationkey || ',corex:' || cast(trunc(c_acctbal) as integer) as value
+            from answers
             union all
-            select entity_id, 'acme', cast(entity_id as integer) * 7 % 50
-            from entities where client <> 'MACHINERY'"""),
-        "insight_refresh": with_views(["entities"], """
-            select entity_id, timestamp '2024-02-01 00:00:00' as ingestion_timestamp, corpus, score
-            from (select entity_id, 'bluesun' as corpus,
-                         cast(entity_id as integer) % 100 + 0.9e0 as score
-                  from entities where client <> 'MACHINERY'
-                  union all
-                  select entity_id, 'acme', cast(entity_id as integer) * 7 % 50
-                  from entities where client <> 'MACHINERY')"""),
+            select 'adopt_curve', entity_id, ingestion_timestamp,
+                   'acme:' || c_nationkey || '.0,corex:' || c_acctbal from answers
+            union all
+            select 'persuasion', entity_id, ingestion_timestamp, c_mktsegment from answers
+            union all
+            select 'channel', entity_id, ingestion_timestamp, c_mktsegment || '|' || c_nationkey
+            from answers
+            union all
+            select 'relationship_fit', entity_id, ingestion_timestamp, c_mktsegment from answers
+            union all
+            select 'archetypes', entity_id, ingestion_timestamp, lower(c_mktsegment) from answers"""),
         "lead_scores": with_views(["lead_features"], _LEAD_SCORES),
         "lead_scores_columns": with_views(
             ["lead_features"], f"select lead_id, lead_score from ({_LEAD_SCORES})"
@@ -401,6 +458,14 @@ def oracles() -> dict[str, str]:
                    {_label("sentiment_score")} as sentiment_label,
                    round(abs(sentiment_score), 6) as sentiment_strength
             from ({_MOODS})"""),
+        "sentiment_update": with_views(["feedback"], f"""
+            select f.lead_id, f.turn, f.sentiment_processed is not null as sentiment_processed,
+                   case when not f.sentiment_processed then {_label("m.sentiment_score")} end
+                       as sentiment_label,
+                   case when not f.sentiment_processed then round(m.sentiment_score, 6) end
+                       as sentiment_score,
+                   'skipped' as second_run
+            from feedback f left join ({_MOODS}) m on f.lead_id = m.lead_id and f.turn = m.turn"""),
         "priority": with_views(["lead_features", "feedback"], f"""
             select s.lead_id, s.name, s.lead_score, m.score as sentiment_score,
                    {_label("m.score")} as sentiment_label,
@@ -446,11 +511,10 @@ def oracles() -> dict[str, str]:
             union all select c_custkey, null, null, lower(c_mktsegment) from customer
             union all select -1, null, null, 'it''s'""",
         "cdc_to_lake": _CHANGES,
-        "cdc_quarantine": """
-            select c_custkey,
-                   case c_nationkey when 3 then 'unreadable opened' when 4 then 'unknown extra'
-                                    when 5 then 'bad json' else '' end as error
-            from customer""",
+        "cdc_rerun": f"select *, 'skipped done done skipped' as runs from ({_CHANGES})",
+        "cdc_batch_and_stream": _CHANGES,
+        "cdc_quarantine": _QUARANTINE,
+        "cdc_stream_quarantine": _QUARANTINE,
         "stream_cdc": _CHANGES,
         "stream_scoring": with_views(["lead_features"], _LEAD_SCORES),
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import partial
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,30 +16,28 @@ from leadflow.functions.records import coerce_record, stringify_decimals, string
 from leadflow.operators import joins
 from leadflow.operators.latest import latest_per_key
 from leadflow.operators.scoring import (
-    drift, fetch_insights, lexicon_score, logistic_predictor, logistic_score, value_bucket,
+    drift, insight_bodies, logistic_predictor, logistic_score, value_bucket,
 )
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.operators.window import (
-    ExportWindow, export_columns, get_window, in_window, late_rows,
+    ExportWindow, export_columns, get_window, in_window, late_rows, latest_checkpoints,
 )
 from leadflow.plans import jobs
 from leadflow.plans.inputs import base, view
-from leadflow.schemas import table_schema
+from leadflow.schemas import INSIGHT_IDS, EXPORT_COLUMNS, table_schema
 from leadflow.session import shared_folder
 from leadflow.sinks.csv_export import export_csv, read_export, route_uploads
-from leadflow.sinks.tables import append, rows_frame, upsert
-from leadflow.sinks.versioned import VersionedTable
+from leadflow.sinks.state import StateTable
+from leadflow.sinks.tables import append, one_per_key, rows_frame
 from leadflow.sources.json_records import check_contacts, reported_status
-from leadflow.sources.tables import read_source
+from leadflow.sources.tables import destination_schema, load_table, query_file, read_source
 from leadflow.streaming.ingest import stream_cdc, stream_scores
 
 # Demonstration keys; the lines are made with the second one.
 KEYS = ["AAECAwQFBgcICQoLDA0ODw==", "EBESExQVFhcYGRobHB0eHw=="]
 WEIGHTS = {"age": 0.02, "engagement_score": 0.3, "page_views": 0.1}
 INTERCEPT = -3.0
-POSITIVE = ["the", "and", "for", "with"]
-NEGATIVE = ["of", "in", "was", "de"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,17 +235,19 @@ def profile_fanout(spark, sf):
 
 @query
 def profile_fanout_split(spark, sf):
-    """The same with the way of hot keys taken for every key with over two rows."""
+    """The same with every key of over two rows looked up and split."""
     return _fanout(spark, sf, hot_rows=2)
 
 
-def _fanout(spark, sf, **options) -> DataFrame:
+def _fanout(spark, sf, hot_rows: int | None = None) -> DataFrame:
     insights = _insights(spark, sf)
     insights["channel"] = _channel_history(spark, sf)
     insights["persuasion"] = _persuasion_history(spark, sf)
-    rows = joins.profile_rows(
-        view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), insights, **options
-    )
+    frames = view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), insights
+    options = {}
+    if hot_rows:
+        options = {"hot": joins.profile_hot_keys(*frames, hot_rows), "hot_rows": hot_rows}
+    rows = joins.profile_rows(*frames, **options)
     return rows.select(
         "lead_id", "entity_id", F.array_join("preferences", "|").alias("preferences"),
         F.array_join("persuasion", "|").alias("persuasion"),
@@ -276,12 +276,39 @@ def upsert_checkpoint(spark, sf):
         F.concat(F.lit("c-"), F.col("user_id")).alias("src_table"),
         ts.next_checkpoint(F.col("last")).alias("checkpoint"),
     )
-    table = VersionedTable(spark, shared_folder(spark, "checkpoint"), table_schema("checkpoint"))
-    table.write(target)
-    table.write(upsert(table.read(), rows, ["dag_id", "src_table"]))
+    table = StateTable(
+        spark, shared_folder(spark, "checkpoint"), table_schema("checkpoint"), ["dag_id", "src_table"], 8
+    )
+    table.append(target)
+    table.merge(rows)
     return table.read()
 
 
+@query
+def latest_checkpoint(spark, sf):
+    """Checkpoints as jobs leave them: one row for each move, the greatest in force."""
+    moves = base(spark, sf, "events").select(
+        F.lit("export").alias("dag_id"), F.col("event_type").alias("src_table"),
+        F.col("ts").alias("checkpoint"),
+    )
+    table = StateTable(
+        spark, shared_folder(spark, "moves"), table_schema("checkpoint"), ["dag_id", "src_table"], 4
+    )
+    table.append(moves)
+    return latest_checkpoints(table.read())
+
+
+@query
+def upsert_duplicates(spark, sf):
+    """Customers with one order pass the check of an upsert's keys; how many rows others have."""
+    orders = base(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    counts = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    single = one_per_key(
+        orders.join(counts.filter("n_orders = 1"), "o_custkey", "left_semi"), ["o_custkey"]
+    )
+    return counts.join(single, "o_custkey", "left").withColumnRenamed("o_orderkey", "only_order")
+
+
 @query
 def pending_entities(spark, sf):
     return joins.pending_entities(
@@ -362,19 +389,66 @@ def incremental_export(spark, sf):
 
 @query
 def export_job(spark, sf):
-    """Export everything in three windows, then read the files back."""
+    """Export everything behind the checkpoint, then read the files back."""
+    return _exported(spark, sf)[0]
+
+
+def _checkpoints(spark, folder: str) -> StateTable:
+    return StateTable(
+        spark, f"{folder}/checkpoint", table_schema("checkpoint"), ["dag_id", "src_table"], 2
+    )
+
+
+def _exported(spark, sf, **options):
     source = view(spark, sf, "staging_contacts")
     folder = shared_folder(spark, "export_job")
-    checkpoints = VersionedTable(spark, f"{folder}/checkpoint", table_schema("checkpoint"))
-    bound = source.count() // 3 + 1
-    while jobs.export_table(
-        source, "staging.contacts", checkpoints, f"{folder}/out", max_rows=bound
-    ).state == "done":
-        pass
+    checkpoints = _checkpoints(spark, folder)
+    result = jobs.export_table(source, "staging.contacts", checkpoints, f"{folder}/out", **options)
     exported = read_export(
         spark, f"{folder}/out/staging.contacts", ["first_name", "last_name", "email"]
     )
-    return exported.groupBy("client", "first_name").agg(F.count(F.lit(1)).alias("n"))
+    rows = exported.groupBy("client", "first_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows, result, checkpoints
+
+
+@query
+def export_drain(spark, sf):
+    """The same in windows of 2,000 rows, all cut from one count of the times."""
+    rows, result, checkpoints = _exported(spark, sf, max_rows=2_000)
+    moved = latest_checkpoints(checkpoints.read()).first()  # one job, one table: one row
+    return rows.withColumns({
+        "checkpoint": ts.ntz(moved.checkpoint), "several_windows": F.lit(len(result.detail) > 1),
+    })
+
+
+@query
+def export_leads(spark, sf):
+    """The other exported table, with its own columns."""
+    source = view(spark, sf, "staging_contacts")
+    wide = source.withColumns({"gender": F.lit(None).cast("string"), "age": F.col("zip").cast("int")})
+    folder = shared_folder(spark, "export_leads")
+    jobs.export_table(wide, "staging.zleads", _checkpoints(spark, folder), f"{folder}/out")
+    columns = [c for c in EXPORT_COLUMNS["staging.zleads"] if c != "client"]
+    return read_export(spark, f"{folder}/out/staging.zleads", columns)
+
+
+@query
+def export_moves(spark, sf):
+    """Exported files, sent and moved: those of one client are refused."""
+    folder = shared_folder(spark, "export_moves")
+    export_csv(export_columns(view(spark, sf, "staging_contacts"), "staging.contacts"), f"{folder}/run=1")
+
+    def upload(client, path):  # a nested function travels whole to the workers
+        return (500, "") if client == "MACHINERY" else (200, '{"file":"' + path.split("/")[-1] + '"}')
+
+    routed = jobs.route_files(spark, f"{folder}/run=1", folder, "staging.contacts", upload, 4)
+    names = routed.select("client", "route").distinct()
+    there = [
+        read_export(spark, f"{folder}/{route}/staging.contacts", ["first_name"])
+        .groupBy("client").agg(F.count(F.lit(1)).alias("n")).withColumn("route", F.lit(route))
+        for route in ("processed", "failed")
+    ]
+    return names.join(there[0].unionByName(there[1]), ["client", "route"])
 
 
 @query
@@ -428,13 +502,32 @@ def status_history(spark, sf):
     return changed.unionByName(open_rows(uploads, now))
 
 
+def _status(spark, sf, folder: str) -> StateTable:
+    status = StateTable(spark, f"{folder}/status", table_schema("data_source_status"), ["file"], 8)
+    status.append(view(spark, sf, "data_source_status"))
+    return status
+
+
+@query
+def import_repeated_answers(spark, sf):
+    """Files reported several times, each line's ship date being one report: the last one counts."""
+    history = view(spark, sf, "data_source_status")
+    reported = base(spark, sf, "lineitem").select(
+        F.concat(F.lit("f-"), F.col("l_orderkey")).alias("file"),
+        F.when(F.col("l_returnflag") == "N", "RUNNING").when(F.col("l_returnflag") == "A", "SUCCEEDED")
+        .otherwise("FAILED").alias("status"),
+        (F.col("l_shipdate") + F.col("l_linenumber") * F.expr("interval '1' second")).alias("answered_at"),
+    )
+    gate = import_gate(running_files(history, "1998-08-02 00:30:00", 8760), reported)
+    return gate.select("file", "new_status", "imports", "changes")
+
+
 @query
 def import_gate_(spark, sf):
     """The entity import as a job: files, reported status, answers, entity table."""
     folder = shared_folder(spark, "import_gate")
     now = "1998-08-02 00:30:00"
-    status = VersionedTable(spark, f"{folder}/status", table_schema("data_source_status"))
-    status.write(view(spark, sf, "data_source_status"))
+    status = _status(spark, sf, folder)
     order = F.col("o_orderkey")
     body = F.to_json(F.array(
         F.struct(
@@ -504,6 +597,31 @@ def file_order(spark, sf):
     ).orderBy(*names.file_order(F.col("file_name")))
 
 
+@query
+def stored_query(spark, sf):
+    """A query kept in a text file, over a table found by its name."""
+    folder = shared_folder(spark, "stored_query")
+    lines = ["select o_orderpriority, count(*) as n", "from {orders}", "where o_totalprice > :low", "group by 1"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/sql")
+    orders = load_table(spark, f"{sf.rstrip('/')}/orders.parquet")
+    return query_file(spark, f"{folder}/sql", args={"low": 100000.0}, orders=orders)
+
+
+@query
+def load_counts(spark, sf):
+    """Rows that loads say they wrote, under the schema of the table that is there."""
+    folder = shared_folder(spark, "load_counts")
+    parts = base(spark, sf, "part")
+    parts.write.parquet(f"{folder}/t")
+    schema = destination_schema(spark, f"{folder}/t")
+    loads = [
+        (name, append(part, f"{folder}/t", schema))
+        for name, part in (("all", parts), ("keys", parts.select("p_partkey")))
+    ]
+    there = spark.read.parquet(f"{folder}/t").count()
+    return spark.createDataFrame([*loads, ("table", there)], "load string, n bigint")
+
+
 @query
 def run_spec_(spark, sf):
     return run_spec(spark, {
@@ -557,13 +675,21 @@ def stringify_timestamps(spark, sf):
 
 @query
 def coerce_strings(spark, sf):
-    kind = F.col("event_id") % 6
+    kind = F.col("event_id") % 16
     raw = (
         F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
         .when(kind == 1, F.date_format("ts", "yyyyMMdd"))
         .when(kind == 2, F.date_format("ts", "MM/dd/yyyy"))
         .when(kind == 3, F.concat(F.lit("nope "), F.col("event_id")))
         .when(kind == 4, "0000-00-00 00:00:00")
+        .when(kind == 6, F.date_format("ts", "M/d/yyyy H:mm"))
+        .when(kind == 7, F.date_format("ts", "MMM d, yyyy H:mm:ss"))
+        .when(kind == 8, F.date_format("ts", "d MMMM yyyy"))
+        .when(kind == 9, F.date_format("ts", "yyyy-MM-dd hh:mm a"))
+        .when(kind == 10, F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"))
+        .when(kind == 11, F.date_format("ts", "MM-dd-yyyy"))
+        .when(kind == 12, F.date_format("ts", "yyyyMMdd'T'HHmmss"))
+        .when(kind == 13, F.date_format("ts", "MMMM d, yyyy h:mm:ss a"))
         .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
     )
     rows = base(spark, sf, "events").select(
@@ -715,39 +841,44 @@ def ns_timestamps(spark, sf):
 # Scores
 
 
-def _service():
-    """Stands for the remote service: arithmetic on the id, nothing for one client."""
-
-    def fetch(client, insight_id, ids):  # a nested function travels whole to the workers
-        if client == "MACHINERY":
-            return 204, []
-        return 200, [
-            {"entity_id": i, "bluesun": int(i) % 100 + 0.9, "acme": int(i) * 7 % 50} for i in ids
-        ]
-
-    return fetch
+def _answers(spark, sf, insight_id: str):
+    """The answers to an insight's requests: bodies made of the tables, found by entity."""
+    body = {"match-score": "scores", "adopt-curve": "scores"}.get(insight_id, insight_id.replace("-", "_"))
+    known = view(spark, sf, "insight_answers").select("entity_id", "code", F.col(body).alias("body"))
+    return lambda pending: pending.select("entity_id").join(known, "entity_id")
 
 
 @query
 def insight_refresh(spark, sf):
-    """The refresh as a job, twice on one day: the second finds nothing to add."""
+    """The refresh of all insights as a job, twice on one day: the second adds only for
+    entities that had no answer, and there is none for them again."""
     folder = shared_folder(spark, "insights")
     for now in ("2024-02-01 00:00:00", "2024-02-01 09:30:00"):
-        jobs.refresh_insight(
-            view(spark, sf, "entities"), "adopt-curve", folder, _service(), now=now, partitions=8
+        jobs.refresh_insights(
+            view(spark, sf, "entities"), folder, lambda i: _answers(spark, sf, i), now=now
         )
-    scores = spark.read.parquet(f"{folder}/adopt_curve")
-    return scores.select("entity_id", "ingestion_timestamp", F.explode("scores").alias("s")).select(
-        "entity_id", "ingestion_timestamp", "s.*"
-    )
+    made = []
+    for insight_id in INSIGHT_IDS:
+        name = insight_id.replace("-", "_")
+        rows = spark.read.parquet(f"{folder}/{name}")
+        value = next(c for c in rows.columns if c not in ("entity_id", "ingestion_timestamp"))
+        text = F.col(value)
+        if name == "match_score":
+            text = _score_text(value, "client")
+        elif name == "adopt_curve":
+            text = _score_text(value, "corpus")
+        elif name in ("persuasion", "channel"):
+            text = F.array_join(value, "|")
+        made.append(rows.select(
+            F.lit(name).alias("insight"), "entity_id", "ingestion_timestamp", text.alias("value")
+        ))
+    return reduce(DataFrame.unionByName, made)
 
 
 @query
 def insight_fetch(spark, sf):
-    bodies = fetch_insights(
-        view(spark, sf, "entities"), "match-score", _service(), max_ids=500, partitions=8
-    )
-    scores = reshape_insight(bodies, "match-score")
+    answers = _answers(spark, sf, "match-score")(view(spark, sf, "entities"))
+    scores = reshape_insight(insight_bodies(answers, "match-score"), "match-score")
     return scores.select("entity_id", F.explode("scores").alias("s")).select("entity_id", "s.*")
 
 
@@ -767,8 +898,21 @@ def lead_scores_columns(spark, sf):
 
 
 def _moods(spark, sf) -> DataFrame:
-    score = partial(lexicon_score, positive=POSITIVE, negative=NEGATIVE)
-    return jobs.sentiment(view(spark, sf, "feedback"), score)
+    return jobs.sentiment(view(spark, sf, "feedback"))
+
+
+@query
+def sentiment_update(spark, sf):
+    """Scores written into the feedback table; a second run finds nothing to score."""
+    feedback = view(spark, sf, "feedback")
+    table = StateTable(spark, shared_folder(spark, "feedback"), feedback.schema, ["lead_id"], 8)
+    table.append(feedback)
+    runs = [jobs.score_sentiment(table) for _ in range(2)]
+    return table.read().select(
+        "lead_id", "turn", "sentiment_processed", "sentiment_label",
+        F.round("sentiment_score", 6).alias("sentiment_score"),
+        F.lit(runs[1].state).alias("second_run"),
+    )
 
 
 @query
@@ -797,8 +941,8 @@ def drift_psi(spark, sf):
 @query
 def merge_scores(spark, sf):
     leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(None).cast("double"))
-    table = VersionedTable(spark, shared_folder(spark, "leads"), leads.schema)
-    table.write(leads)
+    table = StateTable(spark, shared_folder(spark, "leads"), leads.schema, ["lead_id"], 8)
+    table.append(leads)
     jobs.score_leads(table, logistic_predictor(WEIGHTS, INTERCEPT))
     return table.read().select("lead_id", "name", "processed", "lead_score")
 
@@ -808,9 +952,9 @@ def merge_predictions(spark, sf):
     """Scores made elsewhere replace the lead rows they belong to."""
     leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(-1.0))
     made = lead_scores_columns(spark, sf).join(leads.drop("lead_score"), "lead_id")
-    table = VersionedTable(spark, shared_folder(spark, "leads"), leads.schema)
-    table.write(leads)
-    table.write(jobs.merge_scores(table.read(), made))
+    table = StateTable(spark, shared_folder(spark, "leads"), leads.schema, ["lead_id"], 8)
+    table.append(leads)
+    table.merge(made)
     return table.read().select("lead_id", "name", "processed", "lead_score")
 
 
@@ -842,11 +986,12 @@ def append_aligned(spark, sf):
 
 CHANGE_SCHEMA = (
     "c_custkey bigint, c_name string, opened timestamp_ntz, born date, "
-    "visits array<struct<at:timestamp_ntz,n:int>>, ingestion_timestamp timestamp_ntz"
+    "visits array<struct<at:timestamp_ntz,n:int>>, marks map<string,date>, "
+    "ingestion_timestamp timestamp_ntz"
 )
 
 
-def _change_files(spark, sf) -> str:
+def _change_files(spark, sf, folder: str | None = None, which: Column | None = None) -> str:
     key = F.col("c_custkey")
     record = F.struct(
         key, "c_name",
@@ -858,9 +1003,10 @@ def _change_files(spark, sf) -> str:
             F.struct(F.lit("0000-00-00 00:00:00").alias("at"), (key % 5).cast("int").alias("n")),
         ).alias("visits"),
     )
-    lines = base(spark, sf, "customer").select(F.to_json(record).alias("text"))
-    folder = shared_folder(spark, "changes")
-    encrypt_lines(lines, KEYS, "text", use=1).write.text(folder)
+    rows = base(spark, sf, "customer")
+    lines = (rows if which is None else rows.filter(which)).select(F.to_json(record).alias("text"))
+    folder = folder or shared_folder(spark, "changes")
+    encrypt_lines(lines, KEYS, "text", use=1).write.mode("append").text(folder)
     return folder
 
 
@@ -870,30 +1016,66 @@ def _changes(lake: DataFrame) -> DataFrame:
     ).select("c_custkey", "c_name", "opened", "born", "pos", "v.at", "v.n")
 
 
+def _run_batch(spark, source, folder, **options):
+    return jobs.cdc_to_lake(
+        spark, source, f"{folder}/lake", f"{folder}/checkpoint", KEYS, CHANGE_SCHEMA, prefix="part-", **options
+    )
+
+
 @query
 def cdc_to_lake(spark, sf):
-    source, lake = _change_files(spark, sf), shared_folder(spark, "lake")
-    jobs.cdc_to_lake(spark, source, lake, KEYS, CHANGE_SCHEMA, prefix="part-", contains=".txt")
-    return _changes(spark.read.parquet(lake))
+    source, folder = _change_files(spark, sf), shared_folder(spark, "lake")
+    _run_batch(spark, source, folder, contains=".txt")
+    return _changes(spark.read.parquet(f"{folder}/lake"))
 
 
 @query
-def cdc_quarantine(spark, sf):
-    """Bad records of a load, found again in the quarantine table."""
+def cdc_rerun(spark, sf):
+    """Files of half the customers, the others' files later, and a run without new files."""
+    folder, states = shared_folder(spark, "rerun"), []
+    low = base(spark, sf, "customer").agg(F.avg("c_custkey")).first()[0]
+    states.append(_run_batch(spark, f"{folder}/in", folder).state)  # there is no folder yet
+    for part in (F.col("c_custkey") < low, F.col("c_custkey") >= low):
+        _change_files(spark, sf, f"{folder}/in", part)
+        states.append(_run_batch(spark, f"{folder}/in", folder).state)
+    states.append(_run_batch(spark, f"{folder}/in", folder).state)
+    return _changes(spark.read.parquet(f"{folder}/lake")).withColumn("runs", F.lit(" ".join(states)))
+
+
+@query
+def cdc_batch_and_stream(spark, sf):
+    """Both ways into one lake, each with files of its own: all rows are there, once."""
+    folder = shared_folder(spark, "both_ways")
+    low = base(spark, sf, "customer").agg(F.avg("c_custkey")).first()[0]
+    _change_files(spark, sf, f"{folder}/in", F.col("c_custkey") < low)
+    _change_files(spark, sf, f"{folder}/arriving", F.col("c_custkey") >= low)
+    for _ in range(2):
+        _run_batch(spark, f"{folder}/in", folder)
+        stream_cdc(
+            spark, f"{folder}/arriving", f"{folder}/lake", f"{folder}/stream", KEYS, CHANGE_SCHEMA,
+            prefix="part-", files_per_batch=2, name="stream",
+        ).awaitTermination()
+    return _changes(spark.read.parquet(f"{folder}/lake"))
+
+
+def _bad_change_files(spark, sf, folder: str) -> None:
     nation = F.col("c_nationkey")
+    key = F.col("c_custkey").cast("string")
     text = (
         F.when(nation == 3, F.to_json(F.struct("c_custkey", F.lit("soon").alias("opened"))))
         .when(nation == 4, F.to_json(F.struct("c_custkey", F.lit(1).alias("extra"))))
-        .when(nation == 5, F.concat(F.lit('{"c_custkey":'), F.col("c_custkey"), F.lit(',"c_name"')))
+        .when(nation == 5, F.concat(F.lit('{"c_custkey":'), key, F.lit(',"c_name"')))
+        .when(nation == 6, F.to_json(F.struct("c_custkey", F.create_map(
+            F.lit("a"), F.lit("0000-00-00"), F.lit("b"), F.lit("Jan 2, 2020")).alias("marks"))))
+        .when(nation == 7, F.to_json(F.struct("c_custkey", F.create_map(
+            F.lit("a"), F.lit("never")).alias("marks"))))
         .otherwise(F.to_json(F.struct("c_custkey", "c_name")))
     )
-    folder = shared_folder(spark, "quarantine")
     lines = base(spark, sf, "customer").select(text.alias("text"))
-    encrypt_lines(lines, KEYS, "text").write.text(f"{folder}/in")
-    jobs.cdc_to_lake(
-        spark, f"{folder}/in", f"{folder}/lake", KEYS, CHANGE_SCHEMA, on_error="quarantine",
-        quarantine=f"{folder}/bad",
-    )
+    encrypt_lines(lines, KEYS, "text").write.text(folder)
+
+
+def _loaded_and_bad(spark, folder: str) -> DataFrame:
     loaded = spark.read.parquet(f"{folder}/lake").select("c_custkey", F.lit("").alias("error"))
     bad = decrypt_lines(spark.read.parquet(f"{folder}/bad"), KEYS, "_line").select(
         F.regexp_extract("text", '"c_custkey":([0-9]+)', 1).cast("bigint").alias("c_custkey"),
@@ -902,15 +1084,34 @@ def cdc_quarantine(spark, sf):
     return loaded.unionByName(bad)
 
 
+@query
+def cdc_quarantine(spark, sf):
+    """Bad records of a load, found again in the quarantine table."""
+    folder = shared_folder(spark, "quarantine")
+    _bad_change_files(spark, sf, f"{folder}/in")
+    _run_batch(spark, f"{folder}/in", folder, on_error="quarantine", quarantine=f"{folder}/bad")
+    return _loaded_and_bad(spark, folder)
+
+
+@query
+def cdc_stream_quarantine(spark, sf):
+    folder = shared_folder(spark, "stream_quarantine")
+    _bad_change_files(spark, sf, f"{folder}/in")
+    stream_cdc(
+        spark, f"{folder}/in", f"{folder}/lake", f"{folder}/checkpoint", KEYS, CHANGE_SCHEMA,
+        prefix="part-", files_per_batch=1, on_error="quarantine", quarantine=f"{folder}/bad",
+    ).awaitTermination()
+    return _loaded_and_bad(spark, folder)
+
+
 @query
 def stream_cdc_(spark, sf):
     source, folder = _change_files(spark, sf), shared_folder(spark, "stream")
     for _ in range(2):  # the second run finds no new files
-        for running in stream_cdc(
+        stream_cdc(
             spark, source, f"{folder}/lake", f"{folder}/checkpoint", KEYS, CHANGE_SCHEMA,
             prefix="part-", files_per_batch=2,
-        ):
-            running.awaitTermination()
+        ).awaitTermination()
     return _changes(spark.read.parquet(f"{folder}/lake"))
 
 

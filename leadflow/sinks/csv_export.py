@@ -92,3 +92,36 @@ def route_uploads(results: DataFrame) -> DataFrame:
         "accepted_file": F.when(done, accepted),
         "route": F.when(F.coalesce(done, F.lit(False)), "processed").otherwise("failed"),
     })
+
+
+def move_files(moves: DataFrame, partitions: int) -> None:
+    """Move each file from ``path`` to ``target``, ``partitions`` at a time, on the executors.
+
+    A file that is at its target already, as after a repeated task, stays there.
+    """
+
+    def run(batches):  # a nested function travels whole to the workers
+        import re
+
+        from pyarrow import fs
+
+        def place(name: str):
+            # Only the store is told by its URI: Spark leaves blanks in paths as they are.
+            scheme, host, path = re.match(r"^(?:(\w+):(?://([^/]*))?)?(.*)$", name, re.S).groups()
+            if scheme in (None, "file"):
+                return fs.LocalFileSystem(), path
+            files, base = fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+            return files, base.rstrip("/") + path
+
+        for batch in batches:
+            for path, target in zip(batch["path"], batch["target"]):
+                (files, source), (_, there) = place(path), place(target)
+                before, after = (f.type for f in files.get_file_info([source, there]))
+                if before == fs.FileType.NotFound and after == fs.FileType.File:
+                    continue
+                files.create_dir(there.rsplit("/", 1)[0], recursive=True)
+                files.move(source, there)
+            yield batch[["target"]]
+
+    spread = moves.repartition(partitions, "path")
+    spread.mapInPandas(run, "target string").write.format("noop").mode("overwrite").save()

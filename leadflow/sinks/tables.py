@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.schemas import struct_type
+from leadflow.session import shared_folder
 
 
 def fit(df: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -52,8 +53,16 @@ def append(
 
 
 def replace(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Make the query result the table's whole content."""
-    _save(df, table, "overwrite", partition_by)
+    """Make the query result the table's whole content.
+
+    The result is first made in full in the shared folder. A query that fails leaves the
+    old table as it is; only a copy takes its place.
+    """
+    path = shared_folder(df.sparkSession, "replace")
+    df.write.parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _save(made, table, "overwrite", partition_by)
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 def replace_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
@@ -74,7 +83,21 @@ def rows_frame(
     return spark.createDataFrame(values, schema)
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, ending the job at a key that has several."""
+    rest = [c for c in rows.columns if c not in keys]
+    grouped = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_row")
+    )
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    several = F.raise_error(F.concat(F.lit("several rows for key "), named))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(several.cast(grouped.schema["_row"].dataType))
+    return grouped.withColumn("_row", row).select(
+        *[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in rows.columns]
+    )
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target rows without a newer version, plus the new rows (one per key)."""
-    kept = target.join(rows.select(*keys), list(keys), "left_anti").select(*target.columns)
-    return kept.unionByName(rows.select(*target.columns))
+    """Target rows without a newer version, plus the new rows; two for a key end the job."""
+    new = one_per_key(rows.select(*target.columns), keys)
+    return target.join(rows.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(new)

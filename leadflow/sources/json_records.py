@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from leadflow.functions.contacts import contact_errors, contact_fields, contact_values
 from leadflow.functions.records import text_schema
 from leadflow.functions.timestamps import utc_now
+from leadflow.operators.status import one_answer
 from leadflow.schemas import struct_type
 
 # Answers that stand for "nothing there yet".
@@ -62,8 +63,9 @@ def reported_status(answers: DataFrame) -> DataFrame:
         F.lit("status answer for "), F.col("file"), F.lit(": "), F.col("code").cast("string")
     ))
     status = F.coalesce(F.get_json_object("body", "$.status"), F.lit("UNKNOWN"))
+    time = ["answered_at"] if "answered_at" in answers.columns else []
     return answers.select(
-        "file", F.when(F.col("code") == 200, status).otherwise(failure).alias("status")
+        "file", F.when(F.col("code") == 200, status).otherwise(failure).alias("status"), *time
     )
 
 
@@ -71,7 +73,7 @@ _ENTITY_BODY = "array<struct<entity_id:string,email:string,phone:string,twitter:
 
 
 def entities_from_answers(answers: DataFrame, files: DataFrame, now=None) -> DataFrame:
-    """Entity rows of the files' answers (``file, code, body``).
+    """Entity rows of the files' answers (``file, code, body``), one answer per file.
 
     An answer that is neither rows nor "nothing there" ends the job.
     """
@@ -84,7 +86,7 @@ def entities_from_answers(answers: DataFrame, files: DataFrame, now=None) -> Dat
     )
     return (
         files.select("client", "file")
-        .join(answers, "file")
+        .join(one_answer(answers), "file")
         .select("client", "file", F.explode(rows).alias("e"))
         .select("e.*", "client", "file")
         .withColumn("ingestion_timestamp", utc_now(now))
@@ -120,7 +122,8 @@ def accept_batches(checked: DataFrame, batch: str) -> DataFrame:
     """Only the contacts of batches in which every contact is valid.
 
     The faulty batches are reduced to distinct ids before they are joined, so a
-    very large batch stays spread over many tasks.
+    very large batch stays spread over many tasks. The frame is used twice: hand over a
+    written one, so that no body is parsed again.
     """
     faulty = checked.filter(F.size("_errors") > 0).select(batch).distinct()
     return checked.join(faulty, batch, "left_anti").drop("_errors")

@@ -1,8 +1,8 @@
-"""Streams over arriving files: change lines to the lake, leads to scores.
+"""Arriving files: change lines to the lake, leads to scores.
 
-Both use the column functions of the batch jobs. Which files were consumed is kept
-in the stream's checkpoint, so a repeated run takes only new files, and the file
-sink's log keeps each batch from counting twice.
+Which files were consumed is kept in the stream's checkpoint, so a repeated run takes
+only new files. The change ingest of the batch job is the same stream, run until it has
+nothing left.
 """
 
 from __future__ import annotations
@@ -14,18 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from leadflow.operators.scoring import FEATURES, Predictor
-from leadflow.plans.jobs import cdc_records, lead_scores
+from leadflow.functions.timestamps import pinned
+from leadflow.operators.scoring import FEATURES, Predictor, lead_scores
 from leadflow.schemas import struct_type
-from leadflow.sinks.tables import fit
+from leadflow.sinks.state import scratch
+from leadflow.sinks.tables import counted, fit
+from leadflow.sources.changes import cdc_records, check_on_error
 from leadflow.sources.files import text_lines
 
-
-def _start(df: DataFrame, out: str, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = df.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", checkpoint
-    )
-    return (writer.trigger(availableNow=True) if available_now else writer).start(out)
+LOAD = "load"  # partition column of the lake: which batch of which ingest a row came with
 
 
 def stream_cdc(
@@ -39,32 +36,48 @@ def stream_cdc(
     contains: str = "",
     archive: str | None = None,
     files_per_batch: int = 1_000,
+    on_error: str = "fail",
     quarantine: str | None = None,
     available_now: bool = True,
     now=None,
-) -> list[StreamingQuery]:
-    """Start the ingest of new files; with ``quarantine`` a second query keeps bad lines.
+    name: str = "changes",
+    loaded: list[tuple[int, int]] | None = None,
+) -> StreamingQuery:
+    """Start the ingest of new files. Bad lines end it, or go to ``quarantine``.
+
+    Each batch is a partition of the lake, named after the ingest (``name``, one for each
+    checkpoint) and the batch's number. A batch that is repeated after a failure overwrites
+    its own partition, so no row counts twice, and any number of ingests share a lake. Lines are
+    decoded once, also when some go aside. ``loaded`` collects rows and rejected lines by batch.
 
     ``archive`` moves consumed files aside for tidiness only, at some later time.
     """
-    def lines() -> DataFrame:
-        reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        if archive:
-            reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-        return text_lines(reader, source, prefix, contains)
-
-    if quarantine is None:
-        records = fit(cdc_records(lines(), keys, schema, now=now), schema)
-        return [_start(records, lake, checkpoint, available_now)]
+    check_on_error(on_error, quarantine)
+    target = struct_type(schema)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     if archive:
-        raise ValueError("two queries read the files, so neither may move them")
-    records = cdc_records(lines(), keys, schema, "quarantine", now)
-    good = records.filter(F.col("_error").isNull()).drop("_line", "_error")
-    bad = records.filter(F.col("_error").isNotNull()).select("_line", "_error")
-    return [
-        _start(fit(good, schema), lake, f"{checkpoint}/lake", available_now),
-        _start(bad, quarantine, f"{checkpoint}/quarantine", available_now),
-    ]
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    lines = text_lines(reader, source, prefix, contains)
+
+    def put(rows: DataFrame, folder: str, number: int) -> int:
+        made, seen = counted(rows)
+        made.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{LOAD}={name}-{number}")
+        return seen.get["n"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        records = cdc_records(batch, keys, target, on_error, pinned(now))
+        if on_error == "fail":
+            rows, bad = put(fit(records, target), lake, number), 0
+        else:
+            with scratch(records, "decoded") as made:
+                good = made.filter(F.col("_error").isNull()).drop("_line", "_error")
+                aside = made.filter(F.col("_error").isNotNull()).select("_line", "_error")
+                rows, bad = put(fit(good, target), lake, number), put(aside, quarantine, number)
+        if loaded is not None:
+            loaded.append((rows, bad))
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_scores(
@@ -77,6 +90,9 @@ def stream_scores(
     features: Sequence[str] = FEATURES,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Score leads as their parquet files arrive."""
+    """Score leads as their parquet files arrive. The folder ``out`` is this stream's alone."""
     leads = spark.readStream.schema(struct_type(schema)).parquet(source)
-    return _start(lead_scores(leads, predictor, features), out, checkpoint, available_now)
+    writer = lead_scores(leads, predictor, features).writeStream.format("parquet").outputMode(
+        "append"
+    ).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(out)

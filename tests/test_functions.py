@@ -46,11 +46,11 @@ def test_name_parts(spark):
 
 def test_match_score_truncates(rows):
     df = rows(
-        [("e1", '{"entity_id":"e1","bluesun":83.9,"acme":-1.9}'), ("e2", '{"entity_id":"e2"}')],
+        [("e1", '{"entity_id":"e1","corex":83.9,"acme":-1.9}'), ("e2", '{"entity_id":"e2"}')],
         "entity_id string, body string",
     )
     scores = [r.scores for r in reshape_insight(df, "match-score").collect()]
-    assert [tuple(s) for s in scores[0]] == [("bluesun", 83), ("acme", -1)] and scores[1] == []
+    assert [tuple(s) for s in scores[0]] == [("corex", 83), ("acme", -1)] and scores[1] == []
 
 
 def test_adopt_curve_keeps_fractions(rows):

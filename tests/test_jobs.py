@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.crypto import encrypt_lines
 from leadflow.operators.scoring import (
-    FEATURES, drift, fetch_insights, lexicon_score, logistic_predictor, logistic_score, predict,
-    predict_with_model, value_bucket,
+    FEATURES, ask_service, drift, insight_bodies, lexicon_score, logistic_predictor,
+    logistic_score, predict, predict_with_model, value_bucket,
 )
 from leadflow.plans import jobs
 from leadflow.schemas import EXPORT_COLUMNS, table_schema
 from leadflow.session import shared_folder
 from leadflow.sinks.csv_export import read_export
-from leadflow.sinks.versioned import VersionedTable
+from leadflow.sinks.state import StateTable
 from leadflow.sources.json_records import (
     check_contacts, contact_rows, entities_from_answers, entity_answer, reported_status,
 )
@@ -51,6 +51,12 @@ GOOD = [
 ]
 
 
+def load(spark, folder, lake="lake", **options):
+    return jobs.cdc_to_lake(
+        spark, f"{folder}/in", f"{folder}/{lake}", f"{folder}/check-{lake}", KEYS, SCHEMA, **options
+    )
+
+
 def rows_of(df):
     return sorted(str(r.asDict(True)) for r in df.collect())
 
@@ -62,9 +68,7 @@ def test_cdc_to_lake(spark, folder):
     write_changes(spark, f"{folder}/in", GOOD[:2])
     write_changes(spark, f"{folder}/in", GOOD[2:], "cdc-2", key=0)
     write_changes(spark, f"{folder}/in", ["not for us"], "other-1")
-    result = jobs.cdc_to_lake(
-        spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA, prefix="cdc", now=NOW
-    )
+    result = load(spark, folder, prefix="cdc", now=NOW)
     assert (result.state, result.rows) == ("done", 3)
     found = {r.id: r for r in spark.read.parquet(f"{folder}/lake").collect()}
     assert found[1].at == T("2020-01-01 01:02:03") and found[1].day == dt.date(2020, 1, 5)
@@ -84,11 +88,8 @@ def test_cdc_to_lake(spark, folder):
 def test_bad_records_fail_or_go_aside(spark, folder, bad, reason):
     write_changes(spark, f"{folder}/in", [GOOD[0], bad])
     with pytest.raises(Exception, match=reason):
-        jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA)
-    result = jobs.cdc_to_lake(
-        spark, f"{folder}/in", f"{folder}/lake2", KEYS, SCHEMA, on_error="quarantine",
-        quarantine=f"{folder}/bad",
-    )
+        load(spark, folder)
+    result = load(spark, folder, "lake2", on_error="quarantine", quarantine=f"{folder}/bad")
     assert (result.rows, result.rejected) == (1, 1)
     aside = spark.read.parquet(f"{folder}/bad").first()
     assert any(part in aside._error for part in reason.split("|")) and ":" in aside._line
@@ -100,11 +101,8 @@ def test_undecryptable_lines(spark, folder, line):
     with open(f"{folder}/in/cdc-2", "w") as f:
         f.write(line + "\n")
     with pytest.raises(Exception, match="not decrypted"):
-        jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/lake", KEYS, SCHEMA)
-    result = jobs.cdc_to_lake(
-        spark, f"{folder}/in", f"{folder}/lake2", KEYS, SCHEMA, on_error="quarantine",
-        quarantine=f"{folder}/bad",
-    )
+        load(spark, folder)
+    result = load(spark, folder, "lake2", on_error="quarantine", quarantine=f"{folder}/bad")
     assert (result.rows, result.rejected) == (1, 1)
 
 
@@ -118,44 +116,64 @@ def test_ingest_has_no_shuffle_and_decrypts_once(spark, folder):
         assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 
 
-def test_stream_equals_batch(spark, folder):
+def test_files_load_once(spark, folder):
+    assert load(spark, folder).state == "skipped"  # no folder
+    os.makedirs(f"{folder}/in")
+    assert load(spark, folder).state == "skipped"  # no files
+    write_changes(spark, f"{folder}/in", GOOD[:1])
+    assert (load(spark, folder).rows, load(spark, folder).state) == (1, "skipped")
+    write_changes(spark, f"{folder}/in", GOOD[1:], "cdc-2")
+    # The lake's own schema is taken when none is given.
+    args = f"{folder}/in", f"{folder}/lake", f"{folder}/check-lake", KEYS
+    assert jobs.cdc_to_lake(spark, *args).rows == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/lake").collect()) == [1, 2, 3]
+
+
+def test_a_repeated_batch_counts_once(spark, folder):
+    """A batch that was written but not committed is written again over itself."""
+    write_changes(spark, f"{folder}/in", GOOD)
+    load(spark, folder)
+    commits = f"{folder}/check-lake/commits"
+    for name in os.listdir(commits):
+        os.unlink(f"{commits}/{name}")
+    assert load(spark, folder).rows == 3
+    assert spark.read.parquet(f"{folder}/lake").count() == 3
+
+
+def test_stream_equals_batch_and_shares_its_lake(spark, folder):
     write_changes(spark, f"{folder}/in", GOOD[:1])
     write_changes(spark, f"{folder}/in", GOOD[1:2], "cdc-2")
     args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
 
     def run():
         named = {"prefix": "cdc", "contains": "c-"}
-        for running in stream_cdc(spark, *args, files_per_batch=1, now=NOW, **named):
-            running.awaitTermination()
-        return spark.read.parquet(f"{folder}/lake")
+        stream_cdc(spark, *args, files_per_batch=1, now=NOW, **named).awaitTermination()
+        return spark.read.parquet(f"{folder}/lake").drop("load")
 
     write_changes(spark, f"{folder}/in", ["not for us"], "cdcx")
     assert run().count() == 2
     assert run().count() == 2  # nothing new
     write_changes(spark, f"{folder}/in", GOOD[2:], "cdc-3")
-    jobs.cdc_to_lake(spark, f"{folder}/in", f"{folder}/batch", KEYS, SCHEMA, "cdc-", now=NOW)
-    assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch"))
+    load(spark, folder, "batch", prefix="cdc-", now=NOW)
+    assert rows_of(run()) == rows_of(spark.read.parquet(f"{folder}/batch").drop("load"))
+    load(spark, folder, "lake", prefix="cdc-", now=NOW)
+    assert run().count() == 6  # both ways are visible
 
 
 def test_stream_may_move_consumed_files(spark, folder):
     args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
     for i, record in enumerate(GOOD):
         write_changes(spark, f"{folder}/in", [record], f"cdc-{i}")
-        for running in stream_cdc(spark, *args, archive=f"{folder}/processed"):
-            running.awaitTermination()
+        stream_cdc(spark, *args, archive=f"{folder}/processed").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{folder}/lake").collect()) == [1, 2, 3]
-    with pytest.raises(ValueError):
-        stream_cdc(spark, *args, archive=f"{folder}/processed", quarantine=f"{folder}/bad")
 
 
 def test_stream_with_quarantine(spark, folder):
     write_changes(spark, f"{folder}/in", [GOOD[0], "{oops"])
-    started = stream_cdc(
-        spark, f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA,
-        quarantine=f"{folder}/bad",
-    )
-    for running in started:
-        running.awaitTermination()
+    args = (f"{folder}/in", f"{folder}/lake", f"{folder}/check", KEYS, SCHEMA)
+    with pytest.raises(ValueError):
+        stream_cdc(spark, *args, on_error="quarantine")
+    stream_cdc(spark, *args, on_error="quarantine", quarantine=f"{folder}/bad").awaitTermination()
     assert spark.read.parquet(f"{folder}/lake").count() == 1
     assert spark.read.parquet(f"{folder}/bad").first()._error == "bad json"
 
@@ -187,8 +205,8 @@ def contacts(rows, values):
 @pytest.fixture
 def state(spark, folder):
     return (
-        VersionedTable(spark, f"{folder}/checkpoint", table_schema("checkpoint")),
-        VersionedTable(spark, f"{folder}/status", table_schema("data_source_status")),
+        StateTable(spark, f"{folder}/checkpoint", table_schema("checkpoint"), ["dag_id", "src_table"], 2),
+        StateTable(spark, f"{folder}/status", table_schema("data_source_status"), ["file"], 3),
     )
 
 
@@ -197,20 +215,30 @@ def test_export_runs_until_there_is_nothing(spark, rows, folder, state):
         ("a", "n1", "2020-01-01"), ("b", "n2", "2020-01-02"), ("a", "n3", "2020-01-02"),
         ("a", "n4", "2020-01-03"),
     ])
-    run = lambda df: jobs.export_table(df, "staging.contacts", state[0], f"{folder}/out", max_rows=2)
-    assert [(r.state, r.rows) for r in (run(source), run(source), run(source))] == [
+    run = lambda df, **o: jobs.export_table(df, "staging.contacts", state[0], f"{folder}/out", **o)
+    one = {"max_rows": 2, "max_windows": 1}
+    assert [(r.state, r.rows) for r in (run(source, **one), run(source, **one), run(source, **one))] == [
         ("done", 3), ("done", 1), ("skipped", 0),
     ]
-    # A late row is not exported, but counted; a new one is exported alone.
-    more = source.union(contacts(rows, [("a", "late", "2020-01-02 12:00:00"), ("a", "n5", "2020-01-04")]))
-    assert run(more).rows == 1
+    # A late row is not exported, but counted; new ones are exported in as many windows as it takes.
+    more = source.union(contacts(rows, [
+        ("a", "late", "2020-01-02 12:00:00"), ("a", "n5", "2020-01-04"), ("a", "n6", "2020-01-05"),
+    ]))
+    result = run(more, max_rows=1)
+    assert (result.rows, len(result.detail)) == (2, 2)
     names = read_export(spark, f"{folder}/out/staging.contacts", ["first_name"]).collect()
-    assert sorted(r.first_name for r in names) == ["n1", "n2", "n3", "n4", "n5"]
-    late = contacts(rows, [("a", "late", "2020-01-02 12:00:00"), ("a", "n6", "2020-01-05")])
+    assert sorted(r.first_name for r in names) == ["n1", "n2", "n3", "n4", "n5", "n6"]
+    late = contacts(rows, [("a", "late", "2020-01-02 12:00:00"), ("a", "n7", "2020-01-06")])
     assert jobs.count_late(late, state[0].read(), "export", "staging.contacts") == 1
     assert jobs.count_late(late, state[0].read(), "export", "staging.zleads") == 0
 
 
+def test_export_without_a_bound_takes_all(spark, rows, folder, state):
+    source = contacts(rows, [("a", f"n{i}", f"2020-01-{i + 1:02d}") for i in range(20)])
+    result = jobs.export_table(source, "staging.contacts", state[0], f"{folder}/out")
+    assert (result.rows, len(result.detail)) == (20, 1)
+
+
 def test_export_with_upload(spark, rows, folder, state):
     source = contacts(rows, [("a-b", "n1", "2020-01-01"), ("c d", "n2", "2020-01-01")])
     out = f"{folder}/out"
@@ -223,17 +251,27 @@ def test_export_with_upload(spark, rows, folder, state):
 
     def export(upload):
         return jobs.export_table(
-            source, "staging.contacts", state[0], out, status=state[1], upload=upload, now=NOW
+            source, "staging.contacts", state[0], out, status=state[1], upload=upload,
+            uploads_at_once=2, now=NOW,
         )
 
+    def there(route):
+        return sorted(
+            r.first_name for r in read_export(spark, f"{out}/{route}/staging.contacts", ["first_name"]).collect()
+        )
+
+    with pytest.raises(ValueError):
+        jobs.export_table(source, "staging.contacts", state[0], out, upload=accept)
     with pytest.raises(RuntimeError, match="1 files of staging.contacts"):
         export(refuse)
+    assert (there("processed"), there("failed")) == (["n1"], ["n2"])
     assert state[0].read().isEmpty()  # not committed
     opened = state[1].read().collect()
     assert [(r.client, r.file, r.status, r.start_date) for r in opened] == [
         ("a-b", "up-1", "running", T(NOW))
     ]
     assert export(accept).rows == 2
+    assert there("processed") == ["n1", "n1", "n2"]
     assert state[0].read().count() == 1
     assert sorted(r.file for r in state[1].read().collect()) == ["a-b", "c d", "up-1"]
 
@@ -260,7 +298,7 @@ def test_answers(rows):
 def test_import_entities(spark, rows, folder, state):
     status = state[1]
     opened = "2023-12-31 23:30:00"
-    status.write(rows(
+    status.append(rows(
         [("c", f, "t", "running", T(opened), None) for f in ("ok", "none", "run", "lost")],
         table_schema("data_source_status"),
     ))
@@ -288,6 +326,20 @@ def test_a_failed_answer_ends_the_import(rows):
         entities_from_answers(rows([("f", 500, "x")], "file string, code int, body string"), files).collect()
 
 
+def test_repeated_answers(rows):
+    files = rows([("c", "f")], "client string, file string")
+    same = rows([("f", 200, "[]"), ("f", 200, "[]")], "file string, code int, body string")
+    assert entities_from_answers(same, files).count() == 0
+    two = rows([("f", 200, "[]"), ("f", 204, None)], "file string, code int, body string")
+    with pytest.raises(Exception, match="different answers for f"):
+        entities_from_answers(two, files).collect()
+    timed = rows(
+        [("f", 500, "x", T("2024-01-01")), ("f", 200, '[{"entity_id":"e"}]', T("2024-01-02"))],
+        "file string, code int, body string, answered_at timestamp_ntz",
+    )
+    assert [r.entity_id for r in entities_from_answers(timed, files).collect()] == ["e"]
+
+
 def test_fetch_requests(spark, rows):
     entities = spark.range(50).selectExpr(
         "if(id % 3 = 0, 'a', 'b') client", "cast(id % 45 as string) entity_id"
@@ -299,7 +351,10 @@ def test_fetch_requests(spark, rows):
             return 402, []
         return 200, [{"entity_id": i, "who": client, "size": len(ids)} for i in ids]
 
-    found = fetch_insights(entities, "match-score", fetch, max_ids=4, partitions=3)
+    asked = ask_service("match-score", fetch, 3, max_ids=4)(entities)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    found = insight_bodies(asked, "match-score")
     wanted = entities.filter("client = 'b'").distinct()
     assert sorted(r.entity_id for r in found.collect()) == sorted(r.entity_id for r in wanted.collect())
 
@@ -307,7 +362,7 @@ def test_fetch_requests(spark, rows):
         return 500, []
 
     with pytest.raises(Exception, match="code 500"):
-        fetch_insights(entities, "match-score", broken).collect()
+        insight_bodies(ask_service("match-score", broken, 2)(entities), "match-score").collect()
 
 
 def test_refresh_insights(spark, rows, folder):
@@ -319,7 +374,7 @@ def test_refresh_insights(spark, rows, folder):
         return 200, [{"entity_id": i, "preferences": ["SMS"]} for i in ids]
 
     run = lambda now: jobs.refresh_insights(
-        entities, folder, fetch, ["match-score", "channel"], now=now, hours=24, partitions=2
+        entities, folder, lambda i: ask_service(i, fetch, 2), ["match-score", "channel"], now=now, hours=24
     )
     assert [(r.state, r.rows) for r in run(NOW)] == [("done", 3), ("done", 3)]
     assert [r.state for r in run("2024-01-01 23:00:00")] == ["skipped", "skipped"]
@@ -329,6 +384,25 @@ def test_refresh_insights(spark, rows, folder):
     assert spark.read.parquet(f"{folder}/channel").count() == 6
 
 
+@pytest.mark.parametrize("insight_id, good, bad", [
+    ("match-score", '{"a":1.9,"b":null}', ['{"a":"x"}', "{oops", "[1]", '{"a":1e300}', '{"a":"NaN"}', None]),
+    ("adopt-curve", '{"a":"1.5"}', ['{"a":"soon"}', '{"a":"Infinity"}']),
+    ("channel", '{"preferences":["x"]}', ['{"preferences":[', "[1]"]),
+])
+def test_unreadable_bodies_fail_or_go_aside(spark, rows, folder, insight_id, good, bad):
+    bodies = [good, *bad]
+    entities = rows([("c", str(i)) for i in range(len(bodies))], "client string, entity_id string")
+    known = rows([(str(i), 200, b) for i, b in enumerate(bodies)], "entity_id string, code int, body string")
+    answers = lambda pending: pending.join(known, "entity_id").select("entity_id", "code", "body")
+    with pytest.raises(Exception):
+        jobs.refresh_insight(entities, insight_id, f"{folder}/a", answers, now=NOW)
+    result = jobs.refresh_insight(
+        entities, insight_id, f"{folder}/b", answers, now=NOW, on_error="quarantine", quarantine=f"{folder}/bad"
+    )
+    assert (result.rows, result.rejected) == (1, len([b for b in bad if b]))
+    assert sorted(r.body for r in spark.read.parquet(f"{folder}/bad").collect()) == sorted(b for b in bad if b)
+
+
 # Contacts
 
 
@@ -428,8 +502,8 @@ def test_spark_ml_pipeline_as_predictor(leads, folder):
 
 
 def test_score_leads(spark, leads, folder):
-    table = VersionedTable(spark, f"{folder}/leads", leads.schema)
-    table.write(leads)
+    table = StateTable(spark, f"{folder}/leads", leads.schema, ["lead_id"], 4)
+    table.append(leads)
     predictor = logistic_predictor(WEIGHTS, -3.0)
     for _ in range(2):  # a second run changes nothing
         assert jobs.score_leads(table, predictor).rows == 10
@@ -437,9 +511,24 @@ def test_score_leads(spark, leads, folder):
         assert found.count() == 30 and found.filter("lead_score is not null").count() == 10
     jobs.score_leads(table, predictor, mode="append")
     assert table.read().count() == 40
-    table.write(leads.withColumn("processed", F.lit(False)))
-    assert jobs.score_leads(table, predictor).state == "skipped"
-    assert table.read().filter("lead_score is not null").isEmpty()
+    idle = StateTable(spark, f"{folder}/idle", leads.schema, ["lead_id"], 4)
+    idle.append(leads.withColumn("processed", F.lit(False)))
+    assert jobs.score_leads(idle, predictor).state == "skipped"
+    assert idle.read().filter("lead_score is not null").isEmpty()
+
+
+def test_score_sentiment_writes_back(spark, rows, folder):
+    ddl = ("lead_id int, feedback_text string, sentiment_processed boolean, sentiment_label string, "
+           "sentiment_score double")
+    df = rows([(1, "good", False, None, None), (2, None, False, None, None), (3, "bad", True, "kept", 0.5),
+               (4, "bad", None, None, None)], ddl)
+    table = StateTable(spark, f"{folder}/feedback", df.schema, ["lead_id"], 3)
+    table.append(df)
+    assert (jobs.score_sentiment(table).rows, jobs.score_sentiment(table).state) == (2, "skipped")
+    found = {r.lead_id: (r.sentiment_processed, r.sentiment_label, r.sentiment_score) for r in table.read().collect()}
+    assert found == {1: (True, "Positive", 1.0), 2: (True, None, None), 3: (True, "kept", 0.5), 4: (None, None, None)}
+    table.append(rows([(5, "bad", False, None, None)], ddl))
+    assert jobs.score_sentiment(table).rows == 1
 
 
 def test_stream_scores(spark, leads, folder):
@@ -505,8 +594,12 @@ def test_publish_site_visitors_and_profiles(spark, folder):
     result = jobs.publish_site_visitors(f"{folder}/v", *[view(spark, sf, n) for n in names])
     assert result.rows == spark.read.parquet(f"{folder}/v").count() > 0
     frames = view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), _insights(spark, sf)
-    result = jobs.publish_profiles(f"{folder}/p", *frames, check_skew=False)
+    result = jobs.publish_profiles(f"{folder}/p", *frames)
     assert result.rows == spark.read.parquet(f"{folder}/p").count() > 0
+    broken = frames[0].withColumn("email", F.raise_error(F.lit("boom")).cast("string"))
+    with pytest.raises(Exception, match="boom"):
+        jobs.publish_profiles(f"{folder}/p", broken, *frames[1:])
+    assert result.rows == spark.read.parquet(f"{folder}/p").count()  # the old result stays
 
 
 def test_shared_folders_are_new(spark):

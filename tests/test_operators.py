@@ -10,8 +10,8 @@ from leadflow.operators.skew import hot_keys, split_join
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.schemas import table_schema
+from leadflow.sinks.state import StateTable
 from leadflow.sinks.tables import replace_bucketed
-from leadflow.sinks.versioned import VersionedTable
 
 
 def T(text):
@@ -40,11 +40,16 @@ def skewed(spark):
     return side(600, "l", 40), side(300, "r", 60).filter("k <> 'k7'")
 
 
+def hot(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "k string, n bigint") if counts else None
+
+
 def test_hot_keys(skewed):
     left, right = skewed
-    found = hot_keys({"l": left, "r": right, "none": left.filter("false")}, "k", hot_rows=90)
-    assert set(found["l"]) == {"hot"} and found["l"]["hot"] > 180
-    assert set(found["r"]) == {"hot"} and found["none"] == {}
+    found = {r.k: r.n for r in hot_keys(left, "k", hot_rows=90).collect()}
+    assert set(found) == {"hot"} and found["hot"] > 180
+    assert [r.k for r in hot_keys(right, "k", hot_rows=90).collect()] == ["hot"]
+    assert hot_keys(left.filter("false"), "k") is None and hot_keys(left, "k") is None
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -52,20 +57,19 @@ def test_hot_keys(skewed):
     ({}, {}), ({"hot": 196}, {}), ({}, {"hot": 98}), ({"hot": 196}, {"hot": 98}),
     ({"hot": 196, "k7": 30, "absent": 99}, {"hot": 98, "k9": 40}),
 ])
-def test_split_join_equals_plain_join(skewed, how, left_hot, right_hot):
+def test_split_join_equals_plain_join(spark, skewed, how, left_hot, right_hot):
     left, right = skewed
-    split = split_join(left, right, "k", how, left_hot, right_hot, hot_rows=10)
+    split = split_join(left, right, "k", how, hot(spark, left_hot), hot(spark, right_hot), hot_rows=10)
     assert split.columns == left.join(right, "k", how).columns
     assert content(split) == content(left.join(right, "k", how))
 
 
-@pytest.mark.parametrize("chunk, most", [(1_000, 100_000), (3, 100_000), (1, 4)])
+@pytest.mark.parametrize("chunk", [1_000, 3, 1])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_copies_are_counted_and_come_back(spark, monkeypatch, how, chunk, most):
+def test_copies_are_counted_and_come_back(spark, monkeypatch, how, chunk):
     from leadflow.operators import skew
 
     monkeypatch.setattr(skew, "CHUNK", chunk)
-    monkeypatch.setattr(skew, "MAX_CHUNKS", most)
     left = spark.createDataFrame(
         [("hot", "same")] * 40 + [("hot", "other"), ("k", "x"), ("k", "x"), ("z", None), (None, "n")],
         "k string, a string",
@@ -75,20 +79,22 @@ def test_copies_are_counted_and_come_back(spark, monkeypatch, how, chunk, most):
     )
     wanted = content(left.join(right, "k", how))
     for hots in [({"hot": 41}, {}), ({}, {"hot": 26}), ({"hot": 41}, {"hot": 26})]:
-        assert content(split_join(left, right, "k", how, *hots, hot_rows=4)) == wanted
+        assert content(split_join(left, right, "k", how, *(hot(spark, h) for h in hots), hot_rows=4)) == wanted
 
 
 def test_maps_are_dealt_without_counting(spark):
     left = spark.sql("select 'a' k, map('x', id) m from range(20)")
     right = spark.sql("select 'a' k, 1 v")
-    assert split_join(left, right, "k", "inner", {"a": 20}, {}, hot_rows=2).count() == 20
+    assert split_join(left, right, "k", "inner", hot(spark, {"a": 20}), None, hot_rows=2).count() == 20
 
 
-def test_split_join_spreads_the_hot_key(skewed):
+def test_only_hot_rows_are_dealt(spark, skewed):
     left, right = skewed
-    split = split_join(left, right, "k", "inner", {"hot": 196}, {}, hot_rows=20)
+    split = split_join(left, right, "k", "inner", hot(spark, {"hot": 196}), None, hot_rows=20)
     text = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "pmod(xxhash64(" in text
+    assert "pmod(xxhash64(" in text and text.count("LeftAnti") == 2 and text.count("LeftSemi") == 2
+    plain = split_join(left, right, "k", "inner")._jdf.queryExecution().optimizedPlan().toString()
+    assert plain == left.join(right, "k")._jdf.queryExecution().optimizedPlan().toString() or "pmod" not in plain
     with pytest.raises(ValueError):
         split_join(left, right, "k", "full")
 
@@ -128,6 +134,8 @@ def test_two_insight_rows_make_two_profiles(profile_tables):
 
 def test_latest_only_keeps_one_profile(profile_tables):
     found = joins.profiles(*profile_tables, latest_only=True).collect()
+    # Of equal times the greater value counts.
+    assert {tuple(r.persuasion_angle.persuasion) for r in found if r.lead_id != 2} == {("Praise",)}
     assert sorted(r.lead_id for r in found) == [1, 2, 3]
     first = next(r for r in found if r.lead_id == 1)
     assert first.channel_strategy.preferences == ["SMS"] and first.archetype is None
@@ -135,8 +143,10 @@ def test_latest_only_keeps_one_profile(profile_tables):
 
 @pytest.mark.parametrize("options", [{}, {"latest_only": True}])
 def test_hot_profiles_are_the_same(profile_tables, options):
-    plain = joins.profile_rows(*profile_tables, check_skew=False, **options)
-    split = joins.profile_rows(*profile_tables, hot_rows=1, **options)
+    plain = joins.profile_rows(*profile_tables, **options)
+    hot_ids = joins.profile_hot_keys(*profile_tables, hot_rows=1)
+    assert set(hot_ids) == {"links", "channel", "persuasion"}
+    split = joins.profile_rows(*profile_tables, hot=hot_ids, hot_rows=1, **options)
     assert split.columns == plain.columns and content(split) == content(plain)
 
 
@@ -152,7 +162,7 @@ def test_profiles_share_one_partitioning(profile_tables, spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        rows = joins.profile_rows(*profile_tables, check_skew=False)
+        rows = joins.profile_rows(*profile_tables)
         plan = rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
@@ -169,10 +179,10 @@ def test_bucketed_tables_join_without_a_shuffle(profile_tables, spark):
         for name, frame in frames.items():
             replace_bucketed(frame, name, "entity_id", 4)
         stored = {n: spark.table(f"b_{n}") for n in insights}
-        rows = joins.profile_rows(spark.table("b_entities"), spark.table("b_links"), stored, check_skew=False)
+        rows = joins.profile_rows(spark.table("b_entities"), spark.table("b_links"), stored)
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "SortMergeJoin" in plan
-        assert content(rows) == content(joins.profile_rows(*profile_tables, check_skew=False))
+        assert content(rows) == content(joins.profile_rows(*profile_tables))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for name in frames:
@@ -226,19 +236,35 @@ def times(spark, values):
     return spark.createDataFrame([(v,) for v in values], "ingestion_timestamp timestamp_ntz")
 
 
-@pytest.mark.parametrize("sortable", [0, 10, 100_000])
+@pytest.mark.parametrize("buckets", [7, 4_096])
 @pytest.mark.parametrize("seed", range(3))
-def test_nth_time_equals_a_sort(spark, monkeypatch, seed, sortable):
-    monkeypatch.setattr(window, "SORTABLE", sortable)
-    monkeypatch.setattr(window, "BUCKETS", 7)
+def test_nth_time_equals_a_sort(spark, monkeypatch, seed, buckets):
+    monkeypatch.setattr(window, "BUCKETS", buckets)
     draw = random.Random(seed)
     start = T("1969-12-31 12:00:00")
     values = [start + dt.timedelta(microseconds=draw.randrange(10 ** draw.randrange(1, 13)))
               for _ in range(200)]
     values += [values[0]] * 100  # a third of all rows has one time
-    frame = times(spark, values).cache()
+    counts = window.time_counts({"t": times(spark, values)}, "1960-01-01").cache()
     for n in (1, 2, 99, 150, 299, 300, 301):
-        assert window.nth_time(frame, n) == sorted(values)[:n][-1]
+        assert window.nth_time(counts, n) == sorted(values)[:n][-1]
+    assert window.nth_time(counts) == max(values)
+
+
+def test_all_windows_come_from_one_count(spark, monkeypatch):
+    draw = random.Random(1)
+    values = [T("2020-01-01") + dt.timedelta(seconds=draw.randrange(200)) for _ in range(300)]
+    calls = []
+    counted = window.time_counts
+    monkeypatch.setattr(window, "time_counts", lambda *a: calls.append(a) or counted(*a))
+    saved = spark.createDataFrame([], table_schema("checkpoint"))
+    *found, last = window.cut_windows(saved, "j", "t", {"t": times(spark, values)}, 40)
+    assert len(calls) == 1 and not last.has_data
+    rest, ends = sorted(values), []
+    while rest:
+        ends.append(rest[:40][-1])
+        rest = [v for v in rest if v > ends[-1]]
+    assert [w.last for w in found] == ends
 
 
 def test_first_window_and_empty_source(spark):
@@ -257,7 +283,7 @@ def test_several_sources_unite_as_a_set(spark):
 
 
 def test_ties_and_next_window(spark, folder):
-    state = VersionedTable(spark, f"{folder}/c", table_schema("checkpoint"))
+    state = StateTable(spark, f"{folder}/c", table_schema("checkpoint"), ["dag_id", "src_table"], 2)
     values = [T("2020-01-01"), T("2020-01-02"), T("2020-01-02"), T("2020-01-03")]
     source = times(spark, values)
     first = window.get_window(state.read(), "j", "t", {"t": source}, max_rows=2)
@@ -269,7 +295,7 @@ def test_ties_and_next_window(spark, folder):
     window.commit_window(state, second)
     third = window.get_window(state.read(), "j", "t", {"t": source}, max_rows=2)
     assert not third.has_data and not window.commit_window(state, third)
-    assert state.read().count() == 1
+    assert window.latest_checkpoints(state.read()).count() == 1 and state.read().count() == 2
     late = times(spark, [T("2020-01-02 12:00:00"), T("2020-01-04")])
     assert window.late_rows(late, third.first).count() == 1
 
@@ -333,6 +359,19 @@ def test_gate_and_change(history, rows):
     assert after.filter("file = 'f3'").first().end_date == T("2020-01-02")
 
 
+def test_gate_takes_one_answer_per_file(history, rows):
+    running = running_files(history, NOW, 24)
+    timed = rows(
+        [("f1", "RUNNING", T("2020-01-01")), ("f1", "SUCCEEDED", T("2020-01-02")), ("f1", "FAILED", T("2019-01-01"))],
+        "file string, status string, answered_at timestamp_ntz",
+    )
+    assert [r.new_status for r in import_gate(running, timed).collect() if r.file == "f1"] == ["SUCCEEDED"]
+    plain = rows([("f1", "RUNNING"), ("f1", "RUNNING"), ("f5", None), ("f5", None)], "file string, status string")
+    assert import_gate(running, plain).count() == 4
+    with pytest.raises(Exception, match="different answers for f1"):
+        import_gate(running, plain.union(rows([("f1", "FAILED")], "file string, status string"))).collect()
+
+
 def test_open_rows(rows):
     row = open_rows(rows([("c", "f", "t", 1)], "client string, file string, src_table string, x int"), NOW).first()
     assert tuple(row) == ("c", "f", "t", "running", T(NOW), None)
@@ -367,8 +406,17 @@ def test_from_list_is_a_hash_join(spark, numbers):
     assert found.count() == 10
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    for where in ([], ["x.a > 0"], ["x.a = y.b", ("x.a = 1", "OR")], ["x.a = x.b"]):
+        with pytest.raises(ValueError):
+            run_spec(spark, {"from": [(numbers, "x"), (numbers, "y")], "where": where})
     with pytest.raises(ValueError):
-        run_spec(spark, {"from": [numbers, numbers]})
+        run_spec(spark, {"from": [numbers, numbers], "where": ["a = b"]})
+
+
+def test_quoted_colons_are_no_arguments(spark, rows):
+    df = rows([("a:low", 1), ("b", 5)], "s string, n int")
+    found = run_spec(spark, {"from": df, "where": ["s = 'a:low'", ("n > :low", "OR")], "args": {"low": 3}})
+    assert found.count() == 2
 
 
 def test_union_of_one_keeps_repeats(spark, rows):

@@ -6,10 +6,12 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_file
+from leadflow.plans.oracles import oracles
+from leadflow.plans.queries import registered
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_file.queries()
-ORACLES = entry_file.oracle_sql()
+QUERIES = registered()
+ORACLES = oracles()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,7 @@ def con():
 
 def test_names_agree():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_file.queries()) and set(ORACLES) <= set(entry_file.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)

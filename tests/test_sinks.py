@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leadflow.sinks.csv_export import export_csv, float_text, read_export, route_uploads
+from leadflow.sinks.state import StateTable, scratch
 from leadflow.sinks.tables import append, fit, replace, rows_frame, upsert
-from leadflow.sinks.versioned import VersionedTable
 from leadflow.sources.files import list_files, text_lines
 from leadflow.sources.tables import destination_schema, query_file, read_source
 
@@ -130,27 +130,52 @@ def test_upsert(rows):
     ]
 
 
-def test_versioned_table(spark, rows, folder):
-    table = VersionedTable(spark, f"{folder}/state", "a int, b string")
-    assert table.current() is None and table.read().isEmpty()
-    table.append(rows([(1, "x")], "a int, b string"))
-    for i in range(4):  # reads and replaces itself
-        table.write(table.read().withColumn("a", F.col("a") + 1))
-    assert table.read().first().a == 5
-    table.append(rows([(9, "y")], "a int, b string"))
-    assert sorted(r.a for r in table.read().collect()) == [5, 9]
-    versions = [f for f in os.listdir(f"{folder}/state") if f.startswith("v")]
-    assert len(versions) == 2
-
-
-def test_a_failed_write_keeps_the_old_version(spark, rows, folder):
-    table = VersionedTable(spark, f"{folder}/state", "a int")
-    table.write(rows([(1,)], "a int"))
+def test_upsert_ends_at_two_rows_for_a_key(rows):
+    old = rows([("a", 1)], "k string, v int")
+    with pytest.raises(Exception, match="several rows for key b"):
+        upsert(old, rows([("b", 1), ("b", 2), ("c", 1)], "k string, v int"), ["k"]).collect()
+
+
+def test_state_table(spark, rows, folder):
+    ddl = "k int, v string"
+    table = StateTable(spark, f"{folder}/state", ddl, ["k"], 3)
+    assert table.read().isEmpty()
+    table.append(rows([(i, "old") for i in range(20)], ddl))
+    for i in range(3):  # reads and changes itself
+        table.merge(rows([(i, f"new{i}"), (100 + i, "added")], ddl))
+    found = {r.k: r.v for r in table.read().collect()}
+    assert len(found) == 23 and found[1] == "new1" and found[7] == "old" and found[102] == "added"
+    again = StateTable(spark, f"{folder}/state", ddl, ["k"], 3)
+    assert again.read().count() == 23
+    table.merge(rows([], ddl))
+    assert again.read().count() == 23
+
+
+def test_a_change_rewrites_its_partitions_only(spark, rows, folder):
+    table = StateTable(spark, f"{folder}/state", "k int, v int", ["k"], 8)
+    table.append(rows([(i, 0) for i in range(100)], "k int, v int"))
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/state/*/*.parquet")}
+    before = files()
+    table.merge(rows([(5, 1)], "k int, v int"))
+    kept = [f for f, t in files().items() if before.get(f) == t]
+    assert len({os.path.dirname(f) for f in kept}) == 7
+    assert table.read().filter("v = 1").count() == 1 and table.read().count() == 100
+
+
+def test_a_failed_change_keeps_the_old_rows(spark, rows, folder):
+    table = StateTable(spark, f"{folder}/state", "a int", ["a"], 2)
+    table.append(rows([(1,)], "a int"))
     with pytest.raises(Exception, match="boom"):
-        table.write(table.read().select(F.raise_error(F.lit("boom")).cast("int").alias("a")))
+        table.update(table.read(), lambda old: old.select(F.raise_error(F.lit("boom")).cast("int").alias("a")))
     assert [r.a for r in table.read().collect()] == [1]
 
 
+def test_scratch_is_emptied(spark, rows, folder):
+    with scratch(rows([(1,)], "a int"), "x", f"{folder}/work") as made:
+        assert made.count() == 1
+    assert spark.read.parquet(f"{folder}/work/x").count() == 0
+
+
 def test_read_source_checks(spark, rows, folder):
     with pytest.raises(ValueError):
         read_source(spark)

@@ -69,6 +69,20 @@ def test_nested_text(rows):
     ("1/2/2020 3:4:5", dt.datetime(2020, 1, 2, 3, 4, 5)),
     ("5 Jan 2020", dt.datetime(2020, 1, 5)),
     ("Jan 5, 2020", dt.datetime(2020, 1, 5)),
+    ("1/2/2020 10:30", dt.datetime(2020, 1, 2, 10, 30)),
+    ("1/2/2020 3:04:05 pm", dt.datetime(2020, 1, 2, 15, 4, 5)),
+    ("Jan 2, 2020 10:30:00", dt.datetime(2020, 1, 2, 10, 30)),
+    ("january 2, 2020 10:30", dt.datetime(2020, 1, 2, 10, 30)),
+    ("2 January 2020", dt.datetime(2020, 1, 2)),
+    ("2020-01-02 10:30 PM", dt.datetime(2020, 1, 2, 22, 30)),
+    ("2020-1-2 12:00:01 am", dt.datetime(2020, 1, 2, 0, 0, 1)),
+    ("Tue, 03 Jan 2020 10:00:00", dt.datetime(2020, 1, 3, 10)),
+    ("Friday 3 Jan 2020", dt.datetime(2020, 1, 3)),
+    ("01-02-2020", dt.datetime(2020, 1, 2)),
+    ("20200102T103000", dt.datetime(2020, 1, 2, 10, 30)),
+    ("2 Janvier 2020", None),
+    ("1/2/2020 25:00", None),
+    ("Someday 3 Jan 2020", None),
     ("2020-02-30", None),
     ("13/13/2020", None),
     ("0000-00-00", None),
@@ -205,3 +219,17 @@ def test_decimals_and_text_schema(spark):
     assert row.d == "1.500" and row.l[0].e == "0.000000000"
     kind = text_schema(struct_type("a date, l array<struct<t:timestamp,n:int>>"))
     assert kind.simpleString() == "struct<a:string,l:array<struct<t:string,n:int>>>"
+
+
+def test_map_values_are_read(rows):
+    df = rows(
+        [({"a": "0000-00-00", "b": "Jan 2, 2020"},), ({"a": "never", "b": "2020-01-01"},), (None,), ({},)],
+        "m map<string,string>",
+    )
+    found = [(r.m, r._bad_fields) for r in coerce_record(df, "m map<string,date>").collect()]
+    assert found == [
+        ({"a": None, "b": dt.date(2020, 1, 2)}, []), ({"a": None, "b": dt.date(2020, 1, 1)}, ["m"]),
+        (None, []), ({}, []),
+    ]
+    with pytest.raises(Exception, match="unreadable m: never"):
+        coerce_record(df, "m map<string,date>", on_bad="fail").collect()
