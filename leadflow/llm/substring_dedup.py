@@ -111,12 +111,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> Data
     Null and empty texts, and rows with a null id, have no passages. Rows that share an id count as
     one text where their chunks are equal.
     """
-    own = chunks(docs, id_col)
+    place = (F.col("start").cast("long") * (1 << 32) + F.col("stop")).alias("place")  # one number to shuffle
+    own = chunks(docs, id_col).select("doc_id", place, "a", "b", "again")
     held = own.where("not again").groupBy("a", "b").agg(
         F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")
     )
     common = held.where("first_doc_id <> last").drop("last")
-    hits = own.join(common, ["a", "b"]).select("doc_id", "start", "stop", "n_docs", "first_doc_id").distinct()
+    hits = own.join(common, ["a", "b"]).select("doc_id", "place", "n_docs", "first_doc_id").distinct().select(
+        "doc_id", F.shiftright("place", 32).cast("int").alias("start"),
+        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("stop"), "n_docs", "first_doc_id",
+    )
     edge = F.expr("start <> lag(stop, 1, -1) over (partition by doc_id order by start, stop)")
     runs = hits.withColumn("edge", edge.cast("int")).withColumn(
         "run", F.expr("sum(edge) over (partition by doc_id order by start, stop)")
