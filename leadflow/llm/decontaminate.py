@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leadflow.llm.common import values
+
 WINDOW = 10
 SHARD_WORDS = 1 << 20  # indexed words of a shard, unless one document alone has more
 BLOCK_WORDS = 2_000_000  # benchmark words that a broadcast may hold
@@ -213,13 +216,13 @@ FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<st
 def _findings(phrases: Broadcast, text: Column, shard_words: int) -> Column:
     """FOUND for each text against one block of phrases; the rows of an Arrow batch are dealt into shards."""
 
-    @F.pandas_udf(FOUND)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(FOUND)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         block = phrases.value
         number = block.numbers.get
         for batch in batches:
             out, shard, size = [], [], 0
-            for t in [*batch, END]:
+            for t in chain(values(batch), [END]):
                 if t is END or size >= shard_words:
                     out += zip((len(x) for x in shard), *zip(*block.search(shard))) if shard else []
                     shard, size = [], 0
@@ -227,11 +230,12 @@ def _findings(phrases: Broadcast, text: Column, shard_words: int) -> Column:
                     numbers = np.array([number(w, 0) for w in words_of(t)], np.int32)
                     shard.append(numbers)
                     size += len(numbers)
-            yield pd.DataFrame({
-                "n_words": [n for n, _, _ in out],
-                "spans": [[{"start": a, "stop": b} for a, b in spans.tolist()] for _, spans, _ in out],
-                "items": [items for _, _, items in out],
-            })
+            spans = [[{"start": a, "stop": b} for a, b in spans.tolist()] for _, spans, _ in out]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.StructArray.from_arrays([
+                pa.array([n for n, _, _ in out], pa.int64()), pa.array(spans, kind),
+                pa.array([items for _, _, items in out], pa.list_(pa.string())),
+            ], ["n_words", "spans", "items"])
 
     return of.asNondeterministic()(text)  # so that no filter makes Spark run it again
 
@@ -313,12 +317,12 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode("utf-8")
 
 
-@F.pandas_udf(StringType())
-def _cut_texts(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series(
-        [t if t is None or not len(s) else cut(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)],
-        dtype=object,
-    )
+@F.arrow_udf(StringType())
+def _cut_texts(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([
+        t if t is None or not s else cut(t, [(x["start"], x["stop"]) for x in s])
+        for t, s in zip(values(text), values(spans))
+    ], pa.string())
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.llm.common import values
+
 UNDETERMINED = "und"
 RANKS = 300  # n-grams of a profile
 SALTS = 8
@@ -77,17 +80,31 @@ class Profiles:
         return self.languages[best], float(1 - off[best] / (self.ranks * len(own)))
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PENDING = 1 << 18  # n-grams of a language that wait to be added up
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, places = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.bincount(places, weights=np.concatenate([c for _, c in parts]), minlength=len(keys))
+    return keys, n.astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of the partition for each language, a batch at a time."""
     for batch in batches:
-        for lang, texts in batch.groupby("lang")["text"]:
-            kept: list[tuple[np.ndarray, np.ndarray]] = [
-                np.unique(grams(t), return_counts=True) for t in texts if t is not None
-            ]
-            if kept:
-                keys, places = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-                n = np.bincount(places, weights=np.concatenate([c for _, c in kept]), minlength=len(keys))
-                yield pd.DataFrame({"lang": lang, "gram": keys, "n": n.astype(np.int64)})
+        kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: Counter[str] = Counter()
+        for lang, text in zip(values(batch.column("lang")), values(batch.column("text"))):
+            part = np.unique(grams(text), return_counts=True)
+            kept.setdefault(lang, []).append(part)
+            waiting[lang] += len(part[0])
+            if waiting[lang] > PENDING:
+                kept[lang], waiting[lang] = [_added(kept[lang])], 0
+        for lang, own in kept.items():
+            keys, n = _added(own)
+            yield pa.RecordBatch.from_pydict(
+                {"lang": pa.array([lang] * len(keys), pa.string()), "gram": keys, "n": n}
+            )
 
 
 def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
@@ -98,7 +115,7 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
     """
     counted = (
         docs.where("lang is not null").select("lang", "text")
-        .mapInPandas(_counts, "lang string, gram long, n long")
+        .mapInArrow(_counts, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     part = counted.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
@@ -120,11 +137,15 @@ def prediction(profiles: Profiles, text: str | Column = "text") -> Column:
     """A struct of ``lang_pred`` and ``score`` (0 to 1) for each text."""
     held = SparkSession.getActiveSession().sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         for batch in batches:
-            yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score"])
+            said = [model.predict(t) for t in values(batch)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
+                ["lang_pred", "score"],
+            )
 
     return of.asNondeterministic()(text)  # so that no filter makes Spark run it again
 

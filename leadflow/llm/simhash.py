@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import components, written
+from leadflow.llm.common import components, values, written
 
 SEED = 42
 SEGMENTS = 32  # two bits each: a count of 0 to 2, all 32 of them packed into one long
@@ -38,10 +38,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprint_column(text: str | Column, words: int = 3) -> Column:
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([fingerprint(t, words) for t in batch], dtype="int64")
+            yield pa.array([fingerprint(t, words) for t in values(batch)], pa.int64())
 
     return of(text)
 
