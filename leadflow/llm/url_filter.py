@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from leadflow.llm.common import ascii_lower
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
          ("com/de/", "block")]
 ORDER = 5  # the longest context, in bytes
-SLOTS = 1 << 18  # counters of the model: its whole size, whatever the number of URLs
+GRAMS = 400_000  # n-grams that a model keeps at most, the most frequent ones
 ALPHABET = 256
 
 
@@ -51,64 +50,57 @@ def features(host: str, path: str) -> bytes:
     return b"\x02" + f"{host}{path}".encode("utf-8", "replace") + b"\x03"
 
 
-def slots(text: bytes, order: int = ORDER, size: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte but the first and each context length up to ``order``, the counters of context and of context with byte.
+def grams(text: bytes, order: int = ORDER) -> np.ndarray:
+    """For each byte but the first, one row: the keys of the byte with each context before it, from none to ``order``.
 
-    Contexts that begin before the text have counter -1.
+    A key holds the context's length and its bytes whole. It is -1 where the text begins too late.
     """
-    n = len(text) - 1
-    pair = np.full((n, order + 1), -1, np.int64)
-    context = np.full((n, order + 1), -1, np.int64)
-    h = xxhash.xxh32_intdigest
-    for i in range(1, n + 1):
-        for k in range(min(order, i) + 1):
-            context[i - 1, k] = h(text[i - k : i], 2 * k) % size
-            pair[i - 1, k] = h(text[i - k : i + 1], 2 * k + 1) % size
-    return context, pair
+    data = np.frombuffer(text, np.uint8).astype(np.int64)
+    out = np.full((max(len(data) - 1, 0), order + 1), -1, np.int64)
+    value = data.copy()
+    for k in range(order + 1):
+        if k:
+            value[k:] |= data[:-k] << (8 * k)
+        at = max(k, 1)
+        out[at - 1 :, k] = value[at:] | (k << 56)
+    return out
 
 
-@dataclass
 class MarkovModel:
-    """Counts by hashed context, of every order at once: of the bytes that follow, and of the kinds of them."""
-
-    after: np.ndarray  # by context: how many bytes followed
-    kinds: np.ndarray  # by context: how many different ones
-    pair: np.ndarray  # by context and byte
-
-    @classmethod
-    def of(cls, slot: np.ndarray, n: np.ndarray, kinds: np.ndarray, size: int = SLOTS) -> MarkovModel:
-        after, pair, many = np.zeros(size), np.zeros(size), np.zeros(size)
-        is_pair = slot >= size
-        pair[slot[is_pair] - size] = n[is_pair]
-        after[slot[~is_pair]] = n[~is_pair]
-        many[slot[~is_pair]] = kinds[~is_pair]
-        return cls(after, np.maximum(many, 1), pair)
-
-    def log_probability(self, context: np.ndarray, pair: np.ndarray) -> float:
+    """How often bytes follow contexts of every length up to the order, for the n-grams that are kept."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.n = np.append(key[order], np.iinfo(np.int64).max), np.append(n[order], 0).astype(float)
+        context = self.key[:-1] >> 8
+        self.context, first, kinds = np.unique(context, return_index=True, return_counts=True)
+        self.kinds = np.append(kinds, 1).astype(float)
+        self.after = np.append(np.add.reduceat(self.n[:-1], first) if len(first) else first, 0).astype(float)
+        self.context = np.append(self.context, np.iinfo(np.int64).max)
+
+    def log_probability(self, keys: np.ndarray) -> float:
         """Nats of a text: each order is smoothed with the one below by as many pseudo-counts as the context has
-        different bytes (Witten and Bell), and contexts that were never seen leave it to the order below."""
-        p = np.full(len(context), 1 / ALPHABET)
-        for k in range(context.shape[1]):
-            c, x = context[:, k], pair[:, k]
-            seen = (c >= 0) & (self.after[c] > 0)
-            weight = self.kinds[c]
-            p = np.where(seen, (np.minimum(self.pair[x], self.after[c]) + weight * p) / (self.after[c] + weight), p)
+        different bytes (Witten and Bell), and a context that is not kept leaves it to the order below."""
+        at = np.searchsorted(self.key, keys)
+        n = np.where(self.key[at] == keys, self.n[at], 0)
+        context = keys >> 8
+        at = np.searchsorted(self.context, context)
+        seen = (self.context[at] == context) & (keys >= 0)
+        after, kinds = self.after[at], self.kinds[at]
+        p = np.full(len(keys), 1 / ALPHABET)
+        for k in range(keys.shape[1]):
+            p = np.where(seen[:, k], (n[:, k] + kinds[:, k] * p) / (after[:, k] + kinds[:, k]), p)
         return float(np.log(p).sum())
 
 
-def _counts(order: int, size: int):
+def _counts(order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch and verdict, the counters' sums; the bytes after a context are told apart by their pair's counter."""
+        """Per batch and verdict, how often each n-gram occurs."""
         for batch in batches:
-            for verdict, rows in batch.groupby("verdict"):
-                seen: list[np.ndarray] = []
-                for host, path in zip(rows["host"], rows["path"]):
-                    context, pair = slots(features(host, path), order, size)
-                    keep = context >= 0
-                    seen.append(np.stack([context[keep], pair[keep]]))
-                both = np.concatenate(seen, axis=1)
-                key, n = np.unique(both[0] * size + both[1], return_counts=True)
-                yield pd.DataFrame({"verdict": verdict, "context": key // size, "pair": key % size, "n": n})
+            for allow, rows in batch.groupby("allow"):
+                keys = np.concatenate([grams(features(h, p), order).ravel() for h, p in zip(rows["host"], rows["path"])])
+                key, n = np.unique(keys[keys >= 0], return_counts=True)
+                yield pd.DataFrame({"allow": bool(allow), "key": key, "n": n})
 
     return run
 
@@ -120,14 +112,12 @@ class UrlJudge:
     models: dict[str, MarkovModel]
     least: float
     order: int = ORDER
-    size: int = SLOTS
 
     def ratio(self, host: str, path: str) -> float:
         """Log-likelihood as an accepted URL less that as a rejected one, for each byte."""
-        text = features(host, path)
-        context, pair = slots(text, self.order, self.size)
-        both = [self.models[v].log_probability(context, pair) for v in ("allow", "block")]
-        return (both[0] - both[1]) / len(context)
+        keys = grams(features(host, path), self.order)
+        both = [self.models[v].log_probability(keys) for v in ("allow", "block")]
+        return (both[0] - both[1]) / len(keys)
 
     def column(self, host: Column, path: Column) -> Column:
         held = SparkSession.getActiveSession().sparkContext.broadcast(self)
@@ -144,22 +134,22 @@ class UrlJudge:
 STEPS = 1_000  # of a nat, in which ratios are counted for the threshold
 
 
-def fit(known: DataFrame, order: int = ORDER, size: int = SLOTS, folds: int = 5) -> UrlJudge:
+def fit(known: DataFrame, order: int = ORDER, most: int = GRAMS, folds: int = 5) -> UrlJudge:
     """The judge from all rows of ``known`` (``host, path, verdict``).
 
-    Models are counters of a fixed number, summed by Spark, so that what the driver gets is bounded
-    by ``size``. The threshold is that of the best balanced accuracy on every fifth URL (by
-    hash), which a first pair of models doesn't see; counts by 1/1000 nat are all that it takes. The
-    final models learn from all rows. Without rows of both verdicts every ratio is 0 and passes.
+    n-grams are counted in the tasks and summed by Spark; a model is its ``most`` most frequent ones, so that
+    what the driver gets is bounded. The threshold is that of the best balanced accuracy on every
+    fifth URL (by hash), which a first pair of models doesn't see; counts by 1/1000 nat are all that it
+    takes. The final models learn from all rows. Without rows of both verdicts every ratio passes.
     """
     held = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0
-    trial = UrlJudge(_models(known.where(~held), order, size), 0.0, order, size)
+    trial = UrlJudge(_models(known.where(~held), order, most), 0.0, order)
     ratio = F.floor(trial.column(F.col("host"), F.col("path")) * STEPS)
     counts = known.where(held).select("verdict", ratio.alias("step")).groupBy("step").agg(
         F.sum((F.col("verdict") == "allow").cast("long")).alias("allow"),
         F.sum((F.col("verdict") == "block").cast("long")).alias("block"),
     )
-    return UrlJudge(_models(known, order, size), threshold(counts.toArrow().to_pandas()), order, size)
+    return UrlJudge(_models(known, order, most), threshold(counts.toArrow().to_pandas()), order)
 
 
 def threshold(counts: pd.DataFrame) -> float:
@@ -177,23 +167,18 @@ def threshold(counts: pd.DataFrame) -> float:
     return float(edges[best[np.abs(edges[best]).argmin()]])
 
 
-def _models(known: DataFrame, order: int, size: int) -> dict[str, MarkovModel]:
-    pairs = (
-        known.select("verdict", "host", "path")
-        .mapInPandas(_counts(order, size), "verdict string, context long, pair long, n long")
-        .groupBy("verdict", "context", "pair").agg(F.sum("n").alias("n"))
-    )
-    by_context = pairs.groupBy("verdict", F.col("context").alias("slot")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("kinds")
+def _models(known: DataFrame, order: int, most: int) -> dict[str, MarkovModel]:
+    counted = (
+        known.select((F.col("verdict") == "allow").alias("allow"), "host", "path")
+        .mapInPandas(_counts(order), "allow boolean, key long, n long")
+        .groupBy("allow", "key").agg(F.sum("n").alias("n"))
     )
-    by_pair = pairs.groupBy("verdict", (F.col("pair") + size).alias("slot")).agg(
-        F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds")
-    )
-    rows = by_context.unionByName(by_pair).toArrow().to_pandas()  # at most 4 * size rows
-    return {
-        v: MarkovModel.of(*[rows.loc[rows["verdict"] == v, c].to_numpy(np.int64) for c in ("slot", "n", "kinds")], size)
-        for v in ("allow", "block")
-    }
+    out = {}
+    for verdict in ("allow", "block"):
+        own = counted.where(F.col("allow") == (verdict == "allow")).select("key", "n")
+        rows = own.orderBy(F.desc("n"), "key").limit(most).toArrow()  # a top-k: each task sends its best ones
+        out[verdict] = MarkovModel(rows["key"].to_numpy(), rows["n"].to_numpy())
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", **options) -> DataFrame:
