@@ -3,38 +3,52 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+from leadflow.llm.common import values
+
+BUCKETS = 1 << 30
 SAMPLE = 20_000  # labelled rows that a fit takes at most
+SUPPORT = 4  # rated texts that must have a bucket
+SCREEN = 6.0  # standard deviations by which a bucket's grades must differ from all words'
 
 
-class _Slots(dict):
-    """Word to bucket; emptied when it has grown, so that a task's memory stays bounded."""
+class _Memo(dict):
+    """A word's value, found once; emptied when it has grown, so that a task's memory stays bounded."""
 
-    def __init__(self, size: int, most: int = 1_000_000):
+    def __init__(self, find: Callable[[bytes], float], most: int = 1_000_000):
         super().__init__()
-        self.size, self.most = size, most
+        self.find, self.most = find, most
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> float:
         if len(self) >= self.most:
             self.clear()
-        self[word] = slot = zlib.crc32(word) % self.size
-        return slot
+        self[word] = value = self.find(word)
+        return value
+
+
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
 
 
-def hashed(text: str | None, slots: _Slots) -> np.ndarray:
-    """The buckets of a text's different words (A-Z lower-cased, cut at blanks), whole and without signs at the ends."""
+def words_of(text: str | None) -> set[bytes]:
+    """A text's different words (A-Z lower-cased, cut at blanks), whole and without signs at the ends."""
     words = set((text or "").encode("utf-8", "replace").lower().split())
     words |= {w.strip(b".,;:!?\"'()") for w in words}
     words.discard(b"")
-    return np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
+    return words
+
+
+def hashed(text: str | None, buckets: Mapping[bytes, int]) -> np.ndarray:
+    words = words_of(text)
+    return np.unique(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,46 +57,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """P(grade <= k) = sigmoid(threshold k - score): one score for all grades, thresholds in order."""
+    """P(grade <= k) = sigmoid(threshold k - score): one score for all grades, thresholds in order.
+
+    Only ``kept`` buckets, in order, have a weight.
+    """
 
+    kept: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def score(self, buckets: np.ndarray) -> float:
-        """The sum of the weights of a text's words over the root of their number; 0 for a text without words."""
-        return float(self.weights[buckets].sum() / np.sqrt(max(len(buckets), 1)))
+    def weight(self, word: bytes) -> float:
+        b = bucket(word)
+        at = int(np.searchsorted(self.kept, b))
+        return float(self.weights[at]) if at < len(self.kept) and self.kept[at] == b else 0.0
 
     def grades(self, score: np.ndarray) -> np.ndarray:
         """The probability of each grade, one row for each score."""
-        upto = _sigmoid(self.thresholds - np.asarray(score)[:, None])
+        upto = _sigmoid(self.thresholds - np.asarray(score, float)[:, None])
         edge = np.zeros((len(upto), 1))
         return np.diff(np.concatenate([edge, upto, edge + 1], axis=1), axis=1)
 
 
+def screened(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """The buckets that say something: enough texts have them, and the words of some grade have them by ``SCREEN``
+    standard deviations more or less often than all words have."""
+    if not rows:
+        return np.zeros(0, np.int64)
+    of = [np.concatenate([np.zeros(0, np.int64), *[r for r, g in zip(rows, grades) if g == k]]) for k in range(n_grades)]
+    total = max(1, sum(map(len, of)))
+    distinct = [np.unique(x, return_counts=True) for x in of]
+    all_ = np.unique(np.concatenate([d for d, _ in distinct])).astype(np.int64)
+    seen = np.zeros((n_grades, len(all_)))
+    for k, (d, n) in enumerate(distinct):
+        seen[k, np.searchsorted(all_, d)] = n
+    count = seen.sum(axis=0)
+    share = np.array([len(x) for x in of])[:, None] / total
+    z = np.abs(seen - count * share) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9))
+    return all_[(count >= SUPPORT) & (z.max(axis=0, initial=0) >= SCREEN)]
+
+
 def train(
-    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int = BUCKETS, rounds: int = 200,
-    ridge: float = 1e-5, step: float = 0.05,
+    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 300, ridge: float = 1e-5,
+    step: float = 0.05, balance: float = 0.5,
 ) -> OrdinalModel:
-    """The model of least penalised deviance, grades weighted to an even share, by full-batch adaptive gradient steps.
+    """The model of least penalised deviance over screened buckets, by full-batch adaptive gradient steps.
+
+    A text's score is the sum of its buckets' weights. Grades weigh by their share to the power of ``-balance``:
+    0 leaves them as they are, 1 makes them even.
 
     Thresholds are a first one and positive gaps. Without rows the thresholds give all grades about an even chance.
     """
     k = n_grades - 1
     gaps = np.concatenate([[-0.5 * k], np.full(k - 1, 1.0)]) if k else np.zeros(0)
     free = np.concatenate([[gaps[0]], np.log(gaps[1:])]) if k else gaps  # a first threshold, logs of gaps
-    weights = np.zeros(buckets)
+    kept = screened(rows, grades, n_grades)
+    weights = np.zeros(len(kept))
     if len(rows):
-        lengths = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows).astype(np.int64)
-        row = np.repeat(np.arange(len(rows)), lengths)
-        scale = (1 / np.sqrt(np.maximum(lengths, 1)))[row]
+        found = [np.searchsorted(kept, r[np.isin(r, kept)]) for r in rows]
+        flat = np.concatenate(found).astype(np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
         share = np.bincount(grades, minlength=n_grades)
-        weight = (len(rows) / np.maximum(share, 1) / max(1, (share > 0).sum()))[grades] / len(rows)
-        moments = [np.zeros(buckets), np.zeros(buckets), np.zeros(k), np.zeros(k)]
+        weight = ((len(rows) / np.maximum(share, 1)) ** balance)[grades]
+        weight /= weight.sum()
+        moments = [np.zeros(len(kept)), np.zeros(len(kept)), np.zeros(k), np.zeros(k)]
         at = np.arange(len(rows))
         for t in range(1, rounds + 1):
             theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-            score = np.bincount(row, weights=weights[flat] * scale, minlength=len(rows))
+            score = np.bincount(row, weights=weights[flat], minlength=len(rows))
             upto = np.concatenate(
                 [np.zeros((len(rows), 1)), _sigmoid(theta - score[:, None]), np.ones((len(rows), 1))], axis=1
             )
@@ -94,13 +135,13 @@ def train(
             np.add.at(d_theta, grades, weight * slope[at, grades] / p)
             inner = d_theta[1:-1]
             d_free = np.concatenate([[inner.sum()], [inner[i:].sum() * np.exp(free[i]) for i in range(1, k)]])
-            d_weights = np.bincount(flat, weights=d_score[row] * scale, minlength=buckets) + ridge * weights
+            d_weights = np.bincount(flat, weights=d_score[row], minlength=len(kept)) + ridge * weights
             for x, g, (m, v) in ((weights, d_weights, (0, 1)), (free, d_free, (2, 3))):
                 moments[m] = 0.9 * moments[m] + 0.1 * g
                 moments[v] = 0.999 * moments[v] + 0.001 * g * g
                 x -= step * (moments[m] / (1 - 0.9**t)) / (np.sqrt(moments[v] / (1 - 0.999**t)) + 1e-8)
     theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])) if k else np.zeros(0)
-    return OrdinalModel(weights, theta)
+    return OrdinalModel(kept, weights, theta)
 
 
 def grade(quality: str | Column = "quality", toxic: str | Column = "toxic") -> Column:
@@ -111,8 +152,7 @@ def grade(quality: str | Column = "quality", toxic: str | Column = "toxic") -> C
 
 
 def fit(
-    docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE, buckets: int = BUCKETS,
-    id_col: str = "doc_id", **options,
+    docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", **options,
 ) -> OrdinalModel:
     """The model from rated texts (``ratings``: id, ``grade``).
 
@@ -128,11 +168,11 @@ def fit(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = _Slots(buckets)
+        buckets = _Memo(bucket)
         for batch in batches:
             yield pd.DataFrame({
                 "rated_id": batch["rated_id"], "grade": batch["grade"], "h": batch["h"],
-                "buckets": [hashed(t, slots).astype("<i4").tobytes() for t in batch["text"]],
+                "buckets": [hashed(t, buckets).astype("<i4").tobytes() for t in batch["text"]],
             })
 
     own = docs.select(F.col(id_col).alias("rated_id"), F.xxhash64("text").alias("h"), "text")
@@ -140,22 +180,24 @@ def fit(
         run, "rated_id long, grade int, h long, buckets binary"
     ).toArrow().to_pandas()
     rows = rows.drop_duplicates(["rated_id", "h"]).sort_values(["rated_id", "h"])[:sample]
-    return train(
-        [np.frombuffer(b, "<i4") for b in rows["buckets"]], rows["grade"].to_numpy(np.int64), n_grades, buckets, **options
-    )
+    own_buckets = [np.frombuffer(b, "<i4") for b in rows["buckets"]]
+    return train(own_buckets, rows["grade"].to_numpy(np.int64), n_grades, **options)
 
 
 def judgement(model: OrdinalModel, text: str | Column = "text") -> Column:
     """A struct of each text's ``expected`` grade, ``tail`` (the probability of the highest grade) and ``lowest`` (of grade 0)."""
     held = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
-    @F.pandas_udf("expected double, tail double, lowest double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("expected double, tail double, lowest double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = held.value
-        slots = _Slots(len(fitted.weights))
+        weights = _Memo(fitted.weight)
         for batch in batches:
-            p = fitted.grades(np.array([fitted.score(hashed(t, slots)) for t in batch]))
-            yield pd.DataFrame({"expected": p @ np.arange(p.shape[1]), "tail": p[:, -1], "lowest": p[:, 0]})
+            p = fitted.grades(np.array([sum(map(weights.__getitem__, words_of(t))) for t in values(batch)]))
+            yield pa.StructArray.from_arrays(
+                [pa.array(x) for x in (p @ np.arange(p.shape[1]), p[:, -1].copy(), p[:, 0].copy())],
+                ["expected", "tail", "lowest"],
+            )
 
     return of.asNondeterministic()(text)
 
