@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.llm.common import values
 from leadflow.llm.decontaminate import with_text
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -31,9 +32,7 @@ HEX = re.compile("[0-9a-f]{24,}")
 TOKEN = re.compile("[A-Za-z0-9+/_=-]{16,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Alphabets by name, each narrower one before those that hold it: symbols in order of their value, and the
-#: sizes of the classes that are tested for uniformity (an even share of the alphabet for hex and base 32,
-#: else lower case, upper case, digits and signs).
+#: Alphabets by name, each narrower one before those that hold it: symbols in order of their value.
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -43,9 +42,20 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-CLASSES = 4  # runs of equal length of the alphabet's symbols
 GRID = 32  # steps of a factor ten in which p-values are counted, rounded up
 FLOOR = 300  # powers of ten that are told apart
+TESTS = ("uneven", "runs", "serial")
+
+
+def kind_of(c: str) -> int:
+    """Lower case, upper case, digit or sign."""
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+PLACES = {e: {c: i for i, c in enumerate(symbols)} for e, symbols in ENCODINGS.items()}
+CLASSES = {e: np.array([kind_of(c) for c in symbols]) for e, symbols in ENCODINGS.items()}
+#: How likely two random neighbours are of different classes.
+CHANGE = {e: 1 - float(((np.bincount(k) / len(k)) ** 2).sum()) for e, k in CLASSES.items()}
 
 
 def infer(token: str) -> str | None:
@@ -54,34 +64,31 @@ def infer(token: str) -> str | None:
     if not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
         return None
     symbols = set(body)
-    return next((name for name, alphabet in ENCODINGS.items() if symbols <= set(alphabet)), None)
-
-
-@dataclass
-class Nulls:
-    """What an ordinary token of each alphabet is like, by all of the corpus: mean excess of chi-squared a symbol,
-    share of neighbours in different classes, and serial correlation."""
-
-    excess: dict[str, float]
-    change: dict[str, float]
-    serial: dict[str, float]
-
-
-def statistics(token: str, encoding: str) -> tuple[int, float, int, float]:
-    """Length, chi-squared over the classes, class changes, and the correlation of neighbours' values."""
-    alphabet = ENCODINGS[encoding]
-    body = token.rstrip("=")
-    place = {c: i for i, c in enumerate(alphabet)}
-    values = np.array([place[c] for c in body])
-    n = len(values)
-    classes = values * CLASSES // len(alphabet)
-    expected = n / CLASSES
-    chi = float(((np.bincount(classes, minlength=CLASSES) - expected) ** 2).sum() / expected)
-    changes = int((classes[1:] != classes[:-1]).sum())
+    return next((name for name, places in PLACES.items() if symbols <= places.keys()), None)
+
+
+def measures(token: str, encoding: str) -> tuple[int, float, float, float]:
+    """The length, and three rates that are about 0 for symbols drawn evenly at random: the excess of chi-squared over
+    all symbols, for each symbol of the token, as log(1 + x), since ordinary tokens differ by factors; the share of
+    class changes that is missing; and the correlation of neighbours' values."""
+    places = PLACES[encoding]
+    values = np.array([places[c] for c in token.rstrip("=")])
+    n, size = len(values), len(places)
+    chi = float((np.bincount(values, minlength=size) ** 2).sum()) * size / n - n
+    classes = CLASSES[encoding][values]
+    changes = float((classes[1:] != classes[:-1]).mean())
     centred = values - values.mean()
     spread = float((centred**2).sum())
-    serial = float((centred[1:] * centred[:-1]).sum() / spread) if spread else 1.0
-    return n, chi, changes, serial
+    serial = float((centred[1:] * centred[:-1]).sum()) / spread + 1 / n if spread else 1.0
+    return n, math.log1p(max((chi - (size - 1)) / n, -0.9)), CHANGE[encoding] - changes, serial
+
+
+def spreads(n: int, encoding: str) -> tuple[float, float, float]:
+    """The standard deviations of the three rates for random symbols: shorter tokens scatter more."""
+    size, change = len(PLACES[encoding]), CHANGE[encoding]
+    return (
+        math.sqrt(2 * (size - 1) * (n - 1) / n) / n, math.sqrt(change * (1 - change) / (n - 1)) + 1e-9, 1 / math.sqrt(n),
+    )
 
 
 def normal_tail(z: float) -> float:
@@ -89,36 +96,36 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def chi_tail(x: float, df: int) -> float:
-    """P(chi-squared of ``df`` > x), by the cube-root normal form."""
-    if x <= 0:
-        return 1.0
-    return normal_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+def randomness(token: str, encoding: str) -> float:
+    """The least p-value of the chi-squared, runs and serial-correlation tests, times three, for a token whose symbols
+    are drawn evenly at random."""
+    n, *rates = measures(token, encoding)
+    z = [r / s for r, s in zip(rates, spreads(n, encoding))]
+    return min(1.0, 3 * min(normal_tail(z[0]), 2 * normal_tail(abs(z[1])), 2 * normal_tail(abs(z[2]))))
 
 
-def randomness(n: int, chi: float, changes: int, serial: float) -> float:
-    """The least p-value of the three tests, times three, for a token whose symbols are drawn evenly at random."""
-    share = 1 - 1 / CLASSES
-    steps = n - 1
-    runs = abs(changes - steps * share) / math.sqrt(steps * share * (1 - share))
-    correlated = abs(serial + 1 / n) * math.sqrt(n)
-    return min(1.0, 3 * min(chi_tail(chi, CLASSES - 1), 2 * normal_tail(runs), 2 * normal_tail(correlated)))
+@dataclass
+class Nulls:
+    """What the ordinary tokens of each alphabet are like, by all of the corpus: mean and variance of each rate."""
 
+    mean: dict[str, list[float]]
+    variance: dict[str, list[float]]
 
-def ordinariness(n: int, chi: float, changes: int, serial: float, encoding: str, nulls: Nulls) -> float:
-    """A p-value for "an ordinary token of this length": how rarely one would look as even, as mixed and as
-    uncorrelated as this one. Longer tokens say more: every test's spread falls with the length."""
-    df = CLASSES - 1
-    far = max(0.0, nulls.excess.get(encoding, 0.0)) * n  # non-centrality of ordinary tokens
-    mean, spread = df + far, math.sqrt(2 * (df + 2 * far))
-    even = normal_tail((mean - chi) / spread)
-    share = min(max(nulls.change.get(encoding, 0.0), 0.02), 0.98)
-    mixed = normal_tail((changes - (n - 1) * share) / math.sqrt((n - 1) * share * (1 - share)))
-    usual = min(max(nulls.serial.get(encoding, 0.0), -0.95), 0.95)
-    loose = normal_tail((math.atanh(usual) - math.atanh(min(max(serial, -0.99), 0.99))) * math.sqrt(max(n - 3, 1)))
-    score = -2 * sum(math.log(max(p, 1e-300)) for p in (even, mixed, loose))  # Fisher's sum over three tests
-    half = score / 2
-    return min(1.0, math.exp(-half) * (1 + half + half * half / 2)) if half < 700 else 0.0
+
+def ordinariness(token: str, encoding: str, nulls: Nulls) -> float:
+    """A p-value for "an ordinary token of this length": how rarely one is as even, as mixed and as uncorrelated.
+
+    Each rate lies below its ordinary mean by so many deviations, to which the token's length adds its own
+    scatter. The three p-values depend on each other; their Cauchy mean holds all the same.
+    """
+    n, *rates = measures(token, encoding)
+    total = 0.0
+    for rate, own, mean, variance in zip(rates, spreads(n, encoding), nulls.mean[encoding], nulls.variance[encoding]):
+        p = normal_tail((mean - rate) / math.sqrt(variance + own * own))
+        p = min(max(p, 1e-290), 1 - 1e-15)
+        total += 1 / (math.pi * p) if p < 1e-9 else math.tan((0.5 - p) * math.pi)
+    total /= len(rates)
+    return 1 / (math.pi * total) if total > 1e9 else 0.5 - math.atan(total) / math.pi
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -149,54 +156,57 @@ def grid_of(p: float, n: int, mean_length: float) -> int:
     return int(min(max(math.floor(-weighted * GRID), 0), GRID * FLOOR))
 
 
-def _sums(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch and alphabet: the tokens, their lengths, and of ordinary ones the sums and squares of the rates."""
     for batch in batches:
-        sums: dict[str, list[float]] = {}
-        for text in batch["text"]:
+        sums: dict[str, np.ndarray] = {}
+        for text in values(batch.column("text")):
             for _, _, token, encoding in candidates(text or ""):
-                n, chi, changes, serial = statistics(token, encoding)
-                at = sums.setdefault(encoding, [0, 0, 0, 0, 0, 0, 0])
-                random_ = randomness(n, chi, changes, serial) > 0.01
-                for i, x in enumerate((1, n, 0 if random_ else n, 0 if random_ else chi - CLASSES + 1,
-                                       0 if random_ else n - 1, 0 if random_ else changes,
-                                       0 if random_ else serial * n)):
-                    at[i] += x
-        yield pd.DataFrame(
-            [[k, *v] for k, v in sums.items()], columns=["encoding", "m", "n", "on", "excess", "steps", "changes", "serial"]
-        )
+                n, *rates = measures(token, encoding)
+                at = sums.setdefault(encoding, np.zeros(9))
+                at[:2] += 1, n
+                if randomness(token, encoding) < 0.01:
+                    at[2] += 1
+                    at[3:6] += rates
+                    at[6:] += np.square(rates)
+        rows = [{"encoding": k, **dict(zip(SUMS, v.tolist()))} for k, v in sums.items()]
+        kind = pa.schema([("encoding", pa.string()), *[(c, pa.float64()) for c in SUMS]])
+        yield pa.RecordBatch.from_pylist(rows, kind)
+
+
+SUMS = ["m", "n", "ordinary", *[f"{t}_sum" for t in TESTS], *[f"{t}_squares" for t in TESTS]]
+LEAST = 100  # ordinary tokens that an alphabet needs for rates of its own
 
 
 def learn(docs: DataFrame) -> tuple[Nulls, int, float]:
     """What ordinary tokens are like, from all rows, with the number and mean length of all candidates.
 
-    Tokens that pass as random at one in a hundred don't count as ordinary. An alphabet without
-    ordinary tokens takes the mean over all of them, or else text in a quarter of the classes.
+    Tokens that pass as random at one in a hundred don't count as ordinary. An alphabet with few ordinary
+    tokens takes those of all alphabets; with few in all, the rates of text: much repetition, few changes.
     """
-    kind = "encoding string, m double, n double, on double, excess double, steps double, changes double, serial double"
-    columns = ["m", "n", "on", "excess", "steps", "changes", "serial"]
     rows = (
-        docs.select("text").mapInPandas(_sums, kind).groupBy("encoding")
-        .agg(*[F.sum(c).alias(c) for c in columns]).collect()  # at most one row for each alphabet
-    )
-    total = {c: sum(r[c] for r in rows) for c in columns}
-    rate = lambda r, a, b, other: r[a] / r[b] if r[b] >= 200 else other
-    base = {"excess": rate(total, "excess", "on", 1.0), "change": rate(total, "changes", "steps", 0.25),
-            "serial": rate(total, "serial", "on", 0.5)}
-    own = {r["encoding"]: r for r in rows}
-    nulls = Nulls(
-        *[{e: rate(own[e], a, b, base[name]) if e in own else base[name] for e in ENCODINGS}
-          for name, a, b in (("excess", "excess", "on"), ("change", "changes", "steps"), ("serial", "serial", "on"))]
+        docs.select("text").mapInArrow(_sums, "encoding string, " + ", ".join(f"{c} double" for c in SUMS))
+        .groupBy("encoding").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()  # at most one row for each alphabet
     )
-    return nulls, int(total["m"]), total["n"] / total["m"] if total["m"] else 1.0
+    own = {r["encoding"]: np.array([r[c] for c in SUMS]) for r in rows}
+    every = sum(own.values(), np.zeros(len(SUMS)))
+    nulls = Nulls({}, {})
+    for encoding in ENCODINGS:
+        sums = next((s for s in (own.get(encoding, np.zeros(len(SUMS))), every) if s[2] >= LEAST), None)
+        mean = sums[3:6] / sums[2] if sums is not None else np.array([1.0, 0.3, 0.3])
+        nulls.mean[encoding] = mean.tolist()
+        squares = sums[6:] / sums[2] if sums is not None else mean**2 + 0.04
+        nulls.variance[encoding] = np.maximum(squares - mean**2, 1e-6).tolist()
+    m = int(every[0])
+    return nulls, m, every[1] / m if m else 1.0
 
 
 def judged(text: str, nulls: Nulls, mean_length: float, doubt: float) -> Iterator[tuple[int, int, int]]:
     """Start, stop and grid step of each candidate that passes as random at level ``doubt``; others get step 0."""
     for start, stop, token, encoding in candidates(text):
-        got = statistics(token, encoding)
         step = 0
-        if randomness(*got) >= doubt:
-            step = grid_of(ordinariness(*got, encoding, nulls), got[0], mean_length)
+        if randomness(token, encoding) >= doubt:
+            step = grid_of(ordinariness(token, encoding, nulls), len(token), mean_length)
         yield start, stop, step
 
 
@@ -230,13 +240,16 @@ def fit(docs: DataFrame, rate: float = 0.01, doubt: float = 0.001) -> Battery:
     """
     nulls, m, mean_length = learn(docs)
 
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = Counter(s for t in batch["text"] for _, _, s in judged(t or "", nulls, mean_length, doubt))
-            yield pd.DataFrame({"step": list(n), "n": list(n.values())}, dtype="int64")
+            texts = values(batch.column("text"))
+            n = Counter(s for t in texts for _, _, s in judged(t or "", nulls, mean_length, doubt))
+            yield pa.RecordBatch.from_pydict(
+                {"step": pa.array(n.keys(), pa.int64()), "n": pa.array(n.values(), pa.int64())}
+            )
 
     counts = (
-        docs.select("text").mapInPandas(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+        docs.select("text").mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
         .collect()
     )
     passed, best = 0, GRID * FLOOR + 1
@@ -253,11 +266,14 @@ SPANS = "array<struct<start:int,stop:int,kind:string>>"
 def spans_column(battery: Battery, text: str | Column = "text") -> Column:
     held = SparkSession.getActiveSession().sparkContext.broadcast(battery)
 
-    @F.pandas_udf(SPANS)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = held.value
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
-            yield pd.Series([[{"start": a, "stop": b, "kind": k} for a, b, k in fitted.spans(t)] for t in batch])
+            yield pa.array(
+                [[{"start": a, "stop": b, "kind": k} for a, b, k in fitted.spans(t)] for t in values(batch)], kind
+            )
 
     return of.asNondeterministic()(text)
 
@@ -285,11 +301,11 @@ def redact(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("row"), spans_column(fit(docs, **options)).alias("spans"))
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for t, own in zip(text, spans):
-            if t is not None and len(own):
+        for t, own in zip(values(text), values(spans)):
+            if t is not None and own:
                 parts, at = [], 0
                 for x in own:
                     if x["start"] >= at:
@@ -297,6 +313,6 @@ def redact(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
                     at = max(at, x["stop"])
                 t = "".join([*parts, t[at:]])
             out.append(t)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return with_text(rows.withColumn("new", masked("row.text", "spans")), docs, F.col("new"), F.size("spans") > 0)
