@@ -6,11 +6,13 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leadflow.llm.common import values
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
@@ -31,6 +33,7 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "caption": ({"caption"}, {"table"}),
 }
+OPEN = 512  # open elements; a deeper one has its content in its parent, as in browsers
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -88,7 +91,7 @@ def parse(source: str) -> Node:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             node.children.append(source[at : stop.start() if stop else end])
             at = source.find(">", stop.end()) + 1 or end if stop else end
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
+        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")) and len(stack) < OPEN:
             stack.append(node)
     return root
 
@@ -223,7 +226,7 @@ def render(root: Node, depth: int = 0) -> str:
             page.block(True)
             for line in table_lines(node, depth + 1):
                 page._put(line)
-                page.end_line()
+                page.end_line(force=not line)
             page.block(True)
         elif tag in BLOCK:
             page.block(tag in SPACED)
@@ -309,10 +312,10 @@ def extract(source: str | None) -> str | None:
     return None if source is None else render(parse(source))
 
 
-@F.pandas_udf(StringType())
-def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pd.Series([extract(x) for x in batch], dtype=object)
+        yield pa.array([extract(x) for x in values(batch)], pa.string())
 
 
 def text_column(source: str | Column = "html") -> Column:
