@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import ascii_lower
+from leadflow.llm.common import ascii_lower, written
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
          ("com/de/", "block")]
 ORDER = 5  # the longest context, in bytes
-GRAMS = 400_000  # n-grams that a model keeps at most, the most frequent ones
+HOT = 10_000  # windows with over 1/HOT of the rows, of which there are fewer than HOT, are looked up in the tasks
+UNIT = 1e11  # parts of a nat in which log ratios are added up: whole numbers, so that their order doesn't matter
+SLICE = 1 << 20  # bytes of URLs that a task reads at once
 ALPHABET = 256
 
 
@@ -67,7 +68,8 @@ def grams(text: bytes, order: int = ORDER) -> np.ndarray:
 
 
 class MarkovModel:
-    """How often bytes follow contexts of every length up to the order, for the n-grams that are kept."""
+    """How often bytes follow contexts of every length up to the order: the definition, in memory. ``log_ratios``
+    has the same probabilities as tables."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
         order = np.argsort(key)
@@ -93,63 +95,171 @@ class MarkovModel:
         return float(np.log(p).sum())
 
 
+def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text but its first, the text's number and the byte's longest key: see ``grams``.
+
+    All shorter keys of the byte are suffixes of it, so that it decides the byte's probability.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key, value = data.copy(), data.copy()
+    for k in range(1, order + 1):
+        value[k:] |= data[:-k] << (8 * k)
+        key = np.where(offset >= k, value | (k << 56), key)
+    real = offset > 0
+    return owner[real], key[real]
+
+
+def _slices(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """The batch's rows and texts, about ``SLICE`` bytes at a time."""
+    texts, size, at = [], 0, 0
+    for i, (h, p) in enumerate(zip(batch["host"], batch["path"])):
+        texts.append(features(h, p))
+        size += len(texts[-1])
+        if size >= SLICE:
+            yield batch.iloc[at : i + 1], texts
+            texts, size, at = [], 0, i + 1
+    if texts:
+        yield batch.iloc[at:], texts
+
+
+SEEN = ["allow", "allow_held", "block", "block_held"]
+
+
 def _counts(order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch and verdict, how often each n-gram occurs."""
+        """Per slice and window, how often it occurs in the URLs of each verdict, and how many URLs to judge have it."""
         for batch in batches:
-            for allow, rows in batch.groupby("allow"):
-                keys = np.concatenate([grams(features(h, p), order).ravel() for h, p in zip(rows["host"], rows["path"])])
-                key, n = np.unique(keys[keys >= 0], return_counts=True)
-                yield pd.DataFrame({"allow": bool(allow), "key": key, "n": n})
+            for rows, texts in _slices(batch):
+                owner, key = windows(texts, order)
+                key, at = np.unique(key, return_inverse=True)
+                verdict, held = rows["verdict"].to_numpy(object), rows["held"].to_numpy(bool)
+                out = {"key": key}
+                for i, name in enumerate(SEEN):
+                    own = (verdict == name[:5]) & (held == bool(i % 2))
+                    out[name] = np.bincount(at[own[owner]], minlength=len(key))
+                asked = (held | pd.isna(rows["verdict"]).to_numpy(bool))[owner]
+                once = np.unique(owner[asked] * len(key) + at[asked]) % len(key)
+                out["asked"] = np.bincount(once, minlength=len(key))
+                yield pd.DataFrame(out)
 
     return run
 
 
-@dataclass
-class UrlJudge:
-    """The two models and the least ratio (nats a byte) of an accepted URL."""
+def _order(key: Column) -> Column:
+    return F.shiftright(key, 56).cast("int")
 
-    models: dict[str, MarkovModel]
-    least: float
-    order: int = ORDER
 
-    def ratio(self, host: str, path: str) -> float:
-        """Log-likelihood as an accepted URL less that as a rejected one, for each byte."""
-        keys = grams(features(host, path), self.order)
-        both = [self.models[v].log_probability(keys) for v in ("allow", "block")]
-        return (both[0] - both[1]) / len(keys)
-
-    def column(self, host: Column, path: Column) -> Column:
-        held = SparkSession.getActiveSession().sparkContext.broadcast(self)
-
-        @F.pandas_udf("double")
-        def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            judge = held.value
-            for hosts, paths in batches:
-                yield pd.Series([judge.ratio(h, p) for h, p in zip(hosts, paths)], dtype="float64")
-
-        return of.asNondeterministic()(host, path)
+def log_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, trial, final`` of each window that is asked for: its log-likelihood as part of an accepted URL less that
+    as part of a rejected one, in ``UNIT`` parts of a nat, by the rows that aren't held back and by all.
 
+    ``counted`` has how often each window occurs. Every n-gram is a suffix of windows, so its count is a
+    sum of theirs; none is left out. A context has at most 256 bytes after it, and a key is prolonged by
+    at most 256 bytes: no key of these joins is hot.
+    """
+    k = F.col("order")
+    suffix = F.expr("(key & (shiftleft(1L, 8 * (order + 1)) - 1)) | shiftleft(order * 1L, 56)")
+    every = (
+        counted.withColumn("asked", (F.col("asked") > 0).cast("int"))
+        .withColumn("order", F.explode(F.sequence(F.lit(0), _order(F.col("key")))))
+        .withColumn("whole", (k == _order(F.col("key"))).cast("int") * F.col("asked"))
+        .withColumn("key", suffix)
+        .groupBy("key").agg(*[F.sum(c).alias(c) for c in SEEN], F.max("asked").alias("asked"), F.max("whole").alias("whole"))
+    )
+    context = Window.partitionBy(F.shiftright("key", 8))
+    models = {
+        "trial_allow": F.col("allow"), "trial_block": F.col("block"),
+        "final_allow": F.col("allow") + F.col("allow_held"), "final_block": F.col("block") + F.col("block_held"),
+    }
+    grams_ = every.select(
+        "key", "asked", "whole",
+        *[
+            F.struct(n.alias("n"), F.sum(n).over(context).alias("after"),
+                     F.sum((n > 0).cast("long")).over(context).alias("kinds")).alias(name)
+            for name, n in models.items()
+        ],
+    ).where("asked = 1").withColumn("order", _order(F.col("key")))
+    grams_ = written(grams_.drop("asked"), "url-grams")
+    level, out = None, None
+    for i in range(order + 1):
+        own = grams_.where(k == i)
+        if i:
+            parent = F.expr(f"(key & {(1 << 8 * i) - 1}L) | {(i - 1) << 56}L")
+            below = level.select(F.col("key").alias("parent"), *[F.col(m).alias(f"{m}_below") for m in models])
+            own = own.withColumn("parent", parent).join(below, "parent")
+        level = written(own.select("key", "whole", *[
+            _smoothed(F.col(m), F.col(f"{m}_below") if i else F.lit(1 / ALPHABET)).alias(m) for m in models
+        ]), "url-probabilities")
+        out = level if out is None else out.unionByName(level)
+    return out.where("whole = 1").select("key", *[
+        F.round((F.log(f"{m}_allow") - F.log(f"{m}_block")) * UNIT).cast("long").alias(m) for m in ("trial", "final")
+    ])
+
+
+def _smoothed(own: Column, below: Column) -> Column:
+    """Witten and Bell: see ``MarkovModel.log_probability``."""
+    n, after, kinds = (own[c].cast("double") for c in ("n", "after", "kinds"))
+    return F.when(after > 0, (n + kinds * below) / (after + kinds)).otherwise(below)
+
+
+def _parts(order: int, key: np.ndarray, trial: np.ndarray, final: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per URL, a row with its length and the sum of its hot windows (``key`` is below 0 and its own), and a row for
+        each other window."""
+        for batch in batches:
+            for rows, texts in _slices(batch):
+                owner, own = windows(texts, order)
+                uid, held = rows["uid"].to_numpy(np.int64), rows["held"].to_numpy(bool)
+                kinds, at = np.unique(own, return_inverse=True)
+                pair, times = np.unique(owner * len(kinds) + at, return_counts=True)
+                owner, own = pair // len(kinds), kinds[pair % len(kinds)]
+                at = np.searchsorted(key, own)
+                hot = key[at] == own
+                sums = np.zeros(len(rows), np.int64)
+                value = np.where(held[owner], trial[at], final[at]) * times
+                np.add.at(sums, owner[hot], value[hot])
+                length = np.bincount(owner, weights=times, minlength=len(rows)).astype(np.int64)
+                yield pd.DataFrame({"uid": uid, "key": -1 - uid, "held": held, "times": length, "hot": sums})
+                owner, own, times = owner[~hot], own[~hot], times[~hot]
+                yield pd.DataFrame({"uid": uid[owner], "key": own, "held": held[owner], "times": times, "hot": 0})
 
-STEPS = 1_000  # of a nat, in which ratios are counted for the threshold
+    return run
 
 
-def fit(known: DataFrame, order: int = ORDER, most: int = GRAMS, folds: int = 5) -> UrlJudge:
-    """The judge from all rows of ``known`` (``host, path, verdict``).
+def ratios(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``uid, ratio`` of the rows that are held back (by the models of the others) or have no verdict (by all's):
+    log-likelihood as an accepted URL less that as a rejected one, in nats a byte.
 
-    n-grams are counted in the tasks and summed by Spark; a model is its ``most`` most frequent ones, so that
-    what the driver gets is bounded. The threshold is that of the best balanced accuracy on every
-    fifth URL (by hash), which a first pair of models doesn't see; counts by 1/1000 nat are all that it
-    takes. The final models learn from all rows. Without rows of both verdicts every ratio passes.
+    The tables of windows and n-grams grow with the input and stay in Spark. The driver gets the windows
+    that make up more than one in ``HOT`` of the rows to join, which would be hot keys: fewer than ``HOT`` of them.
     """
-    held = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0
-    trial = UrlJudge(_models(known.where(~held), order, most), 0.0, order)
-    ratio = F.floor(trial.column(F.col("host"), F.col("path")) * STEPS)
-    counts = known.where(held).select("verdict", ratio.alias("step")).groupBy("step").agg(
-        F.sum((F.col("verdict") == "allow").cast("long")).alias("allow"),
-        F.sum((F.col("verdict") == "block").cast("long")).alias("block"),
+    kinds = "key long, " + ", ".join(f"{c} long" for c in [*SEEN, "asked"])
+    counted = written(
+        rows.select("host", "path", "verdict", "held").mapInPandas(_counts(order), kinds)
+        .groupBy("key").agg(*[F.sum(c).alias(c) for c in [*SEEN, "asked"]]),
+        "url-windows",
+    )
+    found = written(log_ratios(counted, order), "url-ratios")
+    total = counted.agg(F.sum("asked")).first()[0] or 0
+    hot = found.join(counted.where(F.col("asked") * HOT > total).select("key"), "key").orderBy("key").toArrow()
+    past = np.append(hot["key"].to_numpy(), np.iinfo(np.int64).max)
+    parts = rows.where("held or verdict is null").select("uid", "host", "path", "held").mapInPandas(
+        _parts(order, past, np.append(hot["trial"].to_numpy(), 0), np.append(hot["final"].to_numpy(), 0)),
+        "uid long, key long, held boolean, times long, hot long",
+    )
+    one = F.when(F.col("key") < 0, F.col("hot")).otherwise(
+        F.col("times") * F.when(F.col("held"), F.col("trial")).otherwise(F.col("final"))
+    )
+    length = F.when(F.col("key") < 0, F.col("times"))
+    return parts.join(found, "key", "left").groupBy("uid").agg(
+        (F.sum(one) / UNIT / F.sum(length)).alias("ratio")
     )
-    return UrlJudge(_models(known, order, most), threshold(counts.toArrow().to_pandas()), order)
+
+
+STEPS = 1_000  # of a nat, in which ratios are counted for the threshold
 
 
 def threshold(counts: pd.DataFrame) -> float:
@@ -167,37 +277,36 @@ def threshold(counts: pd.DataFrame) -> float:
     return float(edges[best[np.abs(edges[best]).argmin()]])
 
 
-def _models(known: DataFrame, order: int, most: int) -> dict[str, MarkovModel]:
-    counted = (
-        known.select((F.col("verdict") == "allow").alias("allow"), "host", "path")
-        .mapInPandas(_counts(order), "allow boolean, key long, n long")
-        .groupBy("allow", "key").agg(F.sum("n").alias("n"))
-    )
-    out = {}
-    for verdict in ("allow", "block"):
-        own = counted.where(F.col("allow") == (verdict == "allow")).select("key", "n")
-        rows = own.orderBy(F.desc("n"), "key").limit(most).toArrow()  # a top-k: each task sends its best ones
-        out[verdict] = MarkovModel(rows["key"].to_numpy(), rows["n"].to_numpy())
-    return out
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", **options) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", order: int = ORDER, folds: int = 5
+) -> DataFrame:
     """``page_id, host, path, rule, verdict, ratio`` of every row.
 
     Where a rule fits, it decides, and the URL is an example for the models: allowed ones are accepted,
-    blocked ones rejected. Other URLs are allowed if their ratio reaches the calibrated threshold. Null
-    URLs and URLs without ``://`` have an empty host and path and are judged like any other. Ratios of
+    blocked ones rejected. Other URLs are allowed if their ratio reaches the calibrated threshold: that of
+    the best balanced accuracy on every fifth URL (by hash), which a first pair of models doesn't see. The
+    final models learn from all rows. Counts by 1/1000 nat are all that the threshold takes.
+
+    Null URLs and URLs without ``://`` have an empty host and path and are judged like any other. Ratios of
     URLs with a rule are null. Repeated rows come back, and teach, as often as they came.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = split.withColumn("by_rule", ruling(F.col("host"), F.col("path"), rules))
-    known = ruled.where("by_rule is not null").select("host", "path", F.col("by_rule.verdict").alias("verdict"))
-    fitted = fit(known, **options)
-    open_ = ruled.where("by_rule is null").withColumn("ratio", fitted.column(F.col("host"), F.col("path")))
-    said = F.when(F.col("ratio") >= fitted.least, "allow").otherwise("block")
-    return ruled.where("by_rule is not null").select(
-        "page_id", "host", "path", "by_rule.rule", "by_rule.verdict", F.lit(None).cast("double").alias("ratio")
+    held = F.col("by_rule").isNotNull() & (F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0)
+    rows = written(ruled.select(
+        F.monotonically_increasing_id().alias("uid"), "page_id", "host", "path", "by_rule.rule", "by_rule.verdict",
+        held.alias("held"),
+    ), "urls")
+    scored = written(rows.where("held or verdict is null").join(ratios(rows, order), "uid"), "url-scored")
+    counts = scored.where("held").select("verdict", F.floor(F.col("ratio") * STEPS).alias("step")).groupBy("step").agg(
+        F.sum((F.col("verdict") == "allow").cast("long")).alias("allow"),
+        F.sum((F.col("verdict") == "block").cast("long")).alias("block"),
+    )
+    least = threshold(counts.toArrow().to_pandas())
+    said = F.when(F.col("ratio") >= least, "allow").otherwise("block")
+    return rows.where("verdict is not null").select(
+        "page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("ratio")
     ).unionByName(
-        open_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), said.alias("verdict"), "ratio")
+        scored.where("not held").select("page_id", "host", "path", "rule", said.alias("verdict"), "ratio")
     )

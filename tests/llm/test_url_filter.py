@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -134,3 +135,19 @@ def test_threshold():
     rows = pd.DataFrame({"step": [-900, -100, 50, 400], "allow": [0, 1, 5, 5], "block": [6, 3, 0, 0]})
     assert -0.1 < threshold(rows) <= 0.05
     assert threshold(rows.assign(block=0)) == 0.0 == threshold(rows[:0])
+
+
+def test_models_keep_all_ngrams(spark):
+    draw = random.Random(3)
+    tail = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=45))
+    known = {"allow": [(f"{i}.org", f"/{tail()}") for i in range(3_500)], "block": [("x.com", f"/de/{tail()}") for _ in range(3_500)]}
+    open_ = [("new.net", known["allow"][i][1]) for i in range(20)] + [("new.net", known["block"][i][1]) for i in range(20)]
+    rows = [(-1, f"http://{h}{p}") for own in known.values() for h, p in own]
+    rows += [(i, f"http://{h}{p}") for i, (h, p) in enumerate(open_)]
+    got = {r.page_id: r.ratio for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    models = {v: model_of(own) for v, own in known.items()}
+    assert min(len(m.key) for m in models.values()) > 400_000
+    for i, (h, p) in enumerate(open_):
+        keys = grams(features(h, p))
+        want = (models["allow"].log_probability(keys) - models["block"].log_probability(keys)) / len(keys)
+        assert abs(got[i] - want) < 1e-9
