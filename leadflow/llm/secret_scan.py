@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
+from operator import mul, ne
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
-TOKEN = re.compile("[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile("[A-Za-z0-9+/_=-]{2,}")  # what holds tokens; one symbol has no neighbour to test
+TOKEN = re.compile("[A-Za-z0-9+/_-]{2,}(?:=+(?![A-Za-z0-9+/_-]))?")  # an inner = parts tokens, padding belongs to them
+PARTS = re.compile("[A-Za-z0-9+/]{2,}=*"), re.compile("[A-Za-z0-9_-]{2,}=*")  # of tokens that mix two alphabets' signs
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Alphabets by name, each narrower one before those that hold it: symbols in order of their value.
@@ -41,7 +45,11 @@ ENCODINGS = {
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
 }
+LETTERS = ("lower", "UPPER", "letters", "base64", "base64url")  # those of tokens without digits
 GRID = 32  # steps of a factor ten in which p-values are counted, rounded up
 FLOOR = 300  # powers of ten that are told apart
 TESTS = ("uneven", "runs", "serial")
@@ -53,7 +61,8 @@ def kind_of(c: str) -> int:
 
 
 PLACES = {e: {c: i for i, c in enumerate(symbols)} for e, symbols in ENCODINGS.items()}
-CLASSES = {e: np.array([kind_of(c) for c in symbols]) for e, symbols in ENCODINGS.items()}
+CLASS = {c: kind_of(c) for symbols in ENCODINGS.values() for c in symbols}
+CLASSES = {e: np.array([CLASS[c] for c in symbols]) for e, symbols in ENCODINGS.items()}
 #: How likely two random neighbours are of different classes.
 CHANGE = {e: 1 - float(((np.bincount(k) / len(k)) ** 2).sum()) for e, k in CLASSES.items()}
 
@@ -67,19 +76,48 @@ def infer(token: str) -> str | None:
     return next((name for name, places in PLACES.items() if symbols <= places.keys()), None)
 
 
+def alphabet(token: str) -> str | None:
+    """The alphabet that a token is tested by: ``infer``'s, and for letters without digits one of ``LETTERS``.
+
+    None for digits and signs without letters, and for symbols that no alphabet has together.
+    """
+    body = token.rstrip("=")
+    if body.isalpha():
+        return "lower" if body.islower() else "UPPER" if body.isupper() else "letters"
+    if any(c.isdigit() for c in body) or not any(c.isalpha() for c in body):
+        return infer(token)
+    symbols = set(body)
+    return next((name for name in LETTERS if symbols <= PLACES[name].keys()), None)
+
+
+FAMILIES = range(3)
+
+
+def family(token: str) -> int:
+    """Long tokens with digits, long ones without, and short ones: each family's discoveries are controlled for
+    themselves, so that the many words of the last two don't hide the secrets of the first."""
+    return 2 if len(token) < 16 else 0 if any(c.isdigit() for c in token) else 1
+
+
+@lru_cache(1 << 15)
 def measures(token: str, encoding: str) -> tuple[int, float, float, float]:
     """The length, and three rates that are about 0 for symbols drawn evenly at random: the excess of chi-squared over
     all symbols, for each symbol of the token, as log(1 + x), since ordinary tokens differ by factors; the share of
     class changes that is missing; and the correlation of neighbours' values."""
-    places = PLACES[encoding]
-    values = np.array([places[c] for c in token.rstrip("=")])
+    places, body = PLACES[encoding], token.rstrip("=")
+    values = [places[c] for c in body]
     n, size = len(values), len(places)
-    chi = float((np.bincount(values, minlength=size) ** 2).sum()) * size / n - n
-    classes = CLASSES[encoding][values]
-    changes = float((classes[1:] != classes[:-1]).mean())
-    centred = values - values.mean()
-    spread = float((centred**2).sum())
-    serial = float((centred[1:] * centred[:-1]).sum()) / spread + 1 / n if spread else 1.0
+    squares = sum(map(body.count, body)) if n < 64 else sum(x * x for x in Counter(body).values())
+    chi = squares * size / n - n
+    changes = 0.0
+    if CHANGE[encoding]:
+        classes = [CLASS[c] for c in body]
+        changes = sum(map(ne, classes, classes[1:])) / (n - 1)
+    total, own = sum(values), sum(map(mul, values, values))
+    serial, mean = 1.0, total / n
+    if own * n > total * total:
+        cross = sum(map(mul, values, values[1:])) - mean * (2 * total - values[0] - values[-1]) + (n - 1) * mean * mean
+        serial = cross / (own - total * mean) + 1 / n
     return n, math.log1p(max((chi - (size - 1)) / n, -0.9)), CHANGE[encoding] - changes, serial
 
 
@@ -141,11 +179,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, stop, token and alphabet of each token that could be an encoded value."""
-    for m in TOKEN.finditer(text):
-        encoding = infer(m[0])
-        if encoding:
-            yield m.start(), m.end(), m[0], encoding
+    """Start, stop, token and alphabet of each token that could be an encoded value, of any length.
+
+    A token with signs of both base64 and base64url is parted at the ones and at the others. What the fixed
+    patterns leave of a token is a candidate too. What a run of symbols holds does not depend on the text around it.
+    """
+    for run in RUN.finditer(text):
+        if run[0].isalpha() and len(run[0]) < 20:  # a word: no fixed pattern is as short
+            yield run.start(), run.end(), run[0], alphabet(run[0])
+            continue
+        for m in TOKEN.finditer(run[0]):
+            token = m[0]
+            found = {(0, token)}
+            if not alphabet(token) and any(c in token for c in "+/") and any(c in token for c in "-_"):
+                found = {(x.start(), x[0]) for part in PARTS for x in part.finditer(token)}
+            at = 0
+            for x in (*ACCESS.finditer(token), *HEX.finditer(token)):
+                if x.start() >= at:
+                    found |= {(at, token[at : x.start()]), (x.end(), token[x.end() :])}
+                    at = x.end()
+            for at, own in sorted(found):
+                if len(own.rstrip("=")) > 1 and (encoding := alphabet(own)):
+                    yield run.start() + m.start() + at, run.start() + m.start() + at + len(own), own, encoding
+
+
+def runs(texts: Iterator[str | None], most: int = 30_000) -> Iterator[Counter]:
+    """How often each run of symbols occurs, about ``most`` different ones at a time."""
+    n: Counter = Counter()
+    for text in texts:
+        n.update(RUN.findall(text or ""))
+        if len(n) >= most:
+            yield n
+            n = Counter()
+    yield n
 
 
 def grid_of(p: float, n: int, mean_length: float) -> int:
@@ -157,20 +223,23 @@ def grid_of(p: float, n: int, mean_length: float) -> int:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and alphabet: the tokens, their lengths, and of ordinary ones the sums and squares of the rates."""
+    """Per batch, family and alphabet: the tokens, their lengths, and of ordinary ones the sums and squares of the rates."""
     for batch in batches:
-        sums: dict[str, np.ndarray] = {}
-        for text in values(batch.column("text")):
-            for _, _, token, encoding in candidates(text or ""):
-                n, *rates = measures(token, encoding)
-                at = sums.setdefault(encoding, np.zeros(9))
-                at[:2] += 1, n
-                if randomness(token, encoding) < 0.01:
-                    at[2] += 1
-                    at[3:6] += rates
-                    at[6:] += np.square(rates)
-        rows = [{"encoding": k, **dict(zip(SUMS, v.tolist()))} for k, v in sums.items()]
-        kind = pa.schema([("encoding", pa.string()), *[(c, pa.float64()) for c in SUMS]])
+        sums: dict[tuple[int, str], list[float]] = {}
+        for counted in runs(values(batch.column("text"))):
+            for run, times in counted.items():
+                for _, _, token, encoding in candidates(run):
+                    n, *rates = measures(token, encoding)
+                    at = sums.setdefault((family(token), encoding), [0.0] * 9)
+                    at[0] += times
+                    at[1] += times * n
+                    if randomness(token, encoding) < 0.01:
+                        at[2] += times
+                        for i, x in enumerate(rates):
+                            at[3 + i] += x * times
+                            at[6 + i] += x * x * times
+        rows = [{"family": f, "encoding": k, **dict(zip(SUMS, v))} for (f, k), v in sums.items()]
+        kind = pa.schema([("family", pa.int32()), ("encoding", pa.string()), *[(c, pa.float64()) for c in SUMS]])
         yield pa.RecordBatch.from_pylist(rows, kind)
 
 
@@ -178,86 +247,139 @@ SUMS = ["m", "n", "ordinary", *[f"{t}_sum" for t in TESTS], *[f"{t}_squares" for
 LEAST = 100  # ordinary tokens that an alphabet needs for rates of its own
 
 
-def learn(docs: DataFrame) -> tuple[Nulls, int, float]:
-    """What ordinary tokens are like, from all rows, with the number and mean length of all candidates.
+def learn_all(docs: DataFrame) -> list[tuple[Nulls, int, float]]:
+    """For each family what its ordinary tokens are like, from all rows, with the number and mean length of its candidates.
 
     Tokens that pass as random at one in a hundred don't count as ordinary. An alphabet with few ordinary
     tokens takes those of all alphabets; with few in all, the rates of text: much repetition, few changes.
     """
     rows = (
-        docs.select("text").mapInArrow(_sums, "encoding string, " + ", ".join(f"{c} double" for c in SUMS))
-        .groupBy("encoding").agg(*[F.sum(c).alias(c) for c in SUMS]).collect()  # at most one row for each alphabet
+        docs.select("text")
+        .mapInArrow(_sums, "family int, encoding string, " + ", ".join(f"{c} double" for c in SUMS))
+        .groupBy("family", "encoding").agg(*[F.sum(c).alias(c) for c in SUMS])
+        .collect()  # at most one row for each family and alphabet
     )
-    own = {r["encoding"]: np.array([r[c] for c in SUMS]) for r in rows}
-    every = sum(own.values(), np.zeros(len(SUMS)))
-    nulls = Nulls({}, {})
-    for encoding in ENCODINGS:
-        sums = next((s for s in (own.get(encoding, np.zeros(len(SUMS))), every) if s[2] >= LEAST), None)
-        mean = sums[3:6] / sums[2] if sums is not None else np.array([1.0, 0.3, 0.3])
-        nulls.mean[encoding] = mean.tolist()
-        squares = sums[6:] / sums[2] if sums is not None else mean**2 + 0.04
-        nulls.variance[encoding] = np.maximum(squares - mean**2, 1e-6).tolist()
-    m = int(every[0])
-    return nulls, m, every[1] / m if m else 1.0
-
-
-def judged(text: str, nulls: Nulls, mean_length: float, doubt: float) -> Iterator[tuple[int, int, int]]:
-    """Start, stop and grid step of each candidate that passes as random at level ``doubt``; others get step 0."""
+    out = []
+    for f in FAMILIES:
+        own = {r["encoding"]: np.array([r[c] for c in SUMS]) for r in rows if r["family"] == f}
+        every = sum(own.values(), np.zeros(len(SUMS)))
+        nulls = Nulls({}, {})
+        for encoding in ENCODINGS:
+            sums = next((s for s in (own.get(encoding, np.zeros(len(SUMS))), every) if s[2] >= LEAST), None)
+            mean = sums[3:6] / sums[2] if sums is not None else np.array([1.0, 0.3, 0.3])
+            squares = sums[6:] / sums[2] if sums is not None else mean**2 + 0.04
+            nulls.variance[encoding] = np.maximum(squares - mean**2, 1e-6).tolist()
+            # symbols of one class have no changes to miss
+            nulls.mean[encoding] = (mean if CHANGE[encoding] else mean * [1, 0, 1]).tolist()
+        m = int(every[0])
+        out.append((nulls, m, every[1] / m if m else 1.0))
+    return out
+
+
+def learn(docs: DataFrame) -> tuple[Nulls, int, float]:
+    """What ``learn_all`` has of the first family."""
+    return learn_all(docs)[0]
+
+
+def step_of(token: str, encoding: str, nulls: Nulls, mean_length: float, doubt: float) -> int:
+    if randomness(token, encoding) < doubt:
+        return 0
+    return grid_of(ordinariness(token, encoding, nulls), len(token), mean_length)
+
+
+def judged(text: str, nulls: Nulls, mean_length: float, doubt: float, of: int = 0) -> Iterator[tuple[int, int, int]]:
+    """Start, stop and grid step of each candidate of a family that passes as random at level ``doubt``; others get step 0."""
     for start, stop, token, encoding in candidates(text):
-        step = 0
-        if randomness(token, encoding) >= doubt:
-            step = grid_of(ordinariness(token, encoding, nulls), len(token), mean_length)
-        yield start, stop, step
+        if family(token) == of:
+            yield start, stop, step_of(token, encoding, nulls, mean_length, doubt)
 
 
 @dataclass
 class Battery:
-    """The fitted tests: what is ordinary, and the grid step from which a token is a discovery."""
+    """The fitted tests: what is ordinary in each family, and the grid step from which a token of it is a discovery."""
 
-    nulls: Nulls
-    mean_length: float
+    fits: list[tuple[Nulls, float]]
     doubt: float
-    step: int
+    steps: list[int]
+    known: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False)  # of runs that were judged already
+
+    @property
+    def step(self) -> int:
+        return self.steps[0]
+
+    def found(self, run: str) -> list[tuple[int, int]]:
+        """The discoveries in a run of symbols, those that overlap as one."""
+        out = self.known.get(run)
+        if out is None:
+            out = []
+            for a, b, token, encoding in candidates(run):
+                f = family(token)
+                if step_of(token, encoding, *self.fits[f], self.doubt) < self.steps[f]:
+                    continue
+                if out and a < out[-1][1]:
+                    out[-1] = out[-1][0], max(b, out[-1][1])
+                else:
+                    out.append((a, b))
+            if len(self.known) >= 30_000:
+                self.known.clear()
+            self.known[run] = out
+        return out
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """All spans of a text, by start and then kind: the fixed patterns', and discoveries that none of them covers."""
+        """All spans of a text, by start and then kind: the fixed patterns', and what of discoveries none of them covers."""
         if not text:
             return []
         base = base_spans(text)
-        more = [
-            (a, b, "random") for a, b, step in judged(text, self.nulls, self.mean_length, self.doubt)
-            if step >= self.step and not any(x < b and a < y for x, y, _ in base)
-        ]
+        more = []
+        for m in RUN.finditer(text):
+            for a, b in self.found(m[0]):
+                at, stop = m.start() + a, m.start() + b
+                for x, y, _ in base:
+                    if x < stop and at < y:
+                        if at < x:
+                            more.append((at, x, "random"))
+                        at = y
+                if at < stop:
+                    more.append((at, stop, "random"))
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def fit(docs: DataFrame, rate: float = 0.01, doubt: float = 0.001) -> Battery:
-    """The battery for ``docs``: among its discoveries a share of at most ``rate`` is expected to be ordinary.
+    """The battery for ``docs``: among each family's discoveries a share of at most ``rate`` is expected to be ordinary.
 
     P-values are divided by length over mean length and rounded up to a grid of 1/32 powers of ten; the
     step-up rule of Benjamini and Hochberg is then exact on counts by grid step, which are all that
-    reaches the driver (at most 9,601 rows).
+    reaches the driver (at most 9,601 rows a family).
     """
-    nulls, m, mean_length = learn(docs)
+    learnt = learn_all(docs)
+    fits = [(nulls, mean_length) for nulls, _, mean_length in learnt]
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = values(batch.column("text"))
-            n = Counter(s for t in texts for _, _, s in judged(t or "", nulls, mean_length, doubt))
-            yield pa.RecordBatch.from_pydict(
-                {"step": pa.array(n.keys(), pa.int64()), "n": pa.array(n.values(), pa.int64())}
-            )
+            n: Counter = Counter()
+            for counted in runs(values(batch.column("text"))):
+                for run, times in counted.items():
+                    for _, _, token, encoding in candidates(run):
+                        f = family(token)
+                        n[f, step_of(token, encoding, *fits[f], doubt)] += times
+            yield pa.RecordBatch.from_pydict({
+                "family": pa.array([f for f, _ in n], pa.int32()), "step": pa.array([s for _, s in n], pa.int64()),
+                "n": pa.array(n.values(), pa.int64()),
+            })
 
     counts = (
-        docs.select("text").mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
-        .collect()
+        docs.select("text").mapInArrow(steps, "family int, step long, n long").groupBy("family", "step")
+        .agg(F.sum("n").alias("n")).collect()
     )
-    passed, best = 0, GRID * FLOOR + 1
-    for row in sorted(counts, key=lambda r: -r["step"]):
-        passed += row["n"]
-        if row["step"] and 10 ** (-row["step"] / GRID) <= rate * passed / m:
-            best = row["step"]
-    return Battery(nulls, mean_length, doubt, best)
+    best = []
+    for f in FAMILIES:
+        passed, own = 0, GRID * FLOOR + 1
+        for row in sorted((r for r in counts if r["family"] == f), key=lambda r: -r["step"]):
+            passed += row["n"]
+            if row["step"] and 10 ** (-row["step"] / GRID) <= rate * passed / learnt[f][1]:
+                own = row["step"]
+        best.append(own)
+    return Battery(fits, doubt, best)
 
 
 SPANS = "array<struct<start:int,stop:int,kind:string>>"

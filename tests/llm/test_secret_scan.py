@@ -115,3 +115,26 @@ def test_odd_rows(odd, none):
     got = secret_scan.scan(odd).collect()
     assert len(got) == 11 and all(r.spans == [] for r in got if r.doc_id in (3, 4, 5))
     assert secret_scan.scan(none).collect() == []
+
+
+def test_tokens_behind_names_and_of_any_make_are_tested(documents):
+    draw = random.Random(6)
+    symbols = string.ascii_letters + string.digits
+    value = lambda n=60, of=symbols: "".join(draw.choices(of, k=n))
+    key = "".join(draw.choices("ACDEFGHIJKLMNOPQRSTUVWXYZ", k=17))
+    secrets = {
+        1: ("sig=", value()), 2: ("auth=", value(of=symbols + "+/") + "=="), 3: ("http://a.b/c?key=", value()),
+        4: ("a-b/", value()), 5: ("/old-path_name/", value()), 6: ("", value(90, string.ascii_letters)),
+        7: (f"AKIA{key}/", value()),
+    }
+    rows = [(i, f"{secrets[i][0]}{secrets[i][1]} of" if i in secrets else t, "en", "s") for i, t, _, _ in corpus(400, 2)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(documents(rows)).collect()}
+    for i, (before, secret) in secrets.items():
+        covered = {x for s in got[i] for x in range(s["start"], s["stop"])}
+        assert set(range(len(before), len(before) + len(secret))) <= covered, i
+
+
+def test_candidates_have_no_least_length():
+    found = [(t, e) for *_, t, e in secret_scan.candidates("k=x9Zq the a-b/c9 12 -- Zm9v==")]
+    assert found == [("x9Zq", "base64"), ("the", "lower"), ("a-b", "base64url"), ("b/c9", "base64"), ("c9", "hex"), ("Zm9v==", "base64")]
+    assert [secret_scan.family(t) for t in ("x9Zq", "x" * 16, "x" * 15 + "1")] == [2, 1, 0]
