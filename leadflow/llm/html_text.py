@@ -17,13 +17,13 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-UNSEEN = frozenset("script style head template noscript title meta link base object svg math iframe audio video "
-                   "canvas select datalist textarea".split())
+UNSEEN = frozenset("script style head template noscript title meta link base object iframe audio video "
+                   "canvas datalist textarea desc metadata defs annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section "
-                  "summary table ul caption tr tbody thead tfoot td th".split())
+                  "summary table ul caption tr tbody thead tfoot td th select optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu".split())
 #: What a start tag closes, up to the element that stops the search.
 CLOSES = {
@@ -34,7 +34,13 @@ CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "caption": ({"caption"}, {"table"}),
 }
 OPEN = 512  # open elements; a deeper one has its content in its parent, as in browsers
-ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "select", "optgroup", "option"}
+#: What may stand in an open element; anything else, and text, ends it.
+HOLDS = {
+    "head": frozenset("base basefont bgsound link meta title noscript noframes script style template".split()),
+    "colgroup": frozenset(("col", "template")),
+}
+ROWS = frozenset(("tbody", "thead", "tfoot"))
 HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
@@ -62,6 +68,8 @@ def parse(source: str) -> Node:
 
     def text(raw: str) -> None:
         if raw:
+            if stack[-1].tag in HOLDS and raw.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     while at < end:
@@ -87,6 +95,10 @@ def parse(source: str) -> Node:
         _imply(stack, tag)
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t") else None)
         stack[-1].children.append(node)
+        if m[3].endswith("/") and any(x.tag in ("svg", "math") for x in stack):
+            continue
+        if tag == "form" and stack[-1].tag in ("table", "tr", *ROWS):
+            continue  # stays empty there, as in browsers
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             node.children.append(source[at : stop.start() if stop else end])
@@ -98,6 +110,8 @@ def parse(source: str) -> Node:
 
 def _imply(stack: list[Node], tag: str) -> None:
     """Close what a start tag ends, and open the row that a cell needs."""
+    if stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
+        stack.pop()
     if tag in ENDS_P:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
@@ -259,6 +273,25 @@ def _rows(table: Node) -> Iterator[Node]:
                 todo += reversed(x.children)
 
 
+def _loose(table: Node) -> Iterator[Node | str]:
+    """What stands in a table, its row groups and its rows, but in no cell; that of a group or row as a block."""
+    todo = list(reversed(table.children))
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, Node) or x.tag not in ("tr", "colgroup", "col", *ROWS):
+            yield x
+        elif x.tag in ROWS and visible(x):
+            own = Node("div")
+            own.children = [c for c in x.children if not isinstance(c, Node) or c.tag not in ("tr", *ROWS)]
+            todo += [c for c in reversed(x.children) if isinstance(c, Node) and c.tag in ("tr", *ROWS)]
+            yield own
+        elif x.tag == "tr" and visible(x):
+            own = Node("div")
+            own.children = [c for c in x.children if not isinstance(c, Node) or c.tag not in ("td", "th")]
+            if any(isinstance(c, Node) and c.tag in ("td", "th") and visible(c) for c in x.children):
+                yield own
+
+
 def _inner(children: list, depth: int) -> str:
     inner = Node("#cell")
     inner.children = children
@@ -274,11 +307,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
 
     Cells that span columns take up as many; a table of one cell is layout and rendered as blocks.
     """
-    loose = [
-        x for x in table.children
-        if not isinstance(x, Node) or x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col")
-    ]
-    out = [line for line in _inner(loose, depth).split("\n") if line]
+    out = [line for line in _inner(list(_loose(table)), depth).split("\n") if line]
     grid: list[list[str]] = []
     for row in _rows(table):
         cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]

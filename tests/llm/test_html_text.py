@@ -82,3 +82,21 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, html_text.extract_pages(df).collect()), key=str)
     assert got == sorted([(1, None), (1, None), (None, "a"), (2, "")], key=str)
     assert html_text.extract_pages(df.where("page_id > 9")).collect() == []
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><body><p>text", "text"),
+    ("<head><meta charset=x><p>text</p>", "text"),
+    ("<head><title>t</title>text", "text"),
+    ("<head><template><p>no</p></template></head>yes", "yes"),
+    ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a | b"),
+    ("<table><tbody><form><tr><td>a</td><td>b</td></tr></form></tbody></table>", "a | b"),
+    ("<table><tr><form><td>a</td></form><td>b</td></tr></table>", "a | b"),
+    ("<table><tbody><div>x</div><tr><td>a<td>b</table>", "x\na | b"),
+    ("<table><tr><b>x</b><td>a</td><td>b</td></tr></table>", "x\na | b"),
+    ("<p>y <select><option>a<option>b</select></p>", "y\na\nb"),
+    ("<svg><title>no</title><defs/><path d='m'/><text>in</text></svg>", "in"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+])
+def test_no_visible_text_is_lost(source, want):
+    assert extract(source) == want
