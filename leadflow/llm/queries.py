@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm import (
-    decontaminate, html_text, language_id, mixing, quality, secret_scan, simhash, substring_dedup, topk_search,
-    url_filter,
+    decontaminate, html_text, language_id, mixing, quality, secret_scan, simhash, substring_dedup, token_counts,
+    topk_search, url_filter,
 )
 from leadflow.llm.common import table
 
@@ -81,10 +82,15 @@ def op10_html_text(spark, sf) -> DataFrame:
     return html_text.extract_pages(table(spark, sf, "pages"))
 
 
+def op12_token_counts(spark, sf) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, sf, "documents"), path, limit=4096).drop("prefix")
+
+
 def registered() -> dict:
     own = [
         op1_topk_search, op2_simhash, op3_mixing, op4_url_filter, op5_language_id, op6_decontamination,
-        op7_secret_scan, op8_substring_dedup, op9_quality, op10_html_text,
+        op7_secret_scan, op8_substring_dedup, op9_quality, op10_html_text, op12_token_counts,
     ]
     return {f.__name__: f for f in own}
 
