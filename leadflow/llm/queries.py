@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm import (
-    decontaminate, html_text, language_id, mixing, quality, secret_scan, simhash, substring_dedup, token_counts,
-    topk_search, url_filter,
+    collocations, decontaminate, divergence, html_text, language_id, mixing, quality, secret_scan, simhash,
+    substring_dedup, token_counts, topk_search, url_filter,
 )
 from leadflow.llm.common import table
 
@@ -82,15 +82,24 @@ def op10_html_text(spark, sf) -> DataFrame:
     return html_text.extract_pages(table(spark, sf, "pages"))
 
 
+def op11_collocations(spark, sf) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), longest=3, least=10, share=50, top=2_000)
+
+
 def op12_token_counts(spark, sf) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(table(spark, sf, "documents"), path, limit=4096).drop("prefix")
 
 
+def op13_divergence(spark, sf) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"), least_docs=3, top=200)
+
+
 def registered() -> dict:
     own = [
         op1_topk_search, op2_simhash, op3_mixing, op4_url_filter, op5_language_id, op6_decontamination,
-        op7_secret_scan, op8_substring_dedup, op9_quality, op10_html_text, op12_token_counts,
+        op7_secret_scan, op8_substring_dedup, op9_quality, op10_html_text, op11_collocations, op12_token_counts,
+        op13_divergence,
     ]
     return {f.__name__: f for f in own}
 
@@ -212,5 +221,87 @@ from words left join hit using (r) left join held using (r)
 """
 
 
+OP11_SQL = """
+with pieces as (
+  select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w
+  from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) as p
+    from documents
+  )
+), grams as (
+  select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase, cast(count(*) as hugeint) as f
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from pieces, range(1, 4) t(m) where len(w) >= m)
+  group by all
+), totals as (select lang, sum(f) as n from grams where m = 1 group by lang
+), candidates as (
+  select lang, m, phrase, f as a, string_split(phrase, ' ') as w from grams where m >= 2 and f >= 10
+), cuts as (
+  select lang, phrase, a, k, array_to_string(w[1 : k], ' ') as lp, array_to_string(w[k + 1 : m], ' ') as rp
+  from (select *, unnest(range(1, m)) as k from candidates)
+), scored as (
+  select c.lang, c.phrase, a, k, l.f as l, r.f as r, (1000000 * a * a) // (l.f * r.f) as score
+  from cuts c join grams l on c.lang = l.lang and c.lp = l.phrase join grams r on c.lang = r.lang and c.rp = r.phrase
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), held as (
+  select lang, array_to_string(w[i : i + 1], ' ') as phrase, max(a) as longer
+  from (select lang, a, w, unnest([1, 2]) as i from candidates where m = 3) group by all
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join held h on b.lang = h.lang and b.phrase = h.phrase
+  where longer is null or 100 * longer < 50 * a
+)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+OP13_SQL = """
+with found as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), grps as (select distinct lang, source from found
+), words as (select d, lang, source, unnest(w) as term from found
+), vocabulary as (
+  select lang, term, count(*) as all_n from words group by lang, term having count(distinct d) >= 3
+), sizes as (select lang, count(*) as v, sum(all_n) as lang_n from vocabulary group by lang
+), held as (
+  select lang, source, term, count(*) as n from words semi join vocabulary using (lang, term) group by all
+), sums as (
+  select g.lang, g.source, cast(coalesce(sum(n), 0) as hugeint) as group_n
+  from grps g left join held using (lang, source) group by all
+), p as (
+  select s.lang, s.source, y.term, coalesce(h.n, 0) as n, y.all_n, z.v, z.lang_n,
+    1 + (cast(1000000000 as hugeint) * (coalesce(h.n, 0) + 1)) // (group_n + v) as p,
+    1 + (cast(1000000000 as hugeint) * (y.all_n + 1)) // (cast(lang_n as hugeint) + v) as pl
+  from sums s join vocabulary y using (lang) join sizes z using (lang)
+    left join held h on h.lang = s.lang and h.source = s.source and h.term = y.term
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), all_pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from grps a join grps b on a.lang = b.lang and a.source <> b.source
+    left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), by_term as (
+  select lang, source, 'term' as part, term as item, (p - pl) * (p - pl) // pl as value from p where n > 0 and p > pl
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from all_pairs union all select * from by_term)
+) where part = 'pair' or rank <= 200
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op3_mixing": _op3_sql(), "op6_decontamination": OP6_SQL}
+    return {
+        "op1_topk_search": OP1_SQL, "op3_mixing": _op3_sql(), "op6_decontamination": OP6_SQL,
+        "op11_collocations": OP11_SQL, "op13_divergence": OP13_SQL,
+    }
