@@ -7,10 +7,13 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.timestamps import EPOCH, next_checkpoint, ntz
+from leadflow.operators.prefix import RANGE, in_ranges
 from leadflow.schemas import EXPORT_COLUMNS
 from leadflow.sinks.state import StateTable, scratch
 from leadflow.sinks.tables import rows_frame
@@ -89,6 +92,71 @@ def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("dag_id", "src_table").agg(F.max("checkpoint").alias("checkpoint"))
 
 
+def _steps(times: pa.Table, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The times of a range in order, the rows up to each, and after which time a window that begins behind it ends."""
+    at = times.column(TIME).cast(pa.timestamp("us")).to_numpy().astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    rows = np.cumsum(times.column("n").to_numpy()[order])
+    return at[order], rows, np.searchsorted(rows, rows + max_rows)
+
+
+def _left_open(times: pa.Table, max_rows: int) -> pa.Table:
+    """For each time of a range that can be the first to end a window there: how many rows stand behind the last
+    end. Jumps from end to end are doubled until all have arrived."""
+    _, rows, after = _steps(times, max_rows)
+    own = np.arange(len(rows))
+    last = np.where(after < len(rows), np.minimum(after, len(rows) - 1), own)  # of each end, the next one there
+    while (last[last] != last).any():
+        last = last[last]
+    left = rows[-1] - rows[last]
+    first = np.concatenate([[0], rows[:-1]]) < max_rows
+    return pa.table({
+        RANGE: pa.array(times.column(RANGE).to_numpy()[:1].repeat(first.sum()), pa.int32()),
+        "upto": pa.array(rows[first], pa.int64()), "left": pa.array(left[first], pa.int64()),
+    })
+
+
+def _ends(times: pa.Table, max_rows: int, open_rows: int) -> pa.Table:
+    """The last times of the windows that end in a range, ``open_rows`` rows before it being in an open one."""
+    at, rows, after = _steps(times, max_rows)
+    found, end = [], int(np.searchsorted(rows, max_rows - open_rows))
+    while end < len(rows):
+        found.append(at[end])
+        end = int(after[end])
+    return pa.table({"last": pa.array(np.array(found, np.int64), pa.timestamp("us"))})
+
+
+def window_ends(
+    counts: DataFrame, max_rows: int, ranges: int | None = None, work: str | None = None
+) -> list[dt.datetime]:
+    """The last time of every full window over the counted times, in order.
+
+    Each window ends with the time of its ``max_rows``-th row, so where it ends depends on all before. The
+    times are cut into ranges; each range works out, for all its possible first ends at once, how many
+    rows it leaves open. The driver follows that from range to range, one look-up each, and then all ranges
+    list their ends in one pass. The number of jobs depends on the number of ranges only.
+    """
+    with in_ranges(counts, TIME, "n", ranges, work) as (dealt, totals):
+        opened = [0] * len(totals)
+        if len(totals) > 1:
+            left = dealt.groupBy(RANGE).applyInArrow(
+                lambda t: _left_open(t, max_rows), f"{RANGE} int, upto bigint, left bigint"
+            )
+            with scratch(left, "left-open", work) as left:
+                for r, (total, _) in enumerate(totals[:-1]):
+                    if opened[r] + total < max_rows:
+                        opened[r + 1] = opened[r] + total
+                        continue
+                    ends = left.filter((F.col(RANGE) == r) & (F.col("upto") >= max_rows - opened[r]))
+                    opened[r + 1] = ends.agg(F.min_by("left", "upto")).first()[0]
+
+        def listed(key: tuple, times: pa.Table) -> pa.Table:
+            return _ends(times, max_rows, opened[key[0].as_py()])
+
+        ends = dealt.groupBy(RANGE).applyInArrow(listed, "last timestamp_ntz")
+        return sorted(r["last"] for r in ends.collect())  # one row a window
+
+
 def cut_windows(
     checkpoints: DataFrame,
     job: str,
@@ -100,17 +168,18 @@ def cut_windows(
     """All windows behind a job's checkpoint, each over at most ``max_rows`` rows and ties.
 
     The sources are read once, to count the rows of each time. All windows are cut from
-    those counts, however many there are. The last one has no data.
+    those counts together, however many there are. The last one has no data.
     """
     first = saved_checkpoint(checkpoints, job, target)
     with scratch(time_counts(sources, first), "window-counts", work) as counts:
-        while True:
-            left = counts.filter(F.col(TIME) >= ntz(first))
-            window = ExportWindow(job, target, first, nth_time(left, max_rows))
-            yield window
-            if not window.has_data:
-                return
-            first = window.last + MICROSECOND
+        newest = counts.agg(F.max(TIME)).first()[0]
+        ends = window_ends(counts, max_rows, work=work) if max_rows and newest is not None else []
+    if newest is not None and (not ends or ends[-1] < newest):
+        ends.append(newest)
+    for last in ends:
+        yield ExportWindow(job, target, first, last)
+        first = last + MICROSECOND
+    yield ExportWindow(job, target, first, None)
 
 
 def get_window(
@@ -120,12 +189,10 @@ def get_window(
     sources: Mapping[str, DataFrame],
     max_rows: int | None = None,
 ) -> ExportWindow:
-    """The next window of a job."""
-    windows = cut_windows(checkpoints, job, target, sources, max_rows)
-    try:
-        return next(windows)
-    finally:
-        windows.close()
+    """The next window of a job. It alone is looked for, by counting in ever finer buckets."""
+    first = saved_checkpoint(checkpoints, job, target)
+    with scratch(time_counts(sources, first), "window-counts") as counts:
+        return ExportWindow(job, target, first, nth_time(counts, max_rows))
 
 
 def in_window(df: DataFrame, window: ExportWindow) -> DataFrame:

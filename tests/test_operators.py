@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadflow.operators import joins, window
+from leadflow.operators import joins, prefix, window
 from leadflow.operators.latest import latest_per_key
 from leadflow.operators.skew import hot_keys, split_join
 from leadflow.operators.spec import run_spec
@@ -447,3 +447,46 @@ def test_order_puts_nulls_as_documented(spark, rows):
     df = rows([(None,), (2,), (1,)], "a int")
     pick = lambda d: [r.a for r in run_spec(spark, {"from": df, "order": [("a", d)]}).collect()]
     assert pick("asc") == [None, 1, 2] and pick("desc") == [2, 1, None]
+
+
+# Running sums over ranges
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 5, 11])
+def test_running_sums(spark, ranges):
+    draw = random.Random(ranges)
+    values = [(draw.randrange(40), draw.randrange(5)) for _ in range(200)]
+    df = spark.createDataFrame(values, "k int, n bigint").repartition(4)
+    with prefix.running_sums(df, "k", "n", ranges) as sums:
+        found = {(r.k, r.running) for r in sums.collect()}
+    assert found == {(k, sum(n for j, n in values if j <= k)) for k, _ in values}
+    with prefix.running_sums(df.limit(0), "k", "n") as sums:
+        assert sums.collect() == []
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+@pytest.mark.parametrize("spread, most", [(200, 40), (15, 7), (100_000, 1), (100_000, 33), (30, 1_000)])
+def test_window_ends_over_any_ranges(spark, spread, most, ranges):
+    draw = random.Random(spread)
+    values = [T("2020-01-01") + dt.timedelta(seconds=draw.randrange(spread)) for _ in range(300)]
+    values += [values[7]] * 50
+    counts = window.time_counts({"t": times(spark, values)}, "1960-01-01")
+    rest, ends = sorted(values), []
+    while len(rest) >= most:
+        ends.append(rest[:most][-1])
+        rest = [v for v in rest if v > ends[-1]]
+    assert window.window_ends(counts, most, ranges) == ends
+
+
+def test_number_of_jobs_does_not_grow_with_windows(spark):
+    values = [T("2020-01-01") + dt.timedelta(seconds=i) for i in range(2_000)]
+    counts = window.time_counts({"t": times(spark, values)}, "1960-01-01").cache()
+    counts.count()
+    jobs = []
+    for most in (500, 10):
+        group = f"windows-{most}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert len(window.window_ends(counts, most, 3)) == 2_000 // most
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
