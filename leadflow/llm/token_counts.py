@@ -22,7 +22,8 @@ from leadflow.llm.common import values
 SPACE = "▁"  # how the model writes a space
 PARTS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 CACHED = 48  # characters of the parts of a text whose counts are kept
-KEPT = 300_000  # parts, and pairs of tokens, that a task keeps at most
+KEPT = 300_000  # parts, and pairs of tokens, that a task keeps at most, beside those of the texts at hand
+TOGETHER = 4 << 20  # characters of texts whose parts are learnt together
 
 
 class PieceModel:
@@ -36,50 +37,102 @@ class PieceModel:
             i for i in range(model.get_piece_size())
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))
         ]
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        inner = next((p for p in self.score if SPACE in p.lstrip(SPACE)), None)
+        self.rank = {model.id_to_piece(i): -model.get_score(i) for i in plain}
+        inner = next((p for p in self.rank if SPACE in p.lstrip(SPACE)), None)
         if inner is not None or model.encode(" a", out_type=str)[0] not in (SPACE, SPACE * 2, f"{SPACE}{SPACE}a"):
             raise ValueError(f"{path}: texts can't be parted at spaces under this model")
-        self.tokens = {p for p in self.score if self.merged(p) == [p]}
-        self.longest = max(map(len, self.tokens))
         self.pairs: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The tokens of a short text: the best pair of neighbours is merged, the leftmost of equals, until none is left."""
-        out, score = list(text), self.score
+        self.halves: dict[str, tuple[str, str]] = {}  # what a token is merged of in the end
+        self.back: dict = {}  # all tokens from their last character on
+        for piece in self.rank:
+            whole, halves = self.merged(piece)
+            if whole == [piece]:
+                node = self.back
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = piece
+                if halves:
+                    self.halves[piece] = halves
+        self.age = {p: self.rank[p] if p in self.halves else -np.inf for p in self.rank}
+        self.plain = {t for t, halves in self.halves.items() if max(map(self.age.__getitem__, halves)) < self.age[t]}
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The tokens of a short text, and the last merge: the best pair of neighbours is merged, the leftmost of equals,
+        until none is left."""
+        out, rank, last = list(text), self.rank, None
         while len(out) > 1:
-            best, at = max((score.get(out[i] + out[i + 1], -np.inf), -i) for i in range(len(out) - 1))
-            if best == -np.inf:
+            best, at = min((rank.get(out[i] + out[i + 1], np.inf), i) for i in range(len(out) - 1))
+            if best == np.inf:
                 break
-            out[-at : 2 - at] = [out[-at] + out[1 - at]]
-        return out
+            last = out[at], out[at + 1]
+            out[at : at + 2] = ["".join(last)]
+        return out, last
+
+    def edge(self, token: str, side: int) -> list[tuple[str, float]] | None:
+        """The symbols that stand at one side of a token as it grows, each with the rank of the merge that takes it;
+        None if its merges don't come in the order of their ranks."""
+        out, until = [], np.inf
+        while True:
+            out.append((token, until))
+            halves = self.halves.get(token)
+            if not halves:
+                return out[::-1]
+            if token not in self.plain:
+                return None
+            token, until = halves[side], self.rank[token]
+
+    def stays(self, before: str, token: str) -> bool:
+        """Whether two tokens stay as they are side by side: no merge across their border comes before one inside them."""
+        left, right = self.edge(before, 1), self.edge(token, 0)
+        if left is None or right is None:
+            return self.merged(before + token)[0] == [before, token]
+        i = j = 0
+        while True:
+            (a, until_a), (b, until_b) = left[i], right[j]
+            across = self.rank.get(a + b, np.inf)
+            if across < until_a and across <= until_b and across < np.inf:  # of equal merges the leftmost is first
+                return False
+            if i + 1 == len(left) and j + 1 == len(right):
+                return True
+            if until_a <= until_b:
+                i += 1
+            else:
+                j += 1
 
     def follows(self, before: str, token: str) -> bool:
-        """Whether the two tokens stay as they are side by side."""
+        """``stays``, remembered."""
         known = self.pairs.get((before, token))
         if known is None:
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            known = self.pairs[before, token] = self.merged(before + token) == [before, token]
+            known = self.pairs[before, token] = self.stays(before, token)
         return known
 
-    def cost(self, token: str) -> int:
-        """A token is one, a character that the model lacks one for each of its bytes."""
-        return 1 if token in self.score else len(token.encode())
-
-    def counts(self, part: str) -> list[int]:
-        """The count of each prefix of a part, the empty one first."""
-        last, out = [""] * (len(part) + 1), [0] * (len(part) + 1)
-        for stop in range(1, len(part) + 1):
-            for start in range(max(0, stop - self.longest), stop):
-                token = part[start:stop]
-                known = token in self.tokens or stop - start == 1
-                if known and (start == 0 or self.follows(last[start], token)):
-                    last[stop], out[stop] = token, out[start] + self.cost(token)
+    def extend(self, part: str, last: list[str], steps: list[int], counts: list[int]) -> None:
+        """Go on with the prefixes of a part from where the lists end: for each the last token, by how much the
+        count changes, and the count. A token is one; a character that the model lacks is one for each of its bytes."""
+        pairs, back, follows = self.pairs, self.back, self.follows
+        for stop in range(len(counts), len(part) + 1):
+            node, start, found = back, stop, []
+            while start:
+                node = node.get(part[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                if "" in node:
+                    found.append((start, node[""]))
+            for start, token in reversed(found):
+                if not start or (pairs.get(pair := (last[start], token)) or pair not in pairs and follows(*pair)):
+                    n = counts[start] + 1
                     break
             else:
-                raise ValueError(f"no token ends the prefix {part[:stop]!r}")
-        return out
+                token = part[stop - 1]
+                if token in self.rank:
+                    raise ValueError(f"no token ends the prefix {part[:stop]!r}")
+                n = counts[-1] + len(token.encode())
+            last.append(token)
+            steps.append(n - counts[-1])
+            counts.append(n)
 
 
 class Steps(dict):
@@ -92,13 +145,32 @@ class Steps(dict):
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        n = self.model.counts(part.replace(" ", SPACE))
-        out = array(self.code, [b - a for a, b in zip(n, n[1:])]).tobytes()
-        if len(part) <= CACHED:
-            if len(self) >= KEPT:
-                self.clear()
-            self[part] = out
-        return out
+        """Of a part that isn't kept: too long, or none that ``learn`` has seen."""
+        steps: list[int] = []
+        self.model.extend(part.replace(" ", SPACE), [""], steps, [0])
+        return array(self.code, steps).tobytes()
+
+    def learn(self, texts: list[str]) -> None:
+        """Keep the steps of all parts of some texts. They are gone through in order, so that each starts behind
+        the prefix that it shares with the one before."""
+        parts = set()
+        for text in texts:
+            parts.update(PARTS.findall(text))
+        new = [p for p in parts if p not in self and len(p) <= CACHED]
+        if len(self) + len(new) > KEPT:
+            self.clear()
+            new = [p for p in parts if len(p) <= CACHED]
+        before, last, steps, counts = "", [""], [], [0]
+        for part in sorted(new):
+            own, same = part.replace(" ", SPACE), 0
+            for a, b in zip(own, before):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], steps[same:], counts[same + 1 :]
+            self.model.extend(own, last, steps, counts)
+            self[part] = array(self.code, steps).tobytes()
+            before = own
 
 
 class WideSteps(Steps):
@@ -113,20 +185,33 @@ def steps_of(path: str) -> tuple[Steps, WideSteps]:
     return Steps(model), WideSteps(model)
 
 
+def prefix_stores(texts: list[str | None], path: str) -> list[bytes]:
+    """The count at every prefix of each text: the width of a step in bytes, then the step of each character."""
+    spaced = [" " + t if t else "" for t in texts]  # the model puts a space before a text
+    try:
+        return _stores(spaced, steps_of(path)[0])
+    except OverflowError:
+        wide = steps_of(path)[1]
+        return [x for t in spaced for x in _stores([t], wide)] if len(texts) == 1 else [
+            x for t in texts for x in prefix_stores([t], path)
+        ]
+
+
+def _stores(texts: list[str], steps: Steps) -> list[bytes]:
+    steps.learn(texts)
+    width, out = array(steps.code).itemsize, []
+    for text in texts:
+        own = b"".join(map(steps.__getitem__, PARTS.findall(text)))
+        if own:  # no prefix of the text ends behind the first space alone
+            first = array(steps.code, own[: 2 * width])
+            own = array(steps.code, [first[0] + first[1]]).tobytes() + own[2 * width :]
+        out.append(bytes([width]) + own)
+    return out
+
+
 def prefix_store(text: str | None, path: str) -> bytes:
-    """The count at every prefix of a text: the width of a step in bytes, then the step of each character."""
-    if not text:
-        return b"\x01"
-    for steps in steps_of(path):
-        try:
-            own = b"".join(map(steps.__getitem__, PARTS.findall(" " + text)))
-            # the model puts a space before the text; no prefix ends behind it alone
-            first = array(steps.code, own[: 2 * array(steps.code).itemsize])
-            joined = array(steps.code, [first[0] + first[1]]).tobytes() + own[2 * first.itemsize :]
-            return bytes([first.itemsize]) + joined
-        except OverflowError:
-            continue
-    raise OverflowError("a step of over eight bytes")
+    """``prefix_stores`` of one text."""
+    return prefix_stores([text], path)[0]
 
 
 def prefix_counts(store: bytes) -> np.ndarray:
@@ -141,7 +226,14 @@ def prefixes(path: str, text: str | Column = "text") -> Column:
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([prefix_store(t, path) for t in values(batch)], pa.binary())
+            out, held, size = [], [], 0
+            for t in values(batch):
+                held.append(t)
+                size += len(t or "")
+                if size >= TOGETHER:
+                    out += prefix_stores(held, path)
+                    held, size = [], 0
+            yield pa.array(out + prefix_stores(held, path), pa.binary())
 
     return of.asNondeterministic()(text)
 

@@ -46,13 +46,28 @@ def test_long_runs_without_spaces(library):
         assert token_counts.prefix_counts(token_counts.prefix_store(text, PATH))[-1] == library(text)
 
 
-def test_wide_steps_hold_the_same():
-    text = "wide steps hold the same counts"
-    narrow = token_counts.prefix_store(text, PATH)
+def test_wide_steps_hold_the_same(monkeypatch):
+    texts = ["wide steps hold the same counts", "", None, "🎈 x", "wide steps"]
+    narrow = [token_counts.prefix_counts(x).tolist() for x in token_counts.prefix_stores(texts, PATH)]
     model = token_counts.steps_of(PATH)[0].model
-    wide = b"".join(map(token_counts.WideSteps(model).__getitem__, token_counts.PARTS.findall(" " + text)))
-    assert len(wide) == 8 * (len(text) + 1) and narrow[0] == 1
-    assert int.from_bytes(wide[-8:], "little", signed=True) == int.from_bytes(narrow[-1:], "little", signed=True)
+
+    class Full(token_counts.Steps):
+        def learn(self, texts):
+            raise OverflowError
+
+    monkeypatch.setattr(token_counts, "steps_of", lambda path: (Full(model), token_counts.WideSteps(model)))
+    wide = token_counts.prefix_stores(texts, PATH)
+    assert [x[0] for x in wide] == [8] * 5
+    assert [token_counts.prefix_counts(x).tolist() for x in wide] == narrow
+
+
+def test_parts_learnt_together_are_those_learnt_alone(monkeypatch):
+    texts = ["a aa aab ab abc abcd b bc", "xylophone xylophones", "aab  abc", "x" * 60 + " " + "x" * 61]
+    alone = [token_counts.prefix_store(t, PATH) for t in texts]
+    model = token_counts.steps_of(PATH)[0].model
+    monkeypatch.setattr(token_counts, "KEPT", 5)
+    monkeypatch.setattr(token_counts, "steps_of", lambda path: (token_counts.Steps(model),) * 2)
+    assert token_counts.prefix_stores(texts, PATH) == alone
 
 
 def test_budgets_and_prefixes(spark, documents, library):
@@ -85,3 +100,12 @@ def test_odd_rows(odd, none, library):
     got = token_counts.count_tokens(odd, PATH).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_bytes) for r in got) == want
     assert token_counts.count_tokens(none, PATH).collect() == []
+
+
+def test_pairs_that_stay_are_those_that_merge_to_themselves():
+    model = token_counts.steps_of(PATH)[0].model
+    tokens = sorted(model.halves)[::37]
+    pairs = [(t[:i], t[i:]) for t in tokens for i in range(1, len(t))] + list(zip(tokens, tokens[1:]))
+    pairs = [p for p in pairs if all(len(x) == 1 or x in model.halves for x in p)]
+    assert len(pairs) > 1000
+    assert [p for p in pairs if model.stays(*p) != (model.merged("".join(p))[0] == [*p])] == []
