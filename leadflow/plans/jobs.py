@@ -15,17 +15,20 @@ from leadflow.functions.insights import is_readable, reshape_insight
 from leadflow.functions.names import export_name
 from leadflow.functions.records import coerce_record, stringify_times
 from leadflow.functions.rules import polarity, priority, strength, tier
-from leadflow.functions.timestamps import pinned, stamp, utc_now
+from leadflow.functions.timestamps import ntz, pinned, stamp, utc_now
 from leadflow.operators.joins import pending_entities, profiles, site_visitors
 from leadflow.operators.scoring import (
     FEATURES, Predictor, insight_bodies, lead_scores, lexicon_score,
 )
-from leadflow.operators.status import change_status, import_gate, open_rows, running_files
+from leadflow.operators import late, sentiment_model, status_log
+from leadflow.operators.status import import_gate, open_rows
+from leadflow.operators.status_log import StatusLog
 from leadflow.operators.window import (
     commit_window, cut_windows, export_columns, in_window, late_rows, saved_checkpoint,
 )
 from leadflow.schemas import INSIGHT_IDS, insight_table, struct_type, table_schema
 from leadflow.sinks.csv_export import export_csv, move_files, route_uploads
+from leadflow.sinks.keyed import KeyedTable
 from leadflow.sinks.state import StateTable, scratch
 from leadflow.sinks.tables import append, counted, replace, upsert
 from leadflow.sources.changes import cdc_records, check_on_error
@@ -68,7 +71,7 @@ def cdc_to_lake(
     on_error: str = "fail",
     quarantine: str | None = None,
     now=None,
-    name: str = "batch",
+    name: str | None = None,
 ) -> JobResult:
     """Load the change files that no run with this checkpoint has loaded; skipped without any.
 
@@ -178,20 +181,22 @@ def export_table(
     checkpoints: StateTable,
     out: str,
     job: str = "export",
-    status: StateTable | None = None,
+    status: StateTable | StatusLog | None = None,
     upload: Callable[[str, str], tuple[int, str]] | None = None,
     uploads_at_once: int | None = None,
     max_rows: int | None = None,
     max_windows: int | None = None,
     now=None,
     work: str | None = None,
+    record: late.ExportRecord | None = None,
 ) -> JobResult:
     """Export everything behind the checkpoint as CSV per client; the checkpoint moves last.
 
     All rows are one window, or with ``max_rows`` several, each exported and committed on its
     own; ``max_windows`` ends the job earlier. The detail holds the windows. With ``upload``,
     each file is moved to ``processed`` or ``failed`` by its answer, the processed ones open a
-    status row, and any failure ends the job with its window uncommitted.
+    status row, and any failure ends the job with its window uncommitted. ``record`` keeps the ids of
+    exported rows, for ``export_late``.
     """
     if upload is not None and not uploads_at_once:
         raise ValueError("say how many uploads the service takes at once")
@@ -201,27 +206,65 @@ def export_table(
         for window in windows:
             if not window.has_data or len(done) == max_windows:
                 break
-            folder = f"{out.rstrip('/')}/{table}/run={uuid.uuid4().hex}"
-            seen = export_csv(export_columns(in_window(source, window), table), folder)
-            if upload is not None:
-                routed = route_files(spark, folder, out, table, upload, uploads_at_once)
-                if status is not None:
-                    opened = routed.filter(F.col("route") == "processed").select(
-                        "client", F.col("accepted_file").alias("file"),
-                        F.lit(table).alias("src_table"),
-                    )
-                    status.append(open_rows(opened, now))
-                failed = routed.filter(F.col("route") == "failed").count()
-                if failed:
-                    raise RuntimeError(f"{failed} files of {table} failed to upload, see {out}/failed")
+            send = lambda df: _export(
+                df, table, out, status=status, upload=upload, uploads_at_once=uploads_at_once, now=now
+            )
+            if record is None:
+                rows += send(in_window(source, window))
+            else:  # what is sent is what is recorded, whatever arrives meanwhile
+                with scratch(in_window(source, window), "window", work) as exported:
+                    rows += send(exported)
+                    record.add(exported, table)
             commit_window(checkpoints, window)
             done.append(window)
-            rows += seen.get["n"]
     finally:
         windows.close()
     return JobResult("export", "done" if done else "skipped", rows, detail=done)
 
 
+def _export(
+    df: DataFrame, table: str, out: str, status=None, upload=None, uploads_at_once=None, now=None
+) -> int:
+    """Write rows as a run of CSV files and hand these over; the number of rows."""
+    folder = f"{out.rstrip('/')}/{table}/run={uuid.uuid4().hex}"
+    seen = export_csv(export_columns(df, table), folder)
+    if upload is not None:
+        routed = route_files(df.sparkSession, folder, out, table, upload, uploads_at_once)
+        if status is not None:
+            opened = routed.filter(F.col("route") == "processed").select(
+                "client", F.col("accepted_file").alias("file"), F.lit(table).alias("src_table"),
+            )
+            status.append(open_rows(opened, now))
+        failed = routed.filter(F.col("route") == "failed").count()
+        if failed:
+            raise RuntimeError(f"{failed} files of {table} failed to upload, see {out}/failed")
+    return seen.get["n"]
+
+
+def export_late(
+    source: DataFrame,
+    table: str,
+    checkpoints: StateTable,
+    record: late.ExportRecord,
+    out: str,
+    job: str = "export",
+    since=None,
+    work: str | None = None,
+    **delivery,
+) -> JobResult:
+    """Export the rows that arrived below the committed checkpoint, each once, as a run of their own.
+
+    ``since`` bounds how far back late rows are looked for; ``delivery`` is as in ``export_table``.
+    """
+    until = saved_checkpoint(checkpoints.read(), job, table)
+    with scratch(record.missing(source, table, until, since), "late", work) as rows:
+        if rows.isEmpty():
+            return JobResult("export_late", "skipped")
+        n = _export(rows, table, out, **delivery)
+        record.add(rows, table)
+    return JobResult("export_late", "done", n)
+
+
 def count_late(source: DataFrame, checkpoints: DataFrame, job: str, table: str) -> int:
     """Rows of an arrived batch that the committed checkpoint has already passed."""
     return late_rows(source, saved_checkpoint(checkpoints, job, table)).count()
@@ -231,7 +274,7 @@ def count_late(source: DataFrame, checkpoints: DataFrame, job: str, table: str)
 
 
 def import_entities(
-    status: StateTable,
+    status: StateTable | StatusLog,
     reported: DataFrame,
     answers: DataFrame,
     entities: str,
@@ -241,16 +284,27 @@ def import_entities(
 ) -> JobResult:
     """Import entities of finished files, then write every file's new status.
 
-    What was reported is read once: a file that finishes meanwhile waits for the next run.
+    What was reported is read once: a file that finishes meanwhile waits for the next run. A run that fails
+    between the two writes leaves its files running; the next one finds their entities and
+    changes the status only.
     """
     now = pinned(now)
-    with scratch(import_gate(running_files(status.read(), now, hours), reported), "gate", work) as gate:
+    with scratch(import_gate(status_log.running(status, now, hours), reported), "gate", work) as gate:
         if gate.isEmpty():
             return JobResult("import_entities", "skipped")
-        rows = entities_from_answers(answers, gate.filter("imports"), now)
-        written = append(rows, entities, table_schema("entities"))
+        schema = table_schema("entities")
+        # Makes an empty table before the first import, else does nothing.
+        gate.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(entities)
+        oldest = gate.agg(F.min("start_date")).first()[0]
+        # entities are no older than the start of their file, so only the latest part of the table is read
+        there = gate.sparkSession.read.schema(schema).parquet(entities).filter(
+            F.col("ingestion_timestamp") >= ntz(oldest)
+        ).select("file").distinct()
+        new = gate.filter("imports").join(there, "file", "left_anti")
+        with scratch(entities_from_answers(answers, new, now), "imported", work) as rows:
+            written = append(rows, entities, schema)
         changes = gate.filter("changes").select("client", "file", "src_table", "new_status")
-        status.update(changes, lambda history: change_status(history, changes, now))
+        status_log.change(status, changes, now)
     return JobResult("import_entities", "done", written)
 
 
@@ -366,7 +420,7 @@ def prioritised_leads(scores: DataFrame, moods: DataFrame) -> DataFrame:
 
 
 def score_leads(
-    leads: StateTable, predictor: Predictor, mode: str = "update",
+    leads: StateTable | KeyedTable, predictor: Predictor, mode: str = "update",
     features: Sequence[str] = FEATURES,
 ) -> JobResult:
     """Write scores back to the lead table, into the scored rows or as more rows.
@@ -395,11 +449,13 @@ def score_leads(
     return JobResult("score_leads", "done", rows[0].get["n"])
 
 
-def score_sentiment(feedback: StateTable, score: Callable = lexicon_score) -> JobResult:
+def score_sentiment(
+    feedback: StateTable | KeyedTable, score: Callable = lexicon_score, model: DataFrame | None = None
+) -> JobResult:
     """Write score and label of feedback texts that have none yet into their rows.
 
     ``sentiment_processed`` is set, so the next run takes new texts only. Texts
-    whose flag is null wait, as in ``sentiment``.
+    whose flag is null wait, as in ``sentiment``. With a ``model`` (``sentiment_model.train``) it scores.
     """
     table = feedback.read()
     new = table.filter(~F.col("sentiment_processed"))
@@ -408,7 +464,11 @@ def score_sentiment(feedback: StateTable, score: Callable = lexicon_score) -> Jo
     rows = []
 
     def change(old: DataFrame) -> DataFrame:
-        made, seen = counted(sentiment(old, score))
+        if model is None:
+            scored = sentiment(old, score)
+        else:
+            scored = sentiment_model.with_sentiment(old.filter(~F.col("sentiment_processed")), model)
+        made, seen = counted(scored)
         rows.append(seen)
         done = made.withColumn("sentiment_processed", F.lit(True)).select(*table.columns)
         return done.unionByName(old.filter(F.coalesce(F.col("sentiment_processed"), F.lit(True))))
@@ -417,6 +477,13 @@ def score_sentiment(feedback: StateTable, score: Callable = lexicon_score) -> Jo
     return JobResult("score_sentiment", "done", rows[0].get["n"])
 
 
+def train_sentiment(rated: DataFrame, table: str, **options) -> JobResult:
+    """Learn a sentiment model from rated texts (``text, positive``) and make it the table's content."""
+    rows, seen = counted(sentiment_model.train(rated, **options))
+    replace(rows, table)
+    return JobResult("train_sentiment", "done", seen.get["n"])
+
+
 def merge_scores(table: DataFrame, scored: DataFrame, key: str = "lead_id") -> DataFrame:
     """Predictions made elsewhere in place of the table's rows with the same lead."""
     return upsert(table, scored, [key])

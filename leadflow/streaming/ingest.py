@@ -7,8 +7,10 @@ nothing left.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,44 @@ from leadflow.sources.changes import cdc_records, check_on_error
 from leadflow.sources.files import text_lines
 
 LOAD = "load"  # partition column of the lake: which batch of which ingest a row came with
+OWNERS = "_loads"  # folder of the lake, not read with it: the checkpoint behind each name
+
+
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id that a stream's checkpoint has from its first start on; None before."""
+    try:
+        lines = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").collect()  # one line
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+    return json.loads(lines[0].value)["id"] if lines else None
+
+
+def _owners(spark: SparkSession, lake: str, name: str) -> set[str]:
+    """The checkpoints that load into a lake under a name."""
+    try:
+        return {r.value for r in spark.read.text(f"{lake.rstrip('/')}/{OWNERS}/{name}").collect()}
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return set()
+
+
+def claim_name(spark: SparkSession, lake: str, name: str, own: str | None, keep: bool = False) -> None:
+    """End the job where another checkpoint loads into the lake under this name; ``keep`` makes the name this one's.
+
+    Of two that begin at once, at least one finds the other.
+    """
+    if keep and own not in _owners(spark, lake, name):
+        line = spark.createDataFrame([(own,)], "value string").coalesce(1)
+        line.write.mode("append").text(f"{lake.rstrip('/')}/{OWNERS}/{name}")
+    others = _owners(spark, lake, name) - {own}
+    if others:
+        raise ValueError(
+            f"another checkpoint loads into {lake} as {name}: its batches would be overwritten. Give each "
+            "checkpoint a name of its own, or none"
+        )
 
 
 def stream_cdc(
@@ -40,14 +80,15 @@ def stream_cdc(
     quarantine: str | None = None,
     available_now: bool = True,
     now=None,
-    name: str = "changes",
+    name: str | None = None,
     loaded: list[tuple[int, int]] | None = None,
 ) -> StreamingQuery:
     """Start the ingest of new files. Bad lines end it, or go to ``quarantine``.
 
-    Each batch is a partition of the lake, named after the ingest (``name``, one for each
-    checkpoint) and the batch's number. A batch that is repeated after a failure overwrites
-    its own partition, so no row counts twice, and any number of ingests share a lake. Lines are
+    Each batch is a partition of the lake, named after the ingest and the batch's number. A batch that is
+    repeated after a failure overwrites its own partition, so no row counts twice. An ingest is
+    known by its checkpoint's own id, so any number of them share a lake; a ``name`` may stand for that id,
+    and then is this checkpoint's alone: another one that uses it ends with an error. Lines are
     decoded once, also when some go aside. ``loaded`` collects rows and rejected lines by batch.
 
     ``archive`` moves consumed files aside for tidiness only, at some later time.
@@ -58,10 +99,22 @@ def stream_cdc(
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     lines = text_lines(reader, source, prefix, contains)
+    if name is not None:
+        claim_name(spark, lake, name, checkpoint_id(spark, checkpoint))
+    known: list[str] = []
+
+    def ingest() -> str:
+        """How this ingest's batches are named; its id is there by its first batch."""
+        if not known:
+            own = checkpoint_id(spark, checkpoint)
+            if name is not None:
+                claim_name(spark, lake, name, own, keep=True)
+            known.append(name or own)
+        return known[0]
 
     def put(rows: DataFrame, folder: str, number: int) -> int:
         made, seen = counted(rows)
-        made.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{LOAD}={name}-{number}")
+        made.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{LOAD}={ingest()}-{number}")
         return seen.get["n"]
 
     def write(batch: DataFrame, number: int) -> None:
