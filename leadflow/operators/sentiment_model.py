@@ -18,10 +18,13 @@ MIN_TEXTS = 3
 def features(text: Column) -> Column:
     """The different words of a text and pairs of neighbouring words, in lower case; a pair has a space inside."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))
-    )
-    return F.array_distinct(F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words))
+
+    def with_pairs(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.concat(words, pairs))
+
+    return F.transform(F.array(words), with_pairs)[0]  # the words are a variable there, cut once
 
 
 def feature_counts(rated: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def with_sentiment(feedback: DataFrame, model: DataFrame, text: str = "feedback_
 
 def fold(key: Column, folds: int = 5) -> Column:
     """The fold of a row, from its key alone."""
-    return F.crc32(key.cast("string").cast("binary")) % folds
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % folds
 
 
 def held_out(rated: DataFrame, key: str, folds: int = 5, **options) -> DataFrame:

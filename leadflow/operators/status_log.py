@@ -1,4 +1,7 @@
-"""Status history of files as events: a change adds its own rows, intervals follow from the events' order."""
+"""Status history of files as events: a change adds its own rows, intervals follow from the events' order.
+
+Events come in the order in which they were added (``seq``), which need not be that of their times.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,8 @@ from leadflow.sinks.state import StateTable
 from leadflow.sinks.tables import fit
 
 EVENTS = (
-    "client string, file string, src_table string, status string, at timestamp_ntz, until timestamp_ntz, change boolean"
+    "client string, file string, src_table string, status string, at timestamp_ntz, until timestamp_ntz, "
+    "change boolean, seq bigint"
 )
 
 
@@ -37,8 +41,8 @@ def changed(changes: DataFrame, now=None) -> DataFrame:
 def intervals(events: DataFrame) -> DataFrame:
     """The history that events make: an open running row ends at the next change of its file, all others as they say."""
     # from the last event of a file backwards, so that a row's frame only grows
-    later = Window.partitionBy("file").orderBy(F.desc("at"), F.desc("change")).rowsBetween(Window.unboundedPreceding, -1)
-    next_change = F.min(F.when(F.col("change"), F.col("at"))).over(later)
+    later = Window.partitionBy("file").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    next_change = F.max_by(F.when(F.col("change"), F.col("at")), F.when(F.col("change"), -F.col("seq"))).over(later)
     runs = (F.col("status") == "running") & F.col("until").isNull()
     end = F.when(runs, next_change).otherwise(F.col("until"))
     return events.withColumn("_end", end).select(
@@ -48,12 +52,13 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def as_of(events: DataFrame, time: str | dt.datetime) -> DataFrame:
     """The history as it stood at a time: what came later had not begun, and had ended nothing."""
-    return intervals(events.filter(F.col("at") <= ntz(time)))
+    known = F.when(F.col("until") <= ntz(time), F.col("until"))
+    return intervals(events.filter(F.col("at") <= ntz(time)).withColumn("until", known))
 
 
 def current(events: DataFrame) -> DataFrame:
-    """The last event of each file, changes before others of the same time."""
-    last = latest_per_key(events, ["file"], "at", ["change", "status", "client", "src_table"])
+    """The last event of each file; of several that came together the one with the latest time."""
+    last = latest_per_key(events, ["file"], "seq", ["at", "status", "client", "src_table"])
     return last.select("client", "file", "src_table", "status", F.col("at").alias("since"), "until")
 
 
@@ -70,17 +75,20 @@ class StatusLog:
     def read(self) -> DataFrame:
         return intervals(self.events)
 
+    def _add(self, events: DataFrame) -> int:
+        return self.table.append(events.withColumn("seq", F.lit(self.table.next_number()).cast("bigint")))
+
     def append(self, history: DataFrame) -> int:
-        return self.table.append(opened(history))
+        return self._add(opened(history))
 
     def change(self, changes: DataFrame, now=None) -> int:
         """Add one event for each change; nothing else is written."""
-        return self.table.append(changed(changes, now))
+        return self._add(changed(changes, now))
 
     def running(self, now=None, hours: int = RUNNING_HOURS) -> DataFrame:
-        """``running_files`` of the history. A row within the hours is only ended by events within them, so no others are read."""
-        recent = self.events.filter(F.col("at") >= hours_before(utc_now(now), hours))
-        return running_files(intervals(recent), now, hours)
+        """``running_files`` of the history, from what can matter: recent open running rows, and changes."""
+        recent = (F.col("at") >= hours_before(utc_now(now), hours)) & (F.col("status") == "running") & F.col("until").isNull()
+        return running_files(intervals(self.events.filter(recent | F.col("change"))), now, hours)
 
 
 def running(status: StateTable | StatusLog, now=None, hours: int = RUNNING_HOURS) -> DataFrame:

@@ -134,17 +134,24 @@ VIEWS = {
     "lead_features": """
         select c_custkey as lead_id, c_name as name, 18 + c_custkey % 60 as age,
                coalesce(n_orders, 0) / 10.0E0 as engagement_score,
-               coalesce(n_views, 0) as page_views, c_custkey % 10 <> 0 as processed
+               coalesce(n_views, 0) as page_views,
+               n_orders is not null or n_views is not null as processed
         from {customer}
         left join (select o_custkey, count(*) as n_orders from {orders} group by o_custkey) o
             on c_custkey = o_custkey
         left join (select user_id, count(*) as n_views from {events}
                    where event_type = 'view' group by user_id) e on c_custkey = user_id""",
     "feedback": """
-        select conv_id as lead_id, turn, text as feedback_text,
-               turn % 4 = 0 as sentiment_processed, cast(null as string) as sentiment_label,
+        select c.conv_id as lead_id, c.turn, c.text as feedback_text,
+               a.turn is not null as sentiment_processed, cast(null as string) as sentiment_label,
                cast(null as double) as sentiment_score
-        from {conversations} where role = 'user'""",
+        from {conversations} c
+        left join (select distinct conv_id, turn from {conversations} where role = 'assistant') a
+            on c.conv_id = a.conv_id and c.turn + 1 = a.turn
+        where c.role = 'user'""",
+    "rated": """
+        select d.doc_id as id, d.text, quality = 1 and toxic = 0 as positive
+        from {documents} d join {labels} l on d.doc_id = l.doc_id""",
 }
 
 

@@ -122,6 +122,33 @@ def _label(score: str) -> str:
                     when {score} is not null then 'Neutral' end"""
 
 
+_FEATURES = """list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"""
+
+
+def _trained(rated: str, texts: str, texts_id: str) -> str:
+    """Common parts: the model learnt from ``rated``, and the scores of ``texts``."""
+    words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')"
+    return f"""
+        , totals as (
+            select count(*) filter (positive) as p, count(*) filter (not positive) as n
+            from {rated} where text is not null),
+        model as (
+            select feature, n_pos, n_neg,
+                   ln(((n_pos + 1.0) / (p + 2.0)) / ((n_neg + 1.0) / (n + 2.0))) as weight
+            from totals, (
+                select feature, count(*) filter (positive) as n_pos, count(*) filter (not positive) as n_neg
+                from (select positive, unnest({_FEATURES}) as feature
+                      from (select positive, {words} as w from {rated} where text is not null))
+                group by feature) where n_pos + n_neg >= 3),
+        scores as (
+            select t.*, coalesce(tanh(total / sqrt(known) / 2), 0) as score
+            from {texts} t left join (
+                select {texts_id}, count(*) as known, sum(weight) as total
+                from (select {texts_id}, unnest({_FEATURES}) as feature
+                      from (select {texts_id}, {words} as w from {texts}))
+                join model using (feature) group by {texts_id}) s using ({texts_id}))"""
+
+
 _CHANGES = """
     select c_custkey, c_name,
            cast('199' || (c_custkey % 10) || '-01-02 03:04:05.5' as timestamp) as opened,
@@ -150,6 +177,63 @@ _CONTACT_ERRORS = """
     from customer"""
 
 
+_UPSERT = """
+    with target as (
+        select 'export' as dag_id, 'c-' || o_custkey as src_table,
+               max(o_orderdate) as checkpoint
+        from orders group by o_custkey),
+    fresh as (
+        select case when user_id % 2 = 0 then 'export' else 'import' end as dag_id,
+               'c-' || user_id as src_table,
+               max(ts) + interval '1' microsecond as checkpoint
+        from events group by user_id)
+    select coalesce(t.dag_id, f.dag_id) as dag_id,
+           coalesce(t.src_table, f.src_table) as src_table,
+           coalesce(f.checkpoint, t.checkpoint) as checkpoint
+    from target t full join fresh f
+        on t.dag_id = f.dag_id and t.src_table = f.src_table"""
+
+
+def _history(now: str = _NOW) -> str:
+    return with_views(["data_source_status", "reported_status"], f"""
+        , changes as (select * from ({_GATE}) where new_status <> 'RUNNING')
+        select h.client, h.file, h.src_table, h.status, h.start_date,
+               case when c.file is not null and h.status = 'running' and h.end_date is null
+                    then {now} else h.end_date end as end_date
+        from data_source_status h left join changes c on h.file = c.file
+        union all
+        select client, file, src_table, lower(new_status), {now}, null from changes
+        union all
+        select 'new', 'g-' || o_orderkey, 'staging.zleads', 'running', {now}, null
+        from orders where o_orderstatus = 'P'""")
+
+
+def _import() -> str:
+    return with_views(["data_source_status", "reported_status"], f"""
+        , done as (
+            select client, file, cast(substr(file, 3) as bigint) as k from ({_GATE})
+            where new_status = 'SUCCEEDED')
+        select 'e' || k as entity_id, k || '@example.com' as email, client, file
+        from done where k % 5 > 1
+        union all
+        select 'x' || k, null, client, file from done where k % 5 > 1""")
+
+
+def _sentiment_update() -> str:
+    return with_views(["feedback"], f"""
+        select f.lead_id, f.turn, f.sentiment_processed is not null as sentiment_processed,
+               case when not f.sentiment_processed then {_label("m.sentiment_score")} end as sentiment_label,
+               case when not f.sentiment_processed then round(m.sentiment_score, 6) end as sentiment_score,
+               'skipped' as second_run
+        from feedback f left join ({_MOODS}) m on f.lead_id = m.lead_id and f.turn = m.turn""")
+
+
+def _merged() -> str:
+    return with_views(["lead_features"], f"""
+        select f.lead_id, f.name, f.processed, coalesce(s.lead_score, -1) as lead_score
+        from lead_features f left join ({_LEAD_SCORES}) s on f.lead_id = s.lead_id""")
+
+
 def oracles() -> dict[str, str]:
     return {
         "scan_select_alias": """
@@ -193,21 +277,8 @@ def oracles() -> dict[str, str]:
         "profile_fanout": _FANOUT,
         "profile_fanout_split": _FANOUT,
         "contact_profiles": _profiles("contact", _CHANNEL, _PERSUASION),
-        "upsert_checkpoint": """
-            with target as (
-                select 'export' as dag_id, 'c-' || o_custkey as src_table,
-                       max(o_orderdate) as checkpoint
-                from orders group by o_custkey),
-            fresh as (
-                select case when user_id % 2 = 0 then 'export' else 'import' end as dag_id,
-                       'c-' || user_id as src_table,
-                       max(ts) + interval '1' microsecond as checkpoint
-                from events group by user_id)
-            select coalesce(t.dag_id, f.dag_id) as dag_id,
-                   coalesce(t.src_table, f.src_table) as src_table,
-                   coalesce(f.checkpoint, t.checkpoint) as checkpoint
-            from target t full join fresh f
-                on t.dag_id = f.dag_id and t.src_table = f.src_table""",
+        "upsert_checkpoint": _UPSERT,
+        "keyed_upsert": _UPSERT,
         "latest_checkpoint": """
             select 'export' as dag_id, event_type as src_table, max(ts) as checkpoint
             from events group by event_type""",
@@ -253,6 +324,32 @@ def oracles() -> dict[str, str]:
                 select max(t) from (select ingestion_timestamp as t from staging_contacts
                     where ingestion_timestamp >= timestamp '2024-01-03 00:00:00'
                     order by t limit 1000))"""),
+        "export_windows": with_views(["staging_contacts"], """
+            , placed as (
+                select ingestion_timestamp as t, row_number() over (order by ingestion_timestamp) as pos
+                from staging_contacts),
+            times as (select t, max(pos) as upto from placed group by t),
+            ends as (
+                with recursive e(t, upto) as (
+                    select min(t), max(0) from placed where false
+                    union all select timestamp '1900-01-01', 0
+                    union all
+                    select n.t, n.upto from e, lateral (
+                        select t, upto from times where upto >= least(e.upto + 500, (select max(upto) from times))
+                            and times.upto > e.upto
+                        order by upto limit 1) n)
+                select t, upto, coalesce(lag(t) over (order by upto), timestamp '1900-01-01') as before,
+                       lag(upto) over (order by upto) as before_upto
+                from e where t is not null)
+            select case when before_upto = 0 then timestamp '1970-01-01' else before + interval '1' microsecond end
+                       as first_time,
+                   t as last_time, upto - before_upto as n
+            from ends where upto > 0"""),
+        "late_export": with_views(["staging_contacts"], """
+            , passed as (select max(ingestion_timestamp) as t from staging_contacts where first_name <> 'click')
+            select client, first_name, first_name = 'click' and ingestion_timestamp <= t as late, count(*) as n,
+                   'done skipped skipped' as late_runs
+            from staging_contacts, passed group by all"""),
         "export_job": with_views(["staging_contacts"], """
             select client, first_name, count(*) as n
             from staging_contacts group by client, first_name"""),
@@ -282,17 +379,12 @@ def oracles() -> dict[str, str]:
         "late_rows": """
             select event_type, count(*) as late_rows, min(ts) as oldest
             from events where ts < timestamp '2024-01-16 00:00:00' group by event_type""",
-        "status_history": with_views(["data_source_status", "reported_status"], f"""
-            , changes as (select * from ({_GATE}) where new_status <> 'RUNNING')
-            select h.client, h.file, h.src_table, h.status, h.start_date,
-                   case when c.file is not null and h.status = 'running' and h.end_date is null
-                        then {_NOW} else h.end_date end as end_date
-            from data_source_status h left join changes c on h.file = c.file
-            union all
-            select client, file, src_table, lower(new_status), {_NOW}, null from changes
-            union all
-            select 'new', 'g-' || o_orderkey, 'staging.zleads', 'running', {_NOW}, null
-            from orders where o_orderstatus = 'P'"""),
+        "status_history": _history(),
+        "status_events": _history(),
+        "status_as_of": with_views(["data_source_status"], """
+            select client, file, src_table, status, start_date,
+                   case when end_date <= timestamp '1996-06-01 12:00:00' then end_date end as end_date
+            from data_source_status where start_date <= timestamp '1996-06-01 12:00:00'"""),
         "import_repeated_answers": with_views(["data_source_status"], f"""
             , last as (
                 select 'f-' || l_orderkey as file, l_returnflag as flag from lineitem
@@ -305,14 +397,8 @@ def oracles() -> dict[str, str]:
                 from ({_RUNNING}) r left join last s on r.file = s.file)
             select file, new_status, new_status = 'SUCCEEDED' as imports, new_status <> 'RUNNING' as changes
             from gate"""),
-        "import_gate": with_views(["data_source_status", "reported_status"], f"""
-            , done as (
-                select client, file, cast(substr(file, 3) as bigint) as k from ({_GATE})
-                where new_status = 'SUCCEEDED')
-            select 'e' || k as entity_id, k || '@example.com' as email, client, file
-            from done where k % 5 > 1
-            union all
-            select 'x' || k, null, client, file from done where k % 5 > 1"""),
+        "import_gate": _import(),
+        "import_gate_events": _import(),
         "count_by_client": with_views(["entities"], """
             select client, count(*) as n, count(twitter) as with_twitter
             from entities group by client having count(*) > 10"""),
@@ -458,14 +544,21 @@ def oracles() -> dict[str, str]:
                    {_label("sentiment_score")} as sentiment_label,
                    round(abs(sentiment_score), 6) as sentiment_strength
             from ({_MOODS})"""),
-        "sentiment_update": with_views(["feedback"], f"""
-            select f.lead_id, f.turn, f.sentiment_processed is not null as sentiment_processed,
-                   case when not f.sentiment_processed then {_label("m.sentiment_score")} end
-                       as sentiment_label,
-                   case when not f.sentiment_processed then round(m.sentiment_score, 6) end
-                       as sentiment_score,
-                   'skipped' as second_run
-            from feedback f left join ({_MOODS}) m on f.lead_id = m.lead_id and f.turn = m.turn"""),
+        "sentiment_update": _sentiment_update(),
+        "sentiment_update_keyed": _sentiment_update(),
+        "sentiment_model": with_views(["rated"], _trained("rated", "rated", "id") + """
+            select feature, n_pos, n_neg, round(weight, 9) as weight from model"""),
+        "sentiment_held_out": with_views(["rated"], """
+            , folds as (
+                select *, cast('0x' || substr(md5(cast(id as string)), 1, 8) as bigint) % 5 as fold from rated),
+            learnt as (select * from folds where fold <> 0),
+            tested as (select * from folds where fold = 0 and text is not null)"""
+            + _trained("learnt", "tested", "id") + " select id, positive, round(score, 6) as score from scores"),
+        "sentiment_model_scores": with_views(
+            ["rated", "feedback"], ", texts as (select lead_id, turn, feedback_text as text, lead_id || '-' || turn as id "
+            "from feedback)" + _trained("rated", "texts", "id") + """
+            select lead_id, turn, round(score, 6) as sentiment_score, round(abs(score), 6) as sentiment_strength
+            from scores"""),
         "priority": with_views(["lead_features", "feedback"], f"""
             select s.lead_id, s.name, s.lead_score, m.score as sentiment_score,
                    {_label("m.score")} as sentiment_label,
@@ -495,9 +588,8 @@ def oracles() -> dict[str, str]:
         "merge_scores": with_views(["lead_features"], f"""
             select f.lead_id, f.name, f.processed, s.lead_score
             from lead_features f left join ({_LEAD_SCORES}) s on f.lead_id = s.lead_id"""),
-        "merge_predictions": with_views(["lead_features"], f"""
-            select f.lead_id, f.name, f.processed, coalesce(s.lead_score, -1) as lead_score
-            from lead_features f left join ({_LEAD_SCORES}) s on f.lead_id = s.lead_id"""),
+        "merge_predictions": _merged(),
+        "keyed_merge": _merged(),
         "csv_export_readback": with_views(["staging_contacts"], f"""
             select cast(id as string) as id, {_CONTACT_COLUMNS},
                    case when microsecond(ingestion_timestamp) % 1000000 = 0
@@ -513,6 +605,7 @@ def oracles() -> dict[str, str]:
         "cdc_to_lake": _CHANGES,
         "cdc_rerun": f"select *, 'skipped done done skipped' as runs from ({_CHANGES})",
         "cdc_batch_and_stream": _CHANGES,
+        "cdc_two_checkpoints": f"select *, 1 as refused from ({_CHANGES})",
         "cdc_quarantine": _QUARANTINE,
         "cdc_stream_quarantine": _QUARANTINE,
         "stream_cdc": _CHANGES,

@@ -13,21 +13,24 @@ from leadflow.functions import names, timestamps as ts
 from leadflow.functions.crypto import decrypt_lines, encrypt_lines
 from leadflow.functions.insights import adopt_curve, match_scores, reshape_insight
 from leadflow.functions.records import coerce_record, stringify_decimals, stringify_times
-from leadflow.operators import joins
+from leadflow.operators import joins, sentiment_model as model
+from leadflow.operators.late import ExportRecord
 from leadflow.operators.latest import latest_per_key
 from leadflow.operators.scoring import (
     drift, insight_bodies, logistic_predictor, logistic_score, value_bucket,
 )
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
+from leadflow.operators.status_log import StatusLog, as_of
 from leadflow.operators.window import (
-    ExportWindow, export_columns, get_window, in_window, late_rows, latest_checkpoints,
+    ExportWindow, cut_windows, export_columns, get_window, in_window, late_rows, latest_checkpoints,
 )
 from leadflow.plans import jobs
 from leadflow.plans.inputs import base, view
 from leadflow.schemas import INSIGHT_IDS, EXPORT_COLUMNS, table_schema
 from leadflow.session import shared_folder
 from leadflow.sinks.csv_export import export_csv, read_export, route_uploads
+from leadflow.sinks.keyed import KeyedTable
 from leadflow.sinks.state import StateTable
 from leadflow.sinks.tables import append, one_per_key, rows_frame
 from leadflow.sources.json_records import check_contacts, reported_status
@@ -263,8 +266,8 @@ def contact_profiles(spark, sf):
     return _flat(nested, "contact")
 
 
-@query
-def upsert_checkpoint(spark, sf):
+def _saved_and_new(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Checkpoints that are there, and newer ones for some of them and for others."""
     target = base(spark, sf, "orders").groupBy("o_custkey").agg(
         F.max("o_orderdate").alias("checkpoint")
     ).select(
@@ -276,6 +279,12 @@ def upsert_checkpoint(spark, sf):
         F.concat(F.lit("c-"), F.col("user_id")).alias("src_table"),
         ts.next_checkpoint(F.col("last")).alias("checkpoint"),
     )
+    return target, rows
+
+
+@query
+def upsert_checkpoint(spark, sf):
+    target, rows = _saved_and_new(spark, sf)
     table = StateTable(
         spark, shared_folder(spark, "checkpoint"), table_schema("checkpoint"), ["dag_id", "src_table"], 8
     )
@@ -284,6 +293,18 @@ def upsert_checkpoint(spark, sf):
     return table.read()
 
 
+@query
+def keyed_upsert(spark, sf):
+    """The same in a table of commits: the new rows alone are written, and met when it is read."""
+    target, rows = _saved_and_new(spark, sf)
+    table = KeyedTable(
+        spark, shared_folder(spark, "keyed"), table_schema("checkpoint"), ["dag_id", "src_table"], share=1.0
+    )
+    table.append(target)
+    table.merge(rows)
+    return table.read()
+
+
 @query
 def latest_checkpoint(spark, sf):
     """Checkpoints as jobs leave them: one row for each move, the greatest in force."""
@@ -387,6 +408,38 @@ def incremental_export(spark, sf):
     return export_columns(in_window(source, window), "staging.contacts")
 
 
+@query
+def export_windows(spark, sf):
+    """All windows of 500 rows behind the checkpoint, with the rows of each."""
+    source = view(spark, sf, "staging_contacts")
+    none = rows_frame(spark, [], table_schema("checkpoint"))
+    *windows, _ = cut_windows(none, "export", "staging.contacts", {"staging.contacts": source}, 500)
+    ends = spark.createDataFrame([(w.first, w.last) for w in windows], "first_time timestamp_ntz, last_time timestamp_ntz")
+    time = F.col("ingestion_timestamp")
+    inside = source.join(ends, (time >= F.col("first_time")) & (time <= F.col("last_time")))
+    return inside.groupBy("first_time", "last_time").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def late_export(spark, sf):
+    """Clicks arrive after all else was exported: those below the checkpoint go through the late lane, once."""
+    source, folder = view(spark, sf, "staging_contacts"), shared_folder(spark, "late_export")
+    checkpoints = _checkpoints(spark, folder)
+    record = ExportRecord(spark, f"{folder}/record", source.schema, ["id"])
+    args = "staging.contacts", checkpoints
+    jobs.export_table(source.filter("first_name <> 'click'"), *args, f"{folder}/out", record=record)
+    late = [jobs.export_late(source, *args, record, f"{folder}/late") for _ in range(2)]
+    jobs.export_table(source, *args, f"{folder}/out", record=record)
+    late.append(jobs.export_late(source, *args, record, f"{folder}/late"))
+    states = F.lit(" ".join(r.state for r in late)).alias("late_runs")
+    parts = [
+        read_export(spark, f"{folder}/{lane}/staging.contacts", ["first_name"])
+        .groupBy("client", "first_name", F.lit(lane == "late").alias("late")).agg(F.count(F.lit(1)).alias("n"))
+        for lane in ("out", "late")
+    ]
+    return parts[0].unionByName(parts[1]).select("*", states)
+
+
 @query
 def export_job(spark, sf):
     """Export everything behind the checkpoint, then read the files back."""
@@ -508,6 +561,34 @@ def _status(spark, sf, folder: str) -> StateTable:
     return status
 
 
+def _status_log(spark, sf) -> StatusLog:
+    """The changes and uploads of ``status_history`` as events behind those of the table."""
+    log = StatusLog(spark, shared_folder(spark, "status_log"))
+    log.append(view(spark, sf, "data_source_status"))
+    now = "1998-08-02 00:30:00"
+    gate = import_gate(log.running(now, 8760), view(spark, sf, "reported_status"))
+    log.change(gate.filter("changes"), now)
+    uploads = base(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
+        F.lit("new").alias("client"),
+        F.concat(F.lit("g-"), F.col("o_orderkey")).alias("file"),
+        F.lit("staging.zleads").alias("src_table"),
+    )
+    log.append(open_rows(uploads, now))
+    return log
+
+
+@query
+def status_events(spark, sf):
+    """``status_history`` from events: a change writes its own rows, the intervals follow when it is read."""
+    return _status_log(spark, sf).read()
+
+
+@query
+def status_as_of(spark, sf):
+    """The history as it stood before the changes, from the events that include them."""
+    return as_of(_status_log(spark, sf).events, "1996-06-01 12:00:00")
+
+
 @query
 def import_repeated_answers(spark, sf):
     """Files reported several times, each line's ship date being one report: the last one counts."""
@@ -526,8 +607,20 @@ def import_repeated_answers(spark, sf):
 def import_gate_(spark, sf):
     """The entity import as a job: files, reported status, answers, entity table."""
     folder = shared_folder(spark, "import_gate")
+    return _imported(spark, sf, _status(spark, sf, folder), folder)
+
+
+@query
+def import_gate_events(spark, sf):
+    """The same with the status kept as events, run twice: what was imported isn't imported again."""
+    folder = shared_folder(spark, "import_gate_events")
+    status = StatusLog(spark, f"{folder}/status")
+    status.append(view(spark, sf, "data_source_status"))
+    return _imported(spark, sf, status, folder, runs=2)
+
+
+def _imported(spark, sf, status: StateTable | StatusLog, folder: str, runs: int = 1) -> DataFrame:
     now = "1998-08-02 00:30:00"
-    status = _status(spark, sf, folder)
     order = F.col("o_orderkey")
     body = F.to_json(F.array(
         F.struct(
@@ -544,9 +637,8 @@ def import_gate_(spark, sf):
     reported = view(spark, sf, "reported_status").select(
         "file", F.lit(200).alias("code"), F.to_json(F.struct("status")).alias("body")
     )
-    jobs.import_entities(
-        status, reported_status(reported), answers, f"{folder}/entities", now, 8760
-    )
+    for _ in range(runs):
+        jobs.import_entities(status, reported_status(reported), answers, f"{folder}/entities", now, 8760)
     left = running_files(status.read(), now, 8760).select(F.col("file").alias("open_file"))
     entities = spark.read.parquet(f"{folder}/entities")
     return entities.join(left, F.col("file") == F.col("open_file"), "left_anti").select(
@@ -905,9 +997,21 @@ def _moods(spark, sf) -> DataFrame:
 def sentiment_update(spark, sf):
     """Scores written into the feedback table; a second run finds nothing to score."""
     feedback = view(spark, sf, "feedback")
-    table = StateTable(spark, shared_folder(spark, "feedback"), feedback.schema, ["lead_id"], 8)
+    return _updated(StateTable(spark, shared_folder(spark, "feedback"), feedback.schema, ["lead_id"], 8), feedback)
+
+
+@query
+def sentiment_update_keyed(spark, sf):
+    """The same in a table of commits, merged into a new base in the end."""
+    feedback = view(spark, sf, "feedback")
+    return _updated(KeyedTable(spark, shared_folder(spark, "feedback"), feedback.schema, ["lead_id"]), feedback)
+
+
+def _updated(table: StateTable | KeyedTable, feedback: DataFrame) -> DataFrame:
     table.append(feedback)
     runs = [jobs.score_sentiment(table) for _ in range(2)]
+    if isinstance(table, KeyedTable):
+        table.compact()
     return table.read().select(
         "lead_id", "turn", "sentiment_processed", "sentiment_label",
         F.round("sentiment_score", 6).alias("sentiment_score"),
@@ -915,6 +1019,35 @@ def sentiment_update(spark, sf):
     )
 
 
+def _trained(spark, sf) -> DataFrame:
+    """The model that the job learns from rated texts."""
+    table = shared_folder(spark, "sentiment_model")
+    jobs.train_sentiment(view(spark, sf, "rated").select("text", "positive"), table)
+    return spark.read.parquet(table)
+
+
+@query
+def sentiment_model(spark, sf):
+    return _trained(spark, sf).withColumn("weight", F.round("weight", 9))
+
+
+@query
+def sentiment_model_scores(spark, sf):
+    """Every feedback text by the trained model, answered or not."""
+    scored = model.with_sentiment(view(spark, sf, "feedback"), _trained(spark, sf))
+    return scored.select(
+        "lead_id", "turn", F.round("sentiment_score", 6).alias("sentiment_score"),
+        F.round("sentiment_strength", 6).alias("sentiment_strength"),
+    )
+
+
+@query
+def sentiment_held_out(spark, sf):
+    """Rated texts of one fold by a model of the others."""
+    scored = model.held_out(view(spark, sf, "rated"), "id")
+    return scored.select("id", "positive", F.round("score", 6).alias("score"))
+
+
 @query
 def sentiment(spark, sf):
     return _moods(spark, sf).select(
@@ -947,17 +1080,33 @@ def merge_scores(spark, sf):
     return table.read().select("lead_id", "name", "processed", "lead_score")
 
 
+def _predicted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(-1.0))
+    return leads, lead_scores_columns(spark, sf).join(leads.drop("lead_score"), "lead_id")
+
+
 @query
 def merge_predictions(spark, sf):
     """Scores made elsewhere replace the lead rows they belong to."""
-    leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(-1.0))
-    made = lead_scores_columns(spark, sf).join(leads.drop("lead_score"), "lead_id")
+    leads, made = _predicted(spark, sf)
     table = StateTable(spark, shared_folder(spark, "leads"), leads.schema, ["lead_id"], 8)
     table.append(leads)
     table.merge(made)
     return table.read().select("lead_id", "name", "processed", "lead_score")
 
 
+@query
+def keyed_merge(spark, sf):
+    """The same in a table of commits, the scores coming by nation; too many of them make a new base."""
+    leads, made = _predicted(spark, sf)
+    table = KeyedTable(spark, shared_folder(spark, "leads"), leads.schema, ["lead_id"], commits=3)
+    table.append(leads)
+    nation = base(spark, sf, "customer").select(F.col("c_custkey").alias("lead_id"), F.col("c_nationkey").alias("nation"))
+    for region in base(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_set("n_nationkey").alias("n")).collect():
+        table.merge(made.join(nation.filter(F.col("nation").isin(region.n)), "lead_id", "left_semi"))
+    return table.read().select("lead_id", "name", "processed", "lead_score")
+
+
 # Sinks
 
 
@@ -1058,6 +1207,27 @@ def cdc_batch_and_stream(spark, sf):
     return _changes(spark.read.parquet(f"{folder}/lake"))
 
 
+@query
+def cdc_two_checkpoints(spark, sf):
+    """Two batch jobs with checkpoints of their own load into one lake; a name that one of them has is refused the other."""
+    folder = shared_folder(spark, "two_checkpoints")
+    low = base(spark, sf, "customer").agg(F.avg("c_custkey")).first()[0]
+    refused = 0
+    for part, which in (("a", F.col("c_custkey") < low), ("b", F.col("c_custkey") >= low)):
+        _change_files(spark, sf, f"{folder}/{part}", which)
+        load = lambda **named: jobs.cdc_to_lake(
+            spark, f"{folder}/{part}", f"{folder}/lake", f"{folder}/checkpoint-{part}", KEYS, CHANGE_SCHEMA,
+            prefix="part-", **named,
+        )
+        if part == "b":
+            try:
+                load(name="first")
+            except ValueError:
+                refused += 1
+        load(**({"name": "first"} if part == "a" else {}))
+    return _changes(spark.read.parquet(f"{folder}/lake")).withColumn("refused", F.lit(refused))
+
+
 def _bad_change_files(spark, sf, folder: str) -> None:
     nation = F.col("c_nationkey")
     key = F.col("c_custkey").cast("string")

@@ -86,14 +86,18 @@ class KeyedTable:
 
         return self._counting(asked).drop(COMMIT)
 
+    def next_number(self) -> int:
+        """The number of the next commit; they only grow."""
+        last = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").agg(F.max("number")).first()[0]
+        return (last or 0) + 1
+
     def _commit(self, df: DataFrame, kind: str) -> int:
-        before = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").agg(F.max("number")).first()[0]
-        number = (before or 0) + 1
+        number = self.next_number()
         # A folder of this number can only be of a commit that failed.
         dealt = df.to(self.schema)
         if kind == BASE:  # files of different key ranges; a change's rows are made once, so they aren't dealt anew
             dealt = dealt.repartitionByRange(*self.keys)
-        rows, seen = counted(dealt.sortWithinPartitions(*self.keys))
+        rows, seen = counted(dealt.sortWithinPartitions(*self.keys), "commit")
         rows.write.mode("overwrite").parquet(self._folder(number))
         line = self.spark.createDataFrame([(number, kind, seen.get["n"])], COMMITS)
         line.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")

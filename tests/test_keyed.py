@@ -73,7 +73,7 @@ def test_a_failed_change_keeps_the_old_rows(spark, rows, folder):
         table.update(rows([(1,)], "k int"), lambda old: old.select(F.raise_error(F.lit("boom")).cast("int").alias("k")))
     assert [r.k for r in table.read().collect()] == [1]
     # rows of a commit that was never listed don't count, and its number is used again
-    rows([(9,)], "k int").write.parquet(f"{folder}/t/rows/_commit=2")
+    rows([(9,)], "k int").write.mode("overwrite").parquet(f"{folder}/t/rows/_commit=2")
     assert [r.k for r in table.read().collect()] == [1]
     table.merge(rows([(2,)], "k int"))
     assert sorted(r.k for r in table.read().collect()) == [1, 2]
