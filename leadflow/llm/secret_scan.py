@@ -9,13 +9,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from operator import mul, ne
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import values
+from leadflow.llm.common import values, written
 from leadflow.llm.decontaminate import with_text
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -30,9 +31,12 @@ ASSIGN = re.compile(
     "(" + "|".join(map(_either, NAMES)) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
-HEX = re.compile("[0-9a-f]{24,}")
-RUN = re.compile("[A-Za-z0-9+/_=-]{2,}")  # what holds tokens; one symbol has no neighbour to test
+HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
+SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LEAST = 16  # symbols of a token that is tested: on fewer, the three tests tell nothing apart
+RUN = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)  # what holds tokens
 TOKEN = re.compile("[A-Za-z0-9+/_-]{2,}(?:=+(?![A-Za-z0-9+/_-]))?")  # an inner = parts tokens, padding belongs to them
+UUID = re.compile("[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12}")
 PARTS = re.compile("[A-Za-z0-9+/]{2,}=*"), re.compile("[A-Za-z0-9_-]{2,}=*")  # of tokens that mix two alphabets' signs
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -52,7 +56,6 @@ ENCODINGS = {
 LETTERS = ("lower", "UPPER", "letters", "base64", "base64url")  # those of tokens without digits
 GRID = 32  # steps of a factor ten in which p-values are counted, rounded up
 FLOOR = 300  # powers of ten that are told apart
-TESTS = ("uneven", "runs", "serial")
 
 
 def kind_of(c: str) -> int:
@@ -90,20 +93,20 @@ def alphabet(token: str) -> str | None:
     return next((name for name in LETTERS if symbols <= PLACES[name].keys()), None)
 
 
-FAMILIES = range(3)
+FAMILIES = range(2)
 
 
 def family(token: str) -> int:
-    """Long tokens with digits, long ones without, and short ones: each family's discoveries are controlled for
-    themselves, so that the many words of the last two don't hide the secrets of the first."""
-    return 2 if len(token) < 16 else 0 if any(c.isdigit() for c in token) else 1
+    """Tokens with digits or signs, and letters alone: each family's discoveries are controlled for themselves, so that
+    the many long words don't hide the secrets of the other."""
+    return int(token.isalpha())
 
 
 @lru_cache(1 << 15)
 def measures(token: str, encoding: str) -> tuple[int, float, float, float]:
     """The length, and three rates that are about 0 for symbols drawn evenly at random: the excess of chi-squared over
-    all symbols, for each symbol of the token, as log(1 + x), since ordinary tokens differ by factors; the share of
-    class changes that is missing; and the correlation of neighbours' values."""
+    all symbols, for each symbol of the token; the share of class changes that is missing; and the correlation of
+    neighbours' values."""
     places, body = PLACES[encoding], token.rstrip("=")
     values = [places[c] for c in body]
     n, size = len(values), len(places)
@@ -118,7 +121,7 @@ def measures(token: str, encoding: str) -> tuple[int, float, float, float]:
     if own * n > total * total:
         cross = sum(map(mul, values, values[1:])) - mean * (2 * total - values[0] - values[-1]) + (n - 1) * mean * mean
         serial = cross / (own - total * mean) + 1 / n
-    return n, math.log1p(max((chi - (size - 1)) / n, -0.9)), CHANGE[encoding] - changes, serial
+    return n, (chi - (size - 1)) / n, CHANGE[encoding] - changes, serial
 
 
 def spreads(n: int, encoding: str) -> tuple[float, float, float]:
@@ -142,28 +145,55 @@ def randomness(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(normal_tail(z[0]), 2 * normal_tail(abs(z[1])), 2 * normal_tail(abs(z[2]))))
 
 
-@dataclass
-class Nulls:
-    """What the ordinary tokens of each alphabet are like, by all of the corpus: mean and variance of each rate."""
+class Null(NamedTuple):
+    """What the ordinary tokens of an alphabet are like: mean of ``evenness``, and variance of one symbol's share in it."""
 
-    mean: dict[str, list[float]]
-    variance: dict[str, list[float]]
+    mean: float
+    variance: float
 
 
-def ordinariness(token: str, encoding: str, nulls: Nulls) -> float:
-    """A p-value for "an ordinary token of this length": how rarely one is as even, as mixed and as uncorrelated.
+def log_shares(counts: np.ndarray) -> dict[str, dict[str, float]]:
+    """By alphabet and symbol: log of how much more frequent the symbol is in an even alphabet than in the texts'."""
+    out = {}
+    for encoding, symbols in ENCODINGS.items():
+        own = np.array([counts[ord(c)] + 1.0 for c in symbols])
+        out[encoding] = dict(zip(symbols, np.log(own.sum() / own / len(symbols)).tolist()))
+    return out
 
-    Each rate lies below its ordinary mean by so many deviations, to which the token's length adds its own
-    scatter. The three p-values depend on each other; their Cauchy mean holds all the same.
-    """
-    n, *rates = measures(token, encoding)
-    total = 0.0
-    for rate, own, mean, variance in zip(rates, spreads(n, encoding), nulls.mean[encoding], nulls.variance[encoding]):
-        p = normal_tail((mean - rate) / math.sqrt(variance + own * own))
-        p = min(max(p, 1e-290), 1 - 1e-15)
-        total += 1 / (math.pi * p) if p < 1e-9 else math.tan((0.5 - p) * math.pi)
-    total /= len(rates)
-    return 1 / (math.pi * total) if total > 1e9 else 0.5 - math.atan(total) / math.pi
+
+def plain_null(shares: dict[str, float]) -> Null:
+    """The null of symbols that follow each other as they are frequent in the texts, each for itself."""
+    x = np.array(list(shares.values()))
+    often = np.exp(-x) / len(x)
+    mean = float((often * x).sum())
+    return Null(mean, float((often * (x - mean) ** 2).sum()))
+
+
+def evenness(token: str, shares: dict[str, float]) -> float:
+    """The mean of a token's log shares: low where its symbols are those that texts use, high where they are drawn evenly."""
+    body = token.rstrip("=")
+    return sum(map(shares.__getitem__, body)) / len(body)
+
+
+@dataclass
+class Ordinary:
+    """Ordinary tokens by all of the corpus: log shares and null of each alphabet, and for each family where its
+    tokens lie and how they scatter, in deviations of the null."""
+
+    shares: dict[str, dict[str, float]]
+    nulls: dict[str, Null]
+    place: list[tuple[float, float]]
+
+    def deviations(self, token: str, encoding: str) -> float:
+        """How far a token's evenness lies above an ordinary one's of its length; longer ones scatter less."""
+        mean, variance = self.nulls[encoding]
+        n = len(token.rstrip("="))
+        return (evenness(token, self.shares[encoding]) - mean) / math.sqrt(variance / n)
+
+    def p_value(self, token: str, encoding: str) -> float:
+        """How rarely an ordinary token of the family is as even."""
+        mean, scale = self.place[family(token)]
+        return normal_tail((self.deviations(token, encoding) - mean) / scale)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -179,17 +209,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, stop, token and alphabet of each token that could be an encoded value, of any length.
+    """Start, stop, token and alphabet of each token of at least ``LEAST`` symbols that could be an encoded value.
 
     A token with signs of both base64 and base64url is parted at the ones and at the others. What the fixed
-    patterns leave of a token is a candidate too. What a run of symbols holds does not depend on the text around it.
+    patterns leave of a token is a candidate too. The signs of a UUID don't count as symbols. What a run of symbols
+    holds does not depend on the text around it.
     """
     for run in RUN.finditer(text):
-        if run[0].isalpha() and len(run[0]) < 20:  # a word: no fixed pattern is as short
-            yield run.start(), run.end(), run[0], alphabet(run[0])
-            continue
         for m in TOKEN.finditer(run[0]):
-            token = m[0]
+            token, first = m[0], run.start() + m.start()
+            if UUID.fullmatch(token):
+                own = token.replace("-", "")
+                if infer(own):
+                    yield first, first + len(token), own, infer(own)
+                continue
             found = {(0, token)}
             if not alphabet(token) and any(c in token for c in "+/") and any(c in token for c in "-_"):
                 found = {(x.start(), x[0]) for part in PARTS for x in part.finditer(token)}
@@ -199,19 +232,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
                     found |= {(at, token[at : x.start()]), (x.end(), token[x.end() :])}
                     at = x.end()
             for at, own in sorted(found):
-                if len(own.rstrip("=")) > 1 and (encoding := alphabet(own)):
-                    yield run.start() + m.start() + at, run.start() + m.start() + at + len(own), own, encoding
-
-
-def runs(texts: Iterator[str | None], most: int = 30_000) -> Iterator[Counter]:
-    """How often each run of symbols occurs, about ``most`` different ones at a time."""
-    n: Counter = Counter()
-    for text in texts:
-        n.update(RUN.findall(text or ""))
-        if len(n) >= most:
-            yield n
-            n = Counter()
-    yield n
+                if len(own.rstrip("=")) >= LEAST and (encoding := alphabet(own)):
+                    yield first + at, first + at + len(own), own, encoding
 
 
 def grid_of(p: float, n: int, mean_length: float) -> int:
@@ -222,91 +244,138 @@ def grid_of(p: float, n: int, mean_length: float) -> int:
     return int(min(max(math.floor(-weighted * GRID), 0), GRID * FLOOR))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, family and alphabet: the tokens, their lengths, and of ordinary ones the sums and squares of the rates."""
+def _symbol_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte occurs in a task's texts."""
+    n = np.zeros(256, np.int64)
     for batch in batches:
-        sums: dict[tuple[int, str], list[float]] = {}
-        for counted in runs(values(batch.column("text"))):
-            for run, times in counted.items():
-                for _, _, token, encoding in candidates(run):
-                    n, *rates = measures(token, encoding)
-                    at = sums.setdefault((family(token), encoding), [0.0] * 9)
-                    at[0] += times
-                    at[1] += times * n
-                    if randomness(token, encoding) < 0.01:
-                        at[2] += times
-                        for i, x in enumerate(rates):
-                            at[3 + i] += x * times
-                            at[6 + i] += x * x * times
-        rows = [{"family": f, "encoding": k, **dict(zip(SUMS, v))} for (f, k), v in sums.items()]
-        kind = pa.schema([("family", pa.int32()), ("encoding", pa.string()), *[(c, pa.float64()) for c in SUMS]])
-        yield pa.RecordBatch.from_pylist(rows, kind)
+        for text in values(batch.column("text")):
+            if text:
+                n += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    yield pa.RecordBatch.from_pydict({"byte": pa.array(range(256), pa.int32()), "n": pa.array(n, pa.int64())})
 
 
-SUMS = ["m", "n", "ordinary", *[f"{t}_sum" for t in TESTS], *[f"{t}_squares" for t in TESTS]]
-LEAST = 100  # ordinary tokens that an alphabet needs for rates of its own
+LONG_WORD = 8  # letters of the words, too short to be tested, that tell how much more than single symbols tokens scatter
+TO_RUNS = bytes(c if c in SYMBOLS else 0x20 for c in range(256))
+IS_LETTER = np.array([c < 0x80 and chr(c).isalpha() for c in range(256)])
 
 
-def learn_all(docs: DataFrame) -> list[tuple[Nulls, int, float]]:
-    """For each family what its ordinary tokens are like, from all rows, with the number and mean length of its candidates.
+def _runs(shares: dict[str, float], mean: float):
+    """A function on batches: their different runs of symbols, and in a row without a run, over their long words,
+    the number and the sum of squared distances from the mean, times length."""
+    share = np.zeros(256)
+    for c, x in shares.items():
+        share[ord(c)] = x
 
-    Tokens that pass as random at one in a hundred don't count as ordinary. An alphabet with few ordinary
-    tokens takes those of all alphabets; with few in all, the rates of text: much repetition, few changes.
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, squares = 0, 0.0
+        for batch in batches:
+            found: set[bytes] = set()
+            for text in values(batch.column("text")):
+                if not text:
+                    continue
+                data = text.encode().translate(TO_RUNS)
+                found.update(w for w in data.split() if len(w) >= LEAST)
+                at = np.frombuffer(data, np.uint8)
+                inside = np.concatenate([[False], at != 0x20, [False]])
+                edges = np.flatnonzero(inside[1:] != inside[:-1])
+                starts, stops = edges[::2], edges[1::2]
+                letters = np.concatenate([[0], np.cumsum(IS_LETTER[at])])
+                size = stops - starts
+                plain = (size >= LONG_WORD) & (size < LEAST) & (letters[stops] - letters[starts] == size)
+                starts, stops = starts[plain], stops[plain]
+                upto = np.concatenate([[0.0], np.cumsum(share[at])])
+                size = stops - starts
+                words += len(size)
+                squares += float((((upto[stops] - upto[starts]) / size - mean) ** 2 * size).sum())
+            runs = [w.decode() for w in found]
+            yield _run_rows(runs, [0] * len(runs), [0.0] * len(runs))
+        yield _run_rows([None], [words], [squares])
+
+    return of
+
+
+def _run_rows(runs: list[str | None], words: list[int], squares: list[float]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "run": pa.array(runs, pa.string()), "words": pa.array(words, pa.int64()), "squares": pa.array(squares, pa.float64()),
+    })
+
+
+FEW = 100  # ordinary tokens that a family needs to have a place of its own
+
+
+def learn(docs: DataFrame) -> tuple[Ordinary, DataFrame, list[tuple[int, float]]]:
+    """What ordinary tokens are like, by all rows; all different runs of symbols as a table; and for each family the number
+    and mean length of their tokens.
+
+    Shares come from all symbols of the texts. Words of letters tell how much more tokens scatter than single
+    symbols. Tokens with digits or signs that fail as random at one in a hundred are the ordinary ones of their
+    family; where there are many, their own place and scatter count.
     """
-    rows = (
-        docs.select("text")
-        .mapInArrow(_sums, "family int, encoding string, " + ", ".join(f"{c} double" for c in SUMS))
-        .groupBy("family", "encoding").agg(*[F.sum(c).alias(c) for c in SUMS])
-        .collect()  # at most one row for each family and alphabet
+    counted = docs.select("text").mapInArrow(_symbol_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    counts = np.zeros(256)
+    for r in counted.collect():  # 256 rows
+        counts[r.byte] = r.n
+    shares = log_shares(counts)
+    plain = {e: plain_null(x) for e, x in shares.items()}
+
+    found = docs.select("text").mapInArrow(
+        _runs(shares["letters"], plain["letters"].mean), "run string, words long, squares double"
     )
-    out = []
-    for f in FAMILIES:
-        own = {r["encoding"]: np.array([r[c] for c in SUMS]) for r in rows if r["family"] == f}
-        every = sum(own.values(), np.zeros(len(SUMS)))
-        nulls = Nulls({}, {})
-        for encoding in ENCODINGS:
-            sums = next((s for s in (own.get(encoding, np.zeros(len(SUMS))), every) if s[2] >= LEAST), None)
-            mean = sums[3:6] / sums[2] if sums is not None else np.array([1.0, 0.3, 0.3])
-            squares = sums[6:] / sums[2] if sums is not None else mean**2 + 0.04
-            nulls.variance[encoding] = np.maximum(squares - mean**2, 1e-6).tolist()
-            # symbols of one class have no changes to miss
-            nulls.mean[encoding] = (mean if CHANGE[encoding] else mean * [1, 0, 1]).tolist()
-        m = int(every[0])
-        out.append((nulls, m, every[1] / m if m else 1.0))
-    return out
+    runs = written(found.groupBy("run").agg(F.sum("words").alias("words"), F.sum("squares").alias("squares")), "runs")
+    sums = runs.where("run is null").agg(F.sum("words").alias("words"), F.sum("squares").alias("squares")).first()
+    wider = 1.0
+    if sums.words:
+        wider = max(1.0, sums.squares / sums.words / max(plain["letters"].variance, 1e-9))
+    nulls = {e: Null(n.mean, max(n.variance * wider, 0.05)) for e, n in plain.items()}
+    ordinary = Ordinary(shares, nulls, [(0.0, 1.0)] * len(FAMILIES))
+    runs = runs.where("run is not null").select("run")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(FAMILIES), 5))
+        for batch in batches:
+            for run in values(batch.column("run")):
+                for _, _, token, encoding in candidates(run):
+                    own = sums[family(token)]
+                    own[:2] += 1, len(token)
+                    if randomness(token, encoding) < 0.01:
+                        z = ordinary.deviations(token, encoding)
+                        own[2:] += 1, z, z * z
+        yield pa.RecordBatch.from_pydict({
+            "family": pa.array(FAMILIES, pa.int32()), **{c: pa.array(sums[:, i]) for i, c in enumerate(FAMILY_SUMS)}
+        })
 
+    rows = runs.mapInArrow(measured, "family int, " + ", ".join(f"{c} double" for c in FAMILY_SUMS)).groupBy("family").agg(
+        *[F.sum(c).alias(c) for c in FAMILY_SUMS]
+    ).collect()  # one row a family
+    sizes = [(0, 1.0)] * len(FAMILIES)
+    for r in rows:
+        sizes[r.family] = int(r.m), r.length / r.m if r.m else 1.0
+        if r.family == 0 and r.ordinary >= FEW:
+            mean = r.z / r.ordinary
+            ordinary.place[0] = mean, max(1.0, math.sqrt(max(r.zz / r.ordinary - mean * mean, 0.0)))
+    return ordinary, runs, sizes
 
-def learn(docs: DataFrame) -> tuple[Nulls, int, float]:
-    """What ``learn_all`` has of the first family."""
-    return learn_all(docs)[0]
 
+FAMILY_SUMS = ["m", "length", "ordinary", "z", "zz"]
 
-def step_of(token: str, encoding: str, nulls: Nulls, mean_length: float, doubt: float) -> int:
+
+def step_of(token: str, encoding: str, ordinary: Ordinary, mean_length: float, doubt: float) -> int:
+    """The grid step of a token's p-value; 0 where the battery says that it is not random."""
     if randomness(token, encoding) < doubt:
         return 0
-    return grid_of(ordinariness(token, encoding, nulls), len(token), mean_length)
-
-
-def judged(text: str, nulls: Nulls, mean_length: float, doubt: float, of: int = 0) -> Iterator[tuple[int, int, int]]:
-    """Start, stop and grid step of each candidate of a family that passes as random at level ``doubt``; others get step 0."""
-    for start, stop, token, encoding in candidates(text):
-        if family(token) == of:
-            yield start, stop, step_of(token, encoding, nulls, mean_length, doubt)
+    return grid_of(ordinary.p_value(token, encoding), len(token.rstrip("=")), mean_length)
 
 
 @dataclass
 class Battery:
-    """The fitted tests: what is ordinary in each family, and the grid step from which a token of it is a discovery."""
+    """The fitted tests: what is ordinary, and for each family the grid step from which a token of it is a discovery."""
 
-    fits: list[tuple[Nulls, float]]
+    ordinary: Ordinary
+    lengths: list[float]
     doubt: float
     steps: list[int]
     known: dict[str, list[tuple[int, int]]] = field(default_factory=dict, repr=False)  # of runs that were judged already
 
-    @property
-    def step(self) -> int:
-        return self.steps[0]
-
     def found(self, run: str) -> list[tuple[int, int]]:
         """The discoveries in a run of symbols, those that overlap as one."""
         out = self.known.get(run)
@@ -314,7 +383,7 @@ class Battery:
             out = []
             for a, b, token, encoding in candidates(run):
                 f = family(token)
-                if step_of(token, encoding, *self.fits[f], self.doubt) < self.steps[f]:
+                if step_of(token, encoding, self.ordinary, self.lengths[f], self.doubt) < self.steps[f]:
                     continue
                 if out and a < out[-1][1]:
                     out[-1] = out[-1][0], max(b, out[-1][1])
@@ -347,39 +416,40 @@ class Battery:
 def fit(docs: DataFrame, rate: float = 0.01, doubt: float = 0.001) -> Battery:
     """The battery for ``docs``: among each family's discoveries a share of at most ``rate`` is expected to be ordinary.
 
-    P-values are divided by length over mean length and rounded up to a grid of 1/32 powers of ten; the
+    A discovery passes the three tests of randomness at level ``doubt``, and is more even than ordinary tokens.
+    The rate is held over different runs of symbols, however often each occurs. P-values
+    are divided by length over mean length and rounded up to a grid of 1/32 powers of ten; the
     step-up rule of Benjamini and Hochberg is then exact on counts by grid step, which are all that
     reaches the driver (at most 9,601 rows a family).
     """
-    learnt = learn_all(docs)
-    fits = [(nulls, mean_length) for nulls, _, mean_length in learnt]
+    ordinary, runs, sizes = learn(docs)
+    lengths = [length for _, length in sizes]
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
-            for counted in runs(values(batch.column("text"))):
-                for run, times in counted.items():
-                    for _, _, token, encoding in candidates(run):
-                        f = family(token)
-                        n[f, step_of(token, encoding, *fits[f], doubt)] += times
+            for run in values(batch.column("run")):
+                for _, _, token, encoding in candidates(run):
+                    f = family(token)
+                    n[f, step_of(token, encoding, ordinary, lengths[f], doubt)] += 1
             yield pa.RecordBatch.from_pydict({
                 "family": pa.array([f for f, _ in n], pa.int32()), "step": pa.array([s for _, s in n], pa.int64()),
                 "n": pa.array(n.values(), pa.int64()),
             })
 
     counts = (
-        docs.select("text").mapInArrow(steps, "family int, step long, n long").groupBy("family", "step")
-        .agg(F.sum("n").alias("n")).collect()
+        runs.mapInArrow(steps, "family int, step long, n long").groupBy("family", "step").agg(F.sum("n").alias("n")).collect()
     )
     best = []
     for f in FAMILIES:
-        passed, own = 0, GRID * FLOOR + 1
+        # what the rule takes even as the only one, whether or not the corpus has such a token
+        passed, own = 0, math.ceil(GRID * math.log10(max(sizes[f][0], 1) / rate))
         for row in sorted((r for r in counts if r["family"] == f), key=lambda r: -r["step"]):
             passed += row["n"]
-            if row["step"] and 10 ** (-row["step"] / GRID) <= rate * passed / learnt[f][1]:
-                own = row["step"]
+            if row["step"] and 10 ** (-row["step"] / GRID) <= rate * passed / sizes[f][0]:
+                own = min(own, row["step"])
         best.append(own)
-    return Battery(fits, doubt, best)
+    return Battery(ordinary, lengths, doubt, best)
 
 
 SPANS = "array<struct<start:int,stop:int,kind:string>>"
