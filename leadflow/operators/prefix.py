@@ -46,9 +46,8 @@ def running_sums(
     """The frame with the sum of ``value`` of all rows up to each row's in ``running``, rows that tie counting together."""
     with in_ranges(df, order, value, ranges, work) as (made, totals):
         spark = df.sparkSession
-        starts = spark.createDataFrame(
-            [(r, start) for r, (_, start) in enumerate(totals)], f"{RANGE} int, _start {made.schema[value].dataType.simpleString()}"
-        )
+        starts = spark.createDataFrame([(r, str(start)) for r, (_, start) in enumerate(totals)], f"{RANGE} int, _start string")
+        starts = starts.withColumn("_start", F.col("_start").cast(made.schema[value].dataType))
         # peers of the same order share the frame, as with any range frame
         inside = F.sum(value).over(Window.partitionBy(RANGE).orderBy(order))
         yield made.withColumn("_inside", inside).join(F.broadcast(starts), RANGE).select(

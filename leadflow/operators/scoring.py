@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadflow.functions.rules import polarity, priority, tier
 from leadflow.schemas import struct_type
 
 FEATURES = ["age", "engagement_score", "page_views"]
@@ -102,6 +103,16 @@ def lead_scores(
     return predict(leads.filter(F.col("processed")), features, predictor, "lead_score double")
 
 
+def prioritised(leads: DataFrame) -> DataFrame:
+    """Leads (``lead_id, name, lead_score, sentiment_score``) with label, tier and final priority."""
+    return leads.select(
+        "lead_id", "name", "lead_score", "sentiment_score",
+        polarity(F.col("sentiment_score")).alias("sentiment_label"),
+        tier(F.col("lead_score")).alias("tier"),
+        priority(F.col("lead_score"), F.col("sentiment_score")).alias("final_priority"),
+    )
+
+
 def ask_service(
     insight_id: str,
     fetch: Callable[[str, str, list[str]], tuple[int, list[dict]]],

@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from leadflow.functions.insights import is_readable, reshape_insight
 from leadflow.functions.names import export_name
 from leadflow.functions.records import coerce_record, stringify_times
-from leadflow.functions.rules import polarity, priority, strength, tier
+from leadflow.functions.rules import polarity, strength
 from leadflow.functions.timestamps import ntz, pinned, stamp, utc_now
 from leadflow.operators.joins import pending_entities, profiles, site_visitors
 from leadflow.operators.scoring import (
-    FEATURES, Predictor, insight_bodies, lead_scores, lexicon_score,
+    FEATURES, Predictor, insight_bodies, lead_scores, lexicon_score, prioritised,
 )
 from leadflow.operators import late, sentiment_model, status_log
 from leadflow.operators.status import import_gate, open_rows
@@ -411,12 +411,7 @@ def prioritised_leads(scores: DataFrame, moods: DataFrame) -> DataFrame:
     mean = moods.groupBy("lead_id").agg(
         F.round(F.avg("sentiment_score"), 6).alias("sentiment_score")
     )
-    return scores.join(mean, "lead_id", "left").select(
-        "lead_id", "name", "lead_score", "sentiment_score",
-        polarity(F.col("sentiment_score")).alias("sentiment_label"),
-        tier(F.col("lead_score")).alias("tier"),
-        priority(F.col("lead_score"), F.col("sentiment_score")).alias("final_priority"),
-    )
+    return prioritised(scores.join(mean, "lead_id", "left"))
 
 
 def score_leads(

@@ -228,6 +228,22 @@ def _sentiment_update() -> str:
         from feedback f left join ({_MOODS}) m on f.lead_id = m.lead_id and f.turn = m.turn""")
 
 
+def _priority() -> str:
+    return with_views(["lead_features", "feedback"], f"""
+        select s.lead_id, s.name, s.lead_score, m.score as sentiment_score,
+               {_label("m.score")} as sentiment_label,
+               case when lead_score >= 0.7 then 'hot' when lead_score >= 0.4 then 'warm'
+                    else 'cold' end as tier,
+               case when lead_score >= 0.7 and coalesce(m.score, 0) >= 0
+                        then 'High Priority Lead'
+                    when lead_score >= 0.7 then 'Review Manually Before Sales'
+                    when coalesce(m.score, 0) >= 0.25 then 'Consider for Nurturing'
+                    else 'Low Priority' end as final_priority
+        from ({_LEAD_SCORES}) s
+        left join (select lead_id, round(avg(sentiment_score), 6) as score
+                   from ({_MOODS}) group by lead_id) m on s.lead_id = m.lead_id""")
+
+
 def _merged() -> str:
     return with_views(["lead_features"], f"""
         select f.lead_id, f.name, f.processed, coalesce(s.lead_score, -1) as lead_score
@@ -559,19 +575,37 @@ def oracles() -> dict[str, str]:
             "from feedback)" + _trained("rated", "texts", "id") + """
             select lead_id, turn, round(score, 6) as sentiment_score, round(abs(score), 6) as sentiment_strength
             from scores"""),
-        "priority": with_views(["lead_features", "feedback"], f"""
-            select s.lead_id, s.name, s.lead_score, m.score as sentiment_score,
-                   {_label("m.score")} as sentiment_label,
-                   case when lead_score >= 0.7 then 'hot' when lead_score >= 0.4 then 'warm'
-                        else 'cold' end as tier,
-                   case when lead_score >= 0.7 and coalesce(m.score, 0) >= 0
-                            then 'High Priority Lead'
-                        when lead_score >= 0.7 then 'Review Manually Before Sales'
-                        when coalesce(m.score, 0) >= 0.25 then 'Consider for Nurturing'
-                        else 'Low Priority' end as final_priority
-            from ({_LEAD_SCORES}) s
-            left join (select lead_id, round(avg(sentiment_score), 6) as score
-                       from ({_MOODS}) group by lead_id) m on s.lead_id = m.lead_id"""),
+        "priority": _priority(),
+        "stream_priorities": _priority(),
+        "drift_quantiles": """
+            with cuts as (
+                select event_type, quantile_disc(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as cuts
+                from events where ts < timestamp '2024-01-16 00:00:00' group by event_type),
+            counts as (
+                select event_type, len(list_filter(cuts, lambda x: x < value)) as bin,
+                       count(*) filter (ts < timestamp '2024-01-16 00:00:00') as r,
+                       count(*) filter (ts >= timestamp '2024-01-16 00:00:00') as c
+                from events join cuts using (event_type) group by all),
+            shares as (
+                select event_type,
+                       greatest(r / sum(r) over (partition by event_type), 1e-4) as r,
+                       greatest(c / sum(c) over (partition by event_type), 1e-4) as c
+                from counts)
+            select event_type, round(sum((c - r) * ln(c / r)), 6) as psi, true as within
+            from shares group by event_type""",
+        "drift_distance": """
+            with marked as (
+                select event_type, value, ts < timestamp '2024-01-16 00:00:00' as ref from events),
+            upto as (
+                select event_type,
+                       count(*) filter (ref) over (partition by event_type order by value) as r,
+                       count(*) filter (not ref) over (partition by event_type order by value) as c,
+                       count(*) filter (ref) over (partition by event_type) as r_all,
+                       count(*) filter (not ref) over (partition by event_type) as c_all
+                from marked)
+            select event_type, max(r_all) as r, max(c_all) as c,
+                   round(max(abs(r * c_all - c * r_all)) / max(r_all) / max(c_all), 9) as distance
+            from upto group by event_type""",
         "drift_psi": """
             with counts as (
                 select event_type, least(greatest(floor(value / 100 * 10), -1), 10) as bucket,

@@ -14,6 +14,7 @@ from leadflow.functions.crypto import decrypt_lines, encrypt_lines
 from leadflow.functions.insights import adopt_curve, match_scores, reshape_insight
 from leadflow.functions.records import coerce_record, stringify_decimals, stringify_times
 from leadflow.operators import joins, sentiment_model as model
+from leadflow.operators.drift import quantile_cuts, quantile_drift, two_sample_distance
 from leadflow.operators.late import ExportRecord
 from leadflow.operators.latest import latest_per_key
 from leadflow.operators.scoring import (
@@ -36,6 +37,7 @@ from leadflow.sinks.tables import append, one_per_key, rows_frame
 from leadflow.sources.json_records import check_contacts, reported_status
 from leadflow.sources.tables import destination_schema, load_table, query_file, read_source
 from leadflow.streaming.ingest import stream_cdc, stream_scores
+from leadflow.streaming.priority import PRIORITIES, stream_priority
 
 # Demonstration keys; the lines are made with the second one.
 KEYS = ["AAECAwQFBgcICQoLDA0ODw==", "EBESExQVFhcYGRobHB0eHw=="]
@@ -1071,6 +1073,64 @@ def drift_psi(spark, sf):
     return found.select("event_type", F.round("psi", 6).alias("psi"))
 
 
+BINS = 10
+
+
+def _before() -> Column:
+    return F.col("ts") < ts.ntz("2024-01-16 00:00:00")
+
+
+@query
+def drift_quantiles(spark, sf):
+    """Drift over bins of the reference's quantiles, and whether the sketch's cuts are within their stated error."""
+    events, accuracy = base(spark, sf, "events"), 100_000
+    cuts = quantile_cuts(events, _before(), "value", ["event_type"], BINS, accuracy)
+    each = cuts.select("event_type", F.posexplode("cuts").alias("i", "cut"))
+    ranks = events.filter(_before()).join(each, "event_type").groupBy("event_type", "i").agg(
+        F.avg((F.col("value") < F.col("cut")).cast("int")).alias("below"),
+        F.avg((F.col("value") <= F.col("cut")).cast("int")).alias("upto"),
+    )
+    place, error = (F.col("i") + 1) / BINS, 1 / accuracy + 1e-12
+    good = ranks.groupBy("event_type").agg(
+        F.bool_and((F.col("below") <= place + error) & (F.col("upto") >= place - error)).alias("within")
+    )
+    found = quantile_drift(events, _before(), "value", ["event_type"], BINS, accuracy)
+    return found.join(good, "event_type").select("event_type", F.round("psi", 6).alias("psi"), "within")
+
+
+@query
+def drift_distance(spark, sf):
+    """The two-sample distance of each event type's values before and after, from running sums over ranges."""
+    found = two_sample_distance(base(spark, sf, "events"), _before(), "value", ["event_type"], ranges=7)
+    return found.select("event_type", "r", "c", F.round("distance", 9).alias("distance"))
+
+
+@query
+def stream_priorities(spark, sf):
+    """``priority`` kept up by a stream: scores and feedback come in files, the feedback of some leads first."""
+    folder = shared_folder(spark, "stream_priority")
+    feedback = view(spark, sf, "feedback").repartition(3, "turn")
+    scores = lead_scores(spark, sf).withColumn("scored_at", ts.ntz("2024-02-01 00:00:00")).repartition(3, "lead_id")
+    older = scores.limit(0).unionByName(scores.withColumns({
+        "lead_score": F.lit(0.0), "scored_at": ts.ntz("2024-01-01 00:00:00"),
+    }))
+    table = KeyedTable(spark, f"{folder}/priorities", PRIORITIES, ["lead_id"], share=100.0)
+
+    def run():
+        stream_priority(
+            spark, f"{folder}/scores", scores.schema, f"{folder}/feedback", feedback.schema, table,
+            f"{folder}/checkpoint", files_per_batch=2,
+        ).awaitTermination()
+
+    older.write.parquet(f"{folder}/scores")
+    feedback.filter("turn = 0").write.parquet(f"{folder}/feedback")
+    run()
+    scores.write.mode("append").parquet(f"{folder}/scores")
+    feedback.filter("turn > 0").write.mode("append").parquet(f"{folder}/feedback")
+    run()
+    return table.read()
+
+
 @query
 def merge_scores(spark, sf):
     leads = view(spark, sf, "lead_features").withColumn("lead_score", F.lit(None).cast("double"))
