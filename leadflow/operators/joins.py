@@ -124,6 +124,32 @@ def profiles(*args, kind: str = "lead", **options) -> DataFrame:
     return nest_profile(profile_rows(*args, kind=kind, **options), kind)
 
 
+VISIT_COLUMNS = [
+    "visitor_id", "last_visit_date", "visit_count", "ipaddress", "browser_agent", "created_at",
+]
+SITE_COLUMNS = [
+    "site_id", "user_id", "tree_user_id", "third_party_tracking_company", "tracking_code",
+]
+
+
+def owned_sites(sites: DataFrame, users: DataFrame, codes: DataFrame) -> DataFrame:
+    """Sites of known users with what belongs to the user."""
+    return (
+        sites.select(F.col("id").alias("site_id"), F.col("user_id"))
+        .join(users.select(F.col("id").alias("user_id"), "tree_user_id"), "user_id")
+        .join(
+            codes.select("user_id", "third_party_tracking_company", "tracking_code"),
+            "user_id", "left",
+        )
+    )
+
+
+def site_visits(owned: DataFrame, visitors: DataFrame) -> DataFrame:
+    """The visits of owned sites."""
+    visits = visitors.select("site_id", *VISIT_COLUMNS)
+    return visits.join(owned, "site_id").select(*SITE_COLUMNS, *VISIT_COLUMNS)
+
+
 def site_visitors(
     sites: DataFrame, visitors: DataFrame, users: DataFrame, codes: DataFrame
 ) -> DataFrame:
@@ -133,26 +159,12 @@ def site_visitors(
     are the small side, and only an inner join lets Spark broadcast them, or split
     a site that has a large part of all visits.
     """
-    owned = (
-        sites.select(F.col("id").alias("site_id"), F.col("user_id"))
-        .join(users.select(F.col("id").alias("user_id"), "tree_user_id"), "user_id")
-        .join(
-            codes.select("user_id", "third_party_tracking_company", "tracking_code"),
-            "user_id", "left",
-        )
-    )
-    visit_columns = [
-        "visitor_id", "last_visit_date", "visit_count", "ipaddress", "browser_agent", "created_at",
-    ]
-    out = [
-        "site_id", "user_id", "tree_user_id", "third_party_tracking_company", "tracking_code",
-        *visit_columns,
-    ]
-    visited = visitors.select("site_id", *visit_columns).join(owned, "site_id").select(*out)
+    owned = owned_sites(sites, users, codes)
     # Visits reduce to distinct sites before the shuffle.
     unvisited = owned.join(visitors.select("site_id").distinct(), "site_id", "left_anti")
-    nulls = {c: F.lit(None).cast(visitors.schema[c].dataType) for c in visit_columns}
-    return visited.unionByName(unvisited.withColumns(nulls).select(*out))
+    nulls = {c: F.lit(None).cast(visitors.schema[c].dataType) for c in VISIT_COLUMNS}
+    rest = unvisited.withColumns(nulls).select(*SITE_COLUMNS, *VISIT_COLUMNS)
+    return site_visits(owned, visitors).unionByName(rest)
 
 
 def pending_entities(entities: DataFrame, insight: DataFrame, now: Column, hours: int) -> DataFrame:

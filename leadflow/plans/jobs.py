@@ -16,7 +16,9 @@ from leadflow.functions.names import export_name
 from leadflow.functions.records import coerce_record, stringify_times
 from leadflow.functions.rules import polarity, strength
 from leadflow.functions.timestamps import ntz, pinned, stamp, utc_now
-from leadflow.operators.joins import pending_entities, profiles, site_visitors
+from leadflow.operators.joins import (
+    VISIT_COLUMNS, owned_sites, pending_entities, profiles, site_visitors, site_visits,
+)
 from leadflow.operators.scoring import (
     FEATURES, Predictor, insight_bodies, lead_scores, lexicon_score, prioritised,
 )
@@ -487,17 +489,62 @@ def merge_scores(table: DataFrame, scored: DataFrame, key: str = "lead_id") -> D
 # Served results
 
 
-def publish_profiles(out: str, *frames, kind: str = "lead", **options) -> JobResult:
+def publish_profiles(out: str | KeyedTable, *frames, kind: str = "lead", **options) -> JobResult:
     """All profiles as a table; readers filter it by id.
 
-    Give ``hot=profile_hot_keys(..)`` where entities may have very many rows.
+    Give ``hot=profile_hot_keys(..)`` where entities may have very many rows. A ``KeyedTable`` by id is laid
+    out for look-ups of a few ids (``of_keys``), and its readers go on with the old profiles until the
+    new ones are all there.
     """
-    rows, seen = counted(profiles(*frames, kind=kind, **options))
+    made = profiles(*frames, kind=kind, **options)
+    if isinstance(out, KeyedTable):
+        return JobResult(f"{kind} profiles", "done", out.replace(made))
+    rows, seen = counted(made)
     replace(rows, out)
     return JobResult(f"{kind} profiles", "done", seen.get["n"])
 
 
-def publish_site_visitors(out: str, *frames: DataFrame) -> JobResult:
-    rows, seen = counted(site_visitors(*frames))
+def publish_site_visitors(out: str | KeyedTable, *frames: DataFrame) -> JobResult:
+    """The visits of all sites as a table; a ``KeyedTable`` by ``site_id`` can be kept up by ``refresh_site_visitors``."""
+    made = site_visitors(*frames)
+    if isinstance(out, KeyedTable):
+        return JobResult("site_visitors", "done", out.replace(made))
+    rows, seen = counted(made)
     replace(rows, out)
     return JobResult("site_visitors", "done", seen.get["n"])
+
+
+def refresh_site_visitors(
+    out: KeyedTable,
+    sites: DataFrame,
+    visitors: DataFrame,
+    users: DataFrame,
+    codes: DataFrame,
+    new_visits: DataFrame,
+    changed_sites: DataFrame | None = None,
+    label: str | None = None,
+    work: str | None = None,
+) -> JobResult:
+    """Keep a published table up by what came since: new visits are added, changed sites made anew, as one commit.
+
+    ``changed_sites`` has the ``site_id`` of new sites, of those with another user, and of those whose user or codes
+    changed; all their visits are looked up in ``visitors``, which has the new ones too. So are those of sites
+    that stood there without any visit until now. All other sites' rows are neither read nor
+    written. A refresh that is repeated under its ``label`` does nothing.
+    """
+    if out.has(label):
+        return JobResult("refresh_site_visitors", "skipped")
+    empty = F.lit(True)
+    for c in VISIT_COLUMNS:
+        empty &= F.col(c).isNull()
+    first_seen = out.read().filter(empty).select("site_id").join(
+        new_visits.select("site_id").distinct(), "site_id", "left_semi"
+    )
+    anew = first_seen if changed_sites is None else first_seen.unionByName(changed_sites.select("site_id"))
+    with scratch(anew.distinct(), "anew", work) as about:
+        own_sites = sites.join(about, sites["id"] == about["site_id"], "left_semi")
+        rebuilt = site_visitors(own_sites, visitors.join(about, "site_id", "left_semi"), users, codes)
+        rest = new_visits.join(about, "site_id", "left_anti")
+        added = site_visits(owned_sites(sites, users, codes), rest)
+        n = out.change(added=added, put=rebuilt, about=about, label=label)
+    return JobResult("refresh_site_visitors", "done", n)

@@ -228,6 +228,19 @@ def _sentiment_update() -> str:
         from feedback f left join ({_MOODS}) m on f.lead_id = m.lead_id and f.turn = m.turn""")
 
 
+def _site_visitors() -> str:
+    return with_views(
+        ["sites", "site_visitors_in", "users", "tracking_codes"], """
+        select s.id as site_id, u.id as user_id, u.tree_user_id,
+               t.third_party_tracking_company, t.tracking_code,
+               v.visitor_id, v.last_visit_date, v.visit_count, v.ipaddress, v.browser_agent,
+               v.created_at
+        from sites s
+        left join site_visitors_in v on s.id = v.site_id
+        join users u on s.user_id = u.id
+        left join tracking_codes t on u.id = t.user_id""")
+
+
 def _priority() -> str:
     return with_views(["lead_features", "feedback"], f"""
         select s.lead_id, s.name, s.lead_score, m.score as sentiment_score,
@@ -274,19 +287,12 @@ def oracles() -> dict[str, str]:
             select doc_id, quality = 1 as processed, toxic = 1 as sentiment_processed
             from documents natural join labels where quality = 1 and toxic <> 1""",
         "running_files": with_views(["data_source_status"], _RUNNING),
-        "site_visitors": with_views(
-            ["sites", "site_visitors_in", "users", "tracking_codes"], """
-            select s.id as site_id, u.id as user_id, u.tree_user_id,
-                   t.third_party_tracking_company, t.tracking_code,
-                   v.visitor_id, v.last_visit_date, v.visit_count, v.ipaddress, v.browser_agent,
-                   v.created_at
-            from sites s
-            left join site_visitors_in v on s.id = v.site_id
-            join users u on s.user_id = u.id
-            left join tracking_codes t on u.id = t.user_id"""),
+        "site_visitors": _site_visitors(),
+        "site_visitors_increment": _site_visitors(),
         "lead_profiles": _profiles("lead", _CHANNEL, _PERSUASION),
         "requested_profiles": _profiles("lead", _CHANNEL, _PERSUASION) + f"""
             where e.client = 'BUILDING' and l.lead_id in ({_ASKED})""",
+        "served_profiles": _profiles("lead", _CHANNEL, _PERSUASION) + f" where l.lead_id in ({_ASKED})",
         "lead_profiles_latest": _profiles(
             "lead", _newest(_CHANNEL_HISTORY), _newest(_PERSUASION_HISTORY)
         ),
@@ -552,6 +558,34 @@ def oracles() -> dict[str, str]:
             union all
             select 'archetypes', entity_id, ingestion_timestamp, lower(c_mktsegment) from answers"""),
         "lead_scores": with_views(["lead_features"], _LEAD_SCORES),
+        # Newton steps for three weights, the equations solved by determinants
+        "lead_model": with_views(["lead_features", "lcv_level"], """
+            , d as (
+                select engagement_score as x, cast(age as double) as w,
+                       case when prediction = 'high' then 1.0 else 0.0 end as y
+                from lead_features join lcv_level on lead_id = cast(entity_id as bigint)),
+            fitted as (
+                with recursive r(i, a, b, c) as (
+                    select 0, cast(0 as double), cast(0 as double), cast(0 as double)
+                    union all
+                    select i + 1,
+                        a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+                        b + (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+                        c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+                    from (
+                        select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02)
+                            + h02 * (h01 * h12 - h11 * h02) as det
+                        from (
+                            select i, a, b, c, sum(y - p) as g0, sum((y - p) * x) as g1, sum((y - p) * w) as g2,
+                                   sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * w) as h02,
+                                   sum(p * (1 - p) * x * x) as h11, sum(p * (1 - p) * x * w) as h12,
+                                   sum(p * (1 - p) * w * w) as h22
+                            from (select r.*, x, w, y, 1 / (1 + exp(-(a + b * x + c * w))) as p from r, d where i < 15)
+                            group by i, a, b, c)))
+                select * from r where i = 15)
+            select 'intercept' as term, round(a, 6) as weight from fitted
+            union all select 'engagement_score', round(b, 6) from fitted
+            union all select 'age', round(c, 6) from fitted"""),
         "lead_scores_columns": with_views(
             ["lead_features"], f"select lead_id, lead_score from ({_LEAD_SCORES})"
         ),

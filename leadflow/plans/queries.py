@@ -17,6 +17,7 @@ from leadflow.operators import joins, sentiment_model as model
 from leadflow.operators.drift import quantile_cuts, quantile_drift, two_sample_distance
 from leadflow.operators.late import ExportRecord
 from leadflow.operators.latest import latest_per_key
+from leadflow.operators.logistic import fit_logistic
 from leadflow.operators.scoring import (
     drift, insight_bodies, logistic_predictor, logistic_score, value_bucket,
 )
@@ -155,6 +156,23 @@ def site_visitors(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def site_visitors_increment(spark, sf):
+    """The same from a first build without the later visits and one region's users, kept up by what was missing."""
+    sites, visits, users, codes = [view(spark, sf, n) for n in ("sites", "site_visitors_in", "users", "tracking_codes")]
+    later = F.col("last_visit_date") >= ts.ntz("1997-01-01 00:00:00")
+    schema = joins.site_visitors(sites, visits, users, codes).schema
+    table = KeyedTable(spark, shared_folder(spark, "site_visitors"), schema, ["site_id"], share=10.0)
+    known = users.filter("tree_user_id <> 2")
+    jobs.publish_site_visitors(table, sites, visits.filter(~later), known, codes)
+    changed = sites.join(users.filter("tree_user_id = 2"), sites["user_id"] == users["id"], "left_semi")
+    for _ in range(2):  # the second time, as after a failure, changes nothing
+        jobs.refresh_site_visitors(
+            table, sites, visits, users, codes, visits.filter(later), changed.select(F.col("id").alias("site_id")), "1997",
+        )
+    return table.read()
+
+
 def _insights(spark, sf) -> dict[str, DataFrame]:
     plain = [
         "channel", "persuasion", "relationship_fit", "archetypes", "lcv_level",
@@ -199,6 +217,17 @@ def requested_profiles(spark, sf):
     )
 
 
+@query
+def served_profiles(spark, sf):
+    """Asked ids looked up in published profiles, which are laid out by id."""
+    nested = nested_lead_profiles(spark, sf)
+    table = KeyedTable(spark, shared_folder(spark, "profiles"), nested.schema, ["lead_id"])
+    jobs.publish_profiles(
+        table, view(spark, sf, "entities"), view(spark, sf, "lead_entities_lk"), _insights(spark, sf)
+    )
+    return _flat(table.of_keys(_asked(spark, sf)), "lead")
+
+
 @query
 def lead_profiles_latest(spark, sf):
     insights = _insights(spark, sf)
@@ -991,6 +1020,17 @@ def lead_scores_columns(spark, sf):
     return leads.select("lead_id", logistic_score(WEIGHTS, INTERCEPT).alias("lead_score"))
 
 
+@query
+def lead_model(spark, sf):
+    """Which leads are of high value, by a model fitted to their features."""
+    leads = view(spark, sf, "lead_features").join(
+        view(spark, sf, "lcv_level"), F.col("lead_id") == F.col("entity_id").cast("bigint")
+    ).withColumn("high", F.col("prediction") == "high")
+    fitted = fit_logistic(leads, ["engagement_score", "age"], "high")
+    terms = [("intercept", fitted.intercept), *fitted.weights.items()]
+    return spark.createDataFrame(terms, "term string, weight double").withColumn("weight", F.round("weight", 6))
+
+
 def _moods(spark, sf) -> DataFrame:
     return jobs.sentiment(view(spark, sf, "feedback"))
 

@@ -1,8 +1,9 @@
 """Tables that are changed by adding: each change is a commit of its own rows, merged when the table is read.
 
-A commit is a folder of rows sorted by key, and one line in the table's list of commits that makes it count. It
-adds rows, puts rows in the place of all earlier ones of their keys, or is a new base that holds all that
-counts. A change writes its own rows only. One writer at a time; readers see whole commits.
+A commit is a folder of rows sorted by key, and one line in the table's list of commits that makes it count. Its
+rows are added to what is there, or take the place of all rows that earlier commits have for their key. A
+base is a commit that holds all that counts; earlier ones are passed over. A change writes its own rows only, and
+a reader sees whole commits: a new base is there with its line, not while it is copied. One writer at a time.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.schemas import struct_type
-from leadflow.sinks.tables import counted, one_per_key
+from leadflow.sinks.tables import one_per_key
 
 COMMIT = "_commit"
-COMMITS = "number bigint, kind string, n bigint"
-ADD, PUT, BASE = "add", "put", "base"
+MARK = "_mark"
+ADDED, PUT, GONE = 0, 1, 2  # beside earlier rows of the key; in their place; in their place, and no row itself
+COMMITS = "number bigint, base boolean, n bigint, puts bigint, label string"
 FEW_KEYS = 1_000  # of one column: asked for by value, so that files and row groups are passed over
 
 
@@ -36,102 +38,150 @@ class KeyedTable:
         self.keys = list(keys)
         self.share, self.most_commits = share, commits
         self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in struct_type(schema)])
-        self._stored = T.StructType([*self.schema.fields, T.StructField(COMMIT, T.LongType())])
+        own = [T.StructField(MARK, T.IntegerType()), T.StructField(COMMIT, T.LongType())]
+        self._stored = T.StructType([*self.schema.fields, *own])
         spark.createDataFrame([], COMMITS).write.mode("ignore").parquet(f"{self.path}/commits")
 
-    def commits(self) -> list[tuple[int, str, int]]:
-        """Number, kind and rows of the commits from the last base on; a new base ends the list before it."""
-        rows = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
-        last = F.coalesce(F.max(F.when(F.col("kind") == BASE, F.col("number"))), F.lit(0))
-        since = rows.agg(last.alias("base")).first().base
-        return sorted(tuple(r) for r in rows.filter(F.col("number") >= since).collect())
+    # The list of commits
+
+    def _lines(self) -> DataFrame:
+        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+
+    def commits(self) -> list:
+        """The commits from the last base on; a new base ends the list before it."""
+        lines = self._lines()
+        base = lines.agg(F.coalesce(F.max(F.when(F.col("base"), F.col("number"))), F.lit(0)).alias("n")).first().n
+        return sorted(lines.filter(F.col("number") >= base).collect(), key=lambda c: c.number)
+
+    def next_number(self) -> int:
+        """The number of the next commit; they only grow."""
+        return (self._lines().agg(F.max("number")).first()[0] or 0) + 1
+
+    def has(self, label: str | None) -> bool:
+        """Whether a commit of this label counts or has counted."""
+        return label is not None and not self._lines().filter(F.col("label") == label).isEmpty()
+
+    # Reading
 
     def _folder(self, number: int) -> str:
         return f"{self.path}/rows/{COMMIT}={number}"
 
-    def _rows(self, commits: Sequence[tuple[int, str, int]]) -> DataFrame:
+    def _rows(self, commits: Sequence) -> DataFrame:
         if not commits:
             return self.spark.createDataFrame([], self._stored)
-        paths = [self._folder(n) for n, _, _ in commits]
+        paths = [self._folder(c.number) for c in commits]
         return self.spark.read.schema(self._stored).option("basePath", f"{self.path}/rows").parquet(*paths)
 
-    def _valid(self, rows: DataFrame, puts: DataFrame) -> DataFrame:
-        """Rows that no later commit has put others in the place of."""
-        newest = puts.groupBy(*self.keys).agg(F.max(COMMIT).alias("_put"))
-        same = [rows[k].eqNullSafe(newest[k]) for k in self.keys]
-        later = newest["_put"] > rows[COMMIT]
-        return rows.join(newest, [*same, later], "left_anti")
-
     def _counting(self, only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Rows in whose place no later commit has put others. Those that do so are since the last base, so few."""
         commits = self.commits()
-        rows = only(self._rows(commits))
-        puts = [c for c in commits if c[1] == PUT]
-        return self._valid(rows, only(self._rows(puts))) if puts else rows
+        rows, puts = only(self._rows(commits)), [c for c in commits if c.puts]
+        if puts:
+            newest = only(self._rows(puts)).filter(F.col(MARK) != ADDED).groupBy(*self.keys).agg(
+                F.max(COMMIT).alias("_put")
+            )
+            same = [rows[k].eqNullSafe(newest[k]) for k in self.keys]
+            rows = rows.join(newest, [*same, newest["_put"] > rows[COMMIT]], "left_anti").filter(F.col(MARK) != GONE)
+        return rows.drop(COMMIT, MARK)
 
     def read(self) -> DataFrame:
-        """All rows that count. Rows since the last base are few, so what is looked up for each row is small."""
-        return self._counting().drop(COMMIT)
+        """All rows that count."""
+        return self._counting()
 
     def of_keys(self, about: DataFrame) -> DataFrame:
-        """The rows that count of the keys of ``about``. A few keys are looked for in the files by their values."""
+        """The rows that count of the keys of ``about``.
+
+        A few keys are looked for by their values: a base's files are of different key ranges and have bloom
+        filters, so only the row groups that can hold one are read.
+        """
         keys = about.select(*self.keys).distinct()
         if len(self.keys) == 1:
             named = keys.limit(FEW_KEYS + 1).collect()
             if len(named) <= FEW_KEYS and all(r[0] is not None for r in named):
                 values = [r[0] for r in named]
-                return self._counting(lambda rows: rows.filter(F.col(self.keys[0]).isin(values))).drop(COMMIT)
+                return self._counting(lambda rows: rows.filter(F.col(self.keys[0]).isin(values)))
 
         def asked(rows: DataFrame) -> DataFrame:
             return rows.join(keys, [rows[k].eqNullSafe(keys[k]) for k in self.keys], "left_semi")
 
-        return self._counting(asked).drop(COMMIT)
+        return self._counting(asked)
 
-    def next_number(self) -> int:
-        """The number of the next commit; they only grow."""
-        last = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").agg(F.max("number")).first()[0]
-        return (last or 0) + 1
+    # Writing
 
-    def _commit(self, df: DataFrame, kind: str) -> int:
+    def _commit(self, rows: DataFrame, base: bool = False, label: str | None = None) -> int:
+        """Write marked rows as the next commit. A folder of its number can only be of a commit that failed."""
         number = self.next_number()
-        # A folder of this number can only be of a commit that failed.
-        dealt = df.to(self.schema)
-        if kind == BASE:  # files of different key ranges; a change's rows are made once, so they aren't dealt anew
-            dealt = dealt.repartitionByRange(*self.keys)
-        rows, seen = counted(dealt.sortWithinPartitions(*self.keys), "commit")
-        rows.write.mode("overwrite").parquet(self._folder(number))
-        line = self.spark.createDataFrame([(number, kind, seen.get["n"])], COMMITS)
+        if base:  # a change's rows are made once, so only a base is dealt anew
+            rows = rows.repartitionByRange(*self.keys)
+        seen = Observation("commit")
+        mark = F.col(MARK)
+        counted = rows.sortWithinPartitions(*self.keys).observe(
+            seen, F.count_if(mark != GONE).alias("n"), F.count_if(mark != ADDED).alias("puts")
+        )
+        writer = counted.write.mode("overwrite")
+        for key in self.keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", base)
+        writer.parquet(self._folder(number))
+        n = seen.get["n"]
+        line = self.spark.createDataFrame([(number, base, n, seen.get["puts"], label)], COMMITS)
         line.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        return seen.get["n"]
+        return n
+
+    def _marked(self, df: DataFrame, mark: int | Column) -> DataFrame:
+        return df.to(self.schema).withColumn(MARK, F.lit(mark))
+
+    def _gone(self, about: DataFrame) -> DataFrame:
+        return self._marked(about.select(*self.keys).distinct(), GONE)
 
-    def _added(self, df: DataFrame, kind: str) -> int:
-        n = self._commit(df, kind)
+    def change(
+        self, added: DataFrame | None = None, put: DataFrame | None = None, about: DataFrame | None = None,
+        label: str | None = None,
+    ) -> int:
+        """Add rows, put others in the place of those of their keys, and end what is there of the keys of ``about``.
+
+        All of it is one commit. A ``label`` names it: a change of a label that was there already does
+        nothing, so a job that is repeated after a failure changes nothing twice. Returns the number of rows.
+        """
+        if self.has(label):
+            return 0
+        parts = [self._marked(df, mark) for df, mark in ((added, ADDED), (put, PUT)) if df is not None]
+        if about is not None:
+            parts.append(self._gone(about))
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        n = self._commit(rows, label=label)
         commits = self.commits()
-        base = sum(c[2] for c in commits if c[1] == BASE)
-        since = [c for c in commits if c[1] != BASE]
-        if len(since) > self.most_commits or base and sum(c[2] for c in since) > self.share * base:
+        base = sum(c.n for c in commits if c.base)
+        since = [c for c in commits if not c.base]
+        if len(since) > self.most_commits or base and sum(c.n for c in since) > self.share * base:
             self.compact()
         return n
 
-    def append(self, df: DataFrame) -> int:
-        """Add rows; earlier ones of their keys stay. Returns the number written, as do the others."""
-        return self._added(df, ADD)
+    def append(self, df: DataFrame, label: str | None = None) -> int:
+        """Add rows; earlier ones of their keys stay."""
+        return self.change(added=df, label=label)
 
-    def merge(self, rows: DataFrame) -> int:
+    def merge(self, rows: DataFrame, label: str | None = None) -> int:
         """Put rows, one per key, in the place of those with the same keys; two for a key end the job."""
-        return self._added(one_per_key(rows.to(self.schema), self.keys), PUT)
+        return self.change(put=one_per_key(rows.to(self.schema), self.keys), label=label)
 
-    def update(self, about: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
-        """Put ``change`` of the rows of ``about``'s keys in their place. It may add and alter rows of
-        these keys, but not leave a key without any. Only its result is written."""
-        return self._added(change(self.of_keys(about)), PUT)
+    def update(self, about: DataFrame, change: Callable[[DataFrame], DataFrame], label: str | None = None) -> int:
+        """Put ``change`` of the rows of ``about``'s keys in their place; a key that it has no row for is gone."""
+        return self.change(put=change(self.of_keys(about)), about=about, label=label)
+
+    def replace(self, df: DataFrame, label: str | None = None) -> int:
+        """Make rows the whole content. They are written once, and count from their line on; until then the old ones do."""
+        return 0 if self.has(label) else self._base(df, label)
 
     def compact(self) -> int:
-        """Write all that counts as a new base; the commits before the last one's base are emptied.
+        """Write all that counts as a new base."""
+        return self._base(self.read())
 
-        A reader that has begun goes on with the commits that it listed.
-        """
-        old = [c[0] for c in self.commits()]
-        n = self._commit(self.read(), BASE)
+    def _base(self, df: DataFrame, label: str | None = None) -> int:
+        """A reader that has begun goes on with the commits that it listed; those before the last base are emptied."""
+        old = [c.number for c in self.commits()]
+        n = self._commit(self._marked(df, ADDED), base=True, label=label)
         for number in range(1, min(old, default=1)):
             self._empty(number)
         return n

@@ -41,7 +41,7 @@ def test_keyed_table(spark, rows, folder):
     assert [r.v for r in again.of_keys(rows([(None, "")], DDL)).collect()] == ["NO KEY"]
     before = held(again)
     assert again.compact() == 25 and held(again) == before
-    assert [c[1] for c in again.commits()] == ["base"]
+    assert [c.base for c in again.commits()] == [True]
     again.merge(rows([(7, "last")], DDL))
     assert [r.v for r in again.of_keys(rows([(7, "")], DDL)).collect()] == ["last"]
 
@@ -79,14 +79,65 @@ def test_a_failed_change_keeps_the_old_rows(spark, rows, folder):
     assert sorted(r.k for r in table.read().collect()) == [1, 2]
 
 
+def test_one_commit_adds_puts_and_ends_rows_once(spark, rows, folder):
+    table = KeyedTable(spark, f"{folder}/t", DDL, ["k"])
+    table.append(rows([(1, "a"), (2, "b"), (3, "c"), (4, "d")], DDL))
+    changed = {"added": rows([(1, "more"), (3, "new")], DDL), "put": rows([(2, "put")], DDL), "about": rows([(3,), (4,)], "k int")}
+    assert table.change(**changed, label="day 1") == 3
+    assert table.change(**changed, label="day 1") == 0  # repeated after a failure
+    want = [(False, 1, "a"), (False, 1, "more"), (False, 2, "put"), (False, 3, "new")]
+    assert held(table) == want
+    table.compact()
+    assert held(table) == want and table.change(**changed, label="day 1") == 0
+    assert table.update(rows([(1,)], "k int"), lambda old: old.filter("v = 'more'")) == 1
+    assert table.update(rows([(2,)], "k int"), lambda old: old.limit(0)) == 0
+    assert held(table) == [(False, 1, "more"), (False, 3, "new")]
+
+
+def test_a_replaced_table_is_written_once_and_there_at_once(spark, rows, folder):
+    table = KeyedTable(spark, f"{folder}/t", DDL, ["k"])
+    table.append(rows([(1, "a"), (2, "b")], DDL))
+    old = table.read()
+    assert table.replace(rows([(3, "c")], DDL), "v2") == 1 and table.replace(rows([(4, "d")], DDL), "v2") == 0
+    assert held(table) == [(False, 3, "c")]
+    assert old.count() == 2  # a reader that began before goes on
+    with pytest.raises(Exception, match="boom"):
+        table.replace(rows([(5, "e")], DDL).withColumn("v", F.raise_error(F.lit("boom")).cast("string")))
+    assert held(table) == [(False, 3, "c")]
+
+
+def scanned(df):
+    """Rows that the scans of a frame give on, when it is collected."""
+    df.collect()
+    plan, out, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan.executedPlan() if hasattr(plan, "executedPlan") and plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            out += node.metrics().get("numOutputRows").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    return out
+
+
+def test_few_keys_read_few_rows(spark, folder):
+    table = KeyedTable(spark, f"{folder}/t", "k bigint, text string", ["k"])
+    table.append(spark.range(80_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("text")).repartition(8))
+    table.compact()
+    found = table.of_keys(spark.createDataFrame([(70,), (41_000,)], "k bigint"))
+    assert sorted(r.k for r in found.collect()) == [70, 41_000]
+    assert 0 < scanned(found) <= 40_000
+
+
 def test_new_bases_come_by_themselves(spark, rows, folder):
     table = KeyedTable(spark, f"{folder}/t", DDL, ["k"], share=0.5, commits=3)
     table.append(rows([(i, "a") for i in range(10)], DDL))
     kinds = []
     for i in range(9):
         table.merge(rows([(i, "b")], DDL))
-        kinds.append([c[1] for c in table.commits()])
-    assert ["base"] in kinds and max(map(len, kinds)) <= 4
+        kinds.append([c.base for c in table.commits()])
+    assert [True] in kinds and max(map(len, kinds)) <= 4
     assert held(table) == [(False, i, "b" if i < 9 else "a") for i in range(10)]
     old = [f for f in glob.glob(f"{folder}/t/rows/*") if spark.read.schema(DDL).parquet(f).isEmpty()]
     assert old  # commits before the last base but one
