@@ -41,15 +41,19 @@ def budgets(
     never given to it, so its parent's siblings have it: siblings first, ancestors after them. Budgets
     are whole tokens, rounded down.
     """
-    tree = leaves.withColumn("takes", F.col("held") * max_epochs)
+    # a weight of 0 on the way takes a leaf out of the tree: nothing is granted for what it holds
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ &= _weight(level, weights.get(level, {})) > 0
+    tree = leaves.withColumn("takes", F.when(open_, F.col("held") * max_epochs).otherwise(F.lit(0)))
     total = F.least(F.sum("takes"), F.lit(budget) if budget is not None else F.floor(F.sum("held") * share))
     nodes = tree.agg(total.cast("long").alias("granted")).withColumn("root", F.lit(0))
     above: list[str] = ["root"]
-    tree = tree.withColumn("root", F.lit(0))
+    tree = tree.where("takes > 0").withColumn("root", F.lit(0))
     for i, level in enumerate(LEVELS):
         keys = ["root", *LEVELS[: i + 1]]
         child = tree.groupBy(*keys).agg(F.sum("takes").alias("takes")).withColumn("w", _weight(level, weights.get(level, {})))
-        child = child.where("w > 0").join(nodes, above)
+        child = child.join(nodes, above)
         order = f"partition by {', '.join(above)} order by takes / w, {level}"
         before = "rows between unbounded preceding and 1 preceding"
         child = child.withColumn("filled", F.expr(f"coalesce(sum(takes) over ({order} {before}), 0)")).withColumn(

@@ -106,18 +106,18 @@ def registered() -> dict:
 
 OP1_SQL = """
 with rows as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, r.vec_id as vec_id,
+  select q.r as query_row, q.vec_id as query_id, r.vec_id as vec_id,
     cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
-  from rows q join rows r on q.vec_id <> r.vec_id and len(q.v) = len(r.v)
+  from rows q join rows r on q.r <> r.r and len(q.v) = len(r.v)
   where q.vec_id % 50 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+from (select *, row_number() over (partition by query_row order by score desc, vec_id) as rank from scored)
 where rank <= 5
 """
 

@@ -64,7 +64,17 @@ def test_shortage_of_a_subtree_goes_to_its_parents_siblings(spark):
         got = {tuple(r)[:3]: r.granted for r in mixing.budgets(leaves(spark, held), weights, total, 0, 2).collect()}
         want = {k: n for k, n in held.items() if k[1] != "fr"}
         assert sum(got.values()) <= total
-        assert got == budget_by_hand(want, weights, total, 2) or total == 5_000
+        assert got == budget_by_hand(want, weights, total, 2)
+
+
+def test_nothing_is_granted_for_what_has_no_weight(spark):
+    """Whichever level a weight of 0 is at, what is below it leaves the budget to the others."""
+    held = {("a", "en", "x"): 100, ("a", "en", "y"): 900, ("b", "en", "x"): 1_000}
+    for weights in ({"source": {"y": 0}}, {"source": {"y": 0}, "domain": {"a": 5}}):
+        got = {tuple(r)[:3]: r.granted for r in mixing.budgets(leaves(spark, held), weights, 1_000, 0, 1).collect()}
+        assert got == {("a", "en", "x"): 100, ("b", "en", "x"): 900}
+    got = mixing.budgets(leaves(spark, held), {"domain": {"a": 0, "b": 0}}, 1_000, 0, 1).collect()
+    assert got == []
 
 
 def test_epochs_take_whole_rounds_and_then_a_prefix(documents):
