@@ -36,6 +36,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
+def read_of(url: Column) -> Column:
+    """What the models read behind the host: path, query and fragment; of a URL without ``://`` all of it; empty for null."""
+    rest = _rest(url)
+    behind = F.substring(rest, F.length(F.regexp_extract(rest, "^[^/?#]*", 0)) + 1, F.length(rest))
+    return F.coalesce(F.when(F.locate("://", url) > 0, behind).otherwise(url), F.lit(""))
+
+
 def ruling(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) -> Column:
     """A struct of the longest fitting rule and its verdict; null where none fits. Of equal length the first one wins."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -46,9 +53,9 @@ def ruling(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out
 
 
-def features(host: str, path: str) -> bytes:
-    """What the models read: host and path, with a mark at each end."""
-    return b"\x02" + f"{host}{path}".encode("utf-8", "replace") + b"\x03"
+def features(host: str, read: str) -> bytes:
+    """What the models read: host, path, query and fragment, with a mark at each end."""
+    return b"\x02" + f"{host}{read}".encode("utf-8", "replace") + b"\x03"
 
 
 def grams(text: bytes, order: int = ORDER) -> np.ndarray:
@@ -115,7 +122,7 @@ def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndar
 def _slices(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
     """The batch's rows and texts, about ``SLICE`` bytes at a time."""
     texts, size, at = [], 0, 0
-    for i, (h, p) in enumerate(zip(batch["host"], batch["path"])):
+    for i, (h, p) in enumerate(zip(batch["host"], batch["read"])):
         texts.append(features(h, p))
         size += len(texts[-1])
         if size >= SLICE:
@@ -238,7 +245,7 @@ def ratios(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """
     kinds = "key long, " + ", ".join(f"{c} long" for c in [*SEEN, "asked"])
     counted = written(
-        rows.select("host", "path", "verdict", "held").mapInPandas(_counts(order), kinds)
+        rows.select("host", "read", "verdict", "held").mapInPandas(_counts(order), kinds)
         .groupBy("key").agg(*[F.sum(c).alias(c) for c in [*SEEN, "asked"]]),
         "url-windows",
     )
@@ -246,7 +253,7 @@ def ratios(rows: DataFrame, order: int = ORDER) -> DataFrame:
     total = counted.agg(F.sum("asked")).first()[0] or 0
     hot = found.join(counted.where(F.col("asked") * HOT > total).select("key"), "key").orderBy("key").toArrow()
     past = np.append(hot["key"].to_numpy(), np.iinfo(np.int64).max)
-    parts = rows.where("held or verdict is null").select("uid", "host", "path", "held").mapInPandas(
+    parts = rows.where("held or verdict is null").select("uid", "host", "read", "held").mapInPandas(
         _parts(order, past, np.append(hot["trial"].to_numpy(), 0), np.append(hot["final"].to_numpy(), 0)),
         "uid long, key long, held boolean, times long, hot long",
     )
@@ -287,15 +294,18 @@ def judge(
     the best balanced accuracy on every fifth URL (by hash), which a first pair of models doesn't see. The
     final models learn from all rows. Counts by 1/1000 nat are all that the threshold takes.
 
-    Null URLs and URLs without ``://`` have an empty host and path and are judged like any other. Ratios of
+    The models read whole URLs from the host on, rules host and path. Null URLs and URLs without ``://`` have an empty
+    host and path and are judged like any other, the latter by their text. A very long URL is read whole. Ratios of
     URLs with a rule are null. Repeated rows come back, and teach, as often as they came.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    split = pages.select(
+        F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), read_of(F.col("url")).alias("read")
+    )
     ruled = split.withColumn("by_rule", ruling(F.col("host"), F.col("path"), rules))
     held = F.col("by_rule").isNotNull() & (F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == 0)
     rows = written(ruled.select(
-        F.monotonically_increasing_id().alias("uid"), "page_id", "host", "path", "by_rule.rule", "by_rule.verdict",
+        F.monotonically_increasing_id().alias("uid"), "page_id", "host", "path", "read", "by_rule.rule", "by_rule.verdict",
         held.alias("held"),
     ), "urls")
     scored = written(rows.where("held or verdict is null").join(ratios(rows, order), "uid"), "url-scored")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leadflow.llm import queries, url_filter
-from leadflow.llm.url_filter import ORDER, RULES, MarkovModel, features, grams, host_of, path_of, threshold
+from leadflow.llm.url_filter import ORDER, RULES, MarkovModel, features, grams, host_of, path_of, read_of, threshold
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +21,14 @@ def split(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
+def read(url):
+    """What follows the host, to the end."""
+    if url is None or "://" not in url:
+        return url or ""
+    rest = url.split("://", 1)[1]
+    return rest[len(re.split("[/?#]", rest)[0]):]
+
+
 def rule_of(host, path):
     fits = [
         (r, v) for r, v in RULES
@@ -69,9 +77,11 @@ def test_query_equals_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         if rule:
             assert r.verdict == verdict and r.ratio is None
-            known[verdict].append((host, path))
+            known[verdict].append((host, read(p.url)))
     free = [r for r in got.values() if r.rule is None]
-    assert free and all(abs(brute_ratio(known, r.host, r.path) - r.ratio) < 1e-9 for r in free[::5])
+    urls = {p.page_id: p.url for p in pages}
+    assert any("?" in urls[r.page_id] or "#" in urls[r.page_id] for r in free)
+    assert all(abs(brute_ratio(known, r.host, read(urls[r.page_id])) - r.ratio) < 1e-9 for r in free[::5])
     allowed = [r.ratio for r in free if r.verdict == "allow"]
     assert max([r.ratio for r in free if r.verdict == "block"], default=-9) < min(allowed, default=9)
 
@@ -82,8 +92,8 @@ def test_urls_are_split_as_said(spark):
         "h://ÄB.com/Ü?", "x\n://Y\nZ/a\nb", "://", "h://" + "a" * 50_000 + "/" + "b" * 50_000,
     ]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = df.select(host_of(df.url), path_of(df.url)).collect()
-    assert [tuple(r) for r in got] == [split(u) for u in urls]
+    got = df.select(host_of(df.url), path_of(df.url), read_of(df.url)).collect()
+    assert [tuple(r) for r in got] == [(*split(u), read(u)) for u in urls]
 
 
 @settings(max_examples=100, deadline=None)
@@ -123,6 +133,15 @@ def test_unlike_urls_are_told_apart(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
+def test_queries_and_fragments_are_read(spark):
+    rows = [(i, f"http://a{i}.org/p?page={i}&sort=name#top") for i in range(60)]
+    rows += [(100 + i, f"http://s{i}.com/de/p?bonus=casino{i}&win=1") for i in range(60)]
+    rows += [(200, "http://new.net/p?page=7&sort=name#top"), (201, "http://new.net/p?bonus=casino9&win=1")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, read string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert got[200] == "allow" and got[201] == "block"
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (1, None), (None, "http://a.org/"), (2, ""), (3, "h://" + "ab/" * 40_000), (4, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string")
