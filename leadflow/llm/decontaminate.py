@@ -8,11 +8,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leadflow.llm.common import values
+from leadflow.llm.common import values, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20  # indexed words of a shard, unless one document alone has more
@@ -211,36 +211,61 @@ def merged(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _searched(block: Phrases, batch: pa.Array, shard_words: int) -> list[tuple[int, np.ndarray, list[str]]]:
+    """Words, spans and items of each text of an Arrow batch, whose rows are dealt into shards."""
+    number = block.numbers.get
+    out, shard, size = [], [], 0
+    for t in chain(values(batch), [END]):
+        if t is END or size >= shard_words:
+            out += [(len(x), *found) for x, found in zip(shard, block.search(shard))] if shard else []
+            shard, size = [], 0
+        if t is not END:
+            numbers = np.array([number(w, 0) for w in words_of(t)], np.int32)
+            shard.append(numbers)
+            size += len(numbers)
+    return out
+
+
+END = object()
 
 
 def _findings(phrases: Broadcast, text: Column, shard_words: int) -> Column:
-    """FOUND for each text against one block of phrases; the rows of an Arrow batch are dealt into shards."""
+    """FOUND for each text against one block of phrases."""
 
     @F.arrow_udf(FOUND)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        block = phrases.value
-        number = block.numbers.get
         for batch in batches:
-            out, shard, size = [], [], 0
-            for t in chain(values(batch), [END]):
-                if t is END or size >= shard_words:
-                    out += zip((len(x) for x in shard), *zip(*block.search(shard))) if shard else []
-                    shard, size = [], 0
-                if t is not END:
-                    numbers = np.array([number(w, 0) for w in words_of(t)], np.int32)
-                    shard.append(numbers)
-                    size += len(numbers)
+            out = _searched(phrases.value, batch, shard_words)
             spans = [[{"start": a, "stop": b} for a, b in spans.tolist()] for _, spans, _ in out]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.StructArray.from_arrays([
-                pa.array([n for n, _, _ in out], pa.int64()), pa.array(spans, kind),
+                pa.array([n for n, _, _ in out], pa.int64()), pa.array(spans, SPANS),
                 pa.array([items for _, _, items in out], pa.list_(pa.string())),
             ], ["n_words", "spans", "items"])
 
     return of.asNondeterministic()(text)  # so that no filter makes Spark run it again
 
 
-END = object()
+CUT = "n_words long, gone long, new string"
+
+
+def _cuttings(phrases: Broadcast, text: Column, shard_words: int) -> Column:
+    """CUT for each text against one block: its words, how many of them are hit, and what is left where some are."""
+
+    @F.arrow_udf(CUT)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = _searched(phrases.value, batch, shard_words)
+            new = [cut(t, spans.tolist()) if len(spans) else None for t, (_, spans, _) in zip(values(batch), out)]
+            yield pa.StructArray.from_arrays([
+                pa.array([n for n, _, _ in out], pa.int64()),
+                pa.array([int((spans[:, 1] - spans[:, 0]).sum()) for _, spans, _ in out], pa.int64()),
+                pa.array(new, pa.string()),
+            ], ["n_words", "gone", "new"])
+
+    return of.asNondeterministic()(text)
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -257,37 +282,62 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str
         yield block
 
 
-def findings(
-    spark: SparkSession, text: Column, benchmark: DataFrame, window: int = WINDOW,
-    shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
-) -> list[Column]:
-    """A FOUND struct for each block of the benchmark; see ``find``."""
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text")
-    blocks = [Phrases(block, window) for block in _blocks(named, block_words)] or [Phrases([], window)]
-    return [_findings(spark.sparkContext.broadcast(block), text, shard_words) for block in blocks]
+class _Search:
+    """The search of texts for a benchmark. One block of it is on the driver and with the tasks at a time."""
+
+    def __init__(
+        self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
+        block_words: int = BLOCK_WORDS,
+    ):
+        named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text")
+        blocks = _blocks(named, block_words)
+        first, self.second = next(blocks, []), next(blocks, None)
+        self.docs, self.context, self.shard_words = docs, docs.sparkSession.sparkContext, shard_words
+        self.blocks = (Phrases(x, window) for x in chain([first], [] if self.second is None else [self.second], blocks))
+
+    def once(self, column) -> Column | None:
+        """``column`` of the texts if one block holds the whole benchmark."""
+        if self.second is not None:
+            return None
+        return column(self.context.broadcast(next(self.blocks)), F.col("text"), self.shard_words)
+
+    def rows(self) -> DataFrame:
+        """``row, n_words, spans, items`` of each row, block by block: what each finds is a table of its own."""
+        keyed = written(
+            self.docs.select(F.struct("*").alias("row")).withColumn("key", F.monotonically_increasing_id()), "searched"
+        )
+        hits = words = None
+        for block in self.blocks:
+            held = self.context.broadcast(block)
+            found = keyed.select("key", _findings(held, F.col("row.text"), self.shard_words).alias("f"))
+            part = written(found.select("key", "f.*").where(F.lit(hits is None) | (F.size("items") > 0)), "hits")
+            held.destroy()
+            words = part.select("key", "n_words") if words is None else words
+            part = part.where(F.size("items") > 0).select("key", "spans", "items")
+            hits = part if hits is None else hits.unionByName(part)
+        both = hits.groupBy("key").agg(
+            _union(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        none = [F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+        return keyed.join(words, "key").join(both, "key", "left").select("row", "n_words", *none)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``doc_id, n_words, spans, items`` of every row: its hit words as merged spans, and the items found.
 
     A shard is a run of rows that a task reads, up to ``shard_words`` words or a longer text; texts are
-    never shuffled. Phrases reach the tasks as broadcasts of at most ``block_words`` benchmark words;
-    a larger benchmark has several, and a shard is searched for each in turn. Null and empty texts
+    never shuffled. Phrases reach the tasks as a broadcast of at most ``block_words`` benchmark words;
+    a larger benchmark has several, one after the other, each in a pass of its own. Null and empty texts
     have no words; a null item id counts as the text ``null``; items without words find nothing.
-    Repeated rows come back as often as they came.
+    Repeated rows come back as often as they came. A very long text is a shard of its own, in memory
+    as the numbers of its words.
     """
-    found = findings(docs.sparkSession, F.col("text"), benchmark, **options)
-    each = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(f"f{i}") for i, c in enumerate(found)])
-    return each.select("doc_id", F.col("f0.n_words").alias("n_words"), *_both([f"f{i}" for i in range(len(found))]))
-
-
-def _both(found: list[str]) -> list[Column]:
-    """The merged spans and the items of several findings of one text."""
-    if len(found) == 1:
-        return [F.col(f"{found[0]}.spans").alias("spans"), F.col(f"{found[0]}.items").alias("items")]
-    spans = F.array_sort(F.concat(*[F.col(f"{f}.spans") for f in found]))
-    items = F.concat(*[F.col(f"{f}.items") for f in found])
-    return [_union(spans).alias("spans"), F.array_sort(F.array_distinct(items)).alias("items")]
+    search = _Search(docs, benchmark, **options)
+    found = search.once(_findings)
+    if found is None:
+        return search.rows().select(F.col("row").getField(id_col).alias("doc_id"), "n_words", "spans", "items")
+    return docs.select(F.col(id_col).alias("doc_id"), found.alias("f")).select("doc_id", "f.*")
 
 
 def _union(spans: Column) -> Column:
@@ -329,15 +379,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with the hit spans cut out of the texts, and ``n_chars`` (where there is one) counted anew.
 
     Rows that have no word left are dropped; rows without hits stay as they are, null and empty
-    texts too, and so do all other columns.
+    texts too, and so do all other columns. See ``find`` for the bounds.
     """
-    found = findings(docs.sparkSession, F.col("text"), benchmark, **options)
-    names = [f"f{i}" for i in range(len(found))]
-    each = docs.select(F.struct("*").alias("row"), *[c.alias(f) for f, c in zip(names, found)])
-    each = each.select("row", F.col("f0.n_words").alias("n_words"), _both(names)[0])
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    some = each.where((gone == 0) | (gone < F.col("n_words"))).withColumn("new", _cut_texts("row.text", "spans"))
-    return with_text(some, docs, F.col("new"), F.size("spans") > 0)
+    search = _Search(docs, benchmark, **options)
+    found = search.once(_cuttings)
+    if found is None:
+        gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+        new = F.when(F.size("spans") > 0, _cut_texts("row.text", "spans"))
+        each = search.rows().select("row", "n_words", gone.alias("gone"), new.alias("new"))
+    else:
+        each = docs.select(F.struct("*").alias("row"), found.alias("f")).select("row", "f.*")
+    some = each.where((F.col("gone") == 0) | (F.col("gone") < F.col("n_words")))
+    return with_text(some, docs, F.coalesce("new", "row.text"), F.col("gone") > 0)
 
 
 def with_text(rows: DataFrame, docs: DataFrame, new: Column, changed: Column) -> DataFrame:

@@ -491,20 +491,22 @@ def redact(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
 
     All rows stay, and all other columns as they are.
     """
-    rows = docs.select(F.struct("*").alias("row"), spans_column(fit(docs, **options)).alias("spans"))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
 
     @F.arrow_udf("string")
-    def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, own in zip(values(text), values(spans)):
-            if t is not None and own:
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """The new text where there are spans, else null."""
+        fitted = held.value
+        for batch in batches:
+            out = []
+            for t in values(batch):
                 parts, at = [], 0
-                for x in own:
-                    if x["start"] >= at:
-                        parts += [t[at : x["start"]], mark]
-                    at = max(at, x["stop"])
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return with_text(rows.withColumn("new", masked("row.text", "spans")), docs, F.col("new"), F.size("spans") > 0)
+                for start, stop, _ in fitted.spans(t):
+                    if start >= at:
+                        parts += [t[at:start], mark]
+                    at = max(at, stop)
+                out.append("".join([*parts, t[at:]]) if parts else None)
+            yield pa.array(out, pa.string())
+
+    rows = docs.select(F.struct("*").alias("row"), masked.asNondeterministic()("text").alias("new"))
+    return with_text(rows, docs, F.coalesce("new", "row.text"), F.col("new").isNotNull())
