@@ -157,8 +157,8 @@ def fit(
     """The model from rated texts (``ratings``: id, ``grade``).
 
     At most ``sample`` ratings are taken, those of the smallest hashes of their ids, which is a
-    documented bound: they are the broadcast side of the join, and their words' buckets the only rows
-    that reach the driver. Of several ratings of an id the lowest grade counts. Null ids, null grades
+    documented bound: they are the broadcast side of the join, and the buckets of at most ``sample`` of their
+    different texts the only rows that reach the driver. Of several ratings of an id the lowest grade counts. Null ids, null grades
     and grades that are not in 0 .. n_grades - 1 are left out.
     """
     usable = ratings.where(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
@@ -176,10 +176,10 @@ def fit(
             })
 
     own = docs.select(F.col(id_col).alias("rated_id"), F.xxhash64("text").alias("h"), "text")
-    rows = own.join(F.broadcast(chosen), "rated_id").mapInPandas(
+    once = own.join(F.broadcast(chosen), "rated_id").dropDuplicates(["rated_id", "h"])  # in each task first
+    rows = once.orderBy("rated_id", "h").limit(sample).mapInPandas(
         run, "rated_id long, grade int, h long, buckets binary"
-    ).toArrow().to_pandas()
-    rows = rows.drop_duplicates(["rated_id", "h"]).sort_values(["rated_id", "h"])[:sample]
+    ).toArrow().to_pandas().sort_values(["rated_id", "h"])
     own_buckets = [np.frombuffer(b, "<i4") for b in rows["buckets"]]
     return train(own_buckets, rows["grade"].to_numpy(np.int64), n_grades, **options)
 
