@@ -13,12 +13,13 @@ from pyspark.sql.types import StringType
 
 from leadflow.llm.common import values
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)  # a comment, or how a tag begins
+UNFINISHED = re.compile(r"</?[a-zA-Z]")
+PLAIN = re.compile(r"[^>\"']*")  # of a tag, up to its end or a quoted value
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = frozenset("script style head template noscript title meta link base object iframe audio video "
-                   "canvas datalist textarea desc metadata defs annotation annotation-xml".split())
+                   "canvas datalist desc metadata defs annotation annotation-xml".split())
+BUTTONS = frozenset(("submit", "button", "reset"))  # inputs that show their value
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
@@ -41,16 +42,20 @@ HOLDS = {
     "colgroup": frozenset(("col", "template")),
 }
 ROWS = frozenset(("tbody", "thead", "tfoot"))
-HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+RULE = re.compile(r"([^{}]*)([{}])")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
 
 
 class Node:
-    """An element; children are nodes and strings."""
+    """An element; children are nodes and strings. ``gone``: it has no box. ``shown``: text right in it is seen."""
 
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "gone", "shown")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.gone, self.shown = False, True
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -65,6 +70,7 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, end = 0, len(source)
+    last = source.rfind(">")
 
     def text(raw: str) -> None:
         if raw:
@@ -77,37 +83,65 @@ def parse(source: str) -> Node:
         if mark < 0:
             text(source[at:])
             break
-        m = TAG.match(source, mark)
-        if not m:
+        if mark > last and source[mark + 1 : mark + 2] not in ("!", "?"):  # no tag ends any more
             stop = source.find("<", mark + 1)
             stop = end if stop < 0 else stop
-            text(source[at:stop])
+            text(source[at : mark if UNFINISHED.match(source, mark) else stop])
+            at = stop
+            continue
+        m = MARK.match(source, mark)
+        stop = _tag_end(source, m.end(), last) if m and m[2] else m.end() if m else 0
+        if not m or stop < 0:  # a sign, or a tag that the page ends in: its markup is no text
+            stop = source.find("<", mark + 1)
+            stop = end if stop < 0 else stop
+            text(source[at : mark if m else stop])
             at = stop
             continue
         text(source[at:mark])
-        at = m.end()
+        at = stop
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, raw = m[2].lower(), source[m.end() : stop - 1]
         if m[1]:
             _close(stack, tag)
             continue
         _imply(stack, tag)
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /\n\t") else None)
+        node = Node(tag, _attributes(raw) if raw.strip(" /\n\t") else None)
         stack[-1].children.append(node)
-        if m[3].endswith("/") and any(x.tag in ("svg", "math") for x in stack):
+        if raw.endswith("/") and any(x.tag in ("svg", "math") for x in stack):
             continue
         if tag == "form" and stack[-1].tag in ("table", "tr", *ROWS):
             continue  # stays empty there, as in browsers
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            node.children.append(source[at : stop.start() if stop else end])
+            held = source[at : stop.start() if stop else end]
+            node.children.append(html.unescape(held) if tag == "textarea" else held)
             at = source.find(">", stop.end()) + 1 or end if stop else end
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")) and len(stack) < OPEN:
+        elif tag not in VOID and not (raw.endswith("/") and tag in ("svg", "math")) and len(stack) < OPEN:
             stack.append(node)
     return root
 
 
+def _tag_end(source: str, at: int, last: int) -> int:
+    """Where a tag ends whose name ends at ``at``; -1 if the page ends first. ``last`` is the page's last ``>``.
+
+    A quoted value may hold a ``>``; a quote that never ends holds nothing.
+    """
+    if at > last:
+        return -1
+    first = at
+    while True:
+        at = PLAIN.match(source, at).end()
+        if at > last:
+            return source.find(">", first) + 1
+        if source[at] == ">":
+            return at + 1
+        stop = source.find(source[at], at + 1)
+        if stop < 0 or stop > last:
+            return source.find(">", first) + 1
+        at = stop + 1
+
+
 def _imply(stack: list[Node], tag: str) -> None:
     """Close what a start tag ends, and open the row that a cell needs."""
     if stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
@@ -147,13 +181,82 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
+Rules = dict[str, list[tuple[int, set[str], dict[str, str]]]]  # by tag, class or id: place, all names, what is declared
+
+
+def _style_rules(root: Node) -> Rules:
+    """The display and visibility that a page's own style sheets declare for tags, classes and ids.
+
+    Selectors of one element are read (``p``, ``.a``, ``p.a#b``); those of several, and what stands in an
+    ``@`` block, such as styles for print, are passed over.
+    """
+    rules: Rules = {}
+    number, todo = 0, [root]
+    sheets = []
+    while todo:
+        x = todo.pop()
+        if x.tag == "style":
+            sheets.append("".join(c for c in x.children if isinstance(c, str)))
+        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+    for sheet in sheets:
+        selector, depth, at_block = "", 0, 0
+        for held, brace in RULE.findall(COMMENT.sub(" ", sheet)):
+            if brace == "{":
+                depth += 1
+                selector = held.rpartition(";")[2].strip()
+                if selector.startswith("@") and not at_block:
+                    at_block = depth
+                continue
+            if not at_block and depth == 1:
+                declared = {k.lower(): v.lower() for k, v in DECLARED.findall(held)}
+                for one in selector.split(",") if declared else []:
+                    m = SELECTOR.fullmatch(one.strip())
+                    if m and m[0]:
+                        names = ({m[1].lower()} if m[1] else set()) | set(re.findall(r"[.#][\w-]+", m[2]))
+                        number += 1
+                        rules.setdefault(min(names, key=lambda x: x[0] in ".#"), []).append((number, names, declared))
+            depth = max(depth - 1, 0)
+            if at_block > depth:
+                at_block = 0
+    return rules
+
+
+def _declared(node: Node, rules: Rules) -> dict[str, str]:
+    """What applies to an element: later rules before earlier ones, its own style before all."""
+    out: dict[str, str] = {}
+    if rules:
+        names = {node.tag, *(f".{c}" for c in node.attributes.get("class", "").split())}
+        if node.attributes.get("id"):
+            names.add(f"#{node.attributes['id']}")
+        for _, wanted, declared in sorted((r for n in names for r in rules.get(n, ()) if r[1] <= names), key=lambda r: r[0]):
+            out |= declared
+    if "style" in node.attributes:
+        out |= {k.lower(): v.lower() for k, v in DECLARED.findall(node.attributes["style"])}
+    return out
+
+
+def mark_seen(root: Node) -> None:
+    """Set which elements have no box, and in which ones text is seen: visibility comes from the parent unless declared."""
+    rules = _style_rules(root)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if not isinstance(c, Node):
+                continue
+            own = _declared(c, rules) if rules or "style" in c.attributes else {}
+            c.gone = (
+                c.tag in UNSEEN or "hidden" in c.attributes or own.get("display") == "none"
+                or c.attributes.get("type", "").lower() == "hidden" or c.tag == "dialog" and "open" not in c.attributes
+            )
+            seen = own.get("visibility")
+            c.shown = seen not in ("hidden", "collapse") if seen and seen != "inherit" else node.shown
+            if not c.gone:
+                todo.append(c)
+
+
 def visible(node: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attributes or node.attributes.get("type", "").lower() == "hidden":
-        return False
-    if node.tag == "dialog" and "open" not in node.attributes:
-        return False
-    style = node.attributes.get("style")
-    return not (style and HIDDEN_STYLE.search(style))
+    return not node.gone
 
 
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -212,7 +315,7 @@ class _Page:
         return "\n".join(self.lines).strip("\n")
 
 
-DEEPEST = 16  # tables within tables that are aligned; those below are rendered as blocks
+DEEPEST = 100  # tables within tables that are aligned; those below are rendered as blocks
 
 
 def render(root: Node, depth: int = 0) -> str:
@@ -234,8 +337,15 @@ def render(root: Node, depth: int = 0) -> str:
         tag = node.tag
         if tag == "br":
             page.end_line(force=True)
-        elif tag == "img":
-            page.write(node.attributes.get("alt", ""), False)
+        elif tag == "img" or tag == "input":
+            word = node.attributes.get("alt", "") if tag == "img" else ""
+            if tag == "input" and node.attributes.get("type", "").lower() in BUTTONS:
+                word = f" {node.attributes.get('value', '')} "
+            if node.shown:
+                page.write(word, False)
+        elif tag == "textarea":
+            if node.shown:
+                page.write(f" {''.join(c for c in node.children if isinstance(c, str))} ", False)
         elif tag == "table" and depth < DEEPEST:
             page.block(True)
             for line in table_lines(node, depth + 1):
@@ -250,18 +360,36 @@ def render(root: Node, depth: int = 0) -> str:
             elif tag in ("dd", "blockquote"):
                 page.indent += "  "
             if tag == "ol":
-                number = int(n) if (n := node.attributes.get("start", "1")).lstrip("-").isdecimal() else 1
-                for child in node.children:
-                    if isinstance(child, Node) and child.tag == "li" and visible(child):
-                        child.attributes["\0bullet"] = f"{number}. "
-                        number += 1
+                _number(node)
             todo.append((node, keep, before))
-            todo += [(c, keep or tag == "pre", None) for c in reversed(node.children)]
+            todo += [(c, keep or tag == "pre", None) for c in reversed(_seen(node))]
         else:
-            todo += [(c, keep, None) for c in reversed(node.children)]
+            todo += [(c, keep, None) for c in reversed(_seen(node))]
     return page.text()
 
 
+def _seen(node: Node) -> list:
+    """An element's children, without its text where that isn't seen."""
+    return node.children if node.shown else [c for c in node.children if isinstance(c, Node)]
+
+
+def _whole(text: str | None, other: int) -> int:
+    """A whole number as HTML reads one."""
+    m = re.match(r"\s*([+-]?[0-9]{1,9})", text or "")
+    return int(m[1]) if m else other
+
+
+def _number(items: Node) -> None:
+    """Give the items of an ordered list their numbers: from the start on, down in a reversed list, anew from an item's value."""
+    own = [c for c in items.children if isinstance(c, Node) and c.tag == "li" and visible(c)]
+    step = -1 if "reversed" in items.attributes else 1
+    number = _whole(items.attributes.get("start"), len(own) if step < 0 else 1)
+    for item in own:
+        number = _whole(item.attributes.get("value"), number)
+        item.attributes["\0bullet"] = f"{number}. "
+        number += step
+
+
 def _rows(table: Node) -> Iterator[Node]:
     todo = list(reversed(table.children))
     while todo:
@@ -282,55 +410,79 @@ def _loose(table: Node) -> Iterator[Node | str]:
             yield x
         elif x.tag in ROWS and visible(x):
             own = Node("div")
+            own.shown = x.shown
             own.children = [c for c in x.children if not isinstance(c, Node) or c.tag not in ("tr", *ROWS)]
             todo += [c for c in reversed(x.children) if isinstance(c, Node) and c.tag in ("tr", *ROWS)]
             yield own
         elif x.tag == "tr" and visible(x):
             own = Node("div")
+            own.shown = x.shown
             own.children = [c for c in x.children if not isinstance(c, Node) or c.tag not in ("td", "th")]
             if any(isinstance(c, Node) and c.tag in ("td", "th") and visible(c) for c in x.children):
                 yield own
 
 
-def _inner(children: list, depth: int) -> str:
+def _inner(node: Node, children: list, depth: int) -> str:
+    """Children rendered for themselves, text among them as in ``node``."""
     inner = Node("#cell")
-    inner.children = children
+    inner.shown, inner.children = node.shown, children
     return render(inner, depth)
 
 
 def _cell(cell: Node, depth: int) -> str:
-    return BLANKS.sub(" ", _inner(cell.children, depth)).strip()
+    return BLANKS.sub(" ", _inner(cell, cell.children, depth)).strip()
+
+
+PADDING = 20  # times its content that a table may grow by alignment; beyond it, cells stand side by side
 
 
 def table_lines(table: Node, depth: int) -> list[str]:
     """A table's caption and other text first, then a line for each row, cells filled up to their column's width.
 
-    Cells that span columns take up as many; a table of one cell is layout and rendered as blocks.
+    Cells that span columns or rows take up as many, as far as other cells stand beside or below them; a table of
+    one cell is layout and rendered as blocks.
     """
-    out = [line for line in _inner(list(_loose(table)), depth).split("\n") if line]
-    grid: list[list[str]] = []
+    out = [line for line in _inner(table, list(_loose(table)), depth).split("\n") if line]
+    grid: list[dict[int, Node | str]] = []  # of each row the cells by the column that they begin in
+    taken: dict[int, int] = {}  # up to which row a column is taken by a cell from above
     for row in _rows(table):
         cells = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
         if not cells:
             other = _cell(row, depth)
             if other:
-                grid.append([other])
+                grid.append({0: other})
             continue
-        line: list[str] = []
+        line: dict[int, Node | str] = {}
+        at, here = 0, len(grid)
         for c in cells:
-            span = c.attributes.get("colspan", "1")
-            line.append(c if len(cells) == 1 and not grid else _cell(c, depth))
-            line += [""] * (min(int(span), 1_000) - 1 if span.isdecimal() and int(span) > 1 else 0)
+            while taken.get(at, 0) > here:
+                at += 1
+            line[at] = c
+            wide = min(max(_whole(c.attributes.get("colspan"), 1), 1), 1_000)
+            high = _whole(c.attributes.get("rowspan"), 1)
+            if high != 1:
+                taken.update(dict.fromkeys(range(at, at + wide), here + high if high > 1 else 1 << 31))
+            at += wide
         grid.append(line)
-    if len(grid) == 1 and len(grid[0]) == 1 and isinstance(grid[0][0], Node):
-        return out + _inner(grid[0][0].children, depth).split("\n")
-    grid = [[_cell(x, depth) if isinstance(x, Node) else x for x in line] for line in grid]
-    widths = [0] * max((len(line) for line in grid), default=0)
-    for line in grid:
-        for i, x in enumerate(line[:-1]):
-            widths[i] = max(widths[i], len(x))
-    for line in grid:
-        joined = " | ".join(x.ljust(widths[i]) for i, x in enumerate(line)).rstrip()
+    if len(grid) == 1 and len(grid[0]) == 1 and isinstance(grid[0].get(0), Node):
+        only = grid[0][0]
+        return out + _inner(only, only.children, depth).split("\n")
+    columns = {x: i for i, x in enumerate(sorted({at for line in grid for at in line}))}
+    lines = [{columns[at]: _cell(x, depth) if isinstance(x, Node) else x for at, x in line.items()} for line in grid]
+    widths = [0] * len(columns)
+    for line in lines:
+        last = max(line)
+        for i, x in line.items():
+            if i < last:
+                widths[i] = max(widths[i], len(x))
+    upto = [0]
+    for w in widths:
+        upto.append(upto[-1] + w + 3)
+    content = sum(len(x) + 3 for line in lines for x in line.values())
+    aligned = sum(upto[max(line) + 1] for line in lines) <= PADDING * content + 1_000
+    for line in lines:
+        cells = [line.get(i, "").ljust(widths[i]) for i in range(max(line) + 1)] if aligned else line.values()
+        joined = " | ".join(cells).rstrip()
         if joined.strip(" |"):
             out.append(joined)
     return out
@@ -338,7 +490,11 @@ def table_lines(table: Node, depth: int) -> list[str]:
 
 def extract(source: str | None) -> str | None:
     """The visible text of a page; null for null."""
-    return None if source is None else render(parse(source))
+    if source is None:
+        return None
+    root = parse(source)
+    mark_seen(root)
+    return render(root)
 
 
 @F.arrow_udf(StringType())
@@ -355,6 +511,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """``page_id, text`` of every row: one narrow pass, a page at a time.
 
     Null pages give null, empty pages and pages without visible text the empty text. Broken markup is
-    read as far as it goes. Repeated rows come back as often as they came.
+    read as far as it goes; a tag that the page ends in is no text. A very long page takes time in proportion to
+    its length, and its text is bounded by its content. Repeated rows come back as often as they came.
     """
     return pages.select(F.col(id_col).alias("page_id"), text_column("html").alias("text"))

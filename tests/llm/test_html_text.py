@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -33,7 +34,17 @@ CASES = {
     "</p></div>stray": "stray",
     "<img alt='a picture'> <title>no</title>": "a picture",
     "<a title='x > y'>t</a>": "t",
-    "<textarea>in</textarea>out": "out",
+    "<textarea>in &lt;b></textarea>out": "in <b> out",
+    "a<input type=submit value='Send it'>b<input type=text value=no>": "a Send it b",
+    "<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d": "b\nd",
+    "<style>.x{display:none} p.y, #z { color:red; visibility : hidden }</style><p class='w x'>a<p class=y>b<div id=z>c</div><p class=x style='display:block'>d": "d",
+    "<style>@media print{.x{display:none}} /* .x{display:none} */ div .x{display:none}</style><p class=x>a": "a",
+    "<style>.x{display:none}.x{display:block}</style><p class=x>a": "a",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a | b\n  | c\n  | d | e",
+    "<ol><li value=5>a<li>b</ol><ol reversed><li>c<li>d</ol>": "5. a\n6. b\n\n2. c\n1. d",
+    "<a href=\"x>text</a> more": "text more",
+    "t<a href=x": "t",
     "<b>un</b>broken": "unbroken",
 }
 
@@ -50,6 +61,21 @@ def test_deep_and_long_pages():
     assert extract("<a \"" * 2_000) is not None
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a '>", "<!--", "<", "</", "<p", "<li><ol>", "<td rowspan=9 colspan=99>"])
+def test_long_pages_take_time_in_proportion(part):
+    extract(part)
+    began = time.process_time()
+    extract(part * ((100_000 if "ol" in part else 1_000_000) // len(part)))
+    assert time.process_time() - began < 6
+
+
+def test_a_table_grows_with_its_content_only():
+    rows = "".join(f"<tr><td colspan=1000>{i}" for i in range(4_000))
+    assert len(extract(f"<table>{rows}</table>")) < 30_000
+    steps = "".join(f"<tr><td colspan={i}>a<td>b" for i in range(1, 1_000))
+    assert len(extract(f"<table>{steps}</table>")) < 60_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<br/>", "<div>", "</div>",
                                  "<b>", "</b>", "<pre>", "<!--", "-->", "<script>", "</script>", "&lt;", "<", ">", "\""]), max_size=30))
