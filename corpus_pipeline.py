@@ -11,13 +11,14 @@ from leadflow.llm.queries import MIX_WEIGHTS, mix_domain
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters; those without any (null and empty texts too) are rejected.
+    """Documents of the corpus's languages: those without letters (null and empty texts too) are rejected, and those
+    that have nothing in common with any language's profile, such as texts of a script that none is written in.
 
     A document whose ``lang`` is null gets the predicted language; given ones stay.
     """
     profiles = language_id.learn(docs.where(F.col("doc_id").isNotNull() & ~language_id.in_fold("doc_id")))
     said = docs.select(F.struct("*").alias("row"), language_id.prediction(profiles).alias("said"))
-    known = said.where(F.col("said.lang_pred") != language_id.UNDETERMINED)
+    known = said.where((F.col("said.lang_pred") != language_id.UNDETERMINED) & (F.col("said.score") > 0))
     out = [
         (F.coalesce(F.col("row.lang"), F.col("said.lang_pred")) if c == "lang" else F.col("row").getField(c)).alias(c)
         for c in docs.columns
