@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadflow.session import shared_folder
@@ -15,12 +16,30 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_noted: list[list[tuple[str, DataFrame]]] = []  # by open ``emptied``: the tables written inside
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: its lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    if _noted:
+        _noted[-1].append((path, made))
+    return made
+
+
+@contextmanager
+def emptied(spark: SparkSession) -> Iterator[None]:
+    """Empties, in the end, the tables that operators wrote for themselves inside. What they return reads those
+    tables, so it must be stored inside too."""
+    _noted.append([])
+    try:
+        yield
+    finally:
+        for path, made in _noted.pop():
+            spark.createDataFrame([], made.schema).write.mode("overwrite").parquet(path)
 
 
 def values(batch: pa.Array, step: int = 500) -> Iterator:
