@@ -11,12 +11,16 @@ import os
 import statistics
 import time
 
+from pyspark.sql import functions as F
+
 from leadflow.functions.insights import match_scores
-from leadflow.operators import joins
+from leadflow.operators import joins, sentiment_model
+from leadflow.operators.window import time_counts, window_ends
 from leadflow.plans import jobs, queries
 from leadflow.plans.inputs import base, view
 from leadflow.schemas import table_schema
 from leadflow.session import local_session, shared_folder
+from leadflow.sinks.keyed import KeyedTable
 from leadflow.sinks.state import StateTable
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -26,7 +30,7 @@ RUNS = 3
 TABLES = [
     "entities", "lead_entities_lk", "channel", "match_score_raw", "adopt_curve_raw", "persuasion",
     "relationship_fit", "archetypes", "lcv_level", "days_to_first_sale_level",
-    "staging_contacts", "sites", "site_visitors_in", "users", "tracking_codes", "lead_features",
+    "staging_contacts", "sites", "site_visitors_in", "users", "tracking_codes", "lead_features", "rated",
 ]
 
 
@@ -78,6 +82,22 @@ def main() -> None:
     def status_history():
         noop(queries.status_history(spark, SF_DIR))
 
+    def export_windows():
+        counts = time_counts({"staging.contacts": t["staging_contacts"]}, "1970-01-01")
+        window_ends(counts, 500)
+
+    leads = t["lead_features"]
+    kept = KeyedTable(spark, shared_folder(spark, "bench-keyed"), leads.schema, ["lead_id"], share=100.0)
+    kept.append(leads)
+    kept.compact()
+    some = leads.select("lead_id").orderBy("lead_id").limit(100)
+
+    def keyed_update():
+        kept.update(some, lambda old: old.withColumn("processed", F.lit(True)))
+
+    def train_sentiment():
+        noop(sentiment_model.train(t["rated"].select("text", "positive")))
+
     work = {
         "lead_profiles": (lead_profiles, t["lead_entities_lk"].count()),
         "site_visitors": (site_visitors, t["site_visitors_in"].count()),
@@ -86,6 +106,9 @@ def main() -> None:
         "match_scores": (match_scores_, t["match_score_raw"].count()),
         "lead_scores": (lead_scores, t["lead_features"].count()),
         "status_history": (status_history, base(spark, SF_DIR, "orders").count()),
+        "export_windows": (export_windows, t["staging_contacts"].count()),
+        "keyed_update": (keyed_update, 100),
+        "train_sentiment": (train_sentiment, t["rated"].count()),
     }
     seconds, rates = {}, {}
     for name, (run, rows) in work.items():
