@@ -13,6 +13,7 @@ from leadflow.functions.rules import polarity, strength
 
 SMOOTHING = 1.0
 MIN_TEXTS = 3
+LEAST = 3.0
 
 
 def features(text: Column) -> Column:
@@ -38,11 +39,14 @@ def feature_counts(rated: DataFrame) -> DataFrame:
     )
 
 
-def train(rated: DataFrame, min_texts: int = MIN_TEXTS, smoothing: float = SMOOTHING) -> DataFrame:
-    """The model: ``feature, n_pos, n_neg, weight`` of all features of at least ``min_texts`` texts.
+def train(
+    rated: DataFrame, min_texts: int = MIN_TEXTS, smoothing: float = SMOOTHING, least: float = LEAST
+) -> DataFrame:
+    """The model: ``feature, n_pos, n_neg, weight`` of the features of at least ``min_texts`` texts that tell the ratings apart.
 
     A weight is the log of how much more often positive texts have the feature than negative ones, with
-    ``smoothing`` texts of either kind added to those that have it and to those that don't.
+    ``smoothing`` texts of either kind added to those that have it and to those that don't. It must be ``least``
+    times its standard error: of very many features most differ by chance, and together they would drown the others.
     """
     totals = rated.filter(F.col("positive").isNotNull() & F.col("text").isNotNull()).agg(
         F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg")
@@ -53,26 +57,35 @@ def train(rated: DataFrame, min_texts: int = MIN_TEXTS, smoothing: float = SMOOT
 
     kept = feature_counts(rated).filter(F.col("n_pos") + F.col("n_neg") >= min_texts)
     weight = F.log(odds("n_pos", "_pos") / odds("n_neg", "_neg"))
-    return kept.join(F.broadcast(totals)).select("feature", "n_pos", "n_neg", weight.alias("weight"))  # totals: one row
+    error = F.sqrt(1 / (F.col("n_pos") + smoothing) + 1 / (F.col("n_neg") + smoothing))
+    weighed = kept.join(F.broadcast(totals)).withColumn("weight", weight)  # totals: one row
+    return weighed.filter(F.abs("weight") >= least * error).select("feature", "n_pos", "n_neg", "weight")
 
 
-def text_scores(texts: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
-    """``text`` with ``known``, how many of its features the model has, and ``score`` from -1 to 1, of every different text.
+def _key_scores(texts: DataFrame, model: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The different texts with their digests, and ``_key, known, score`` of those with known features.
 
-    The score is tanh of half the mean weight of its known features times the root of their number: features
-    of a text go together, so their odds don't multiply in full. 0 without any. Null texts are left out.
+    A text goes nowhere but to the pass that makes it different; its features go to the join by its digest.
     """
     different = texts.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
     keyed = different.withColumn("_key", F.sha2("_text", 256))
-    # a text's features go to the join by its digest, not by the text
     asked = keyed.select("_key", F.explode(features(F.col("_text"))).alias("feature"))
     met = asked.join(model.select("feature", "weight"), "feature").groupBy("_key").agg(
         F.count(F.lit(1)).alias("known"), F.sum("weight").alias("_sum")
     )
-    known = F.coalesce("known", F.lit(0))
-    score = F.tanh(F.col("_sum") / F.sqrt("known") / 2)
+    return keyed, met.select("_key", "known", F.tanh(F.col("_sum") / F.sqrt("known") / 2).alias("score"))
+
+
+def text_scores(texts: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+    """``text`` with ``known``, how many of its features the model has, and ``score`` from -1 to 1, of every different text.
+
+    The score is tanh of half the mean weight of its known features times the root of their number: features
+    of a text go together, so their odds don't multiply in full. 0 without any. Null texts are left out.
+    """
+    keyed, met = _key_scores(texts, model, text)
     return keyed.join(met, "_key", "left").select(
-        F.col("_text").alias(text), known.alias("known"), F.coalesce(score, F.lit(0.0)).alias("score")
+        F.col("_text").alias(text), F.coalesce("known", F.lit(0)).alias("known"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )
 
 
@@ -81,10 +94,13 @@ def with_sentiment(feedback: DataFrame, model: DataFrame, text: str = "feedback_
 
     Equal texts are scored once; a null text has no score.
     """
-    scores = text_scores(feedback, model, text).select(F.col(text).alias("_of"), F.col("score").alias("_score"))
+    _, met = _key_scores(feedback, model, text)
     out = [c for c in feedback.columns if c not in ("sentiment_score", "sentiment_label", "sentiment_strength")]
-    scored = feedback.join(scores, F.col(text) == F.col("_of"), "left")
-    return scored.select(
+    scored = feedback.select(*out).withColumn("_key", F.sha2(text, 256)).join(
+        met.select("_key", F.col("score").alias("_score")), "_key", "left"
+    )
+    score = F.when(F.col(text).isNotNull(), F.coalesce("_score", F.lit(0.0)))
+    return scored.withColumn("_score", score).select(
         *out, F.col("_score").alias("sentiment_score"), polarity(F.col("_score")).alias("sentiment_label"),
         strength(F.col("_score")).alias("sentiment_strength"),
     )
@@ -100,8 +116,9 @@ def held_out(rated: DataFrame, key: str, folds: int = 5, **options) -> DataFrame
     own = fold(F.col(key), folds)
     model = train(rated.filter(own != 0), **options)
     tested = rated.filter((own == 0) & F.col("positive").isNotNull() & F.col("text").isNotNull())
-    scores = text_scores(tested, model)
-    return tested.select(key, "positive", "text").join(scores, "text").select(key, "positive", "score")
+    return with_sentiment(tested.select(key, "positive", "text"), model, "text").select(
+        key, "positive", F.col("sentiment_score").alias("score")
+    )
 
 
 def accuracy(scored: DataFrame) -> DataFrame:

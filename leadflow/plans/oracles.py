@@ -139,7 +139,8 @@ def _trained(rated: str, texts: str, texts_id: str) -> str:
                 select feature, count(*) filter (positive) as n_pos, count(*) filter (not positive) as n_neg
                 from (select positive, unnest({_FEATURES}) as feature
                       from (select positive, {words} as w from {rated} where text is not null))
-                group by feature) where n_pos + n_neg >= 3),
+                group by feature)
+            where n_pos + n_neg >= 3 and abs(weight) >= 3 * sqrt(1 / (n_pos + 1.0) + 1 / (n_neg + 1.0))),
         scores as (
             select t.*, coalesce(tanh(total / sqrt(known) / 2), 0) as score
             from {texts} t left join (

@@ -1,6 +1,7 @@
 """The trained sentiment model against plain counts."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -41,7 +42,7 @@ RATED = st.lists(st.tuples(st.none() | texts, st.none() | st.booleans()), min_si
 def test_model_and_scores_equal_plain_counts(spark, rows, drawn):
     rated = [(i, t, p) for i, (t, p) in enumerate(drawn)]
     df = rows(rated, DDL)
-    learnt = model.train(df, min_texts=2)
+    learnt = model.train(df, min_texts=2, least=0)
     want = plain_model(rated, 2)
     found = {r.feature: (r.n_pos, r.n_neg, r.weight) for r in learnt.collect()}
     assert found.keys() == want.keys()
@@ -60,18 +61,26 @@ def reviews(n):
 
 
 def test_held_out_texts_are_told_apart(rows):
-    scored = model.held_out(rows(reviews(200), DDL), "id")
+    scored = model.held_out(rows(reviews(200), DDL), "id", least=2)
     found = model.accuracy(scored).first()
     assert found.n == scored.count() > 20 and found.right == found.n and found.auc == 1.0
 
 
+def test_features_that_differ_by_chance_are_left_out(rows):
+    draw = random.Random(7)
+    noise = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(draw.sample(noise, 40)) + (" kind" if i % 2 else " rude"), i % 2 == 1) for i in range(120)]
+    learnt = {r.feature for r in model.train(rows(texts, DDL)).collect()}
+    assert {"kind", "rude"} <= learnt and len(learnt) < 8
+
+
 def test_area_counts_ties_half(rows):
     found = model.accuracy(rows([(True, 1.0), (True, 0.0), (False, 0.0), (False, -1.0)], "positive boolean, score double"))
     assert tuple(found.first()) == (4, 3, 0.875)
 
 
 def test_jobs_train_and_score(spark, rows, folder):
-    assert jobs.train_sentiment(rows(reviews(60), DDL), f"{folder}/model").rows > 5
+    assert jobs.train_sentiment(rows(reviews(60), DDL), f"{folder}/model", least=1).rows > 5
     ddl = "lead_id int, turn int, feedback_text string, sentiment_processed boolean, sentiment_label string, sentiment_score double"
     feedback = KeyedTable(spark, f"{folder}/feedback", ddl, ["lead_id"])
     feedback.append(rows([
