@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 LEAST, MOST = 16, 512  # bytes of a chunk; the last one of a text may be shorter
 MASK_BITS = 4  # a cut after one position in 16, on average, once a chunk has its least length
+LOWEST_BIT = 24  # of the hash's bits that decide a cut: they depend on the last 28 bytes, not on 44 or more
 REACH = 160  # characters in a row that must repeat
 
 
@@ -40,7 +41,7 @@ def cuts(data: np.ndarray) -> list[int]:
     n = len(data)
     if not n:
         return []
-    bits = (rolling(data) >> np.uint64(40)) & np.uint64((1 << MASK_BITS) - 1)
+    bits = (rolling(data) >> np.uint64(LOWEST_BIT)) & np.uint64((1 << MASK_BITS) - 1)
     first = np.ones(n + 1, bool)
     first[:-1] = (data & 0xC0) != 0x80
     wanted = np.flatnonzero((bits == 0) & first[1:]) + 1
@@ -59,7 +60,7 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-CHUNK = "doc_id long, start int, stop int, a long, b long, again boolean"
+CHUNK = "doc_id long, place long, a long, b long"  # place: start, stop and, in the last bit, whether the text has it before
 
 
 def _chunks(id_col: str):
@@ -86,16 +87,16 @@ def _chunks(id_col: str):
                 stops.append(chars[ends])
             if ids:
                 halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                place = np.concatenate(starts).astype(np.int64) << 33 | np.concatenate(stops).astype(np.int64) << 1
                 yield pd.DataFrame({
-                    "doc_id": ids, "start": np.concatenate(starts), "stop": np.concatenate(stops),
-                    "a": halves[:, 0], "b": halves[:, 1], "again": again,
+                    "doc_id": ids, "place": place | np.array(again, np.int64), "a": halves[:, 0], "b": halves[:, 1],
                 })
 
     return run
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """CHUNK rows of all texts: place (code points), 128-bit digest, and whether the text has it before."""
+    """CHUNK rows of all texts: place (code points) and 128-bit digest, in few bytes, since all of them are shuffled."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInPandas(_chunks(id_col), CHUNK)
 
 
@@ -109,15 +110,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> Data
     smaller id too: dropping those passages leaves every chunk once.
 
     Null and empty texts, and rows with a null id, have no passages. Rows that share an id count as
-    one text where their chunks are equal.
+    one text where their chunks are equal. Ids are whole numbers. Very long texts are cut in time and memory in
+    proportion to their length. What stands before a passage moves its first cuts, so up to 28 bytes and a part of a
+    chunk at either end don't count towards ``reach``.
     """
-    place = (F.col("start").cast("long") * (1 << 32) + F.col("stop")).alias("place")  # one number to shuffle
-    own = chunks(docs, id_col).select("doc_id", place, "a", "b", "again")
-    held = own.where("not again").groupBy("a", "b").agg(
+    own = chunks(docs, id_col)
+    held = own.where(F.col("place") % 2 == 0).groupBy("a", "b").agg(
         F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")
     )
     common = held.where("first_doc_id <> last").drop("last")
-    hits = own.join(common, ["a", "b"]).select("doc_id", "place", "n_docs", "first_doc_id").distinct().select(
+    met = own.join(common, ["a", "b"]).withColumn("place", F.shiftright("place", 1))
+    hits = met.select("doc_id", "place", "n_docs", "first_doc_id").distinct().select(
         "doc_id", F.shiftright("place", 32).cast("int").alias("start"),
         F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("stop"), "n_docs", "first_doc_id",
     )

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leadflow.llm import queries, substring_dedup
-from leadflow.llm.substring_dedup import GEAR, LEAST, MASK_BITS, MOST, REACH, cuts, repeats, rolling
+from leadflow.llm.substring_dedup import GEAR, LEAST, LOWEST_BIT, MASK_BITS, MOST, REACH, cuts, repeats, rolling
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def plain_hashes(raw):
 def plain_cuts(raw):
     hashes, out, at = plain_hashes(raw), [], 0
     first = lambda i: i == len(raw) or raw[i] & 0xC0 != 0x80
-    wanted = [i + 1 for i, h in enumerate(hashes) if first(i + 1) and not h >> 40 & (1 << MASK_BITS) - 1]
+    wanted = [i + 1 for i, h in enumerate(hashes) if first(i + 1) and not h >> LOWEST_BIT & (1 << MASK_BITS) - 1]
     while at < len(raw):
         place = bisect.bisect_left(wanted, at + LEAST)
         stop = wanted[place] if place < len(wanted) else len(raw)
@@ -111,6 +111,25 @@ def test_planted_passages_are_found_whatever_stands_before(documents):
     assert all(kept[i] == rows[i][1] for i in range(0, 120, 2))
 
 
+def test_recall_of_passages_of_51_words(documents):
+    """Prose of the test tables, planted twice in other texts."""
+    import duckdb
+
+    draw = random.Random(6)
+    found = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where len(text) > 1500 order by doc_id").fetchall()
+    prose = [t.split(" ") for t, in found]
+    rows, want = [], []
+    for i in range(150):
+        own = draw.choice(prose)
+        at = draw.randrange(max(len(own) - 51, 1))
+        passage = " ".join(own[at : at + 51])
+        for doc_id in (2 * i, 2 * i + 1):
+            rows.append((doc_id, f"{words(draw, draw.randrange(5, 60))} {passage} {words(draw, draw.randrange(5, 60))}", "en", "s"))
+        want.append(2 * i)
+    got = {r.doc_id for r in repeats(documents(rows)).collect()}
+    assert sum(i in got for i in want) >= 0.95 * len(want)
+
+
 def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert {tuple(r) for r in repeats(odd).collect()} == brute(rows)
