@@ -51,7 +51,7 @@ words = st.sampled_from(["a", "b", "B", "c", "É", "é", "the", "\x00", "x-y", "
 texts = st.lists(words | st.sampled_from([".", ",", "\n", "  ", "\t", "?!"]), max_size=30).map(" ".join)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["en", None, "de"]), st.none() | texts), max_size=12))
 def test_equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string").repartition(3)

@@ -53,7 +53,7 @@ texts = st.lists(st.sampled_from(["a", "b", "B", "c", "é", "É", "the", "12", "
 ROW = st.tuples(st.sampled_from(["en", None, "", "de"]), st.sampled_from(["s0", "s1", None, "s2"]), st.none() | texts)
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(ROW, max_size=14))
 def test_equals_brute_force(spark, rows):
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
