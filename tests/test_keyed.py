@@ -148,7 +148,7 @@ steps = st.lists(st.tuples(
 ), max_size=6)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(steps)
 def test_any_changes_equal_a_plain_list(spark, rows, tmp_path_factory, changes):
     table = KeyedTable(spark, str(tmp_path_factory.mktemp("keyed")), DDL, ["k"], share=10, commits=100)

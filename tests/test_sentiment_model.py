@@ -37,7 +37,7 @@ texts = st.lists(st.sampled_from(["good", "Bad", "very", "not", "été", "3", "-
 RATED = st.lists(st.tuples(st.none() | texts, st.none() | st.booleans()), min_size=1, max_size=12)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(RATED)
 def test_model_and_scores_equal_plain_counts(spark, rows, drawn):
     rated = [(i, t, p) for i, (t, p) in enumerate(drawn)]
