@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +88,6 @@ def two_sample_distance(
                 (whole[0] / whole[1] / whole[2]).alias("distance"),
             )
             # a row a group, kept where the caller can read it after the scratch tables are gone
-            out = f"{work.rstrip('/')}/distances" if work else shared_folder(df.sparkSession, "distances")
-            found.write.mode("overwrite").parquet(out)
+            out = f"{work.rstrip('/')}/distances-{uuid.uuid4().hex}" if work else shared_folder(df.sparkSession, "distances")
+            found.write.parquet(out)
             return df.sparkSession.read.schema(found.schema).parquet(out)

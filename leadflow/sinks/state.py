@@ -8,6 +8,7 @@ last step, which only copies, the old rows are in force. One writer at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -26,10 +27,11 @@ PART = "_part"
 def scratch(df: DataFrame, name: str, work: str | None = None) -> Iterator[DataFrame]:
     """The frame as a table below ``work`` or the shared folder, emptied afterwards.
 
-    For results that are used several times and must be made once.
+    For results that are used several times and must be made once. Each use has a folder of its own, so jobs
+    that run at once can share a work folder.
     """
     spark = df.sparkSession
-    path = f"{work.rstrip('/')}/{name}" if work else shared_folder(spark, name)
+    path = f"{work.rstrip('/')}/{name}-{uuid.uuid4().hex}" if work else shared_folder(spark, name)
     plain = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
     df.write.mode("overwrite").parquet(path)
     try:

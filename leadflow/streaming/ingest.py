@@ -41,12 +41,10 @@ def checkpoint_id(spark: SparkSession, checkpoint: str) -> str | None:
 
 def _owners(spark: SparkSession, lake: str, name: str) -> set[str]:
     """The checkpoints that load into a lake under a name."""
-    try:
-        return {r.value for r in spark.read.text(f"{lake.rstrip('/')}/{OWNERS}/{name}").collect()}
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return set()
+    folder = f"{lake.rstrip('/')}/{OWNERS}/{name}"
+    # Makes an empty list the first time, else does nothing.
+    spark.createDataFrame([], "value string").write.mode("ignore").text(folder)
+    return {r.value for r in spark.read.text(folder).collect()}
 
 
 def claim_name(spark: SparkSession, lake: str, name: str, own: str | None, keep: bool = False) -> None:

@@ -172,8 +172,11 @@ def test_a_failed_change_keeps_the_old_rows(spark, rows, folder):
 
 def test_scratch_is_emptied(spark, rows, folder):
     with scratch(rows([(1,)], "a int"), "x", f"{folder}/work") as made:
+        with scratch(rows([(2,), (3,)], "a int"), "x", f"{folder}/work") as other:  # of a job that runs at once
+            assert made.count() == 1 and other.count() == 2
         assert made.count() == 1
-    assert spark.read.parquet(f"{folder}/work/x").count() == 0
+    assert len(glob.glob(f"{folder}/work/x-*")) == 2
+    assert spark.read.parquet(f"{folder}/work/x-*").count() == 0
 
 
 def test_read_source_checks(spark, rows, folder):
