@@ -124,6 +124,19 @@ def profiles(*args, kind: str = "lead", **options) -> DataFrame:
     return nest_profile(profile_rows(*args, kind=kind, **options), kind)
 
 
+SMALL_ROWS = 1_000_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], most_rows: int = SMALL_ROWS) -> DataFrame:
+    """An inner join whose small side, of a few narrow columns, is broadcast if a count finds ``most_rows`` or fewer.
+
+    Beyond that both sides are shuffled. The count spares the shuffle of wide rows, such as texts, where Spark's own
+    estimate of the small side is too coarse.
+    """
+    few = small.limit(most_rows + 1).count() <= most_rows
+    return big.join(F.broadcast(small) if few else small, keys)
+
+
 VISIT_COLUMNS = [
     "visitor_id", "last_visit_date", "visit_count", "ipaddress", "browser_agent", "created_at",
 ]

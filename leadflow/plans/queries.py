@@ -1061,10 +1061,17 @@ def _updated(table: StateTable | KeyedTable, feedback: DataFrame) -> DataFrame:
     )
 
 
+def _rated(spark, sf) -> DataFrame:
+    """Rated texts (``rated`` of the derived tables): a rating is some bytes, a text is long."""
+    ratings = base(spark, sf, "labels").select("doc_id", F.expr("quality = 1 and toxic = 0").alias("positive"))
+    rows = joins.join_counted(base(spark, sf, "documents").select("doc_id", "text"), ratings, ["doc_id"])
+    return rows.withColumnRenamed("doc_id", "id")
+
+
 def _trained(spark, sf) -> DataFrame:
     """The model that the job learns from rated texts."""
     table = shared_folder(spark, "sentiment_model")
-    jobs.train_sentiment(view(spark, sf, "rated").select("text", "positive"), table)
+    jobs.train_sentiment(_rated(spark, sf).select("text", "positive"), table)
     return spark.read.parquet(table)
 
 
@@ -1086,7 +1093,7 @@ def sentiment_model_scores(spark, sf):
 @query
 def sentiment_held_out(spark, sf):
     """Rated texts of one fold by a model of the others."""
-    scored = model.held_out(view(spark, sf, "rated"), "id")
+    scored = model.held_out(_rated(spark, sf), "id")
     return scored.select("id", "positive", F.round("score", 6).alias("score"))
 
 
@@ -1149,8 +1156,8 @@ def drift_distance(spark, sf):
 def stream_priorities(spark, sf):
     """``priority`` kept up by a stream: scores and feedback come in files, the feedback of some leads first."""
     folder = shared_folder(spark, "stream_priority")
-    feedback = view(spark, sf, "feedback").repartition(3, "turn")
-    scores = lead_scores(spark, sf).withColumn("scored_at", ts.ntz("2024-02-01 00:00:00")).repartition(3, "lead_id")
+    feedback = view(spark, sf, "feedback").repartition(3)
+    scores = lead_scores(spark, sf).withColumn("scored_at", ts.ntz("2024-02-01 00:00:00")).repartition(3)
     older = scores.limit(0).unionByName(scores.withColumns({
         "lead_score": F.lit(0.0), "scored_at": ts.ntz("2024-01-01 00:00:00"),
     }))

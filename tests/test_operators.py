@@ -490,3 +490,12 @@ def test_number_of_jobs_does_not_grow_with_windows(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] > 0
+
+
+def test_counted_join_broadcasts_small_sides_only(rows):
+    big = rows([(i % 5, i) for i in range(20)] + [(None, 99)], "k int, v int")
+    small = rows([(1, "a"), (2, "b"), (None, "n")], "k int, s string")
+    few, many = (joins.join_counted(big, small, ["k"], n) for n in (3, 2))
+    assert content(few) == content(many) and few.count() == 8
+    plans = ["ResolvedHint (strategy=broadcast)" in d._jdf.queryExecution().analyzed().toString() for d in (few, many)]
+    assert plans == [True, False]
