@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.timestamps import EPOCH, next_checkpoint, ntz
@@ -19,6 +19,7 @@ from leadflow.sinks.state import StateTable, scratch
 from leadflow.sinks.tables import rows_frame
 
 TIME = "ingestion_timestamp"
+WINDOW = "_window"
 BUCKETS = 4_096
 MICROSECOND = dt.timedelta(microseconds=1)
 
@@ -200,10 +201,33 @@ def in_window(df: DataFrame, window: ExportWindow) -> DataFrame:
     return df.filter(F.col(TIME).between(ntz(window.first), ntz(window.last)))
 
 
-def export_columns(df: DataFrame, table: str) -> DataFrame:
+def _place(ends: np.ndarray) -> Column:
+    """The number of the window that a time up to the last end lies in: one binary search a row."""
+
+    @F.arrow_udf("int")
+    def place(times: pa.Array) -> pa.Array:
+        at = times.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(ends, at), pa.int32())
+
+    return place(F.col(TIME).cast("timestamp_ntz"))
+
+
+def in_windows(df: DataFrame, windows: Sequence[ExportWindow]) -> DataFrame:
+    """Rows of consecutive windows, with the number of each row's window, from 0 on, in ``_window``.
+
+    All rows are placed in one pass. Only the ends of the windows go to the tasks.
+    """
+    if not windows:
+        return df.filter(F.lit(False)).withColumn(WINDOW, F.lit(None).cast("int"))
+    ends = np.array([w.last for w in windows], "datetime64[us]").astype(np.int64)
+    span = ExportWindow(windows[0].job, windows[0].target, windows[0].first, windows[-1].last)
+    return in_window(df, span).withColumn(WINDOW, _place(ends))
+
+
+def export_columns(df: DataFrame, table: str, *also: str) -> DataFrame:
     if table not in EXPORT_COLUMNS:
         raise ValueError(f"no export columns for {table}")
-    return df.select(*EXPORT_COLUMNS[table])
+    return df.select(*EXPORT_COLUMNS[table], *also)
 
 
 def commit_window(checkpoints: StateTable, window: ExportWindow) -> bool:

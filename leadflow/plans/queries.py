@@ -25,7 +25,7 @@ from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
 from leadflow.operators.status_log import StatusLog, as_of
 from leadflow.operators.window import (
-    ExportWindow, cut_windows, export_columns, get_window, in_window, late_rows, latest_checkpoints,
+    WINDOW, ExportWindow, cut_windows, export_columns, get_window, in_window, in_windows, late_rows, latest_checkpoints,
 )
 from leadflow.plans import jobs
 from leadflow.plans.inputs import base, view
@@ -445,10 +445,12 @@ def export_windows(spark, sf):
     source = view(spark, sf, "staging_contacts")
     none = rows_frame(spark, [], table_schema("checkpoint"))
     *windows, _ = cut_windows(none, "export", "staging.contacts", {"staging.contacts": source}, 500)
-    ends = spark.createDataFrame([(w.first, w.last) for w in windows], "first_time timestamp_ntz, last_time timestamp_ntz")
-    time = F.col("ingestion_timestamp")
-    inside = source.join(ends, (time >= F.col("first_time")) & (time <= F.col("last_time")))
-    return inside.groupBy("first_time", "last_time").agg(F.count(F.lit(1)).alias("n"))
+    ends = spark.createDataFrame(
+        [(i, w.first, w.last) for i, w in enumerate(windows)],
+        f"{WINDOW} int, first_time timestamp_ntz, last_time timestamp_ntz",
+    )
+    inside = in_windows(source, windows).groupBy(WINDOW).agg(F.count(F.lit(1)).alias("n"))
+    return ends.join(inside, WINDOW).select("first_time", "last_time", "n")
 
 
 @query

@@ -9,6 +9,7 @@ from leadflow.operators.latest import latest_per_key
 from leadflow.operators.skew import hot_keys, split_join
 from leadflow.operators.spec import run_spec
 from leadflow.operators.status import change_status, import_gate, open_rows, running_files
+from leadflow.plans import queries
 from leadflow.schemas import table_schema
 from leadflow.sinks.state import StateTable
 from leadflow.sinks.tables import replace_bucketed
@@ -300,6 +301,28 @@ def test_ties_and_next_window(spark, folder):
     assert window.late_rows(late, third.first).count() == 1
 
 
+def test_rows_find_their_windows(spark):
+    draw = random.Random(3)
+    values = [T("2020-01-01") + dt.timedelta(microseconds=draw.randrange(90)) for _ in range(300)] + [None]
+    values += [T("1960-01-01"), T("9000-01-01 00:00:00.000001"), values[0], values[0]]
+    source, saved = times(spark, values), spark.createDataFrame([], table_schema("checkpoint"))
+    *found, _ = window.cut_windows(saved, "j", "t", {"t": source}, 20)
+    placed = window.in_windows(source, found[1:-1])
+    rows = [(i, v) for i, w in enumerate(found[1:-1]) for v in values if v and w.first <= v <= w.last]
+    assert sorted(map(tuple, placed.select("_window", "ingestion_timestamp").collect())) == sorted(rows)
+    assert window.in_windows(source, []).collect() == []
+
+
+def test_windows_are_not_compared_with_every_row(spark):
+    values = [T("2020-01-01") + dt.timedelta(seconds=i) for i in range(20)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "view", lambda *a: times(spark, values))
+        result = queries.export_windows(spark, "")
+    assert [(r.first_time, r.last_time, r.n) for r in result.collect()] == [(T("1970-01-01"), values[-1], 20)]
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_unknown_export_table(rows):
     with pytest.raises(ValueError, match="staging.other"):
         window.export_columns(rows([(1,)], "a int"), "staging.other")
