@@ -230,18 +230,19 @@ def export_columns(df: DataFrame, table: str, *also: str) -> DataFrame:
     return df.select(*EXPORT_COLUMNS[table], *also)
 
 
-def commit_window(checkpoints: StateTable, window: ExportWindow) -> bool:
-    """Move the job's checkpoint just behind the window. Call it after the sink.
+def commit_window(checkpoints: StateTable, *windows: ExportWindow) -> bool:
+    """Move the job's checkpoint just behind the window, or behind each of several. Call it after the sink.
 
-    One row in one file, so it is there or not.
+    One row a window, those of a job and table in one file, so they are there or not.
     """
-    if not window.has_data:
+    rows = [
+        {"dag_id": w.job, "src_table": w.target, "checkpoint": w.last} for w in windows if w.has_data
+    ]
+    if not rows:
         return False
-    rows = rows_frame(
-        checkpoints.spark,
-        [{"dag_id": window.job, "src_table": window.target, "checkpoint": window.last}],
-        checkpoints.schema,
-    ).withColumn("checkpoint", next_checkpoint(F.col("checkpoint")))
+    rows = rows_frame(checkpoints.spark, rows, checkpoints.schema).withColumn(
+        "checkpoint", next_checkpoint(F.col("checkpoint"))
+    )
     checkpoints.append(rows.coalesce(1))
     return True
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import AbstractContextManager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,7 +27,8 @@ from leadflow.operators import late, sentiment_model, status_log
 from leadflow.operators.status import import_gate, open_rows
 from leadflow.operators.status_log import StatusLog
 from leadflow.operators.window import (
-    commit_window, cut_windows, export_columns, in_window, late_rows, saved_checkpoint,
+    WINDOW, ExportWindow, commit_window, cut_windows, export_columns, in_window, in_windows, late_rows,
+    saved_checkpoint,
 )
 from leadflow.schemas import INSIGHT_IDS, insight_table, struct_type, table_schema
 from leadflow.sinks.csv_export import export_csv, move_files, route_uploads
@@ -43,6 +45,9 @@ from leadflow.streaming.ingest import stream_cdc
 
 __all__ = ["cdc_records", "lead_scores"]  # also used from here
 
+BATCH = "_batch"
+WINDOWS_AT_ONCE = 1_000  # windows of an export that one job writes
+
 
 @dataclass(frozen=True)
 class JobResult:
@@ -194,34 +199,65 @@ def export_table(
 ) -> JobResult:
     """Export everything behind the checkpoint as CSV per client; the checkpoint moves last.
 
-    All rows are one window, or with ``max_rows`` several, each exported and committed on its
-    own; ``max_windows`` ends the job earlier. The detail holds the windows. With ``upload``,
-    each file is moved to ``processed`` or ``failed`` by its answer, the processed ones open a
-    status row, and any failure ends the job with its window uncommitted. ``record`` keeps the ids of
-    exported rows, for ``export_late``.
+    All rows are one window, or with ``max_rows`` several, each a run of its own; ``max_windows`` ends
+    the job earlier. The detail holds the windows. The source is read once to place all rows in their windows.
+    ``WINDOWS_AT_ONCE`` windows are then written by one job and committed together. With ``upload`` each
+    window is sent and committed on its own: each file is moved to ``processed`` or ``failed`` by its
+    answer, the processed ones open a status row, and any failure ends the job with its window
+    uncommitted. ``record`` keeps the ids of exported rows, for ``export_late``.
     """
     if upload is not None and not uploads_at_once:
         raise ValueError("say how many uploads the service takes at once")
-    spark, done, rows = source.sparkSession, [], 0
-    windows = cut_windows(checkpoints.read(), job, table, {table: source}, max_rows, work)
-    try:
-        for window in windows:
-            if not window.has_data or len(done) == max_windows:
-                break
-            send = lambda df: _export(
-                df, table, out, status=status, upload=upload, uploads_at_once=uploads_at_once, now=now
-            )
-            if record is None:
-                rows += send(in_window(source, window))
-            else:  # what is sent is what is recorded, whatever arrives meanwhile
-                with scratch(in_window(source, window), "window", work) as exported:
+    found = cut_windows(checkpoints.read(), job, table, {table: source}, max_rows, work)
+    windows = [w for w in found if w.has_data][:max_windows]
+    send = lambda df: _export(
+        df, table, out, status=status, upload=upload, uploads_at_once=uploads_at_once, now=now
+    )
+    rows = 0
+    if len(windows) == 1 and record is None:
+        rows = send(in_window(source, windows[0]))
+        commit_window(checkpoints, *windows)
+    elif windows:
+        # what is sent is what is recorded, whatever arrives meanwhile
+        with _placed(source, table, windows, work, whole=record is not None) as placed:
+            for first in range(0, len(windows), WINDOWS_AT_ONCE):
+                several = windows[first : first + WINDOWS_AT_ONCE]
+                batch = placed.filter(F.col(BATCH) == first // WINDOWS_AT_ONCE).drop(BATCH)
+                if upload is None:
+                    rows += _export_runs(batch, table, out)
+                    if record is not None:
+                        record.add(batch, table)
+                    commit_window(checkpoints, *several)
+                    continue
+                for i, window in enumerate(several, first):
+                    exported = batch.filter(F.col(WINDOW) == i)
                     rows += send(exported)
-                    record.add(exported, table)
-            commit_window(checkpoints, window)
-            done.append(window)
-    finally:
-        windows.close()
-    return JobResult("export", "done" if done else "skipped", rows, detail=done)
+                    if record is not None:
+                        record.add(exported, table)
+                    commit_window(checkpoints, window)
+    return JobResult("export", "done" if windows else "skipped", rows, detail=windows)
+
+
+def _placed(
+    source: DataFrame, table: str, windows: Sequence[ExportWindow], work: str | None, whole: bool
+) -> AbstractContextManager[DataFrame]:
+    """The rows of all windows as a scratch table, a partition for each ``WINDOWS_AT_ONCE`` of them.
+
+    With ``whole`` it has all columns of the source, else those that are exported.
+    """
+    rows = in_windows(source, windows)
+    rows = rows if whole else export_columns(rows, table, WINDOW)
+    rows = rows.withColumn(BATCH, F.floor(F.col(WINDOW) / WINDOWS_AT_ONCE).cast("int"))
+    # a batch that is too big for one task is split; within a file, the rows of a window stand together
+    dealt = rows.hint("rebalance", BATCH).sortWithinPartitions(BATCH, WINDOW)
+    return scratch(dealt, "windows", work, [BATCH])
+
+
+def _export_runs(df: DataFrame, table: str, out: str) -> int:
+    """Write the rows of several windows as one run of CSV files each, in one job; the number of rows."""
+    run = F.concat(F.lit(f"{uuid.uuid4().hex}-"), F.col(WINDOW).cast("string"))
+    rows = export_columns(df.withColumn("run", run), table, "run")
+    return export_csv(rows, f"{out.rstrip('/')}/{table}", run="run").get["n"]
 
 
 def _export(

@@ -53,20 +53,26 @@ def _printable(df: DataFrame) -> DataFrame:
 
 
 def export_csv(
-    df: DataFrame, path: str, key: str = "client", max_records: int = MAX_RECORDS_PER_FILE
+    df: DataFrame, path: str, key: str = "client", max_records: int = MAX_RECORDS_PER_FILE, run: str | None = None
 ) -> Observation:
     """One folder of CSV files per client; returns the row count's Observation.
 
     Rows are brought together by client with a rebalance, which splits a client
     that is too big for one task and merges the small ones. A big client so gets
     several files, each with a header.
+
+    With ``run``, a column, each of its values gets a folder of its own with all clients in it. Other runs in
+    ``path`` stay; only folders of the same value are replaced.
     """
-    rows, seen = counted(_printable(df).hint("rebalance", key))
-    (
-        rows.write.partitionBy(key)
-        .options(**FORMAT, maxRecordsPerFile=max_records, compression="gzip")
-        .csv(path)
+    by = [key] if run is None else [run, key]
+    rows, seen = counted(_printable(df).hint("rebalance", *by))
+    writer = rows.write.partitionBy(*by).options(
+        **FORMAT, maxRecordsPerFile=max_records, compression="gzip"
     )
+    if run is not None:
+        # each write has a staging folder of its own, so several can write below one path
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.csv(path)
     return seen
 
 

@@ -24,7 +24,9 @@ PART = "_part"
 
 
 @contextmanager
-def scratch(df: DataFrame, name: str, work: str | None = None) -> Iterator[DataFrame]:
+def scratch(
+    df: DataFrame, name: str, work: str | None = None, partition_by: Sequence[str] = ()
+) -> Iterator[DataFrame]:
     """The frame as a table below ``work`` or the shared folder, emptied afterwards.
 
     For results that are used several times and must be made once. Each use has a folder of its own, so jobs
@@ -33,7 +35,7 @@ def scratch(df: DataFrame, name: str, work: str | None = None) -> Iterator[DataF
     spark = df.sparkSession
     path = f"{work.rstrip('/')}/{name}-{uuid.uuid4().hex}" if work else shared_folder(spark, name)
     plain = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=[*partition_by] or None)
     try:
         yield spark.read.schema(plain).parquet(path)
     finally:

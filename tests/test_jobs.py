@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from leadflow.functions.crypto import encrypt_lines
+from leadflow.operators.late import ExportRecord
 from leadflow.operators.scoring import (
     FEATURES, ask_service, drift, insight_bodies, lexicon_score, logistic_predictor,
     logistic_score, predict, predict_with_model, value_bucket,
@@ -239,6 +240,53 @@ def test_export_without_a_bound_takes_all(spark, rows, folder, state):
     assert (result.rows, len(result.detail)) == (20, 1)
 
 
+def test_jobs_of_an_export_do_not_grow_with_windows(spark, rows, folder):
+    source = contacts(rows, [("a", f"n{i}", f"2020-01-{i + 1:02d}") for i in range(24)]).cache()
+    source.count()
+    ran = []
+    for most in (12, 2):
+        group, out = f"export-{most}", f"{folder}/out-{most}"
+        checkpoints = StateTable(spark, f"{out}/c", table_schema("checkpoint"), ["dag_id", "src_table"], 2)
+        spark.sparkContext.setJobGroup(group, group)
+        result = jobs.export_table(source, "staging.contacts", checkpoints, out, max_rows=most)
+        ran.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert (result.rows, len(result.detail)) == (24, 24 // most)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert ran[0] == ran[1] > 0
+
+
+@pytest.mark.parametrize("upload", [None, lambda client, path: (200, '{"file":"f"}')])
+def test_each_window_is_a_run_of_its_own(spark, rows, folder, state, monkeypatch, upload):
+    monkeypatch.setattr(jobs, "WINDOWS_AT_ONCE", 2)
+    clients = ["a b", "ä/%", None, "a b", "c"]
+    source = contacts(rows, [(clients[i % 5], f"n{i}", f"2020-01-{i // 2 + 1:02d}") for i in range(14)])
+    record = ExportRecord(spark, f"{folder}/record", source.schema, ["first_name"])
+    out, options = f"{folder}/out", {"max_rows": 2, "upload": upload, "uploads_at_once": 2, "record": record}
+    part = jobs.export_table(source, "staging.contacts", state[0], out, max_windows=3, **options)
+    rest = jobs.export_table(source, "staging.contacts", state[0], out, **options)
+    assert (part.rows, len(part.detail), rest.rows, len(rest.detail)) == (6, 3, 8, 4)
+    there = f"{out}/processed/staging.contacts" if upload else f"{out}/staging.contacts"
+    found = read_export(spark, there, ["first_name"]).select("*", F.input_file_name().alias("at")).collect()
+    runs = {}
+    for r in found:
+        runs.setdefault(r["at"].split("/run=")[1].split("/")[0], []).append((r.first_name, r.client))
+    given = [(f"n{i}", clients[i % 5]) for i in range(14)]
+    assert sorted(map(sorted, runs.values())) == sorted(sorted(given[i : i + 2]) for i in range(0, 14, 2))
+    ends = [w.last + dt.timedelta(microseconds=1) for w in part.detail + rest.detail]
+    assert sorted(r.checkpoint for r in state[0].read().collect()) == ends  # each window is committed
+    assert sorted(r.first_name for r in spark.read.parquet(record.path).collect()) == sorted(n for n, _ in given)
+
+
+def test_windows_before_a_refused_one_stay_committed(spark, rows, folder, state):
+    source = contacts(rows, [(c, f"n-{c}", f"2020-01-0{i + 1}") for i, c in enumerate("abc")])
+    upload = lambda client, path: (500, "") if client == "b" else (200, '{"file":"f"}')
+    with pytest.raises(RuntimeError, match="1 files"):
+        jobs.export_table(
+            source, "staging.contacts", state[0], f"{folder}/out", max_rows=1, upload=upload, uploads_at_once=1
+        )
+    assert [r.checkpoint for r in state[0].read().collect()] == [T("2020-01-01 00:00:00.000001")]
+
+
 def test_export_with_upload(spark, rows, folder, state):
     source = contacts(rows, [("a-b", "n1", "2020-01-01"), ("c d", "n2", "2020-01-01")])
     out = f"{folder}/out"
